@@ -6,6 +6,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,7 @@ from .common import typed
 
 BUCKETS = 1 << 18
 #: Labelled documents that the fit reads at most: the first by a hash of doc_id.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: A bucket takes part if this many labelled documents have it and their mean grade is this many standard errors off.
 LEAST_DOCS, LEAST_Z = 8, 4.0
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
@@ -24,27 +26,37 @@ _UPPER, _LETTER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyzABC
 
 
 class Hasher:
-    """Distinct buckets of a text: its lower-case words and mark runs, and classes of its share of capitals, marks and repeated lines."""
+    """Distinct buckets of a text: of its lower-case words, their beginnings of 4 to 6 letters, and its mark runs, and of
+    classes of its share of capitals, marks, repeated lines and repeated neighbours.
 
-    def __init__(self, cache: int = 300_000):
-        self.cache, self.known = cache, {}
+    With `only`, buckets of weight 0 are left out as words come up, so that scoring touches little but what counts.
+    """
+
+    def __init__(self, only: np.ndarray | None = None, cache: int = 300_000):
+        self.only, self.cache, self.known = only, cache, {}
+
+    def _word(self, token: bytes) -> tuple[int, ...]:
+        word = token.decode() if token[0] > 47 else ""
+        found = [zlib.crc32(token) % BUCKETS, *(zlib.crc32(b"%d:" % n + word[:n].encode()) % BUCKETS for n in (4, 5, 6) if len(word) >= n)]
+        return tuple(found) if self.only is None else tuple(b for b in found if self.only[b])
 
     def __call__(self, text: str | None) -> np.ndarray:
         data = (text or "").encode()
         size = max(1, len(data))
         letters = size - len(data.translate(None, _LETTER))
-        lines = data.split(b"\n")
+        lines, tokens = data.split(b"\n"), _TOKEN.findall(data.lower())
         shape = (
             b"\0upper%d" % (10 * (size - len(data.translate(None, _UPPER))) // max(1, letters)),
-            b"\0marks%d" % (20 * sum(data.count(c) for c in (b"|", b"#", b"$", b"%", b"&", b"*", b"!")) // size),
+            b"\0marks%d" % min(9, 100 * (size - len(data.translate(None, b"|#$%&*!"))) // size),
             b"\0lines%d" % (10 * (len(lines) - len(set(lines))) // len(lines)),
+            b"\0again%d" % (10 * sum(map(eq, tokens, tokens[1:])) // max(1, len(tokens))),
         )
-        tokens = {*_TOKEN.findall(data.lower()), *shape}
+        words = {*tokens, *shape}
         if len(self.known) > self.cache:
             self.known = {}
-        for t in tokens.difference(self.known):
-            self.known[t] = zlib.crc32(t) % BUCKETS
-        return np.unique(np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens)))
+        for t in words.difference(self.known):
+            self.known[t] = self._word(t)
+        return np.unique(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32))
 
 
 @dataclass
@@ -118,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = typed(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(make, "grade int, buckets array<int>").toArrow()
     grades = rows.column(0).to_numpy().astype(np.int64)
-    lists = [np.asarray(x.values, np.int32) for x in rows.column(1)]
+    lists = [x.values.to_numpy() for x in rows.column(1)]
     first = {r.tobytes(): i for i, r in reversed(list(enumerate(lists)))}
     keep = sorted(first.values())
     return fit_ordinal([lists[i] for i in keep], grades[keep], 3)
@@ -140,7 +152,8 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int
     model = docs.sparkSession.sparkContext.broadcast(_plain(train(docs, labels, sample)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, (own, weights) = Hasher(), _full(model.value)
+        own, weights = _full(model.value)
+        hashed = Hasher(weights != 0)
         for batch in batches:
             p = _scores(batch.column(1), hashed, own, weights)
             tail = p[:, -1]
@@ -155,7 +168,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: in
     at = docs.columns.index("text")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, (own, weights) = Hasher(), _full(model.value)
+        own, weights = _full(model.value)
+        hashed = Hasher(weights != 0)
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(at), hashed, own, weights)[:, -1] >= least))
 
