@@ -129,22 +129,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows of equal (band, block), which may cross batches, from rows sorted by them."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
+    """From rows sorted by (band, block, away): the home members of each block at once, then its visitors as they come."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        band, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0)) + 1
+        band, block, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5))
+        cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0) | (np.diff(home.astype(np.int8)) != 0)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(band)], strict=True):
             if b > a:
-                if held and last != (band[a], block[a]):
-                    yield pa.Table.from_batches(held)
+                key = (band[a], block[a])
+                if held and (key != last or not home[a]):
+                    yield True, pa.Table.from_batches(held)
                     held = []
-                last = (band[a], block[a])
-                held.append(batch.slice(a, b - a))
+                if home[a]:
+                    held.append(batch.slice(a, b - a))
+                elif key == last:
+                    yield False, pa.Table.from_batches([batch.slice(a, b - a)])
+                last = key if home[a] or key == last else None
     if held:
-        yield pa.Table.from_batches(held)
+        yield True, pa.Table.from_batches(held)
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,29 +157,33 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A pair is looked at in the first band it shares only. With shingle sets in the rows, pairs are confirmed here, and
     those that links found here already connect are skipped; without, pairs whose signatures agree enough are returned.
     """
-    for group in _groups(batches):
-        kind, comp, roams, home = (group.column(i).to_numpy() for i in (2, 3, 4, 5))
+    kept = comps = signs = shingled = root = None
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    for first, group in _groups(batches):
+        kind, comp, roams = (group.column(i).to_numpy() for i in (2, 3, 4))
         at = int(group.column(0)[0].as_py()) & 63
         sign = np.frombuffer(b"".join(group.column(6).to_pylist()), "<u2").reshape(len(kind), -1)
         sets = [np.frombuffer(x, np.uint64) for x in group.column(7).to_pylist() if x is not None]
-        root = {int(c): int(c) for c in comp}
-
-        def find(c: int, root=root) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        found, members = [], np.flatnonzero(home)
+        if first:
+            kept, comps, signs, shingled, root = kind, comp, sign, sets, {}
+        for c in {*comps.tolist(), *comp.tolist()}:
+            root.setdefault(c, c)
+        found = []
         for i in np.flatnonzero(roams):
-            other = members[comp[members] != comp[i]]
-            same = sign[other] == sign[i]
-            first = same.reshape(len(other), ROWS, -1).all(1).argmax(1)
-            for j in other[(first == at) & (same.mean(1) >= LEAST_AGREEMENT)]:
+            other = np.flatnonzero(comps != comp[i])
+            same = signs[other] == sign[i]
+            shared = same.reshape(len(other), ROWS, -1).all(1).argmax(1)
+            for j in other[(shared == at) & (same.mean(1) >= LEAST_AGREEMENT)]:
                 if not sets:
-                    found.append((kind[i], kind[j]))
-                elif (x := find(int(comp[i]))) != (y := find(int(comp[j]))) and _similar(sets[i], sets[j]):
+                    found.append((kind[i], kept[j]))
+                elif (x := find(int(comp[i]))) != (y := find(int(comps[j]))) and _similar(sets[i], shingled[j]):
                     root[x] = y
-                    found.append((kind[i], kind[j]))
+                    found.append((kind[i], kept[j]))
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
@@ -198,8 +206,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         last = now
 
 
-#: Members of a bucket up to which signatures alone are compared in it; beyond, shingle sets travel too. Also a block's size.
-BLOCK = 64
+#: Members of a bucket up to which signatures alone are compared in it; beyond, shingle sets travel too, in blocks of so many members.
+SMALL, BLOCK = 64, 512
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -259,12 +267,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("band", "block", "kind", "comp", "roams", (F.col("block") == F.col("own")).alias("home"), "size"), "spread")
     spread = spread.join(nodes.select("kind", "sign"), "kind")
     cols = ["band", "block", "kind", "comp", "roams", "home", "sign", "shingles"]
-    small = spread.where(f"size <= {BLOCK}").withColumn("shingles", F.lit(None).cast("binary"))
-    maybe = scratch.save(small.select(cols).repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(_cross, "a long, b long").distinct(), "maybe")
+    small = spread.where(f"size <= {SMALL}").withColumn("shingles", F.lit(None).cast("binary"))
+    maybe = scratch.save(small.select(cols).repartition("band", "block").sortWithinPartitions("band", "block", F.desc("home")).mapInArrow(_cross, "a long, b long").distinct(), "maybe")
     few = _confirmed(maybe, base, nodes, scratch, "more")
-    large = spread.where(f"size > {BLOCK}")
+    large = spread.where(f"size > {SMALL}")
     sets = scratch.save(_sets_of(large.select("kind"), base, nodes), "large-sets")
-    many = scratch.save(large.join(sets, "kind").select(cols).repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(_cross, "a long, b long").distinct(), "many")
+    many = scratch.save(large.join(sets, "kind").select(cols).repartition("band", "block").sortWithinPartitions("band", "block", F.desc("home")).mapInArrow(_cross, "a long, b long").distinct(), "many")
     repeated = full.groupBy("doc_id").agg(F.min("kind").alias("a"), F.max("kind").alias("z")).where("a <> z").select("doc_id", "a")
     repeated = full.join(repeated, "doc_id").select("a", F.col("kind").alias("b")).where("a <> b").distinct()
     edges = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(few).union(many).union(repeated)
