@@ -5,11 +5,322 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
+from ..functions import expr
+from ..operators import graph, joins, ledger, telemetry
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+WEEKS = 400 * DAY
+_ACT = "coalesce(completed_at, leased_at, created_at)"
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS {s}" for s in ledger.STATES)
+_RECENT = f"count(*) FILTER (WHERE state = 'done' AND completed_at >= {LEDGER_NOW - WEEKS})"
+
+
+def add(views: str, sql: str | None = None, name: str | None = None) -> Callable[[Callable[..., DataFrame]], None]:
+    """Registers a function of the named views (see adapters), and the SQL that gives the same rows."""
+
+    def put(f: Callable[..., DataFrame]) -> None:
+        key = name or f.__name__
+        _QUERIES[key] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views.split()))
+        if sql:
+            _SQL[key] = sql_with(views, sql)
+
+    return put
+
+
+@add("ledger", f"SELECT *, CAST(recent AS DOUBLE) / {WEEKS} AS rate, pending + leased AS remaining, CASE WHEN recent > 0 THEN (pending + leased) / (CAST(recent AS DOUBLE) / {WEEKS}) END AS eta_s FROM (SELECT {_COUNTS}, count(*) AS total, {_RECENT} AS recent FROM ledger)")
+def fleet_stats(led):
+    return ledger.fleet_stats(led, LEDGER_NOW, WEEKS)
+
+
+@add("ledger", f"SELECT coalesce(host, '?') AS host, count(*) FILTER (WHERE state = 'leased') AS in_flight, {_RECENT} / CAST({WEEKS} AS DOUBLE) AS rate FROM ledger GROUP BY 1 HAVING count(*) FILTER (WHERE state = 'leased') > 0")
+def host_stats(led):
+    return ledger.host_stats(led, LEDGER_NOW, WEEKS)
+
+
+@add("ledger", "SELECT disk, count(*) AS n FROM ledger WHERE state = 'leased' AND disk IS NOT NULL GROUP BY 1")
+def disk_inflight(led):
+    return ledger.disk_counts(led, "leased")
+
+
+@add("ledger", "SELECT disk, count(*) AS n FROM ledger WHERE state = 'done' AND disk IS NOT NULL GROUP BY 1")
+def disk_done(led):
+    return ledger.disk_counts(led, "done")
+
+
+_ROLL = f"SELECT l.job, count(*) AS total, {_COUNTS}, min(created_at) AS first_created, max(leased_at) AS last_leased, max(completed_at) AS last_completed, coalesce(string_agg(DISTINCT runner_id, ',' ORDER BY runner_id), '') AS runners, any_value(label) AS label FROM ledger l LEFT JOIN jobs USING (job) GROUP BY 1"
+
+
+@add("ledger jobs", _ROLL)
+def job_rollup(led, jobs):
+    return ledger.job_rollup(led, jobs)
+
+
+@add("ledger", f"SELECT job, coalesce(runner_id, '') AS runner, count(*) AS done FROM ledger WHERE state = 'done' AND job IN (SELECT job FROM ledger GROUP BY job ORDER BY max({_ACT}) DESC, job LIMIT 3) GROUP BY 1, 2")
+def contribution(led):
+    return ledger.contribution(led, 3)
+
+
+@add("ledger", f"SELECT job, recent, recent / CAST({WEEKS} AS DOUBLE) AS rate, CASE WHEN recent > 0 THEN remaining / (recent / CAST({WEEKS} AS DOUBLE)) END AS eta_s FROM (SELECT job, {_RECENT} AS recent, count(*) FILTER (WHERE state IN ('pending', 'leased')) AS remaining FROM ledger GROUP BY 1)")
+def job_done_in_window(led):
+    return ledger.job_windows(led, LEDGER_NOW, WEEKS)
+
+
+@add("ledger", "SELECT * FROM (SELECT job, error, n, row_number() OVER (PARTITION BY job ORDER BY n DESC, error) AS place FROM (SELECT job, error, count(*) AS n FROM ledger WHERE state = 'failed' AND trim(error) <> '' GROUP BY 1, 2)) WHERE place <= 3")
+def error_digest(led):
+    return ledger.error_digest(led, 3)
+
+
+@add("ledger", "SELECT * FROM (SELECT job, item_id, leased_at, row_number() OVER (PARTITION BY job ORDER BY leased_at, item_id) AS place FROM ledger WHERE state = 'leased') WHERE place <= 10")
+def leased_sample(led):
+    return ledger.leased_sample(led, 10)
+
+
+@add("ledger", f"SELECT item_id, state, error, {_ACT} AS "at" FROM ledger WHERE state IN ('failed', 'leased') AND regexp_matches(item_id, '7.*npz') AND regexp_matches(error, '(?i)perm|reset') ORDER BY "at" DESC, item_id LIMIT 200")
+def search_items(led):
+    return ledger.search_items(led, ("failed", "leased"), None, "7.*npz", "(?i)perm|reset", True, 200).select("item_id", "state", "error", "at")
+
+
+@add("ledger", f"SELECT item_id, job, lease_deadline FROM ledger WHERE state = 'leased' AND lease_deadline < {LEDGER_NOW - WEEKS}")
+def expired_holds(led):
+    return ledger.expired_holds(led, LEDGER_NOW - WEEKS).select("item_id", "job", "lease_deadline")
+
+
+@add("heartbeats", f"SELECT *, {EVENTS_NOW} - last_seen AS stale_s, {EVENTS_NOW} - last_seen <= {2 * DAY} AS alive FROM (SELECT runner_id, arg_max(host, seq + last_seen * 10000000) AS host, arg_max(job, seq + last_seen * 10000000) AS job, arg_max(workers, seq + last_seen * 10000000) AS workers, arg_max(cpu_pct, seq + last_seen * 10000000) AS cpu_pct, arg_max(mem_used_gb, seq + last_seen * 10000000) AS mem_used_gb, max(last_seen) AS last_seen FROM heartbeats GROUP BY 1)")
+def latest_runners(beats):
+    return ledger.latest_runners(beats, EVENTS_NOW, 2 * DAY)
+
+
+@add("results", f"SELECT runner_id, max(ts) AS last_ts FROM results GROUP BY 1 HAVING {EVENTS_NOW} - max(ts) > {2 * 42900}")
+def no_progress_runners(res):
+    return ledger.no_progress(res, EVENTS_NOW, 42900)
+
+
+@add("results", f"SELECT ts, seq, item_id, {EVENTS_NOW} - ts > {10 * DAY} AS expired FROM results")
+def retention_split(res):
+    return ledger.retention_split(res, "ts", EVENTS_NOW, 10 * DAY).select("ts", "seq", "item_id", "expired")
+
+
+@add("results", "SELECT * FROM (SELECT runner_id, ts, seq, row_number() OVER (PARTITION BY runner_id ORDER BY ts DESC, seq DESC) AS place FROM results) WHERE place <= 20")
+def keep_latest(res):
+    return ledger.keep_latest(res.select("runner_id", "ts", "seq"), 20, [F.desc("ts"), F.desc("seq")], ["runner_id"])
+
+
+@add("ledger", "SELECT item_id, metrics, state, job, disk FROM ledger WHERE state = 'done'")
+def export_metrics(led):
+    return ledger.export_metrics(led)
+
+
+@add("ledger", "SELECT * FROM (SELECT job, item_id, CAST(json_extract_string(metrics, '$.bytes') AS DOUBLE) AS value, row_number() OVER (PARTITION BY job ORDER BY CAST(json_extract_string(metrics, '$.bytes') AS DOUBLE) DESC, item_id) AS place FROM ledger WHERE state = 'done') WHERE place <= 10")
+def rank_by_metric(led):
+    return ledger.rank_by_metric(ledger.export_metrics(led), "bytes", 10)
+
+
+@add("ledger", "SELECT item_id, job, state, json_extract_string(metrics, '$.bytes') AS bytes FROM ledger")
+def read_ledger(led):
+    return ledger.parse_ledger(led).select("item_id", "job", "state", F.col("metrics")["bytes"].alias("bytes"))
+
+
+@add("heartbeats", "SELECT job, sum(workers) AS workers, max(cpu_pct) AS cpu_pct, max(mem_used_gb) AS mem_used_gb FROM heartbeats GROUP BY 1")
+def job_resources(beats):
+    return ledger.job_resources(beats)
+
+
+@add("ledger jobs", f", r AS ({_ROLL}), w AS (SELECT job, {_RECENT} AS recent FROM ledger GROUP BY 1), e AS (SELECT job, error AS top_error FROM (SELECT job, error, row_number() OVER (PARTITION BY job ORDER BY count(*) DESC, error) AS p FROM ledger WHERE state = 'failed' AND trim(error) <> '' GROUP BY 1, 2) WHERE p = 1) SELECT r.job, label, total, done, pending, leased, failed, 100.0 * CAST(done AS DOUBLE) / total AS pct_done, recent / CAST({WEEKS} AS DOUBLE) AS rate, CASE WHEN recent > 0 THEN (pending + leased) / (recent / CAST({WEEKS} AS DOUBLE)) END AS eta_s, CASE WHEN leased <= 0 AND pending <= 0 THEN 'idle' WHEN leased > 0 AND recent <= 0 AND {LEDGER_NOW} - coalesce(last_completed, last_leased) >= 600 THEN 'stalled' WHEN leased > 0 AND recent > 0 THEN 'running' WHEN pending > 0 AND leased = 0 THEN 'queued' ELSE 'active' END AS health, top_error FROM r JOIN w USING (job) LEFT JOIN e USING (job)")
+def status_view(led, jobs):
+    return ledger.status_view(led, jobs, LEDGER_NOW, WEEKS)
+
+
+@add("ledger", f"SELECT item_id, CASE WHEN state = 'leased' AND lease_deadline < {LEDGER_NOW} THEN 'pending' ELSE state END AS state, CASE WHEN NOT (state = 'leased' AND lease_deadline < {LEDGER_NOW}) OR lease_deadline IS NULL THEN host END AS host FROM ledger")
+def expire(led):
+    return ledger.expire(led, LEDGER_NOW).select("item_id", "state", "host")
+
+
+@add("ledger", "SELECT item_id, CASE WHEN state = 'failed' THEN 'pending' ELSE state END AS state, CASE WHEN state = 'failed' THEN 0 ELSE attempts END AS attempts, CASE WHEN state <> 'failed' THEN error END AS error FROM ledger")
+def requeue(led):
+    return ledger.requeue(led, ("failed", "nonsense"), True).select("item_id", "state", "attempts", "error")
+
+
+@add("ledger", "SELECT item_id, state FROM ledger WHERE job <> 'seg/BUILDING' OR state NOT IN ('pending', 'leased')")
+def cancel(led):
+    return ledger.cancel(led, "seg/BUILDING").select("item_id", "state")
+
+
+@add("results")
+def apply_results(res):
+    items = res.select("item_id").distinct().select("item_id", F.lit("leased").alias("state"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"))
+    return ledger.apply_results(items, res)
+
+
+_RULES = (("d1", "src0/"), ("d2", "src1..3"), ("d3", ""), ("d4", "src1*/de/*"), ("d5", "src1"), ("d6", "src4..9"))
+
+
+@add("manifest", "SELECT rel_path, CASE WHEN contains(rel_path, 'src0/') THEN 'd1' WHEN contains(rel_path, 'src1') OR contains(rel_path, 'src2') OR contains(rel_path, 'src3') THEN 'd2' WHEN rel_path GLOB 'src1*/de/*' THEN 'd4' WHEN regexp_matches(rel_path, 'src[4-9]') THEN 'd6' END AS disk FROM manifest")
+def assign_by_rules(man):
+    return joins.assign_by_rules(man, _RULES, ["rel_path"]).select("rel_path", "disk")
+
+
+@add("results ledger", "SELECT item_id, any_value('pending') AS state, '(ungrouped)' AS job, min(seq) AS seq FROM results WHERE item_id NOT IN (SELECT item_id FROM ledger) GROUP BY 1")
+def seed_new(res, led):
+    return joins.seed_new(res.select("item_id", "seq"), led, ["seq"]).select("item_id", "state", "job", "seq")
+
+
+@add("manifest", "SELECT rel_path, size FROM manifest WHERE NOT (size % 3 = 0)")
+def skip_existing(man):
+    return joins.skip_existing(man.select("rel_path", "size"), man.where("size % 3 = 0").select("rel_path", "size"), "path_size")
+
+
+_KEY = "regexp_replace(regexp_replace(regexp_extract(item_id, '([^/]*)$', 1), '\\.npz$', ''), '^[A-Za-z0-9]{1,8}-', '')"
+
+
+@add("ledger", f"SELECT DISTINCT {_KEY} AS key FROM ledger WHERE job = 'seg/BUILDING' AND state = 'done' AND {_KEY} NOT IN (SELECT concat(CAST(CAST({_KEY} AS BIGINT) + 3 AS VARCHAR)) FROM ledger WHERE job = 'seg/MACHINERY')")
+def edge_each(led):
+    down = led.where("job = 'seg/MACHINERY'").select(F.concat((expr.item_key(F.col("item_id")).cast("long") + 3).cast("string"), F.lit(".npz")).alias("item_id"))
+    return joins.edge_each(led.where("job = 'seg/BUILDING'"), down)
+
+
+@add("ledger", "SELECT count(*) AS total, count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'done') >= 100 AS open FROM ledger WHERE job = 'seg/BUILDING'")
+def edge_barrier(led):
+    return joins.edge_barrier(led.where("job = 'seg/BUILDING'"), "quorum", 100)
+
+
+@add("manifest", "SELECT count(*) AS required, count(*) FILTER (WHERE size > 500) AS present, count(*) > 0 AND count(*) = count(*) FILTER (WHERE size > 500) AS open FROM manifest WHERE starts_with(rel_path, 'src1/')")
+def edge_artifact(man):
+    return joins.edge_artifact(man.where("startswith(rel_path, 'src1/')").select("rel_path"), man.where("size > 500"))
+
+
+@add("results", f"SELECT DISTINCT host, item_id FROM results WHERE host <> 'host3' AND (host, item_id) NOT IN (SELECT (host, item_id) FROM results WHERE status = 'requeue' AND ts + {5 * DAY} > {EVENTS_NOW})")
+def cooldown_exclude(res):
+    pairs = res.select("host", "item_id").distinct()
+    return joins.cooldown_exclude(pairs, res.where("host = 'host3'").select("host").distinct(), res.where("status = 'requeue'"), EVENTS_NOW, 5 * DAY)
+
+
+@add("results heartbeats", f"SELECT DISTINCT concat('host', CAST(CAST(substr(item_id, 2) AS BIGINT) % 15 AS VARCHAR)) AS host FROM results WHERE host NOT IN (SELECT 'x') AND concat('host', CAST(CAST(substr(item_id, 2) AS BIGINT) % 15 AS VARCHAR)) NOT IN (SELECT lower(host) FROM heartbeats WHERE {EVENTS_NOW} - last_seen <= {3 * DAY})")
+def missing_hosts(res, beats):
+    wanted = res.select(F.concat(F.lit("HOST"), (F.substring("item_id", 2, 9).cast("long") % 15).cast("string")).alias("host"))
+    return joins.missing_hosts(wanted, beats, EVENTS_NOW, 3 * DAY)
+
+
+@add("results", "SELECT item_id, seq, status, CASE WHEN status <> 'error' OR lower(trim(error)) IN ('timeout', 'pool_reset') THEN 'ok' WHEN regexp_matches(lower(error), 'nt_status_logon_failure|permissionerror') THEN 'permanent' ELSE 'transient' END AS class, CASE WHEN error IS NULL THEN '<none>' WHEN contains(lower(error), 'nt_status_logon_failure') THEN 'nt_status_logon_failure' WHEN contains(lower(error), 'permissionerror') THEN 'permissionerror' ELSE error END AS signature FROM results")
+def classify_result(res):
+    return res.select("item_id", "seq", "status", expr.classify_result(F.col("status"), F.col("error")).alias("class"), expr.error_signature(F.col("error")).alias("signature"))
+
+
+@add("ledger", f"SELECT item_id, regexp_extract(item_id, '^(.+)/[^/]*$', 1) AS job_of, {_KEY} AS key, split_part(item_id, '/', 1) AS shard FROM ledger")
+def path_parts(led):
+    i = F.col("item_id")
+    return led.select("item_id", expr.job_of(i).alias("job_of"), expr.item_key(i).alias("key"), expr.shard_of(i).alias("shard"))
+
+
+@add("manifest", "SELECT rel_path, CAST(1 + CAST(concat('0x', substr(sha1(rel_path), 1, 8)) AS BIGINT) % 7 AS INTEGER) AS shard FROM manifest")
+def hash_shard(man):
+    return man.select("rel_path", expr.hash_shard(F.col("rel_path"), 7).alias("shard"))
+
+
+@add("log_lines", "SELECT item_id, line_no, replace(line, 'example', 'exa…REDACTED') AS line FROM log_lines")
+def redact(lines):
+    return lines.select("item_id", "line_no", expr.redact(F.col("line"), ["example", "the"]).alias("line"))
+
+
+@add("manifest", "SELECT rel_path, concat('out/', rel_path, '.npz') AS item_id FROM manifest")
+def render_items(man):
+    return man.select("rel_path", expr.render("out/{stem}.npz", F.col("rel_path")).alias("item_id"))
+
+
+@add("runner_progress", "SELECT runner, ts, done, CASE WHEN l IS NOT NULL THEN greatest((done - p) / CAST(ts - l AS DOUBLE), 0.0) END AS rate FROM (SELECT *, lag(ts) OVER w AS l, lag(done) OVER w AS p FROM runner_progress WINDOW w AS (PARTITION BY runner ORDER BY ts))")
+def rate_series(s):
+    return telemetry.rate_series(s, "done", ["runner"])
+
+
+@add("disk_samples", "SELECT disk, ts, seq, CASE WHEN d > 0 THEN r * 0.000512e0 / d ELSE 0.0 END AS read_mbps, CASE WHEN d > 0 THEN x * 0.000512e0 / d ELSE 0.0 END AS write_mbps, CASE WHEN d > 0 THEN least(i * 0.1e0 / d, 100.0) ELSE 0.0 END AS util_pct FROM (SELECT disk, ts, seq, ts - first(ts) OVER w AS d, read_sectors - first(read_sectors) OVER w AS r, write_sectors - first(write_sectors) OVER w AS x, io_ms - first(io_ms) OVER w AS i FROM disk_samples WINDOW w AS (PARTITION BY disk ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))")
+def rolling_io(s):
+    return telemetry.rolling_io(s)
+
+
+@add("runner_progress", "SELECT runner, ts, 100.0 * CAST(sum(done) OVER (PARTITION BY ts ORDER BY last, runner ROWS UNBOUNDED PRECEDING) AS DOUBLE) / (SELECT sum(m) FROM (SELECT max(done) AS m FROM runner_progress GROUP BY runner)) AS upto_pct FROM runner_progress JOIN (SELECT runner, max(done) AS last FROM runner_progress GROUP BY 1) USING (runner)")
+def contribution_stack(s):
+    return telemetry.contribution_stack(s)
+
+
+@add("results", "SELECT * FROM (SELECT item_id, ts, seq, status, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, seq DESC) AS place FROM results) WHERE place <= 20")
+def item_trace(res):
+    return telemetry.item_trace(res.select("item_id", "ts", "seq", "status"))
+
+
+@add("series", "SELECT key, ts, round(v + CASE WHEN t1 IS NULL THEN 0 ELSE (ts - t0) / CAST(t1 - t0 AS DOUBLE) * (v1 - v) END, 6) AS value FROM (SELECT key, CAST(s + k * 21600 AS BIGINT) AS ts, t0, v, t1, v1 FROM (SELECT key, ts AS t0, value AS v, min(ts) OVER (PARTITION BY key) AS s, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS t1, lead(value) OVER (PARTITION BY key ORDER BY ts) AS v1 FROM series) x, unnest(generate_series(CAST(ceil((t0 - s) / 21600.0) AS BIGINT), CASE WHEN t1 IS NULL THEN CAST(floor((t0 - s) / 21600.0) AS BIGINT) ELSE CAST(ceil((t1 - s) / 21600.0) AS BIGINT) - 1 END)) g(k))")
+def resample_linear(s):
+    return telemetry.resample_linear(s, 21600).withColumn("value", F.round("value", 6))
+
+
+@add("disk_samples", "SELECT disk, min(ts) AS begin_ts, min(CASE WHEN ts - b >= 600 THEN ts END) AS fire_ts, max(ts) AS end_ts, count(*) FILTER (WHERE ts - b >= 600) AS firings FROM (SELECT *, min(ts) OVER (PARTITION BY disk, spell) AS b FROM (SELECT disk, ts, write_sectors % 4 <> 0 AS ok, sum(CASE WHEN write_sectors % 4 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY disk ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM (SELECT disk, ts, max(write_sectors) AS write_sectors FROM disk_samples GROUP BY 1, 2)) WHERE ok) GROUP BY disk, spell HAVING count(*) FILTER (WHERE ts - b >= 600) > 0")
+def sustained(s):
+    return telemetry.sustained(s.groupBy("disk", "ts").agg(F.max("write_sectors").alias("write_sectors")), "disk", F.col("write_sectors") % 4 != 0, 600)
+
+
+@add("progress", "SELECT job, ts, d_failed, d_done FROM (SELECT job, ts, failed - lag(failed) OVER w AS d_failed, done - lag(done) OVER w AS d_done, ts - lag(ts) OVER w AS d_ts FROM progress WINDOW w AS (PARTITION BY job ORDER BY ts)) WHERE d_ts >= 1 AND (d_failed >= 20 OR (d_failed >= 3 AND d_failed >= 0.3 * (d_failed + d_done)))")
+def detect_failure_spike(s):
+    return telemetry.failure_spike(s).select("job", "ts", "d_failed", "d_done")
+
+
+@add("progress", "SELECT job, ts, coalesce(n >= 6 AND pending > 0 AND base > 1e-4 AND late < 0.4 * base, false) AS collapsed FROM (SELECT *, avg(rate) OVER (PARTITION BY job ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS late, avg(rate) OVER (PARTITION BY job ORDER BY ts ROWS BETWEEN 899 PRECEDING AND 3 PRECEDING) AS base FROM (SELECT *, row_number() OVER w AS n, (done - lag(done) OVER w) / CAST(ts - lag(ts) OVER w AS DOUBLE) AS rate FROM progress WINDOW w AS (PARTITION BY job ORDER BY ts)))")
+def detect_collapse(s):
+    return telemetry.collapse(s).select("job", "ts", "collapsed")
+
+
+@add("results", "SELECT runner_id, count(*) AS n, max(ts) - min(ts) AS span_s, CASE WHEN max(ts) > min(ts) THEN count(*) / CAST(max(ts) - min(ts) AS DOUBLE) ELSE 0.0 END AS rate FROM results GROUP BY 1")
+def true_rate(res):
+    return telemetry.true_rate(res, "ts", ["runner_id"])
+
+
+@add("samples", "SELECT disk, min(concurrency) FILTER (WHERE mbps >= 0.9 * peak) AS suggested, arg_max(concurrency, mbps) AS peak_concurrency, round(max(mbps), 6) AS peak FROM (SELECT *, max(mbps) OVER (PARTITION BY disk) AS peak FROM samples) GROUP BY 1")
+def suggest_concurrency(s):
+    return telemetry.suggest_concurrency(s).withColumn("peak", F.round("peak", 6))
+
+
+@add("decisions", f"SELECT host, sum(n) AS decisions, sum(q) AS requested, sum(g) AS granted, arg_max(reason, concat(lpad(CAST(n AS VARCHAR), 9, '0'), reason)) AS main_reason, sum(g) / CAST(sum(q) AS DOUBLE) AS grant_ratio, sum(q) > 0 AND sum(g) / CAST(sum(q) AS DOUBLE) < 0.05 AND sum(n) >= 2 AS starved FROM (SELECT host, reason, count(*) AS n, sum(requested) AS q, sum(granted) AS g FROM decisions WHERE ts > {LEDGER_NOW - WEEKS} AND ts <= {LEDGER_NOW} GROUP BY 1, 2) GROUP BY 1")
+def scheduling_summary(d):
+    return telemetry.scheduling_summary(d, LEDGER_NOW, WEEKS)
+
+
+@add("results", "SELECT runner_id, class, signature, n, n / CAST(sum(n) OVER (PARTITION BY runner_id) AS DOUBLE) AS share FROM (SELECT runner_id, CASE WHEN regexp_matches(lower(error), 'nt_status_logon_failure|permissionerror') THEN 'permanent' ELSE 'transient' END AS class, CASE WHEN contains(lower(error), 'nt_status_logon_failure') THEN 'nt_status_logon_failure' WHEN contains(lower(error), 'permissionerror') THEN 'permissionerror' ELSE error END AS signature, count(*) AS n FROM results WHERE status = 'error' AND error NOT IN ('timeout', 'pool_reset') GROUP BY 1, 2, 3)")
+def failure_breakdown(res):
+    return telemetry.failure_breakdown(res)
+
+
+@add("manifest", "SELECT split_part(rel_path, '/', 1) AS shard, count(*) AS files, sum(size) AS bytes FROM manifest GROUP BY 1")
+def assess_layout(man):
+    return telemetry.assess_layout(man)
+
+
+@add("manifest", "SELECT shards, skew, CASE WHEN skew <= 1.25 THEN 'well-balanced' WHEN skew <= 2 THEN 'slightly-skewed' ELSE 'skewed' END AS verdict FROM (SELECT count(*) AS shards, max(b) / CAST(min(b) AS DOUBLE) AS skew FROM (SELECT sum(size) AS b FROM manifest GROUP BY split_part(rel_path, '/', 1)))")
+def layout_skew(man):
+    return telemetry.layout_skew(telemetry.assess_layout(man))
+
+
+@add("log_lines", "SELECT item_id, line_no, place, bytes FROM (SELECT item_id, line_no, row_number() OVER w AS place, sum(strlen(line) + 1) OVER (PARTITION BY item_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS bytes FROM log_lines WINDOW w AS (PARTITION BY item_id ORDER BY line_no DESC)) WHERE place <= 5 AND bytes <= 600")
+def log_tail(lines):
+    return telemetry.log_tail(lines, 5, 600)
+
+
+@add("manifest", "SELECT rel_path, concat('shard_', lpad(CAST(1 + size % 7 AS VARCHAR), 2, '0'), '/', rel_path) AS target, 'move' AS action FROM manifest")
+def move_plan(man):
+    return telemetry.move_plan(man.withColumn("shard", 1 + F.col("size") % 7))
+
+
+@add("edges node_states", ", c AS (SELECT src AS node FROM edges WHERE CAST(src AS BIGINT) % 97 = 5 UNION SELECT dst FROM c JOIN edges ON node = src) SELECT node, state FROM c JOIN node_states USING (node) WHERE state <> 'clean'")
+def dirty_closure(edges, states):
+    start = edges.where("cast(src as bigint) % 97 = 5").select(F.col("src").alias("node"))
+    return graph.dependency_closure(edges, start).join(states, "node").where("state <> 'clean'").select("node", "state")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
