@@ -81,9 +81,9 @@ def leased_sample(led):
     return ledger.leased_sample(led, 10)
 
 
-@add("ledger", f"SELECT item_id, state, error, {_ACT} AS "at" FROM ledger WHERE state IN ('failed', 'leased') AND regexp_matches(item_id, '7.*npz') AND regexp_matches(error, '(?i)perm|reset') ORDER BY "at" DESC, item_id LIMIT 200")
+@add("ledger", f"SELECT item_id, state, error, {_ACT} AS seen_at FROM ledger WHERE state IN ('failed', 'leased') AND regexp_matches(item_id, '7.*npz') AND regexp_matches(error, '(?i)perm|reset') ORDER BY seen_at DESC, item_id LIMIT 200")
 def search_items(led):
-    return ledger.search_items(led, ("failed", "leased"), None, "7.*npz", "(?i)perm|reset", True, 200).select("item_id", "state", "error", "at")
+    return ledger.search_items(led, ("failed", "leased"), None, "7.*npz", "(?i)perm|reset", True, 200).select("item_id", "state", "error", F.col("at").alias("seen_at"))
 
 
 @add("ledger", f"SELECT item_id, job, lease_deadline FROM ledger WHERE state = 'leased' AND lease_deadline < {LEDGER_NOW - WEEKS}")
