@@ -81,7 +81,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band key, kind, n); a key holds the band's number."""
+    """Rows (band key, kind, n, doc_id); a key holds the band's number."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -93,7 +93,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, i, :] + np.uint64(1))
         key = key << np.uint64(6) | np.arange(parts.shape[2], dtype=np.uint64)
         each = key.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(np.repeat(batch.column(1).to_numpy(), each))], ["band", "kind", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(np.repeat(batch.column(1).to_numpy(), each)), pa.array(np.repeat(batch.column(3).to_numpy(), each))], ["band", "kind", "n", "doc_id"])
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     gives no rows.
 
     Documents with equal sets are one node (a kind). In every bucket of equal band keys, members are first compared with
-    the bucket's first member alone. Where a bucket then still holds several components, the members outside its first
+    the bucket's first member alone, that of the smallest doc_id, as an original comes before its copies. Where a bucket then still holds several components, the members outside its first
     member's component (stragglers) are compared with the bucket's other members, block by block: a straggler goes to
     all blocks of its bucket, any other member to one, so no task holds a whole bucket and no pairs are written out.
     """
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = scratch.save(base.mapInArrow(_sign, "doc_id long, n_shingles long, kind long, sign binary"), "signed")
     full = signed.where("doc_id is not null and kind is not null")
     nodes = scratch.save(full.groupBy("kind").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "nodes")
-    banded = nodes.select("kind", "n", "sign").mapInArrow(_bands, "band long, kind long, n long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("kind", "n"), "kind").alias("rep")).where("size > 1")
+    banded = nodes.select("kind", "n", "sign", "doc_id").mapInArrow(_bands, "band long, kind long, n long, doc_id long")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("kind", "n"), F.struct("doc_id", "kind")).alias("rep")).where("size > 1")
     buckets = scratch.save(banded.join(shared, "band").select("band", "kind", "n", "size", F.col("rep.kind").alias("rep"), F.col("rep.n").alias("rep_n")), "buckets")
 
     star = buckets.where(f"kind <> rep and 100 * least(n, rep_n) >= {PERCENT} * greatest(n, rep_n)").select(F.col("rep").alias("a"), F.col("kind").alias("b")).distinct()
