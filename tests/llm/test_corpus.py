@@ -200,7 +200,7 @@ def test_quality_held_out(spark):
         if i % 5 == 0:
             text = f"{text} {bad[i % 3]} {text[:40]}"
         elif i % 5 == 1:
-            text = "again " * 80
+            text = f"junk{i} " * 80
         rows.append((i, text))
         if i < 400:
             labels.append((i, int(i % 5 > 1), int(i % 5 == 0)))
