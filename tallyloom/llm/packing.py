@@ -16,7 +16,7 @@ from .common import typed
 #: Distinct words whose ids a task keeps; words beyond it are encoded anew in each block of text, with the same ids.
 CACHE = 1_500_000
 #: Bytes of text that are encoded at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _PUNCT = b".,;:!?|%*#&$()\"-"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
