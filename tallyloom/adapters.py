@@ -1,5 +1,5 @@
-"""The driver's tables in the shapes the operators take. Each text is SQL for both engines but for {t:name} (a table) and
-{sec:x} (a timestamp as whole epoch seconds); times are epoch seconds throughout."""
+"""The driver's tables in the shapes the operators take. Each text is SQL for both engines but for {t:name} (a table),
+{sec:x} (a timestamp as whole epoch seconds) and {at:x,i} (an array's element i, from 1); times are epoch seconds throughout."""
 
 from __future__ import annotations
 
@@ -42,6 +42,16 @@ VIEWS = {
     "edges": "SELECT CAST(p_partkey AS STRING) AS src, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS dst FROM {t:part} WHERE p_partkey > 1",
     "node_states": "SELECT CAST(p_partkey AS STRING) AS node, CASE WHEN p_size % 10 = 0 THEN 'dirty' ELSE 'clean' END AS state FROM {t:part}",
     "log_lines": "SELECT conv_id AS item_id, turn AS line_no, text AS line FROM {t:conversations}",
+    "budgets": "SELECT concat('disk', CAST(1 + c_nationkey % 7 AS STRING)) AS disk, count(*) * (1 + c_nationkey % 7) AS budget, c_nationkey % 3 = 0 AS parity_protected FROM {t:customer} GROUP BY c_nationkey % 7, c_nationkey % 3 = 0",
+    "utils": "SELECT concat('disk', CAST(1 + user_id % 7 AS STRING)) AS disk, {sec:ts} AS ts, CAST(max(event_id * 37 % 101) AS DOUBLE) AS util_pct FROM {t:events} GROUP BY 1, 2",
+    "disk_hours": """SELECT {sec:ts} - {sec:ts} % 21600 AS ts, concat('disk', CAST(1 + user_id % 7 AS STRING)) AS disk, CAST(sum(event_id) % 97 AS DOUBLE) AS util_pct,
+ CAST(sum(event_id * 7) % 131 AS DOUBLE) AS mbps, CAST(150 AS DOUBLE) AS ceiling_mbps, CAST(count(*) % 2 AS BIGINT) AS inflight FROM {t:events} GROUP BY 1, 2""",
+    "host_hours": """SELECT {sec:ts} - {sec:ts} % 21600 AS ts, CAST(sum(event_id) % 103 AS DOUBLE) AS cpu_pct, CAST(sum(event_id) % 33 AS DOUBLE) AS mem_used_gb, CAST(32 AS DOUBLE) AS mem_total_gb,
+ CAST(sum(event_id) % 127 AS DOUBLE) AS net_mbps, CAST(125 AS DOUBLE) AS net_cap_mbps, CAST(sum(event_id) % 100 AS DOUBLE) AS gpu_util_pct, CAST(sum(event_id) % 25 AS DOUBLE) AS vram_used_gb,
+ CAST(sum(event_id) % 2 * 24 AS DOUBLE) AS vram_total_gb, CAST(count(*) AS DOUBLE) AS observed, CAST(16 AS DOUBLE) AS expected FROM {t:events} GROUP BY 1""",
+    "clip_frames": """SELECT label AS clip_id, j AS joint, CAST(n - 1 AS DOUBLE) / 30 AS t, a / r AS qw, b / r AS qx, c / r AS qy, d / r AS qz, vec_id % 17 <> 0 AS valid FROM (SELECT *, sqrt(a * a + b * b + c * c + d * d) AS r FROM (
+ SELECT label, vec_id, j, row_number() OVER (PARTITION BY label, j ORDER BY vec_id) AS n, CAST({at:embedding,4 * j + 1} AS DOUBLE) AS a, CAST({at:embedding,4 * j + 2} AS DOUBLE) AS b,
+ CAST({at:embedding,4 * j + 3} AS DOUBLE) AS c, CAST({at:embedding,4 * j + 4} AS DOUBLE) AS d FROM {t:embeddings} JOIN (VALUES (0), (5), (10), (15)) AS k(j) ON true)) WHERE r > 0""",
     "series": "SELECT user_id AS key, {sec:ts} AS ts, avg(value) AS value FROM {t:events} GROUP BY 1, 2",
 }
 
@@ -50,6 +60,7 @@ def text(name: str, spark_dir: str | None) -> str:
     """The view's SQL: for Spark over the files of a folder, or for an engine with the tables as views."""
     sql = re.sub(r"\{t:(\w+)\}", (lambda m: f"parquet.`{spark_dir}/{m[1]}.parquet`") if spark_dir else r"\1", VIEWS[name])
     sql = re.sub(r"\{sec:(\w+)\}", r"unix_seconds(CAST(\1 AS TIMESTAMP))" if spark_dir else r"(epoch_us(\1) // 1000000)", sql)
+    sql = re.sub(r"\{at:(\w+),([^}]+)\}", r"element_at(\1, \2)" if spark_dir else r"\1[\2]", sql)
     return sql.replace("{{", "{").replace("}}", "}")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
 from ..functions import expr
-from ..operators import graph, joins, ledger, telemetry
+from ..operators import detect, graph, joins, ledger, resample, shards, telemetry
+from ..sources import files
+from ..streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -318,6 +320,129 @@ def dirty_closure(edges, states):
     return graph.dependency_closure(edges, start).join(states, "node").where("state <> 'clean'").select("node", "state")
 
 
+@add("ledger budgets", "SELECT disk, inflight, budget, 'warn' AS severity FROM (SELECT disk, count(*) AS inflight FROM ledger WHERE state = 'leased' GROUP BY 1) x JOIN (SELECT disk, sum(budget) AS budget FROM budgets GROUP BY 1) y USING (disk) WHERE budget > 0 AND inflight > floor(budget * 1.2)")
+def detect_thrash(led, budgets):
+    inflight = led.where("state = 'leased'").groupBy("disk").agg(F.count("*").alias("inflight"))
+    return detect.thrash(inflight, budgets.groupBy("disk").agg(F.sum("budget").alias("budget")))
+
+
+@add("utils budgets", "SELECT disk, ts, util_pct, CASE WHEN disk IN (SELECT disk FROM budgets WHERE parity_protected AND budget > 40) THEN 'critical' ELSE 'warn' END AS severity FROM utils WHERE util_pct >= 95")
+def detect_saturation(s, budgets):
+    return detect.saturation(s, budgets.withColumn("parity_protected", F.expr("parity_protected and budget > 40")))
+
+
+@add("ledger budgets", "SELECT disk, parity_protected, budget, inflight, pending, 'info' AS severity FROM budgets JOIN (SELECT disk, count(*) FILTER (WHERE state = 'leased') AS inflight, count(*) FILTER (WHERE state = 'pending') AS pending FROM ledger GROUP BY 1) x USING (disk) WHERE parity_protected AND budget > 0 AND inflight >= budget AND pending > 0")
+def detect_write_pressure(led, budgets):
+    work = led.groupBy("disk").agg(F.count_if(F.col("state") == "leased").alias("inflight"), F.count_if(F.col("state") == "pending").alias("pending"))
+    return detect.write_pressure(budgets.join(work, "disk"))
+
+
+_LOAD = "greatest(mbps / ceiling_mbps, util_pct / 100)"
+_HOT = f"({_LOAD} >= 0.9 OR util_pct >= 95)"
+_BUSY = f"(NOT {_HOT} AND (util_pct >= 50 OR inflight > 0))"
+_VERDICTS = f"""SELECT ts, CASE WHEN vram >= 0.9 THEN 'vram_pressure' WHEN gpu >= 0.95 THEN 'gpu_bound' WHEN mem >= 0.9 THEN 'mem_pressure' WHEN hot IS NOT NULL THEN 'disk_at_ceiling' WHEN busy = 1 AND idle >= 2 THEN 'nas_single_spindle'
+ WHEN net >= 0.9 THEN 'net_bound' WHEN cpu >= 0.9 THEN 'cpu_bound' WHEN expected > 0 AND observed < 0.5 * expected AND most < 0.9 THEN 'latency_bound' ELSE 'healthy' END AS verdict, hot, warm, most FROM (
+ SELECT *, greatest(vram, gpu, mem, net, cpu, least(coalesce(load, 0), 1.0)) AS most FROM (SELECT *, CASE WHEN vram_total_gb > 0 THEN vram_used_gb / vram_total_gb ELSE 0.0e0 END AS vram, CASE WHEN vram_total_gb > 0 THEN least(gpu_util_pct / 100, 1.0e0) ELSE 0.0e0 END AS gpu,
+ mem_used_gb / mem_total_gb AS mem, net_mbps / net_cap_mbps AS net, least(cpu_pct / 100, 1.0e0) AS cpu FROM host_hours LEFT JOIN (SELECT ts, max({_LOAD}) AS load, min(disk) FILTER (WHERE {_HOT}) AS hot, min(disk) FILTER (WHERE {_BUSY}) AS warm,
+ count(*) FILTER (WHERE {_BUSY}) AS busy, count(*) FILTER (WHERE NOT {_HOT} AND inflight = 0 AND util_pct < 20) AS idle FROM disk_hours GROUP BY 1) g USING (ts)))"""
+
+
+def _with_disks(hosts, disks):
+    row = F.struct("disk", "util_pct", "mbps", "ceiling_mbps", "inflight")
+    return hosts.join(disks.groupBy("ts").agg(F.array_sort(F.collect_list(row)).alias("disks")), "ts", "left")  # seven disks
+
+
+@add("host_hours disk_hours", f"SELECT ts, verdict, CASE verdict WHEN 'vram_pressure' THEN 'vram' WHEN 'gpu_bound' THEN 'gpu' WHEN 'mem_pressure' THEN 'mem' WHEN 'disk_at_ceiling' THEN concat('disk:', hot) WHEN 'nas_single_spindle' THEN concat('disk:', warm) WHEN 'net_bound' THEN 'net' WHEN 'cpu_bound' THEN 'cpu' WHEN 'latency_bound' THEN 'latency' ELSE 'none' END AS resource, most AS max_pressure FROM ({_VERDICTS})")
+def bottleneck(hosts, disks):
+    return detect.bottleneck(_with_disks(hosts, disks))
+
+
+@add("host_hours disk_hours", f"SELECT arg_min(verdict, ts) AS verdict, min(ts) AS begin_ts, max(ts) AS end_ts, count(*) AS samples FROM (SELECT ts, verdict, sum(CASE WHEN verdict IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT ts, verdict, lag(verdict) OVER (ORDER BY ts) AS before FROM ({_VERDICTS}))) GROUP BY turn")
+def detect_bottleneck(hosts, disks):
+    return detect.newest_verdicts(detect.bottleneck(_with_disks(hosts, disks)).withColumn("host", F.lit("all")), ["host"]).drop("host")
+
+
+@add("utils", "SELECT gate, min(ts) AS begin_ts, min(CASE WHEN ts - b >= 1800 THEN ts END) AS fire_ts, max(ts) AS end_ts, count(*) FILTER (WHERE ts - b >= 1800) AS firings FROM (SELECT *, min(ts) OVER (PARTITION BY gate, spell) AS b FROM (SELECT gate, ts, u <= 40 AS ok, sum(CASE WHEN u <= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY gate ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM (SELECT concat('gate', CAST(CAST(substr(disk, 5) AS BIGINT) % 3 AS VARCHAR)) AS gate, ts, max(util_pct) AS u FROM utils GROUP BY 1, 2)) WHERE ok) GROUP BY gate, spell HAVING count(*) FILTER (WHERE ts - b >= 1800) > 0")
+def idle_windows(s):
+    gates = s.select("disk").distinct().withColumn("gate", F.concat(F.lit("gate"), (F.substring("disk", 5, 9).cast("long") % 3).cast("string")))
+    return detect.idle_windows(s, gates, 40)
+
+
+_CLASSED = "SELECT runner_id, ts, seq, CASE WHEN status <> 'error' OR lower(trim(error)) IN ('timeout', 'pool_reset') THEN 'ok' WHEN lower(error) LIKE '%nt_status_logon_failure%' OR lower(error) LIKE '%permissionerror%' THEN 'permanent' ELSE 'transient' END AS class, CASE WHEN lower(error) LIKE '%nt_status_logon_failure%' THEN 'nt_status_logon_failure' WHEN lower(error) LIKE '%permissionerror%' THEN 'permissionerror' ELSE error END AS sig, row_number() OVER (PARTITION BY runner_id ORDER BY ts, seq) AS n FROM (SELECT * FROM results WHERE status <> 'ok')"
+
+
+@add("results", f", r AS ({_CLASSED}), w AS (SELECT a.runner_id, a.n, b.sig, count(*) FILTER (WHERE b.class <> 'ok') AS f, count(*) AS c, count(*) FILTER (WHERE b.n > a.n - 3 AND b.class = 'permanent') AS p FROM r a JOIN r b ON a.runner_id = b.runner_id AND b.n BETWEEN a.n - 19 AND a.n GROUP BY 1, 2, 3), g AS (SELECT runner_id, n, max(f) AS top, sum(f) AS failed, sum(c) AS seen, sum(p) AS hard FROM w GROUP BY 1, 2), t AS (SELECT *, CASE WHEN hard = 3 THEN 'permanent_run' WHEN seen >= 5 AND 2 * failed >= seen AND 5 * top >= 4 * failed THEN 'same_failure' END AS reason FROM g) SELECT runner_id, ts, seq, seen, failed, reason FROM t JOIN r USING (runner_id, n) WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY runner_id ORDER BY n) = 1")
+def failure_storms(res):
+    return detect.failure_storms(res.where("status <> 'ok'"))
+
+
+@add("manifest", "SELECT u.\"check\", u.value, coalesce(u.ok, false) AS ok FROM (SELECT [{'check': 'format', 'value': matched / CAST(files AS DOUBLE), 'ok': matched >= 0.9 * files}, {'check': 'coverage', 'value': matched / CAST(files AS DOUBLE), 'ok': matched = files}, {'check': 'distribution', 'value': top, 'ok': disks > 1 AND top <= 0.6}, {'check': 'balance', 'value': skew, 'ok': skew <= 3}] AS l FROM (SELECT sum(n) AS files, sum(n) FILTER (WHERE disk IS NOT NULL) AS matched, count(disk) AS disks, max(b) FILTER (WHERE disk IS NOT NULL) / CAST(sum(b) FILTER (WHERE disk IS NOT NULL) AS DOUBLE) AS top FROM (SELECT CASE WHEN size % 11 <> 0 THEN size % 3 END AS disk, count(*) AS n, sum(size) AS b FROM manifest GROUP BY 1)) x, (SELECT max(b) / CAST(min(b) AS DOUBLE) AS skew FROM (SELECT split_part(rel_path, '/', 1) AS s, sum(size) AS b FROM manifest GROUP BY 1))) , unnest(l) AS t(u)")
+def readiness(man):
+    return detect.readiness(telemetry.assess_layout(man), man.withColumn("disk", F.when(F.col("size") % 11 != 0, F.col("size") % 3)))
+
+
+@add("manifest")
+def shard_plan(man):
+    return shards.shard_plan(man, 7)
+
+
+_ARC = "acos(least(abs(dot), 1.0e0))"
+_MIX = ", ".join(f"wa * q{c} + wb * p{c} AS m{c}" for c in "wxyz")
+_NORM = "sqrt(mw * mw + mx * mx + my * my + mz * mz)"
+
+
+@add("clip_frames", f""", f AS (SELECT *, min(t) OVER p AS t0, max(t) OVER p AS t1, count(*) OVER p AS frames, lead(t) OVER o AS nt, lead(qw) OVER o AS nw, lead(qx) OVER o AS nx, lead(qy) OVER o AS ny, lead(qz) OVER o AS nz, lead(valid) OVER o AS nv
+ FROM clip_frames WINDOW p AS (PARTITION BY clip_id, joint), o AS (PARTITION BY clip_id, joint ORDER BY t)),
+ g AS (SELECT clip_id, joint, fps, k, least(t0 + k / fps, t1) AS ts FROM (SELECT DISTINCT clip_id, joint, t0, t1, fps, unnest(range(CAST(greatest(1, floor((t1 - t0) * fps + 1e-9) + 1) AS BIGINT))) AS k FROM f, (VALUES (8.0e0), (12.0e0)) AS x(fps))),
+ h AS (SELECT g.*, CASE WHEN nt - t > 1e-8 THEN (ts - t) / (nt - t) ELSE 0.0e0 END AS u, qw, qx, qy, qz, coalesce(nw, qw) AS pw, coalesce(nx, qx) AS px, coalesce(ny, qy) AS py, coalesce(nz, qz) AS pz, frames = 1 OR (valid AND coalesce(nv, valid)) AS valid
+ FROM g JOIN f USING (clip_id, joint) WHERE ts >= t AND (nt IS NULL OR ts < nt)), d AS (SELECT *, qw * pw + qx * px + qy * py + qz * pz AS dot FROM h),
+ e AS (SELECT *, CASE WHEN sin({_ARC}) < 1e-6 THEN 1 - u ELSE sin((1 - u) * {_ARC}) / sin({_ARC}) END AS wa, CASE WHEN dot < 0 THEN -1 ELSE 1 END * CASE WHEN sin({_ARC}) < 1e-6 THEN u ELSE sin(u * {_ARC}) / sin({_ARC}) END AS wb FROM d),
+ m AS (SELECT *, {_MIX} FROM e) SELECT clip_id, joint, fps, k, round(ts, 6) AS t, {", ".join(f"round(CASE WHEN mw < 0 THEN -1 ELSE 1 END * m{c} / {_NORM}, 6) + 0.0e0 AS q{c}" for c in "wxyz")}, valid FROM m""")
+def resample_slerp(frames):
+    out = resample.resample_slerp(frames, [8.0, 12.0])
+    return out.select("clip_id", "joint", "fps", "k", F.round("t", 6).alias("t"), *((F.round(c, 6) + 0.0).alias(c) for c in ("qw", "qx", "qy", "qz")), "valid")
+
+
+def _at(df, ts="ts"):
+    return df.withColumn("at", F.timestamp_seconds(ts))
+
+
+@add("results", "SELECT ts - ts % 3600 AS begin_ts, host, count(*) AS n FROM results WHERE status = 'ok' GROUP BY 1, 2")
+def stream_throughput(res):
+    return flows.throughput(_at(res.where("status = 'ok'")), "1 hour", by=["host"])
+
+
+@add("results", "SELECT ts - ts % 1800 - 1800 * k AS begin_ts, host, count(*) AS n FROM results, (VALUES (0), (1)) AS x(k) WHERE status = 'ok' GROUP BY 1, 2")
+def stream_throughput_sliding(res):
+    return flows.throughput(_at(res.where("status = 'ok'")), "1 hour", "30 minutes", ["host"])
+
+
+@add("heartbeats", "SELECT runner_id, min(last_seen) AS begin_ts, max(last_seen) + 7200 AS end_ts, count(*) AS beats FROM (SELECT *, sum(fresh) OVER (PARTITION BY runner_id ORDER BY last_seen, seq ROWS UNBOUNDED PRECEDING) AS spell FROM (SELECT *, CASE WHEN last_seen - lag(last_seen) OVER (PARTITION BY runner_id ORDER BY last_seen, seq) <= 7200 THEN 0 ELSE 1 END AS fresh FROM heartbeats)) GROUP BY runner_id, spell")
+def stream_runner_sessions(beats):
+    return flows.runner_sessions(_at(beats, "last_seen"), "2 hours")
+
+
+@add("runner_progress", f"SELECT *, coalesce(base > 0 AND coalesce(recent, 0) < 0.9 * base, false) AS plateau FROM (SELECT runner, {', '.join(f'(max(done) FILTER (WHERE {c}) - min(done) FILTER (WHERE {c})) / CAST(nullif(max(ts) FILTER (WHERE {c}) - min(ts) FILTER (WHERE {c}), 0) AS DOUBLE) AS {n}' for n, c in (('recent', f'{EVENTS_NOW} - ts <= {5 * DAY}'), ('base', f'{EVENTS_NOW} - ts BETWEEN {10 * DAY} AND {25 * DAY}')))} FROM runner_progress GROUP BY 1)")
+def plateau(s):
+    return telemetry.plateau(s, EVENTS_NOW, "runner", 5 * DAY, 10 * DAY, 25 * DAY, 0.9)
+
+
+@add("ledger budgets", ", r AS (SELECT *, row_number() OVER (PARTITION BY disk ORDER BY created_at, item_id) AS turn FROM ledger WHERE state = 'pending'), s AS (SELECT disk, created_at AS seen, item_id AS seen_id FROM r WHERE turn = 1), c AS (SELECT disk, sum(budget) AS cap FROM budgets GROUP BY 1) SELECT r.item_id, r.disk, turn FROM r JOIN s ON r.disk IS NOT DISTINCT FROM s.disk LEFT JOIN c ON r.disk = c.disk WHERE turn <= 500 AND (r.disk IS NULL OR turn <= coalesce(cap, 0)) ORDER BY turn, r.disk IS NULL, seen, seen_id LIMIT 500")
+def balanced_batch(led, budgets):
+    return joins.balanced_batch(led, budgets.groupBy("disk").agg(F.sum("budget").alias("cap")), 500)
+
+
+@add("manifest", "SELECT shard, CAST(greatest(1, ceil(CAST(weight AS DOUBLE) * 100 / sum(weight) OVER ())) AS BIGINT) AS quota FROM (SELECT split_part(rel_path, '/', 1) AS shard, sum(size) AS weight FROM manifest GROUP BY 1)")
+def proportional_quota(man):
+    return joins.proportional_quota(telemetry.assess_layout(man).withColumnRenamed("bytes", "weight"), 100).select("shard", "quota")
+
+
+@add("ledger jobs", ", l AS (SELECT item_id AS subjob_id, CASE WHEN attempts % 2 = 0 THEN job END AS job, disk, created_at FROM ledger) SELECT coalesce(l.job, regexp_extract(subjob_id, '^(.+)/[^/]*$', 1)) AS job, subjob_id, disk, created_at, label AS job_label FROM l LEFT JOIN jobs j ON coalesce(l.job, regexp_extract(subjob_id, '^(.+)/[^/]*$', 1)) = j.job")
+def normalize_legacy(led, jobs):
+    old = led.select(F.col("item_id").alias("job_id"), F.when(F.col("attempts") % 2 == 0, F.col("job")).alias("grp"), "disk", "created_at")
+    return files.normalize_legacy(old, jobs.select(F.col("job").alias("grp"), "label", F.lit(0).alias("created_at")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the small tables, and the exact small cases of the operators."""
 
+import math
 import os
 
 import duckdb
@@ -7,8 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import expr
-from tallyloom.operators import joins, ledger, telemetry
+from tallyloom.functions import items as mapped
+from tallyloom.operators import detect, joins, ledger, resample, shards, telemetry
 from tallyloom.plans import registry
+from tallyloom.sources import files
+from tallyloom.streaming import flows
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -90,3 +94,76 @@ def test_rules(spark):
     df = spark.createDataFrame([("shard_01/a",), ("shard_09/a",), ("x/y.bin",)], ["p"])
     got = joins.assign_by_rules(df, [("e", ""), ("d1", "shard_01..08"), ("d2", "*.bin")], ["p"])
     assert [r.disk for r in got.collect()] == ["d1", None, "d2"]
+
+
+def test_storm_of_three_logon_failures_and_none_of_mixed_ones(spark):
+    rows = [("a", i, i, "error", "LogonFailure") for i in range(3)]
+    rows += [("b", i, i, "error", f"odd fault {i}") for i in range(12)] + [("b", 12 + i, 12 + i, "ok", None) for i in range(8)] + [("c", i, i, "error", "timeout") for i in range(20)]
+    got = detect.failure_storms(spark.createDataFrame(rows, "runner_id string, ts long, seq long, status string, error string")).collect()
+    assert [(r.runner_id, r.seq, r.reason) for r in got] == [("a", 2, "permanent_run")]
+
+
+def test_shard_plan_is_the_greedy_one_for_the_head_and_even_beyond(spark):
+    few = spark.createDataFrame([("a", 9000), ("b", 1000), ("c", 1000), ("d", 1000)], "rel_path string, size long")
+    assert [r.b for r in shards.shard_plan(few, 2).groupBy("shard").agg(F.sum("size").alias("b")).orderBy("shard").collect()] == [9000, 3000]
+    many = spark.range(20_000).select(F.format_string("f%d", "id").alias("rel_path"), (F.col("id") * 7919 % 1000 + 1).alias("size"))
+    plan = shards.shard_plan(many, 7, head=100)
+    loads = [r.b for r in plan.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert plan.select("rel_path").distinct().count() == plan.count() == 20_000 and len(loads) == 7 and max(loads) - min(loads) <= 2000
+    assert shards.shard_plan(few.limit(0), 3).count() == 0
+
+
+def test_slerp_halfway_and_single_frame(spark):
+    r = 0.5**0.5
+    rows = [("c", 0, 0.0, 1.0, 0.0, 0.0, 0.0, True), ("c", 0, 1.0, r, 0.0, 0.0, r, False), ("s", 0, 3.0, 1.0, 0.0, 0.0, 0.0, False)]
+    got = resample.resample_slerp(spark.createDataFrame(rows, "clip_id string, joint int, t double, qw double, qx double, qy double, qz double, valid boolean"), [2.0]).orderBy("clip_id", "k").collect()
+    assert [(x.clip_id, x.k, x.valid) for x in got] == [("c", 0, False), ("c", 1, False), ("c", 2, False), ("s", 0, True)]
+    assert 2 * math.degrees(math.acos(got[1].qw)) == pytest.approx(45, abs=1e-3) and got[2].qz == pytest.approx(r)
+
+
+def test_items_are_tried_again_unless_the_fault_is_permanent(spark):
+    items = spark.createDataFrame([("a", '{"x": 1}'), ("b", '{"x": 2}'), ("c", '{"x": 3}'), ("d", None), ("e", "{broken")], "subjob_id string, spec string")
+
+    def work(spec):
+        if spec.get("x") == 2:
+            raise PermissionError("access denied")
+        return {"status": "error", "metrics": {"reason": "slow disk"}} if spec.get("x") == 3 else {"metrics": {"x": spec.get("x", 0)}}
+
+    got = {r.subjob_id: r for r in mapped.map_items(items, work, retries=1, backoff=0.0).collect()}
+    assert (got["a"].status, got["a"].metrics, got["a"].attempts) == ("ok", '{"x": 1}', 1)
+    assert (got["b"].status, got["b"].attempts) == ("error", 1) and got["b"].error.startswith("PermissionError")
+    assert (got["c"].error, got["c"].attempts) == ("slow disk", 2) and got["d"].status == got["e"].status == "ok"
+    args = spark.createDataFrame([("k", 2), ("m", 0)], "clip string, n int")
+    fan = mapped.enumerate_items(args, lambda r: [{"subjob_id": f"{r['clip']}{i}", "spec": {"fps": i}} for i in range(r["n"])])
+    assert sorted(r.subjob_id for r in fan.collect()) == ["k0", "k1"]
+
+
+def test_sources_round_trip(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.jsonl").write_text('{"subjob_id": "p", "spec": "{}", "job": "j"}\n\n{"job_id": "q"}\n{"spec": "{\\"z\\": 1}"}\n')
+    items = files.read_work_items(spark, str(src)).orderBy("subjob_id")
+    rows = items.collect()
+    assert len(rows) == 3 and {"p", "q"} < {r.subjob_id for r in rows} and all(r.spec for r in rows)
+    files.write_work_items(items, str(tmp_path / "out"))
+    assert sorted(r.subjob_id for r in files.read_work_items(spark, str(tmp_path / "out")).collect()) == sorted(r.subjob_id for r in rows)
+    (src / "deep").mkdir()
+    (src / "deep" / "b.npz").write_bytes(b"12345")
+    assert [(r.rel_path, r["size"]) for r in files.scan_manifest(spark, str(src), "*.npz").collect()] == [("deep/b.npz", 5)]
+    files.write_sharded(spark.range(10).withColumn("shard", F.col("id") % 3), str(tmp_path / "sharded"), files=2)
+    assert sorted(p.name for p in (tmp_path / "sharded").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
+    assert spark.read.parquet(str(tmp_path / "sharded")).count() == 10
+    hit = spark.sql("SELECT 'h' host, 'mem' rule, 's' signal, 'kill' action, 1.0D threshold, true succeeded, named_struct('pid', 7, 'name', 'w') kill_root, CAST(null AS DOUBLE) ts, 5.0D received_at")
+    assert files.ingest_pressure_events(hit).first()["ts"] == 5.0 and files.ingest_pressure_events(hit).first()["kill_pid"] == 7
+
+
+def test_streams_equal_their_static_twins(spark, tmp_path):
+    src = tmp_path / "events"
+    src.mkdir()
+    (src / "a.json").write_text("".join(f'{{"ts": {t}, "subjob_id": "i{t}", "event": "ok", "host": "h{t % 2}", "runner_id": "r"}}\n' for t in (10, 20, 3000, 3700, 900000)))
+    at = lambda df: df.withColumn("at", F.timestamp_seconds("ts"))
+    static = flows.throughput(at(files.read_event_log(spark, str(src))), "1 hour", by=["host"])
+    stream = flows.throughput(at(files.read_event_log(spark, str(src), streaming=True)), "1 hour", by=["host"])
+    flows.alert_sink(stream, str(tmp_path / "sunk"), str(tmp_path / "mark")).awaitTermination()
+    sunk = [(r.begin_ts, r.host, r.n) for r in spark.read.parquet(str(tmp_path / "sunk")).collect()]
+    assert sorted(sunk) == sorted((r.begin_ts, r.host, r.n) for r in static.collect() if r.begin_ts < 800000) and len(sunk) > 1
