@@ -320,7 +320,7 @@ def dirty_closure(edges, states):
     return graph.dependency_closure(edges, start).join(states, "node").where("state <> 'clean'").select("node", "state")
 
 
-@add("ledger budgets", "SELECT disk, inflight, budget, 'warn' AS severity FROM (SELECT disk, count(*) AS inflight FROM ledger WHERE state = 'leased' GROUP BY 1) x JOIN (SELECT disk, sum(budget) AS budget FROM budgets GROUP BY 1) y USING (disk) WHERE budget > 0 AND inflight > floor(budget * 1.2)")
+@add("ledger budgets", "SELECT disk, inflight, budget, 'warn' AS severity FROM (SELECT disk, count(*) AS inflight FROM ledger WHERE state = 'leased' GROUP BY 1) x JOIN (SELECT disk, CAST(sum(budget) AS BIGINT) AS budget FROM budgets GROUP BY 1) y USING (disk) WHERE budget > 0 AND inflight > floor(budget * 1.2)")
 def detect_thrash(led, budgets):
     inflight = led.where("state = 'leased'").groupBy("disk").agg(F.count("*").alias("inflight"))
     return detect.thrash(inflight, budgets.groupBy("disk").agg(F.sum("budget").alias("budget")))
@@ -371,7 +371,7 @@ def idle_windows(s):
 _CLASSED = "SELECT runner_id, ts, seq, CASE WHEN status <> 'error' OR lower(trim(error)) IN ('timeout', 'pool_reset') THEN 'ok' WHEN lower(error) LIKE '%nt_status_logon_failure%' OR lower(error) LIKE '%permissionerror%' THEN 'permanent' ELSE 'transient' END AS class, CASE WHEN lower(error) LIKE '%nt_status_logon_failure%' THEN 'nt_status_logon_failure' WHEN lower(error) LIKE '%permissionerror%' THEN 'permissionerror' ELSE error END AS sig, row_number() OVER (PARTITION BY runner_id ORDER BY ts, seq) AS n FROM (SELECT * FROM results WHERE status <> 'ok')"
 
 
-@add("results", f", r AS ({_CLASSED}), w AS (SELECT a.runner_id, a.n, b.sig, count(*) FILTER (WHERE b.class <> 'ok') AS f, count(*) AS c, count(*) FILTER (WHERE b.n > a.n - 3 AND b.class = 'permanent') AS p FROM r a JOIN r b ON a.runner_id = b.runner_id AND b.n BETWEEN a.n - 19 AND a.n GROUP BY 1, 2, 3), g AS (SELECT runner_id, n, max(f) AS top, sum(f) AS failed, sum(c) AS seen, sum(p) AS hard FROM w GROUP BY 1, 2), t AS (SELECT *, CASE WHEN hard = 3 THEN 'permanent_run' WHEN seen >= 5 AND 2 * failed >= seen AND 5 * top >= 4 * failed THEN 'same_failure' END AS reason FROM g) SELECT runner_id, ts, seq, seen, failed, reason FROM t JOIN r USING (runner_id, n) WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY runner_id ORDER BY n) = 1")
+@add("results", f", r AS ({_CLASSED}), w AS (SELECT a.runner_id, a.n, b.sig, count(*) FILTER (WHERE b.class <> 'ok') AS f, count(*) AS c, count(*) FILTER (WHERE b.n > a.n - 3 AND b.class = 'permanent') AS p FROM r a JOIN r b ON a.runner_id = b.runner_id AND b.n BETWEEN a.n - 19 AND a.n GROUP BY 1, 2, 3), g AS (SELECT runner_id, n, max(f) AS top, CAST(sum(f) AS BIGINT) AS failed, CAST(sum(c) AS BIGINT) AS seen, sum(p) AS hard FROM w GROUP BY 1, 2), t AS (SELECT *, CASE WHEN hard = 3 THEN 'permanent_run' WHEN seen >= 5 AND 2 * failed >= seen AND 5 * top >= 4 * failed THEN 'same_failure' END AS reason FROM g) SELECT runner_id, ts, seq, seen, failed, reason FROM t JOIN r USING (runner_id, n) WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY runner_id ORDER BY n) = 1")
 def failure_storms(res):
     return detect.failure_storms(res.where("status <> 'ok'"))
 
