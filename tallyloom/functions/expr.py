@@ -67,8 +67,8 @@ def job_health(leased: Column, pending: Column, rate: Column, last_completed: Co
 
 
 def render(template: str, stem: Column) -> Column:
-    """A template with {stem} and {clip} filled in."""
-    return F.replace(F.replace(F.lit(template), F.lit("{stem}"), stem), F.lit("{clip}"), stem)
+    """A template with {stem} filled in, and {clip}, the stem's file."""
+    return F.replace(F.replace(F.lit(template), F.lit("{stem}"), stem), F.lit("{clip}"), F.concat(stem, F.lit(".npz")))
 
 
 def redact(text: Column, secrets: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
 from ..functions import expr
-from ..operators import detect, graph, joins, ledger, resample, shards, telemetry
+from ..operators import detect, folds, graph, joins, ledger, resample, shards, stages, telemetry
 from ..sources import files
 from ..streaming import flows
 
@@ -443,6 +443,47 @@ def normalize_legacy(led, jobs):
     return files.normalize_legacy(old, jobs.select(F.col("job").alias("grp"), "label", F.lit(0).alias("created_at")))
 
 
+_CHAIN = "SELECT {k}, min(struct_pack(ts := ts, seq := seq)) AS x FROM {e} GROUP BY {k} UNION ALL SELECT {k}, min(struct_pack(ts := {e}.ts, seq := {e}.seq)) FROM c JOIN {e} USING ({k}) WHERE {e}.ts >= c.x.ts + 21600 GROUP BY {k}, c.x"
+
+
+@add("results", f", e AS (SELECT * FROM results WHERE status = 'error'), c AS ({_CHAIN.format(k='host', e='e')}) SELECT host, x.ts AS ts, x.seq AS seq FROM c")
+def throttle(res):
+    return folds.throttle(res.where("status = 'error'"), "host", 21600)
+
+
+@add("results")
+def storm_cycles(res):
+    return folds.storm_cycles(res, cooldown_s=DAY // 4, longest_s=4 * DAY)
+
+
+_SPELLS = "SELECT *, min(ts) FILTER (WHERE lit) OVER (PARTITION BY disk, spell) AS b FROM (SELECT disk, ts, util_pct >= 20 AS lit, sum(CASE WHEN util_pct >= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY disk ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM utils)"
+
+
+@add("utils", f""", s AS ({_SPELLS}), f AS (SELECT disk, spell, ts FROM s WHERE lit AND ts - b >= 1800), c AS (SELECT disk, spell, min(ts) AS ts, 'fire' AS event FROM f GROUP BY 1, 2
+ UNION ALL SELECT disk, spell, min(f.ts), 'refire' FROM c JOIN f USING (disk, spell) WHERE f.ts >= c.ts + 7200 GROUP BY disk, spell, c.ts)
+ SELECT disk, ts, event FROM c UNION ALL SELECT s.disk, s.ts, 'resolve' FROM s JOIN (SELECT DISTINCT disk, spell + 1 AS spell FROM f) g USING (disk, spell) WHERE NOT s.lit""")
+def alert_events(s):
+    return folds.alert_events(s.withColumn("on", F.col("util_pct") >= 20), "disk", 1800, 7200)
+
+
+def _done(up: str, down: str) -> str:
+    return f"SELECT DISTINCT {_KEY} AS key FROM ledger WHERE job = 'seg/{up}' AND state = 'done' AND {_KEY} NOT IN (SELECT {_KEY} FROM ledger WHERE job = 'seg/{down}')"
+
+
+@add("ledger manifest", f"""SELECT 'MACHINERY' AS stage, concat('seg/MACHINERY/', key, '.npz') AS item_id, concat('{{"src":"in/', key, '.npz","fps":30}}') AS spec FROM ({_done('BUILDING', 'MACHINERY')})
+ UNION ALL SELECT 'HOUSEHOLD', concat('h-', key), '{{}}' FROM ({_done('FURNITURE', 'HOUSEHOLD')}) WHERE EXISTS (SELECT 1 FROM manifest WHERE rel_path = (SELECT min(rel_path) FROM manifest WHERE rel_path LIKE '%/doc_7.txt'))
+ UNION ALL SELECT 'AUTOMOBILE', NULL, NULL FROM ledger WHERE job = 'seg/BUILDING' AND state = 'done' HAVING count(*) >= 20""")
+def pipeline_tick(led, man):
+    """Files are named by their base names: HOUSEHOLD waits for doc_7.txt, which exists, and FURNITURE for one that does not."""
+    part = lambda name, *rest: stages.Stage(led.where(F.col("job") == f"seg/{name}"), *rest)
+    all_ = {"BUILDING": part("BUILDING"), "MACHINERY": part("MACHINERY", "seg/MACHINERY/{clip}", {"src": "in/{clip}", "fps": 30}), "HOUSEHOLD": part("HOUSEHOLD", "h-{stem}"), "FURNITURE": part("FURNITURE", "f-{stem}"), "AUTOMOBILE": part("AUTOMOBILE")}
+    edges = [
+        stages.Edge("BUILDING", "MACHINERY", "each"), stages.Edge("FURNITURE", "HOUSEHOLD", "each"), stages.Edge("BUILDING", "HOUSEHOLD", "artifact", 0, ("doc_7.txt",)),
+        stages.Edge("BUILDING", "FURNITURE", "each"), stages.Edge("BUILDING", "FURNITURE", "artifact", 0, ("doc_none.txt",)), stages.Edge("BUILDING", "AUTOMOBILE", "quorum", 20), stages.Edge("MACHINERY", "AUTOMOBILE", "all"),
+    ]
+    return stages.pipeline_tick(all_, edges, man.select(F.regexp_extract("rel_path", "([^/]*)$", 1).alias("rel_path")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

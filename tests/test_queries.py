@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import expr
 from tallyloom.functions import items as mapped
-from tallyloom.operators import detect, joins, ledger, resample, shards, telemetry
+from tallyloom.operators import detect, folds, joins, ledger, resample, shards, stages, telemetry
 from tallyloom.plans import registry
 from tallyloom.sources import files
 from tallyloom.streaming import flows
@@ -167,3 +167,57 @@ def test_streams_equal_their_static_twins(spark, tmp_path):
     flows.alert_sink(stream, str(tmp_path / "sunk"), str(tmp_path / "mark")).awaitTermination()
     sunk = [(r.begin_ts, r.host, r.n) for r in spark.read.parquet(str(tmp_path / "sunk")).collect()]
     assert sorted(sunk) == sorted((r.begin_ts, r.host, r.n) for r in static.collect() if r.begin_ts < 800000) and len(sunk) > 1
+
+
+STORM = "runner_id string, ts long, seq long, status string, error string"
+
+
+def test_storm_cycle_opens_probes_and_closes(spark):
+    bad = [("a", t, t, "error", "LogonFailure") for t in (0, 1, 2, 50, 130, 200, 370)] + [("a", 620, 620, "ok", None), ("a", 900, 900, "ok", None), (None, 1, 1, "error", "x"), ("a", None, 5, "error", "x")]
+    got = folds.storm_cycles(spark.createDataFrame(bad, STORM)).orderBy("ts").collect()
+    assert [(r.ts, r.change, r.cooldown_s) for r in got] == [(2, "opened", 120), (130, "reopened", 240), (370, "reopened", 480), (900, "closed", 120)]
+    assert folds.storm_cycles(spark.createDataFrame([], STORM)).count() == 0
+    calm = [("b", i, i, "error", f"odd fault {i}") for i in range(12)] + [("c", i, i, "error", "timeout") for i in range(20)]
+    assert folds.storm_cycles(spark.createDataFrame(calm, STORM)).count() == 0
+    wide = [("d", i, i, "error" if i % 2 else "ok", "slow disk" if i % 2 else None) for i in range(8)]
+    assert [(r.seq, r.error) for r in folds.storm_cycles(spark.createDataFrame(wide, STORM)).collect()] == [(5, "slow disk")]
+
+
+def test_first_storm_agrees_with_the_window_form(spark):
+    res = registry.view(spark, DIR, "results")
+    first = detect.failure_storms(res).select("runner_id", "seq").collect()
+    opened = folds.storm_cycles(res).where("change = 'opened'").groupBy("runner_id").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq")).collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, opened))
+
+
+def test_throttle_counts_and_snoozes(spark):
+    rows = [("a", 0, 1, 1, None), ("a", 100, 2, 2, None), ("a", 300, 3, 1, None), ("a", 400, 4, 2, None), ("a", 700, 5, 3, 800), ("a", 900, 6, 3, 800), ("b", 5, 7, None, None)]
+    df = spark.createDataFrame(rows, "k string, ts long, seq long, n long, z long")
+    assert sorted(r.seq for r in folds.throttle(df, "k", 300, "n", "z").collect()) == [1, 4, 6, 7]
+    # a gap alone: without a count every event is a new one
+    assert sorted(r.seq for r in folds.throttle(df, "k", 300).collect()) == [1, 3, 5, 7]
+
+
+def test_alerts_fire_again_and_resolve_once_as_stream_and_table(spark, tmp_path):
+    src = tmp_path / "s"
+    src.mkdir()
+    (src / "a.json").write_text("".join(f'{{"k": "d", "ts": {t}, "on": {str(on).lower()}}}\n' for t, on in ((0, True), (50, True), (60, False), (70, True), (130, True), (200, True), (430, True), (440, False), (450, False))))
+    want = [(130, "fire"), (430, "refire"), (440, "resolve")]
+    kind = "k string, ts long, on boolean"
+    got = folds.alert_events(spark.read.schema(kind).json(str(src)), "k", 60).orderBy("ts").collect()
+    assert [(r.ts, r.event) for r in got] == want
+    live = folds.alert_events(spark.readStream.schema(kind).json(str(src)), "k", 60)
+    flows.alert_sink(live, str(tmp_path / "sunk"), str(tmp_path / "mark")).awaitTermination()
+    assert sorted((r.ts, r.event) for r in spark.read.parquet(str(tmp_path / "sunk")).collect()) == want
+
+
+def test_pipeline_tick_checks_edges_and_fires_barriers_once(spark):
+    led = spark.createDataFrame([("a/x.npz", "done"), ("a/y.npz", "pending")], "item_id string, state string")
+    files_ = spark.createDataFrame([("made",)], "rel_path string")
+    both = {"a": stages.Stage(led), "b": stages.Stage(led.limit(0), "b/{clip}", {"n": 1}, ("made",)), "c": stages.Stage(led.limit(0))}
+    edge = stages.Edge
+    got = stages.pipeline_tick(both, [edge("a", "b", "each"), edge("a", "b", "each"), edge("a", "c", "quorum", 1), edge("a", "b", "quorum", 1)], files_)
+    assert sorted((r.stage, r.item_id, r.spec) for r in got.collect()) == [("b", "b/x.npz", '{"n":1}'), ("c", None, None)]
+    assert stages.pipeline_tick(both, [edge("a", "c", "quorum", 1)], files_, ["c"]).count() == stages.pipeline_tick(both, [edge("a", "c", "all")], files_).count() == 0
+    with pytest.raises(ValueError):
+        stages.pipeline_tick(both, [edge("a", "b", "quorum")], files_)
