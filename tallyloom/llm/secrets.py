@@ -16,12 +16,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, typed
 
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}")
+# A key: a signed or encrypted web token, or key characters, with long parts joined by dots; = only as padding, so `name=` stays outside.
+_CANDIDATE = re.compile(
+    r"(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){1,3}\.[A-Za-z0-9_-]+|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+    r"|[A-Za-z0-9_+/-]{16,}(?:(?:\.[A-Za-z0-9_-]{6,})?\.[A-Za-z0-9_-]{16,})*)(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+)
+# Formats that issuers give their keys.
+_KNOWN = re.compile(
+    r"(?:A3T[A-Z0-9]|AKIA|ASIA|AGPA|AROA|AIDA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abeprs]-[A-Za-z0-9-]{10,}"
+    r"|[spr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{32,}|AIza[A-Za-z0-9_-]{35}|ya29\.[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}"
+    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){1,3}\.[A-Za-z0-9_-]+"
+)
+_PIECE, _SPELLED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
 _BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z]*$")
 # Names that secrets are given to.
 _NAMES = re.compile(r"(?i)token|secret|passw|api_?key|key|auth|bearer|credential|private")
 _CLASSES = [(re.compile(r"[a-z]"), 0), (re.compile(r"[A-Z]"), 1), (re.compile(r"[0-9]"), 2)]
-FEATURES = ("length", "entropy", "digits", "uppers", "marks", "changes", "hexadecimal", "covered", "named", "assigned", "quoted", "path")
+FEATURES = ("length", "entropy", "digits", "uppers", "marks", "changes", "hexadecimal", "covered", "named", "assigned", "quoted", "path", "pieces", "spelled", "known")
 #: Findings that the forest is trained on, and documents the dictionary is made from, at most; both chosen by a hash.
 SAMPLE, DICTIONARY_DOCS = 20_000, 2_000
 
@@ -63,6 +74,9 @@ def describe(text: str, start: int, end: int, source: str, words: frozenset[str]
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
         float(sum(source.encode()) % 8),
+        len(_PIECE.findall(s)) / n,
+        sum(map(len, _SPELLED.findall(s))) / n,
+        float(_KNOWN.fullmatch(s) is not None),
     )
 
 
@@ -76,7 +90,7 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY_DOCS, least: int = 5, siz
 
 
 def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
-    """(doc_id, row, start, end, fingerprint, features): every run of 16 or more key characters, with a digit or capital inside."""
+    """(doc_id, row, start, end, fingerprint, features): every run of 16 or more key characters, or dotted token, with a digit or capital inside."""
     vocab = docs.sparkSession.sparkContext.broadcast(words)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +110,12 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Labels where none are given: a value assigned to, or quoted after, a secret's name is one; a finding with neither is not; others stay open."""
-    return found.withColumn("label", F.when((F.col("named") > 0) & ((F.col("assigned") > 0) | (F.col("quoted") > 0)), 1.0).when((F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0), 0.0))
+    """Labels where none are given: a key of a known format is a secret, and so is a string that looks random and is assigned
+    to, or quoted after, a secret's name; one without any of these is none if it is made of words or of digits only. All
+    others stay open, above all strings that look random and stand alone."""
+    letters, given = F.col("digits") + F.col("marks") < 1, (F.col("assigned") > 0) | (F.col("quoted") > 0)
+    plain = ~letters | ((F.col("spelled") >= 0.5) & (F.col("pieces") < 0.25)) | (F.col("covered") >= 0.5)
+    return found.withColumn("label", F.when((F.col("known") > 0) | ((F.col("named") > 0) & given & ~plain), 1.0).when((F.col("named") == 0) & ~given & plain, 0.0))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
@@ -117,12 +135,14 @@ def _scored(docs: DataFrame, least: float) -> DataFrame:
         scored = label_findings(found).withColumn("probability", F.coalesce("label", F.lit(0.0)))
     else:
         scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("probability", vector_to_array("probability")[1])
+    scored = scored.withColumn("probability", F.when(F.col("known") > 0, 1.0).otherwise(F.col("probability")))
     return scored.withColumn("is_secret", F.col("probability") >= least)
 
 
 def scan_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per candidate: its span in code points, the forest's probability and whether it counts as a secret.
 
+    A key of a known format is one whatever the forest says; the name in `name=value` is no part of a candidate.
     Null and empty texts have no candidates; a null source is an empty path; a candidate as long as its text is one
     finding; repeated rows give their findings once each; without candidates of both classes the labels decide.
     """

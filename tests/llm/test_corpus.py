@@ -222,6 +222,25 @@ def test_secrets(spark, texts):
     assert secrets.scan_secrets(table(spark, [])).count() == 0
 
 
+def test_secrets_assigned_without_break_and_known_formats(spark):
+    r = random.Random(8)
+    draw = lambda n, of="0123456789abcdef": "".join(r.choice(of) for _ in range(n))
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [draw(40) for _ in range(30)]
+    rows = [(i, (f"set API_KEY={k} now", f"curl http://a.org/x?token={k}&y=1", f"token={k}")[i % 3]) for i, k in enumerate(keys)]
+    bare = ["AKIA" + draw(16, wide[:26]), "ghp_" + draw(36, wide), f"eyJ{draw(20, wide)}.eyJ{draw(30, wide)}.{draw(43, wide)}"]
+    rows += [(100 + i, f"some words {k} and more") for i, k in enumerate(bare)]
+    rows += [(200 + i, f"plain Aword{i}Longer1{i}Compound tail") for i in range(40)]
+    rows += [(300, f"some words {draw(40)} and more")]
+    text = dict(rows)
+    found = secrets.scan_secrets(table(spark, rows)).collect()
+    assert {(x.doc_id, text[x.doc_id][x.start : x.end]) for x in found if x.is_secret and x.doc_id < 300} == {*enumerate(keys), *enumerate(bare, 100)}
+    labels = {x.doc_id: x.label for x in secrets.label_findings(secrets._scored(table(spark, rows), 0.5)).collect()}
+    assert labels[300] is None and labels[0] == labels[1] == labels[100] == 1.0 and labels[200] == 0.0
+    padded = secrets._CANDIDATE.search(f"key={'Ab1' * 8}== end")
+    assert padded[0] == "Ab1" * 8 + "=="
+
+
 def test_section_tokens(spark, texts):
     import public_tokenizers
 
