@@ -33,15 +33,15 @@ _BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z]*$")
 _NAMES = re.compile(r"(?i)token|secret|passw|api_?key|key|auth|bearer|credential|private")
 _CLASSES = [(re.compile(r"[a-z]"), 0), (re.compile(r"[A-Z]"), 1), (re.compile(r"[0-9]"), 2)]
 FEATURES = ("length", "entropy", "digits", "uppers", "marks", "changes", "hexadecimal", "covered", "named", "assigned", "quoted", "path", "pieces", "spelled", "known")
-#: Findings that the forest is trained on, and documents the dictionary is made from, at most; both chosen by a hash.
-SAMPLE, DICTIONARY_DOCS = 20_000, 2_000
+#: Findings that the forest is trained on, at most, chosen by a hash; documents that hold a word of the dictionary, at least, and as a share of all.
+SAMPLE, LEAST_DOCS, LEAST_SHARE = 20_000, 5, 1e-5
 
 
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def coverage(s: str, words: frozenset[str]) -> float:
+def coverage(s: str, words: set[str]) -> float:
     """Share of the string that dictionary words of 3 to 8 letters cover, taken greedily, the longest first."""
     low, i, hit = s.lower(), 0, 0
     while i < len(low):
@@ -55,7 +55,8 @@ def coverage(s: str, words: frozenset[str]) -> float:
     return hit / max(1, len(low))
 
 
-def describe(text: str, start: int, end: int, source: str, words: frozenset[str]) -> tuple[float, ...]:
+def describe(text: str, start: int, end: int, source: str) -> tuple[float, ...]:
+    """The features of a candidate but for `covered`, which needs the dictionary."""
     s, n = text[start:end], end - start
     kinds = [_class(c) for c in s]
     before, after = text[max(0, start - 32) : start], text[end : end + 2]
@@ -69,7 +70,6 @@ def describe(text: str, start: int, end: int, source: str, words: frozenset[str]
         kinds.count(3) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None),
-        coverage(s, words),
         float(bool(name and _NAMES.search(name[1]))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
@@ -80,18 +80,16 @@ def describe(text: str, start: int, end: int, source: str, words: frozenset[str]
     )
 
 
-def dictionary(docs: DataFrame, most: int = DICTIONARY_DOCS, least: int = 5, size: int = 20_000) -> frozenset[str]:
-    """Words of 3 to 8 letters in at least `least` of a bounded sample of documents: the `size` most frequent ones."""
-    chosen = docs.select("row").distinct().orderBy("row").limit(most)  # without texts, and few enough to broadcast
-    sample = docs.join(F.broadcast(chosen), "row", "left_semi")
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\p{L}{3,8}\b"), 0))).alias("w"))
-    top = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(size)
-    return frozenset(r.w for r in top.collect())
+def dictionary(docs: DataFrame, least: int = LEAST_DOCS, share: float = LEAST_SHARE) -> DataFrame:
+    """(w): the words of 3 to 8 letters that at least `least` of the documents hold, and at least this share of all documents."""
+    least = max(least, math.ceil(share * docs.count()))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b\p{L}{3,8}\b"), 0))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("w")
 
 
-def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
-    """(doc_id, row, start, end, fingerprint, features): every run of 16 or more key characters, or dotted token, with a digit or capital inside."""
-    vocab = docs.sparkSession.sparkContext.broadcast(words)
+def candidates(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, start, end, fingerprint, value, features but `covered`): every run of 16 or more key characters, or dotted token, with a digit or capital inside."""
+    names = [f for f in FEATURES if f != "covered"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -101,12 +99,39 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
             for doc, text, source, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for m in _CANDIDATE.finditer(text or ""):
                     if re.search(r"[0-9]|.[A-Z]", m[0]):
-                        out.append((doc, row, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest(), *describe(text, m.start(), m.end(), source or "", vocab.value)))
-            cols = list(zip(*out, strict=True)) or [[]] * (5 + len(FEATURES))
-            kinds = [pa.int64()] * 4 + [pa.string()] + [pa.float64()] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "start", "end", "fingerprint", *FEATURES])
+                        out.append((doc, row, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest(), m[0], *describe(text, m.start(), m.end(), source or "")))
+            cols = list(zip(*out, strict=True)) or [[]] * (6 + len(names))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row", "start", "end", "fingerprint", "value", *names])
 
-    return docs.select("doc_id", "text", "source", "row").mapInArrow(find, "doc_id long, row long, start long, end long, fingerprint string, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.select("doc_id", "text", "source", "row").mapInArrow(find, "doc_id long, row long, start long, end long, fingerprint string, value string, " + ", ".join(f"{f} double" for f in names))
+
+
+def cover(found: DataFrame, words: DataFrame) -> DataFrame:
+    """The candidates with `covered` for their value; each distinct value meets the words among its own pieces only."""
+    values = found.groupBy("fingerprint").agg(F.first("value").alias("value"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, parts = [], []
+            for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = value.lower()
+                mine = {low[i : i + n] for n in range(3, 9) for i in range(len(low) - n + 1) if low[i : i + n].isalpha()}
+                parts.extend(mine)
+                keys.extend([key] * len(mine))
+                if len(parts) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(parts, pa.string())], ["fingerprint", "w"])
+                    keys, parts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(parts, pa.string())], ["fingerprint", "w"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shares = [coverage(value, set(known)) for value, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], ["fingerprint", "covered"])
+
+    known = values.mapInArrow(split, "fingerprint string, w string").join(words, "w").groupBy("fingerprint").agg(F.collect_list("w").alias("known"))
+    some = values.join(known, "fingerprint").select("fingerprint", "value", "known").mapInArrow(measure, "fingerprint string, covered double")
+    return found.drop("value").join(some, "fingerprint", "left").withColumn("covered", F.coalesce("covered", F.lit(0.0)))
 
 
 def label_findings(found: DataFrame) -> DataFrame:
@@ -129,7 +154,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificati
 
 def _scored(docs: DataFrame, least: float) -> DataFrame:
     base = typed(docs, doc_id="long", text="string", source="string").withColumn("row", F.xxhash64("doc_id", "text"))
-    found = Scratch(docs.sparkSession, "secrets").save(candidates(base, dictionary(base)), "found")
+    scratch = Scratch(docs.sparkSession, "secrets")
+    found = scratch.save(cover(scratch.save(candidates(base), "candidates"), scratch.save(dictionary(base), "dictionary")), "found")
+    scratch.drop("candidates", "dictionary")
     model = train(label_findings(found))
     if model is None:
         scored = label_findings(found).withColumn("probability", F.coalesce("label", F.lit(0.0)))

@@ -241,6 +241,16 @@ def test_secrets_assigned_without_break_and_known_formats(spark):
     assert padded[0] == "Ab1" * 8 + "=="
 
 
+def test_secret_dictionary_counts_all_documents(spark):
+    """Words of 6 documents among 4,006 count, too few for any sample of half of them; a word of 4 documents does not."""
+    docs = spark.createDataFrame([(i, "common prose of all" if i < 4_000 else "kivuli nyota" if i < 4_004 else "kivuli") for i in range(4_006)], "doc_id long, text string")
+    assert {r.w for r in secrets.dictionary(docs).collect()} == {"common", "prose", "all", "kivuli"}
+    assert {r.w for r in secrets.dictionary(docs, share=0.5).collect()} == {"common", "prose", "all"}
+    found = secrets.candidates(table(spark, [(1, "see Kivuli1_Kivuli2_9 here"), (2, "see A1b2C3d4E5f6G7h8 here")]))
+    covered = {r.doc_id: r.covered for r in secrets.cover(found, secrets.dictionary(docs)).collect()}
+    assert covered == {1: pytest.approx(12 / 17), 2: 0.0}
+
+
 def test_section_tokens(spark, texts):
     import public_tokenizers
 
