@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import typed
+from .common import Scratch, typed
 
 WINDOW = 10
 #: Bytes of test text that one pass over the documents searches for; a larger benchmark takes more passes.
@@ -193,12 +193,12 @@ def _scan(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[list[int]
         yield flush()
 
 
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The test items in blocks of about BLOCK_BYTES each, dealt by a hash of the text, one of which is sent to the tasks at a time."""
+def blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about BLOCK_BYTES the test items make, dealt by a hash of the text, and the blocks, each fetched when it is asked for."""
     items = typed(benchmark, item_id="long", text="string").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = size // BLOCK_BYTES + 1
-    return [[tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()] for k in range(n)]
+    return n, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()] for k in range(n))
 
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
@@ -210,22 +210,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     Null and empty texts have no words and no hits; items with null id or text, or without words, match nothing; an item
     shorter than the window is one window; repeated rows are judged alike; empty tables give no rows, or no hits.
     """
-    parts = blocks(benchmark)
+    n, parts = blocks(benchmark)
     docs = typed(docs, doc_id="long", text="string")
-    if len(parts) == 1:
-        return docs.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(parts[0]), window), SCHEMA)
-    from .common import Scratch
-
-    scratch, found = Scratch(docs.sparkSession, "decontam"), []
+    if n == 1:
+        return docs.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(next(parts)), window), SCHEMA)
+    scratch = Scratch(docs.sparkSession, "decontam")
     rows = scratch.save(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.join(_over_blocks(rows, parts, window, scratch), "row", "left").select("doc_id", "text", "places", "items").mapInArrow(_merge, SCHEMA)
+
+
+def _over_blocks(rows: DataFrame, parts: Iterator[list[tuple[int, str]]], window: int, scratch: Scratch) -> DataFrame:
+    """(row, places, items) of rows(doc_id, text, row): the words hit and the items, over all blocks."""
+    all_found = None
     for k, part in enumerate(parts):
-        items = docs.sparkSession.sparkContext.broadcast(part)
-        found.append(scratch.save(rows.mapInArrow(_places(items, window), "row long, places array<long>, items array<long>"), f"block{k}"))
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
-    merged = all_found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return rows.join(merged, "row", "left").select("doc_id", "text", "places", "items").mapInArrow(_merge, SCHEMA)
+        items = rows.sparkSession.sparkContext.broadcast(part)
+        found = scratch.save(rows.mapInArrow(_places(items, window), "row long, places array<long>, items array<long>"), f"block{k}")
+        items.unpersist()
+        all_found = found if all_found is None else all_found.unionByName(found)
+    return all_found.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
 
 
 def _row(doc: int | None, text: str | None, size: int, hit: np.ndarray, items: set[int] | list[int]) -> dict:
@@ -275,12 +277,48 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with the spans of decontaminate() cut out of their texts and n_chars set anew; one left without words goes.
 
-    All columns and clean rows stay as they are (null texts too). The benchmark is taken in blocks, one pass each.
+    All columns and clean rows stay as they are (null texts too). The benchmark is searched for in blocks, and every
+    text is cut once, by the places of all blocks.
     """
-    for part in blocks(benchmark):
-        items = docs.sparkSession.sparkContext.broadcast(part)
-        docs = docs.mapInArrow(_cut(items, window, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None), docs.schema)
-    return docs
+    n, parts = blocks(benchmark)
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    if n == 1:
+        return docs.mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(next(parts)), window, at, count), docs.schema)
+    scratch = Scratch(docs.sparkSession, "passages")
+    rows = scratch.save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = _over_blocks(rows.select(F.lit(None).cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"), "row"), parts, window, scratch)
+    return rows.join(found, "row", "left").select("doc.*", "places").mapInArrow(_cut_places(at, count), docs.schema)
+
+
+def _without(text: str, hit: np.ndarray) -> str:
+    left, end = [], 0
+    for span in spans_of(text, hit):
+        left.append(text[end : span["start"]])
+        end = span["end"]
+    return "".join([*left, text[end:]])
+
+
+def _cut_places(at: int, count: int | None):
+    """Cuts the words at `places`, the last column, out of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols, keep = list(batch.columns[:-1]), np.ones(batch.num_rows, bool)
+            texts, sizes = cols[at].to_pylist(), None if count is None else cols[count].to_pylist()
+            for k, places in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if places:
+                    hit = np.zeros(len(words_of(texts[k])), bool)
+                    hit[places] = True
+                    texts[k] = _without(texts[k], hit)
+                    keep[k] = bool(words_of(texts[k]))
+                    if sizes is not None:
+                        sizes[k] = len(texts[k])
+            cols[at] = pa.array(texts, cols[at].type)
+            if sizes is not None:
+                cols[count] = pa.array(sizes, cols[count].type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return run
 
 
 def _cut(block, window: int, at: int, count: int | None):
@@ -291,11 +329,7 @@ def _cut(block, window: int, at: int, count: int | None):
             sizes = None if count is None else batch.column(count).to_pylist()
             for _, first, hits, items in _scan(list(texts), phrases):
                 for k in items:
-                    text, left, end = texts[first + k], [], 0
-                    for span in spans_of(text, hits[k]):
-                        left.append(text[end : span["start"]])
-                        end = span["end"]
-                    text = "".join([*left, text[end:]])
+                    text = _without(texts[first + k], hits[k])
                     texts[first + k], keep[first + k] = text, bool(words_of(text))
                     if sizes is not None:
                         sizes[first + k] = len(text)

@@ -133,6 +133,18 @@ def test_decontamination_brute_force(spark, texts, block, monkeypatch):
         assert decontam.decontaminate(table(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_passages_of_two_blocks_are_cut_once(spark, monkeypatch):
+    """Windows of items in different blocks overlap; what is cut does not depend on the blocks, nor do words that meet at a cut."""
+    w = words(40, 21, 9_000).split()
+    items = [(1, " ".join(w[5:15])), (2, " ".join(w[10:20])), (3, " ".join([*w[0:5], *w[20:25]]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, [(1, " ".join(w)), (2, None), (3, items[0][1]), (4, "clean words")])
+    one = {r.doc_id: r for r in decontam.remove_passages(docs, bench).collect()}
+    assert one[1].text.split() == [*w[:5], *w[20:]] and set(one) == {1, 2, 4}
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
+    assert {r.doc_id: r for r in decontam.remove_passages(docs, bench).collect()} == one
+
+
 def test_personal_data_brute_force(spark, texts):
     more = [*texts, (20, "a@b.com_x@y.zz a@b.c.d@e.f 1.2.3.4.5.6.7.8 256.1.1.1"), (21, "4111 1111 1111 1111 é +44 20 7946 0958 1.2.3.4"), (22, "call 555-123-4567")]
 
