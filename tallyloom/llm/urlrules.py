@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import typed
+from .common import Scratch, typed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,16 +50,46 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float, max_rules: int) -> DataFrame:
-    """Rules `items -> block` of labelled(items, bad): FP-growth, pruned by support, confidence and lift; a rule whose
-    confidence a shorter part of it already reaches is dropped by the later choice of the best rule per url."""
-    baskets = labelled.select(F.array_union("items", F.array(F.when(F.col("bad"), "block").otherwise("allow"))).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
-    return (
-        found.where((F.col("consequent") == F.array(F.lit("block"))) & (F.col("lift") >= lift) & ~F.array_contains("antecedent", "allow"))
-        .orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.sort_array("antecedent").cast("string"))
-        .limit(max_rules)
-    )
+def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float) -> DataFrame | None:
+    """Rules (id, antecedent, rare, confidence) `items -> block` of labelled(items, bad), best first; None if there are none.
+
+    FP-growth, pruned by support, confidence and lift. As no rule's lift can pass 1 / (share of bad pages), a rule also
+    passes if it divides the share of good pages by `lift`. A rule is dropped if a shorter part of it is as confident,
+    which blocks all that it blocks; all others stay. `rare` is the rule's item that the fewest pages have.
+    """
+    scratch = Scratch(labelled.sparkSession, "urlrules")
+    known = scratch.save(labelled, "labelled")
+    base = known.agg(F.avg(F.col("bad").cast("int"))).first()[0]
+    if not base:
+        return None
+    least = max(confidence, min(lift * base, 1 - (1 - base) / lift)) - 1e-12
+    baskets = known.select(F.array_union("items", F.array(F.when(F.col("bad"), "block").otherwise("allow"))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
+    sets = scratch.save(sets.where(~F.array_contains("items", "allow")).withColumn("items", F.sort_array("items")), "sets")
+    all_ = sets.where(~F.array_contains("items", "block")).select(F.col("items").alias("antecedent"), F.col("freq").alias("n"))
+    both = sets.where(F.array_contains("items", "block") & (F.size("items") > 1)).select(F.array_remove("items", "block").alias("antecedent"), "freq")
+    found = scratch.save(both.join(all_, "antecedent").select("antecedent", F.size("antecedent").alias("size"), "freq", (F.col("freq") / F.col("n")).alias("confidence")), "found")
+    longest = found.where(F.col("confidence") >= least).agg(F.max("size")).first()[0]
+    if not longest:
+        return None
+    # `top`: the best confidence of a rule and its parts, level by level, as every part of a frequent set is frequent.
+    top = found.where("size = 1").withColumn("below", F.lit(-1.0))
+    rules = top
+    for size in range(2, longest + 1):
+        level = found.where(F.col("size") == size)
+        parts = level.select("antecedent", F.explode("antecedent").alias("x")).select(F.col("antecedent").alias("whole"), F.array_remove("antecedent", F.col("x")).alias("antecedent"))
+        below = parts.join(top.select("antecedent", F.greatest("confidence", "below").alias("top")), "antecedent").groupBy(F.col("whole").alias("antecedent")).agg(F.max("top").alias("below"))
+        top = scratch.save(level.join(below, "antecedent"), f"level{size}")
+        rules = rules.unionByName(top)
+    rules = rules.where((F.col("confidence") >= least) & (F.col("confidence") > F.col("below")))
+    single = all_.where(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("x"), "n")
+    rare = rules.select("antecedent", F.explode("antecedent").alias("x")).join(single, "x").groupBy("antecedent").agg(F.min_by("x", F.struct("n", "x")).alias("rare"))
+    order = F.desc("confidence"), F.desc("freq"), F.col("size"), F.col("antecedent").cast("string")
+    rules = scratch.save(rules.join(rare, "antecedent").orderBy(*order).select("antecedent", "rare", "confidence", F.monotonically_increasing_id().alias("place")), "rules")
+    # consecutive ids: a place is a partition and a number in it
+    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    starts = rules.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return rules.withColumn("part", part).join(F.broadcast(starts), "part").select((F.col("start") + inside).cast("int").alias("id"), "antecedent", "rare", "confidence")
 
 
 def judge_urls(
@@ -69,31 +100,28 @@ def judge_urls(
     support: float = 0.02,
     confidence: float = 0.6,
     lift: float = 2.0,
-    max_rules: int = 1_000,
 ) -> DataFrame:
     """Judges every url: by the longest fixed rule, else block if a mined rule matches, else allow.
 
     labels(doc_id, toxic) label pages by page_id; rules are mined from at most `sample` labelled pages (the bound of the
-    fit; chosen by a hash of page_id), counted as support and confidence there. Mining keeps at most `max_rules` rules,
-    so the inverted index (item -> rules) is small enough to broadcast. Null or malformed urls have empty host and path
+    fit; chosen by a hash of page_id), counted as support and confidence there. Every rule that no
+    shorter one implies is kept, and indexed by its rarest item only, as a table. Null or malformed urls have empty host and path
     and no items, hence the verdict allow; repeated pages are judged alike; empty labels mine nothing.
     """
-    spark = pages.sparkSession
     base = typed(pages, page_id="long", url="string")
     host, path = host_path(F.col("url"))
     base = base.withColumn("host", host).withColumn("path", path)
     marks = typed(labels, doc_id="long", toxic="int").where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad"))
     known = base.join(marks, base.page_id == marks.doc_id).orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample)
-    mined = mine_rules(known.select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"), "bad"), support, confidence, lift, max_rules).collect()
+    mined = mine_rules(known.select(tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"), "bad"), support, confidence, lift)
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     out = base.withColumn("rule", name).withColumn("fixed", verdict)
-    if not mined:
+    if mined is None:
         return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.lit("allow")).alias("verdict"), F.lit(None).cast("int").alias("mined_rule"))
-    index = spark.createDataFrame([(str(t), i, len(r.antecedent), float(r.confidence)) for i, r in enumerate(mined) for t in r.antecedent], "item string, id int, need int, confidence double")
     hits = (
         base.select("url", "host", "path").where("url is not null").distinct()
-        .select("url", F.explode(tokens(F.col("url"), F.col("host"), F.col("path"))).alias("item"))
-        .join(F.broadcast(index), "item").groupBy("url", "id", "need").agg(F.count("*").alias("n")).where("n = need")
+        .select("url", tokens(F.col("url"), F.col("host"), F.col("path")).alias("items")).select("url", "items", F.explode("items").alias("rare"))
+        .join(mined, "rare").where(F.size(F.array_except("antecedent", "items")) == 0)
         .groupBy(F.col("url").alias("hit_url")).agg(F.min("id").alias("mined_rule"))
     )
     return out.join(hits, out.url == hits.hit_url, "left").select(

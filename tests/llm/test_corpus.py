@@ -205,6 +205,18 @@ def test_url_rules_are_mined(spark):
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i in range(200) if i % 4 == 0}
 
 
+def test_url_rules_of_a_hot_host_leave_others(spark):
+    """A host whose urls share 10 items, with 1,023 rules of equal confidence; another's rules are weaker, and both stay. Most pages are bad."""
+    hot = [(i, "ftp://spam.hot.org/a/b/c/d/e/f/g") for i in range(100)]
+    weak = [(i, f"weak/{'w' if i < 240 else 'good' if i % 12 else 'w'}") for i in range(200, 300)]
+    bad = {i for i, _ in hot} | {i for i in range(200, 240)}
+    labels = spark.createDataFrame([(i, int(i in bad)) for i in [*range(100), *range(200, 300)]], "doc_id long, toxic int")
+    pages = spark.createDataFrame([*hot, *((i, f"http://{u}") for i, u in weak), (400, "http://weak/w"), (401, "http://weak/good"), (402, "ftp://spam.hot.org/a/new")], "page_id long, url string")
+    got = {r.page_id: r for r in urlrules.judge_urls(pages, labels, rules=()).collect()}
+    assert {i for i in (0, 200, 400, 401, 402) if got[i].verdict == "block"} == {0, 200, 400, 402}
+    assert {r.mined_rule for r in got.values() if r.verdict == "block"} <= set(range(11)) | {11}
+
+
 def test_quality_held_out(spark):
     bad, rows, labels = ["vileword", "vilething", "vilest"], [], []
     for i in range(600):
