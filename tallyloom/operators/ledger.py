@@ -172,20 +172,24 @@ def apply_results(ledger: DataFrame, results: DataFrame, max_retries: int = 3) -
     ok and skipped finish it; requeue gives it back without using up an attempt; an error fails it for good if it is the
     second `timeout` in a row or attempts exceed the retries, else gives it back. Results of unknown items are dropped.
     """
-    first = F.struct(F.col("state"), F.col("attempts").cast("int").alias("attempts"), F.col("error"))
-
-    def step(a: Column, r: Column) -> Column:
-        twice = (r["error"] == "timeout") & (F.coalesce(a["error"], F.lit("")) == "timeout")
-        return (
-            F.when(r["status"].isin("ok", "skipped"), F.struct(F.lit("done").alias("state"), a["attempts"].alias("attempts"), F.lit(None).cast("string").alias("error")))
-            .when(r["status"] == "requeue", F.struct(F.lit("pending").alias("state"), F.greatest(a["attempts"] - 1, F.lit(0)).alias("attempts"), F.lit(None).cast("string").alias("error")))
-            .when(twice, F.struct(F.lit("failed").alias("state"), a["attempts"].alias("attempts"), F.lit("quarantined: second timeout").alias("error")))
-            .otherwise(F.struct(F.when(a["attempts"] > max_retries, "failed").otherwise("pending").alias("state"), a["attempts"].alias("attempts"), F.substring(r["error"], 1, 2000).alias("error")))
-        )
-
-    lists = results.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "status", "error"))).alias("all"))
-    folded = ledger.join(lists, "item_id", "left").withColumn("end", F.aggregate(F.coalesce("all", F.expr("cast(array() as array<struct<ts:bigint,seq:bigint,status:string,error:string>>)")), first, step))
-    return folded.select(*(F.col(f"end.{c}").alias(c) if c in ("state", "attempts", "error") else F.col(c) for c in ledger.columns))
+    ends = F.coalesce(F.col("status").isin("ok", "skipped"), F.lit(False))
+    back = F.coalesce(F.col("status") == "requeue", F.lit(False))
+    rows = results.select("item_id", F.struct("ts", "seq", "status", "error").alias("key"), ends.alias("ends"), back.alias("back"), (~ends & ~back & F.col("error").eqNullSafe("timeout")).alias("late"))
+    # Aggregates only, which each task begins by itself, so that no task holds an item's results. What the fold comes to
+    # depends on the last result, how many gave the item back, and the timeouts after the last result that was none.
+    by = rows.groupBy("item_id").agg(
+        F.max("key").alias("last"), F.max_by(F.struct("ends", "back", "late"), "key").alias("kind"), F.count_if("back").alias("returns"), F.max(F.when(~F.col("late"), F.col("key"))).alias("other"))
+    after = rows.where("late").join(by.where("kind.late").select("item_id", "other"), "item_id").where("other is null or key > other").groupBy("item_id").agg(F.count("*").alias("run"))
+    both = ledger.join(by, "item_id", "left").join(after, "item_id", "left")
+    attempts = F.when(F.col("returns") > 0, F.greatest(F.col("attempts").cast("long") - F.col("returns"), F.lit(0))).otherwise(F.col("attempts")).cast("int")
+    before = (F.col("other").isNull() & F.col("error").eqNullSafe("timeout")).cast("int")
+    twice = F.col("kind.late") & ((F.col("run") + before) % 2 == 0)
+    new = {
+        "state": F.when(F.col("last").isNull(), F.col("state")).when(F.col("kind.ends"), "done").when(F.col("kind.back"), "pending").when(twice | (attempts > max_retries), "failed").otherwise("pending"),
+        "attempts": attempts,
+        "error": F.when(F.col("last").isNull(), F.col("error")).when(F.col("kind.ends") | F.col("kind.back"), None).when(twice, "quarantined: second timeout").otherwise(F.substring("last.error", 1, 2000)),
+    }
+    return both.select(*(new[c].alias(c) if c in new else F.col(c) for c in ledger.columns))
 
 
 def requeue(ledger: DataFrame, states: Sequence[str], reset_attempts: bool = False) -> DataFrame:

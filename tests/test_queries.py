@@ -66,6 +66,28 @@ def test_two_timeouts_quarantine(spark):
     assert got == {"a": ("failed", 1), "b": ("pending", 0), "c": ("leased", 1)}
 
 
+def test_apply_results_equals_loop(spark):
+    import random
+
+    r = random.Random(6)
+    led = [(f"i{k}", r.choice(["leased", "pending"]), r.choice([None, 0, 1, 3, 4, 5]), r.choice([None, "timeout", "x"])) for k in range(150)]
+    res = [(f"i{r.randrange(140)}", r.randrange(30), k, r.choice(["error", "error", "error", None, "requeue", "ok", "skipped"]), r.choice(["timeout", "timeout", "timeout", None, "y" * 3000])) for k in range(700)]
+    want = {i: (s, a, e) for i, s, a, e in led}
+    for i, _, _, status, error in sorted(res, key=lambda x: x[1:3]):
+        s, a, e = want[i] if i in want else (None, None, None)
+        if status in ("ok", "skipped"):
+            want[i] = ("done", a, None)
+        elif status == "requeue":
+            want[i] = ("pending", max((a or 0) - 1, 0), None)
+        elif error == e == "timeout":
+            want[i] = ("failed", a, "quarantined: second timeout")
+        else:
+            want[i] = ("failed" if a is not None and a > 3 else "pending", a, error and error[:2000])
+    out = ledger.apply_results(spark.createDataFrame(led, "item_id string, state string, attempts int, error string"), spark.createDataFrame(res, "item_id string, ts long, seq long, status string, error string"))
+    assert {x.item_id: (x.state, x.attempts, x.error) for x in out.collect()} == want
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_barriers(spark):
     done = spark.range(4).select(F.lit("done").alias("state"))
     assert joins.edge_barrier(done, "quorum", 4).first()["open"] and not joins.edge_barrier(done, "quorum", 5).first()["open"]
