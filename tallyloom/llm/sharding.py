@@ -34,14 +34,14 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     @F.pandas_udf("shard int, grown_shard int")
     def place(ids: pd.Series) -> pd.DataFrame:
-        keys = ids.fillna(0).to_numpy(np.int64).view(np.uint64)
+        keys = ids.to_numpy(np.int64).view(np.uint64)
         return pd.DataFrame({"shard": jump_hash(keys, shards), "grown_shard": jump_hash(keys, shards + 1)})
 
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = (
         typed(docs, doc_id="long", text="string")
         .select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-        .withColumn("at", place(F.col("doc_id")))
+        .withColumn("at", place(F.coalesce("doc_id", F.lit(0).cast("long"))))  # a null would turn the batch to doubles
         .select("doc_id", "size", "text_crc32", "at.shard", "at.grown_shard", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     )
     rows = Scratch(docs.sparkSession, "sharding").save(rows, "rows")  # part and row must not change when a task runs again

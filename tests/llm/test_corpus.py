@@ -187,6 +187,14 @@ def test_sharding(spark, texts):
     assert n.min() > 1_050 and n.max() < 1_450
 
 
+def test_shard_of_large_id_beside_a_null(spark):
+    big = [2**53 + 1, 2**60 + 7, 2**62 + 3]
+    docs = table(spark, [(i, "x") for i in [*big, None]]).coalesce(1)
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(docs).collect()}
+    keys = np.array([*big, 0], np.uint64)
+    assert got == dict(zip([*big, None], zip(sharding.jump_hash(keys, 16).tolist(), sharding.jump_hash(keys, 17).tolist(), strict=True), strict=True))
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.COM/en/1?q", "https://www.example.com/en/2#t", "http://x.net/fr/", "http://net/es/a", "http://notnet/es/a", "nothing", None, "http://a.org", "ftp://b.com/x/y"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
