@@ -3,30 +3,51 @@ share a bucket, so that no sequence crosses documents and none is padded."""
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import typed
 
-#: Distinct words whose ids a task keeps; words beyond it are encoded anew in each block of text, with the same ids.
+#: Distinct units whose ids a task keeps; units beyond it are encoded anew in each block of text, with the same ids.
 CACHE = 1_500_000
-#: Bytes of text that are encoded at a time.
-BLOCK = 1 << 20
-_PUNCT = b".,;:!?|%*#&$()\"-"
+#: Bytes of text that are encoded at a time, and bytes of a unit up to which its ids are kept.
+BLOCK, LONGEST = 1 << 20, 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
+# Classes of bytes: small letters, digits, marks that only ever stand in a run of marks, gaps, and all others (0).
+_LETTER, _DIGIT, _MARK, _GAP = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+for _of, _bytes in ((_LETTER, b"abcdefghijklmnopqrstuvwxyz"), (_DIGIT, b"0123456789"), (_MARK, b".,;:!?|%*#&$()\"-"), (_GAP, b" \n")):
+    _CLASS[list(_bytes)] = _of
+#: Does a unit end between two classes? At every gap, around every digit, and between letters and marks.
+_CUT = np.array([(a == _GAP) != (b == _GAP) or 0 < min(a, b) and max(a, b) < _GAP and (a != b or a == _DIGIT) for a in range(5) for b in range(5)])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as one number; data has eight bytes more than places."""
+    return np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+
 
 class WordIds:
-    """Ids of whole texts from the tokenizer, each distinct white-space-separated word being encoded once.
+    """Ids of whole texts from the tokenizer, each distinct unit of text being encoded once.
 
-    This tokenizer drops white space and never joins across it, so the ids of a text are those of its words in a row;
-    a word of letters is also encoded apart from the ASCII marks that follow it. Words are told apart by a 64-bit
-    polynomial hash computed for a whole block of text at once. Texts that may hold a special token are encoded whole.
+    This tokenizer drops white space, never joins across it, and begins anew between ASCII letters, digits and plain
+    marks, so the ids of a text are those of its units in a row. Units of up to 7 bytes are told apart by their bytes
+    and longer ones by a 64-bit hash, and each of these is compared with the kept bytes, so that no hash decides ids.
+    Texts that may hold a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -36,86 +57,120 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        draw = np.random.default_rng(7)
-        self.base = int(draw.integers(1 << 62)) * 2 + 1
-        self.byte = draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.power = self.inverse = np.ones(1, np.uint64)
-        self.known: dict[int, int] = {}
-        self.pool, self.starts, self.counts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = self.words = 0
+        self.keys, self.key_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.rows = {"ids": np.zeros(1 << 16, np.uint32), "bytes": np.zeros(1 << 16, np.uint8), "start": np.zeros(1 << 14, np.int64), "count": np.zeros(1 << 14, np.int64), "spell": np.zeros(1 << 14, np.int64), "size": np.zeros(1 << 14, np.int64)}
+        self.used = dict.fromkeys(self.rows, 0)
 
     def direct(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            n = 1 << n.bit_length()
-            for name, base in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
-                row = np.full(n, base, np.uint64)
-                row[0] = 1
-                setattr(self, name, np.multiply.accumulate(row))
-
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: those of letters (and what is left of them without closing marks) in one call, the others alone."""
-        plain: dict[bytes, np.ndarray | None] = {}
-        for w in words:
-            if (base := w.rstrip(_PUNCT)) and base.decode().isalpha():
-                plain[base] = None
-        if plain:
-            ids = self.direct(" ".join(map(bytes.decode, plain)))
+    def _put(self, name: str, values: np.ndarray) -> int:
+        """Appends to a growing row and says where."""
+        at, row = self.used[name], self.rows[name]
+        if at + len(values) + 8 > len(row):
+            row = self.rows[name] = np.concatenate([row, np.zeros(max(len(values) + 8, len(row) // 2), row.dtype)])
+        row[at : at + len(values)] = values
+        self.used[name] = at + len(values)
+        return at
+
+    def _add(self, units: list[bytes], plain: np.ndarray) -> np.ndarray:
+        """Encodes units and returns their places. plain: whether a unit is all letters, one digit, or all marks."""
+        words = [u.decode() for u in units]
+        for i in np.flatnonzero(~plain).tolist():
+            # letters of any script, if they stay letters in the tokenizer's normal form
+            plain[i] = unicodedata.normalize("NFC", words[i]).lower().isalpha()
+        counts, ids = np.zeros(len(units), np.int64), np.zeros(0, np.uint32)
+        together = np.flatnonzero(plain)
+        if len(together):
+            (one,) = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in together])], add_special_tokens=False)
+            ids = np.asarray(one.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(plain):
-                plain = {w: self.direct(w.decode()) for w in plain}
+            if len(cuts) == len(together):
+                counts[together] = np.diff(cuts, prepend=0)
             else:
-                plain = dict(zip(plain, np.split(ids, cuts[:-1]), strict=True))
-        marks: dict[bytes, np.ndarray] = {b"": np.zeros(0, np.uint32)}
-        out = []
-        for w in words:
-            base = w.rstrip(_PUNCT)
-            if base not in plain:
-                out.append(self.direct(w.decode()))
-                continue
-            if (tail := w[len(base) :]) not in marks:
-                marks[tail] = self.direct(tail.decode())
-            out.append(np.concatenate([plain[base], marks[tail]]) if tail else plain[base])
-        return out
-
-    def _add(self, words: list[np.ndarray]) -> None:
-        for name, need in (("starts", self.words + len(words)), ("counts", self.words + len(words)), ("pool", self.used + sum(map(len, words)))):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need - len(old), len(old) // 2), old.dtype)]))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = self.used + np.cumsum(sizes) - sizes
-        self.starts[self.words : self.words + len(words)], self.counts[self.words : self.words + len(words)] = at, sizes
-        self.pool[self.used : self.used + sizes.sum()] = np.concatenate(words)
-        self.words, self.used = self.words + len(words), self.used + int(sizes.sum())
+                together, ids = together[:0], ids[:0]
+        alone = np.setdiff1d(np.arange(len(units)), together, assume_unique=True)
+        some = [self.direct(words[i]) for i in alone.tolist()]
+        counts[alone] = [len(x) for x in some]
+        order = np.concatenate([together, alone])
+        start = np.empty(len(units), np.int64)
+        start[order] = self._put("ids", np.concatenate([ids, *some])) + np.cumsum(counts[order]) - counts[order]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        spell = self._put("bytes", np.frombuffer(b"".join(units), np.uint8)) + np.cumsum(sizes) - sizes
+        for name, values in (("start", start), ("count", counts), ("spell", spell), ("size", sizes)):
+            at = self._put(name, values)
+        return np.arange(at, at + len(units))
+
+    def _keys(self, eights: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        first = eights[begin] & _MASK[np.minimum(size, 8)]
+        keys = first | (size.astype(np.uint64) << np.uint64(56))
+        live = np.flatnonzero(size > 7)
+        h, k = _mix(first[live] + size[live].astype(np.uint64)), 8
+        while len(live):
+            keys[live] = h | np.uint64(1 << 63)
+            more = size[live] > k
+            live, h = live[more], h[more]
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + (eights[begin[live] + k] & _MASK[np.minimum(size[live] - k, 8)]))
+            k += 8
+        return keys
+
+    def _unlike(self, eights: np.ndarray, begin: np.ndarray, size: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Units longer than 7 bytes whose bytes are not those kept at their place."""
+        kept = _eights(self.rows["bytes"].data)
+        live = np.flatnonzero(size > 7)
+        bad = [live[self.rows["size"][where[live]] != size[live]]]
+        live, k = live[self.rows["size"][where[live]] == size[live]], 0
+        spell = self.rows["spell"]
+        while len(live):
+            same = ((eights[begin[live] + k] ^ kept[spell[where[live]] + k]) & _MASK[np.minimum(size[live] - k, 8)]) == 0
+            bad.append(live[~same])
+            k += 8
+            live = live[same & (size[live] > k)]
+        return np.concatenate(bad)
 
     def block(self, texts: list[str]) -> list[np.ndarray]:
         plain = [b"" if "<|" in t else t.encode() for t in texts]
         data = b"\n".join(plain).lower()
-        buf = np.frombuffer(data, np.uint8)
-        gap = (buf == 32) | (buf == 10)
-        edge = np.flatnonzero(np.diff(np.concatenate([[1], gap.view(np.int8), [1]])))
-        begin, end = edge[::2], edge[1::2]
-        heads = np.concatenate([[0], np.cumsum([len(x) + 1 for x in plain])])
+        heads = np.cumsum([0, *(len(x) + 1 for x in plain)])
+        kind = _CLASS[np.frombuffer(data, np.uint8)]
+        starts = np.concatenate([[0], np.flatnonzero(_CUT[kind[:-1] * 5 + kind[1:]]) + 1]) if data else np.zeros(0, np.int64)
+        ends = np.concatenate([starts[1:], [len(data)]])
+        word = kind[starts] != _GAP
+        begin, size = starts[word], (ends - starts)[word]
         if len(begin):
-            self._powers(len(buf) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[buf] * self.power[: len(buf)], dtype=np.uint64)])
-            keys = (total[end] - total[begin]) * self.inverse[begin]
-            kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
-            places = np.fromiter((self.known.get(k, -1) for k in kinds.tolist()), np.int64, len(kinds))
-            new, words, used = np.flatnonzero(places < 0), self.words, self.used
-            if len(new):
-                places[new] = np.arange(words, words + len(new))
-                self._add(self._encode([data[begin[i] : end[i]] for i in first[new]]))
-            sizes, from_ = self.counts[places][which], self.starts[places][which]
+            kept = dict(self.used)
+            eights = _eights(data + bytes(8))
+            own = size > LONGEST
+            keys = self._keys(eights, begin, np.where(own, 0, size))
+            keys[own] = (np.uint64(1) << np.uint64(62)) + begin[own].astype(np.uint64)  # such a unit stands for itself
+            codes, kinds = pd.factorize(keys)
+            first = np.empty(len(kinds), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            at = np.minimum(np.searchsorted(self.keys, kinds), max(0, len(self.keys) - 1))
+            known = self.keys[at] == kinds if len(self.keys) else np.zeros(len(kinds), bool)
+            places = np.full(len(kinds), -1, np.int64)
+            places[known] = self.key_at[at[known]]
+            new = np.flatnonzero(~known)
+            odd = np.concatenate([[0], np.cumsum(kind == 0)])
+
+            def add(which: np.ndarray) -> np.ndarray:
+                a, z = begin[which], (begin + size)[which]
+                return self._add([data[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)], odd[a] == odd[z])
+
+            places[new] = add(first[new])
+            where = places[codes]
+            bad = self._unlike(eights, begin, np.where(own, 0, size), where)
+            where[bad] = add(bad)
+            sizes, from_ = self.rows["count"][where], self.rows["start"][where]
             until = np.cumsum(sizes)
-            ids = self.pool[np.repeat(from_ - until + sizes, sizes) + np.arange(until[-1])]
-            if words + len(new) <= CACHE:
-                self.known.update(zip(kinds[new].tolist(), range(words, words + len(new)), strict=True))
-            else:
-                self.words, self.used = words, used
+            ids = self.rows["ids"][np.repeat(from_ - until + sizes, sizes) + np.arange(until[-1])]
             cuts = np.concatenate([[0], until])[np.searchsorted(begin, heads)]
+            if kept["start"] + len(new) > CACHE or own.any() or len(bad):
+                self.used = kept
+            else:
+                keys, key_at = np.concatenate([self.keys, kinds[new]]), np.concatenate([self.key_at, places[new]])
+                order = np.argsort(keys, kind="stable")
+                self.keys, self.key_at = keys[order], key_at[order]
         else:
             ids, cuts = np.zeros(0, np.uint32), np.zeros(len(heads), np.int64)
         return [self.direct(t) if "<|" in t else ids[cuts[i] : cuts[i + 1]] for i, t in enumerate(texts)]
