@@ -15,27 +15,40 @@ def typed(df: DataFrame, **kinds: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where none is set, a temporary one if all runs in
+    one process, as in tests; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; drop() deletes one that nothing reads any more."""
+    """Tables written to the shared folder to cut lineage; drop() deletes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}", set()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df once and returns it as read back, so that a lost executor never redoes what made it."""
+        self.names.add(name)
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Writes df as the result and deletes all else."""
+        others = set(self.names)
+        out = self.save(df, "result")
+        self.drop(*others)
+        return out
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)

@@ -1,7 +1,8 @@
 """Near-duplicate documents by min-max hashing, banding, exact checks and connected components.
 
 Each permutation gives two signature values, the minimum and the maximum of the permuted shingle hashes (Ji et al., 2013),
-so 64 permutations give 128 values: 32 bands of 4. A pair at the threshold shares no band with probability 5e-6.
+so 64 permutations give 128 values: 32 bands of 4, each of four different permutations. A pair at the threshold shares
+no band with probability 5e-6.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, typed
 
 WORDS, PERCENT, PERMUTATIONS, ROWS = 5, 75, 64, 4
-#: A pair is only dropped unchecked if fewer than this share of its 128 values agree; at the threshold that is 6.5 standard deviations off.
+#: A pair is only dropped unchecked if fewer than this share of its 128 values agree; at the threshold that is 6.5 standard
+#: deviations off (4.6, or 2 pairs of a million, if the two values of every permutation always went together).
 LEAST_AGREEMENT = 0.5
 _DRAW = np.random.default_rng(11)
 _ODD = _DRAW.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,18 +56,19 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-def kind_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of the whole set: documents with equal sets are of one kind."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def kind_of(shingles: np.ndarray) -> bytes:
+    """A 128-bit name of the whole set: documents with equal sets are of one kind. Two of 1e11 sets share a name with probability 1e-17."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum and maximum under each permutation, cut to 32 bits."""
+    """Minimum and maximum under each permutation, cut to 32 bits; the maxima are turned by 16 places, so that the values
+    j, j + 32, j + 64 and j + 96 of a band j come from four permutations."""
     lo, hi = np.full(PERMUTATIONS, np.iinfo(np.uint64).max), np.zeros(PERMUTATIONS, np.uint64)
     for at in range(0, len(shingles), 2048):
         moved = _ODD[:, None] * shingles[None, at : at + 2048] + _ADD[:, None]
         lo, hi = np.minimum(lo, moved.min(1)), np.maximum(hi, moved.max(1))
-    return (_mix(np.concatenate([lo, hi ^ np.uint64(1)])) >> np.uint64(32)).astype("<u4")
+    return (_mix(np.concatenate([lo, np.roll(hi, PERMUTATIONS // 4) ^ np.uint64(1)])) >> np.uint64(32)).astype("<u4")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,38 +80,49 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             kinds.append(kind_of(s) if len(s) else None)
             sign.append(signature(s).astype("<u2").tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kinds, pa.int64()), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "kind", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kinds, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "kind", "sign"])
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
+
+
+def band_keys(sign: np.ndarray) -> np.ndarray:
+    """The keys of each signature's bands; the last six bits are the band's number."""
+    parts = sign.astype(np.uint64).reshape(len(sign), ROWS, -1)
+    number = np.arange(parts.shape[2], dtype=np.uint64)
+    key = np.broadcast_to(number, (len(sign), parts.shape[2]))
+    for i in range(ROWS):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, i, :] + np.uint64(1))
+    return (key << np.uint64(6) | number).view(np.int64)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band key, kind, n, doc_id); a key holds the band's number."""
+    """Rows (band key, node, doc_id, n)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sign = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(batch.num_rows, -1).astype(np.uint64)
-        # a band takes minimum and maximum values of different permutations
-        parts = sign.reshape(len(sign), ROWS, -1)
-        key = np.broadcast_to(np.arange(parts.shape[2], dtype=np.uint64), (len(sign), parts.shape[2]))
-        for i in range(ROWS):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, i, :] + np.uint64(1))
-        key = key << np.uint64(6) | np.arange(parts.shape[2], dtype=np.uint64)
-        each = key.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), each)), pa.array(np.repeat(batch.column(1).to_numpy(), each)), pa.array(np.repeat(batch.column(3).to_numpy(), each))], ["band", "kind", "n", "doc_id"])
+        if batch.num_rows:
+            keys = band_keys(_signs(batch.column(3)))
+            each = [pa.array(np.repeat(batch.column(i).to_numpy(), keys.shape[1])) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *each], ["band", "node", "doc_id", "n"])
+
+
+_PAIR = ("a", "b", "a_doc", "b_doc")
+_PAIR_SCHEMA = ", ".join(f"{c} long" for c in _PAIR)
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
-            batch = batch.filter(pa.array((a == b).mean(1) >= LEAST_AGREEMENT))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"])
+            batch = batch.filter(pa.array((_signs(batch.column(4)) == _signs(batch.column(5))).mean(1) >= LEAST_AGREEMENT))
+        yield pa.RecordBatch.from_arrays(batch.columns[:4], _PAIR)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingles) of rows (node, kind, text) whose text is of that kind."""
     shingle = Shingler()
     for batch in batches:
-        sets = [s for t in batch.column(0) if len(s := shingle(t.as_py()))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(map(kind_of, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["kind", "shingles"])
+        found = [(node, s.tobytes()) for node, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if len(s := shingle(text)) and kind_of(s) == kind]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"])
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -124,73 +138,64 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets reach the similarity."""
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
-        for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+        for i, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
             keep[i] = _similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64))
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], _PAIR)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Table]]:
-    """From rows sorted by (band, block, away): the home members of each block at once, then its visitors as they come."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        band, block, home = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 5))
-        cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(block) != 0) | (np.diff(home.astype(np.int8)) != 0)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(band)], strict=True):
-            if b > a:
-                key = (band[a], block[a])
-                if held and (key != last or not home[a]):
-                    yield True, pa.Table.from_batches(held)
-                    held = []
-                if home[a]:
-                    held.append(batch.slice(a, b - a))
-                elif key == last:
-                    yield False, pa.Table.from_batches([batch.slice(a, b - a)])
-                last = key if home[a] or key == last else None
-    if held:
-        yield True, pa.Table.from_batches(held)
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a straggler and another member of the block that are of different components.
-
-    A pair is looked at in the first band it shares only. With shingle sets in the rows, pairs are confirmed here, and
-    those that links found here already connect are skipped; without, pairs whose signatures agree enough are returned.
+class _Part:
+    """One part of a bucket: its members' columns."""
+
+    def __init__(self, members: pa.StructArray):
+        self.node, self.doc, self.comp, self.roams = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "doc_id", "comp", "roams"))
+        self.sign = _signs(members.field("sign"))
+        self.sets = [np.frombuffer(x, np.uint64) for x in members.field("shingles").to_pylist() if x is not None]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a straggler of one part of a bucket and a member of another part (or the same) that are of different components.
+
+    Rows are (band, i, j, members of part i, members of part j or null where i = j). A pair is looked at in the first
+    band it shares only, and two stragglers from the side of the lower part only. With shingle sets in the members, pairs
+    are confirmed here, and those that links found here already connect are skipped; without, pairs whose signatures
+    agree enough are returned.
     """
-    kept = comps = signs = shingled = root = None
-
-    def find(c: int) -> int:
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    for first, group in _groups(batches):
-        kind, comp, roams = (group.column(i).to_numpy() for i in (2, 3, 4))
-        at = int(group.column(0)[0].as_py()) & 63
-        sign = np.frombuffer(b"".join(group.column(6).to_pylist()), "<u2").reshape(len(kind), -1)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column(7).to_pylist() if x is not None]
-        if first:
-            kept, comps, signs, shingled, root = kind, comp, sign, sets, {}
-        for c in {*comps.tolist(), *comp.tolist()}:
-            root.setdefault(c, c)
-        found = []
-        for i in np.flatnonzero(roams):
-            other = np.flatnonzero(comps != comp[i])
-            same = signs[other] == sign[i]
-            shared = same.reshape(len(other), ROWS, -1).all(1).argmax(1)
-            for j in other[(shared == at) & (same.mean(1) >= LEAST_AGREEMENT)]:
-                if not sets:
-                    found.append((kind[i], kept[j]))
-                elif (x := find(int(comp[i]))) != (y := find(int(comps[j]))) and _similar(sets[i], shingled[j]):
-                    root[x] = y
-                    found.append((kind[i], kept[j]))
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): alternating large-star and small-star steps (Kiveris et al., 2014)."""
+    for batch in batches:
+        band, i_part, j_part = (batch.column(k).to_numpy() for k in range(3))
+        found: list[tuple[int, int, int, int]] = []
+        for row in range(batch.num_rows):
+            left = _Part(batch.column(3)[row].values)
+            right = _Part(batch.column(4)[row].values) if i_part[row] != j_part[row] else left
+            at, root = int(band[row]) & 63, {c: c for c in {*left.comp.tolist(), *right.comp.tolist()}}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i in np.flatnonzero(left.roams):
+                other = right.comp != left.comp[i]
+                if i_part[row] > j_part[row]:
+                    other &= ~right.roams
+                elif right is left:
+                    other[:i] &= ~right.roams[:i]
+                other = np.flatnonzero(other)
+                same = right.sign[other] == left.sign[i]
+                shared = same.reshape(len(other), ROWS, -1).all(1).argmax(1)
+                for j in other[(shared == at) & (same.mean(1) >= LEAST_AGREEMENT)]:
+                    if not left.sets:
+                        found.append((left.node[i], right.node[j], left.doc[i], right.doc[j]))
+                    elif (x := find(int(left.comp[i]))) != (y := find(int(right.comp[j]))) and _similar(left.sets[i], right.sets[j]):
+                        root[x] = y
+                        found.append((left.node[i], right.node[j], left.doc[i], right.doc[j]))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], _PAIR)
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, root) for every node of the edges (a, b), the root being the smallest node: alternating large-star and
+    small-star steps (Kiveris et al., 2014)."""
     step, last = 0, None
-    edges = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star0")
+    edges = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}0")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -198,37 +203,52 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         step += 1
-        edges = scratch.save(small, f"star{step}")
-        scratch.drop(f"star{step - 1}")
+        edges = scratch.save(small, f"{name}{step}")
+        scratch.drop(f"{name}{step - 1}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = now
 
 
-#: Members of a bucket up to which signatures alone are compared in it; beyond, shingle sets travel too, in blocks of so many members.
-SMALL, BLOCK = 64, 512
+#: Members of a bucket up to which signatures alone are compared in it; beyond, shingle sets travel too, in parts of so many members.
+SMALL, PART = 64, 512
+#: Bytes of shingle sets that a part holds, but for a single longer one.
+PART_BYTES = 4 << 20
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    sign = nodes.select(F.col("kind").alias("b"), F.col("sign").alias("sb"))
-    other = nodes.select(F.col("kind").alias("a"), F.col("sign").alias("sa"))
-    return pairs.join(sign, "b").join(other, "a").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long")
+    sign = nodes.select(F.col("node").alias("b"), F.col("sign").alias("sb"))
+    other = nodes.select(F.col("node").alias("a"), F.col("sign").alias("sa"))
+    return pairs.join(sign, "b").join(other, "a").select(*_PAIR, "sa", "sb").mapInArrow(_agree, _PAIR_SCHEMA)
 
 
-def _sets_of(kinds: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(kind, shingles) of some kinds, from the text of one document of each."""
-    wanted = nodes.join(kinds.distinct(), "kind").select("doc_id").distinct()
-    rows = base.join(wanted, "doc_id").withColumn("h", F.xxhash64("text")).groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    return rows.select("text").mapInArrow(_sets, "kind long, shingles binary")
+def _sets_of(wanted: DataFrame, base: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the text of one document of each."""
+    asked = nodes.select("node", "kind", "doc_id").join(wanted.distinct(), "node")
+    rows = base.join(asked, "doc_id").groupBy("doc_id", "node", F.xxhash64("text").alias("h"), F.crc32(F.encode("text", "UTF-8")).alias("c")).agg(F.first("kind").alias("kind"), F.first("text").alias("text"))
+    return rows.select("node", "kind", "text").mapInArrow(_sets, "node long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, base: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    sets = scratch.save(_sets_of(pairs.select(F.col("a").alias("kind")).union(pairs.select("b")), base, nodes), f"{name}-sets")
-    return scratch.save(
-        pairs.join(sets.select(F.col("kind").alias("b"), F.col("shingles").alias("sb")), "b")
-        .join(sets.select(F.col("kind").alias("a"), F.col("shingles").alias("sa")), "a")
-        .select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"), name)
+    """(a, b), smallest doc_ids, of the pairs whose full sets reach the similarity."""
+    sets = scratch.save(_sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), base, nodes), f"{name}-sets")
+    links = scratch.save(
+        pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+        .select(*_PAIR, "sa", "sb").mapInArrow(_confirm, _PAIR_SCHEMA).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")), name)
+    scratch.drop(f"{name}-sets")
+    return links
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Members (band, blocks, part, node, ...) as rows (band, i, j, members of part i, those of part j): every part of a
+    bucket that holds a straggler meets every part of it, by a join on (band, part); the parts hold bounded numbers."""
+    packed = members.groupBy("band", "part", "blocks").agg(F.collect_list(F.struct("node", "doc_id", "comp", "roams", "sign", "shingles")).alias("members"), F.bool_or("roams").alias("roams"))
+    calls = packed.where("roams").select("band", F.col("part").alias("i"), "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    own = calls.where("i = j").select("band", "i", "j", "members", F.lit(None).cast(packed.schema["members"].dataType).alias("others"))
+    rest = packed.where("blocks > 1").select("band", F.col("part").alias("j"), F.col("members").alias("others"))
+    return own.unionByName(calls.where("i <> j").join(rest, ["band", "j"]).select("band", "i", "j", "members", "others"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,51 +259,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one component; a row with a null doc_id is linked with nothing, has a null component and is kept; an empty table
     gives no rows.
 
-    Documents with equal sets are one node (a kind). In every bucket of equal band keys, members are first compared with
-    the bucket's first member alone, that of the smallest doc_id, as an original comes before its copies. Where a bucket then still holds several components, the members outside its first
-    member's component (stragglers) are compared with the bucket's other members, block by block: a straggler goes to
-    all blocks of its bucket, any other member to one, so no task holds a whole bucket and no pairs are written out.
+    Documents with equal sets are one node, called by its smallest doc_id in the graph of links. In every bucket of equal
+    band keys, members are first compared with the bucket's first member alone, that of the smallest doc_id, as an
+    original comes before its copies. Where a bucket then still holds several components, the members outside its first
+    member's component (stragglers) are compared with the bucket's other members, part by part: members are dealt to
+    parts of bounded size, and a part that holds stragglers meets every other part of its bucket once, so no task holds a
+    whole bucket and no pairs are written out.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     base = typed(docs, doc_id="long", text="string")
-    signed = scratch.save(base.mapInArrow(_sign, "doc_id long, n_shingles long, kind long, sign binary"), "signed")
+    signed = scratch.save(base.mapInArrow(_sign, "doc_id long, n_shingles long, kind binary, sign binary"), "signed")
     full = signed.where("doc_id is not null and kind is not null")
-    nodes = scratch.save(full.groupBy("kind").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "nodes")
-    banded = nodes.select("kind", "n", "sign", "doc_id").mapInArrow(_bands, "band long, kind long, n long, doc_id long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min_by(F.struct("kind", "n"), F.struct("doc_id", "kind")).alias("rep")).where("size > 1")
-    buckets = scratch.save(banded.join(shared, "band").select("band", "kind", "n", "size", F.col("rep.kind").alias("rep"), F.col("rep.n").alias("rep_n")), "buckets")
-
-    star = buckets.where(f"kind <> rep and 100 * least(n, rep_n) >= {PERCENT} * greatest(n, rep_n)").select(F.col("rep").alias("a"), F.col("kind").alias("b")).distinct()
+    kinds = full.groupBy("kind").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    nodes = scratch.save(kinds.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", "doc_id", "n", "sign").mapInArrow(_bands, "band long, node long, doc_id long, n long")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min(F.struct("doc_id", "node", "n")).alias("rep")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / PART), F.ceil(8 * F.col("total") / PART_BYTES)).cast("int")
+    buckets = scratch.save(banded.join(shared, "band").select("band", "node", "doc_id", "n", "size", blocks.alias("blocks"), F.col("rep.node").alias("rep"), F.col("rep.doc_id").alias("rep_doc"), F.col("rep.n").alias("rep_n")), "buckets")
+
+    star = buckets.where(f"node <> rep and 100 * least(n, rep_n) >= {PERCENT} * greatest(n, rep_n)").select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("rep_doc").alias("a_doc"), F.col("doc_id").alias("b_doc")).distinct()
     near = scratch.save(_filtered(star, nodes), "near")
-    comps = components(_confirmed(near, base, nodes, scratch, "links"), scratch)
-
-    tagged = buckets.select("band", "kind", "size", "rep").join(comps.withColumnRenamed("node", "kind"), "kind", "left").withColumn("comp", F.coalesce("root", "kind")).drop("root")
-    firsts = tagged.where("kind = rep").select("band", F.col("comp").alias("first_comp"))
-    mixed = tagged.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band").join(firsts, "band")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mixed = tagged.join(mixed, "band").select("band", "kind", "comp", "size", (F.col("comp") != F.col("first_comp")).alias("roams"), blocks.alias("blocks"), F.pmod(F.xxhash64("kind"), blocks).cast("int").alias("own"))
-    spread = scratch.save(
-        mixed.withColumn("block", F.explode(F.when(F.col("roams"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-        .select("band", "block", "kind", "comp", "roams", (F.col("block") == F.col("own")).alias("home"), "size"), "spread")
-    spread = spread.join(nodes.select("kind", "sign"), "kind")
-    cols = ["band", "block", "kind", "comp", "roams", "home", "sign", "shingles"]
-    small = spread.where(f"size <= {SMALL}").withColumn("shingles", F.lit(None).cast("binary"))
-    maybe = scratch.save(small.select(cols).repartition("band", "block").sortWithinPartitions("band", "block", F.desc("home")).mapInArrow(_cross, "a long, b long").distinct(), "maybe")
-    few = _confirmed(maybe, base, nodes, scratch, "more")
-    large = spread.where(f"size > {SMALL}")
-    sets = scratch.save(_sets_of(large.select("kind"), base, nodes), "large-sets")
-    many = scratch.save(large.join(sets, "kind").select(cols).repartition("band", "block").sortWithinPartitions("band", "block", F.desc("home")).mapInArrow(_cross, "a long, b long").distinct(), "many")
-    repeated = full.groupBy("doc_id").agg(F.min("kind").alias("a"), F.max("kind").alias("z")).where("a <> z").select("doc_id", "a")
-    repeated = full.join(repeated, "doc_id").select("a", F.col("kind").alias("b")).where("a <> b").distinct()
+    comps = components(_confirmed(near, base, nodes, scratch, "links"), scratch, "star")
+    scratch.drop("near", "links")
+
+    tagged = buckets.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("root")
+    mixed = tagged.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", F.when(F.col("node") == F.col("rep"), 0).otherwise(1)).alias("first_comp")).where("lo <> hi").select("band", "first_comp")
+    mixed = tagged.join(mixed, "band").select("band", "node", "doc_id", "comp", "size", (F.col("comp") != F.col("first_comp")).alias("roams"), F.when(F.col("size") <= SMALL, 1).otherwise(F.col("blocks")).alias("blocks"))
+    mixed = scratch.save(mixed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "mixed")
+    signs = nodes.select("node", "sign")
+    small = mixed.where(f"size <= {SMALL}").join(signs, "node").withColumn("shingles", F.lit(None).cast("binary"))
+    maybe = scratch.save(_parts(small).mapInArrow(_meet, _PAIR_SCHEMA).distinct(), "maybe")
+    few = _confirmed(maybe, base, nodes, scratch, "few")
+    large = mixed.where(f"size > {SMALL}")
+    sets = scratch.save(_sets_of(large.select("node"), base, nodes).join(signs, "node"), "large-sets")
+    met = scratch.save(_parts(large.join(sets, "node")), "parts")
+    many = scratch.save(met.repartition("band", "i", "j").mapInArrow(_meet, _PAIR_SCHEMA).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct(), "many")
+    repeated = full.groupBy("doc_id").agg(F.min("kind").alias("k"), F.max("kind").alias("z")).where("k <> z").select("doc_id")
+    repeated = full.join(repeated, "doc_id").select(F.col("doc_id").alias("b"), "kind").join(nodes.select("kind", F.col("doc_id").alias("a")), "kind").select("a", "b")
     edges = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(few).union(many).union(repeated)
-    roots = components(scratch.save(edges, "edges"), scratch)
-
-    known = nodes.select("kind", "doc_id").join(roots.withColumnRenamed("node", "kind"), "kind", "left").withColumn("root", F.coalesce("root", "kind"))
-    ids = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = known.select("kind", "root").join(ids, "root").select("kind", "component_id")
-    out = signed.select("doc_id", "n_shingles", "kind").join(ids, "kind", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    roots = components(edges, scratch, "all")
+
+    named = nodes.select("kind", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("kind", F.coalesce("root", "doc_id").alias("root"))
+    out = signed.select("doc_id", "n_shingles", "kind").join(named, "kind", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return scratch.only(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
