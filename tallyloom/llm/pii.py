@@ -4,6 +4,7 @@ expectation-maximisation estimates and on whose posteriors a span classifier is
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.ml.classification import LogisticRegression
@@ -36,21 +37,77 @@ _AGAINST = r"(?i)\b(version|page|isbn|figure|chapter|line|price|usd|eur|order|ye
 _CONTEXT = 24
 
 
-def matches(text: Column, pattern: str, hint: str | None = None) -> Column:
-    """array<struct<start,end,s>> of the pattern's leftmost non-overlapping matches, in code points, end exclusive."""
-    where = F.contains(text, F.lit(hint)) if hint else text.rlike("[0-9]")
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)").alias("out"))
+#: Elements that one inner fold of a scan walks, at least; more for a longer array, the square root of its length.
+CHUNK = 128
+_SPAN = "struct<start:int,end:int,s:string,before:string>"
+_NO_SPANS = f"cast(array() as array<{_SPAN}>)"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+
+def scan(column: str, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Walks an array in order: step(state, element) gives the next state and what is put out, of SQL type `kind`.
+
+    Folds chunk by chunk, as a fold copies the list it has at every step: n elements cost n times the square root of n,
+    of the cheapest kind of step.
+    """
+    array = F.col(column)
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(array))).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(array) - 1, F.lit(0)), size), lambda c: F.slice(array, c + 1, size))
+
+    def walk(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    def fold(acc: Column, chunk: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+        return F.aggregate(chunk, start, walk, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+
+    whole = F.struct(zero.alias("state"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("outs"))
+    return F.flatten(F.aggregate(chunks, whole, fold, lambda r: r["outs"]))
+
+
+def with_matches(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """rows(text, ...) with a column array<struct<start,end,s,before>> for each pattern: its leftmost non-overlapping
+    matches, in code points, end exclusive, and the text before each. Each step is a projection of its own, as its results
+    are used more than once."""
+    text, kept = F.col("text"), rows.columns
+
+    def only_where(kind: str, found: Column) -> Column:
+        return F.when(F.contains(text, F.lit(_HINTS[kind])) if kind in _HINTS else text.rlike("[0-9]"), found)
+
+    found = {k: F.coalesce(only_where(k, F.regexp_extract_all(text, F.lit(p), 0)), F.expr("cast(array() as array<string>)")).alias(f"found_{k}") for k, p in patterns.items()}
+    between = {k: only_where(k, F.split(text, p, -1)).alias(f"between_{k}") for k, p in patterns.items()}
+    rows = rows.select(*kept, *found.values(), *between.values())
+    pairs = lambda k: F.zip_with(f"found_{k}", F.slice(f"between_{k}", F.lit(1), F.size(f"found_{k}")), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    rows = rows.select(*kept, *(F.when(F.size(f"found_{k}") > 0, pairs(k)).alias(f"pairs_{k}") for k in patterns))
+
+    def span(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s")))).alias("out"))
+        last = lambda *parts: F.right(F.concat(state["tail"], *(F.right(p, F.lit(_CONTEXT)) for p in parts)), F.lit(_CONTEXT))
+        return F.struct(end.alias("at"), last(x["g"], x["m"]).alias("tail")), F.struct(start.alias("start"), end.alias("end"), x["m"].alias("s"), last(x["g"]).alias("before"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    return rows.select(*kept, *(F.coalesce(F.when(F.col(f"pairs_{k}").isNotNull(), scan(f"pairs_{k}", zero, span, _SPAN)), F.expr(_NO_SPANS)).alias(k) for k in patterns))
+
+
+def without_overlap(rows: DataFrame, column: str, base: list[str]) -> DataFrame:
+    """Drops the spans of a column that overlap a span of the base columns: one pass forward over all spans in order of
+    their start keeps the furthest end of base spans so far, one pass backward the nearest start of a base span."""
+    kept = rows.columns
+    tag = lambda i: lambda x, k=None: F.struct(x["start"].alias("start"), x["end"].alias("end"), (F.lit(-1) if k is None else k).alias("i"))
+    merged = F.sort_array(F.concat(*(F.transform(k, lambda x: tag(0)(x)) for k in base), F.transform(column, lambda x, k: tag(0)(x, k))))
+    rows = rows.select(*kept, F.when(F.size(column) > 0, merged).alias("merged"))
+    kind = "struct<start:int,end:int,i:int,clear:boolean>"
+
+    def out(x: Column, clear: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["i"].alias("i"), clear.alias("clear"))
 
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    spans = F.aggregate(F.when(where, pairs).otherwise(F.expr("cast(array() as array<struct<m:string,g:string>>)")), empty, step, lambda acc: acc["out"])
-    return F.coalesce(spans, F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)"))
+    ahead = scan("merged", F.lit(0), lambda reach, x: (F.when(x["i"] < 0, F.greatest(reach, x["end"])).otherwise(reach), out(x, reach <= x["start"])), kind)
+    rows = rows.select(*kept, F.when(F.col("merged").isNotNull(), F.reverse(ahead)).alias("merged"))
+    back = scan("merged", F.lit(2**31 - 1), lambda near, x: (F.when(x["i"] < 0, x["start"]).otherwise(near), out(x, x["clear"] & (near >= x["end"]))), kind)
+    rows = rows.select(*kept, F.when(F.col("merged").isNotNull(), F.sort_array(F.transform(F.filter(back, lambda x: (x["i"] >= 0) & x["clear"]), lambda x: x["i"]))).alias("clear"))
+    left = F.when(F.col("clear").isNotNull(), F.transform("clear", lambda i: F.get(F.col(column), i))).otherwise(F.col(column))
+    return rows.select(*(c for c in kept if c != column), left.alias(column))
 
 
 def _digits(s: Column) -> Column:
@@ -117,7 +174,7 @@ def estimate(counts: list[tuple[tuple[int, ...], float]], rounds: int = 50) -> d
     return post
 
 
-_FEATURES = ("shape", "known", "context", "digits", "handle")
+_FEATURES = ("shape", "known", "context", "digits", "groups", "dash", "dot", "space", "handle")
 
 
 def find_personal(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -125,29 +182,25 @@ def find_personal(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Null text is empty. Base spans always stay; a looser candidate that overlaps none of them is added, as `number` or
     `handle`, if the classifier gives it at least `threshold`. Empty tables and texts without candidates have no added
-    spans; repeated rows are treated alike; very long texts are scanned whole, in linear time. Vote patterns are counted
-    over all documents; what reaches the driver is one row for each combination of votes and size class (under 1,000).
+    spans; repeated rows are treated alike; very long texts are scanned whole, in time that grows with their length and
+    with their matches. Vote patterns are counted over all documents; what reaches the driver is one row for each
+    combination of votes and of the classes of digits, groups and separators (under 25,000).
     """
-    text = F.col("text")
     rows = typed(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
-    for kind, pattern in PATTERNS.items():
-        rows = rows.withColumn(kind, F.filter(matches(text, pattern, _HINTS.get(kind)), partial(_valid, kind)))
-    for kind, pattern in LOOSE.items():
-
-        def open_(k: str, x: Column) -> Column:
-            clear = ~F.exists(F.concat(*PATTERNS), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-            return clear & F.length(_digits(x["s"])).between(7, 20) if k == "number" else clear
-
-        rows = rows.withColumn(f"loose_{kind}", F.filter(matches(text, pattern, _HINTS.get(kind)), partial(open_, kind)))
-
-        def voted(k: str, x: Column) -> Column:
-            from_ = F.greatest(F.lit(0), x["start"] - _CONTEXT)
-            shape, known, context = _votes(k, x, F.substring(text, from_ + 1, x["start"] - from_))
-            return F.struct(
-                F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), shape.alias("shape"), known.alias("known"), context.alias("context"),
-                F.least(F.length(_digits(x["s"])), F.lit(20)).alias("digits"), F.lit(int(k == "handle")).alias("handle"))
-
-        rows = rows.withColumn(f"loose_{kind}", F.transform(f"loose_{kind}", partial(voted, kind)))
+    rows = with_matches(rows, PATTERNS | LOOSE)
+    rows = rows.select("doc_id", *(F.filter(k, partial(_valid, k)).alias(k) for k in PATTERNS), F.filter("number", lambda x: F.length(_digits(x["s"])).between(7, 20)).alias("number"), "handle")
+    for kind in LOOSE:
+        rows = without_overlap(rows, kind, list(PATTERNS))
+
+    def voted(k: str, x: Column) -> Column:
+        shape, known, context = _votes(k, x, x["before"])
+        has = lambda mark: F.contains(x["s"], F.lit(mark)).cast("int")
+        return F.struct(
+            F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), shape.alias("shape"), known.alias("known"), context.alias("context"),
+            F.least(F.length(_digits(x["s"])), F.lit(20)).alias("digits"), F.least(F.size(F.split(x["s"], "[^0-9]+")), F.lit(8)).alias("groups"),
+            has("-").alias("dash"), has(".").alias("dot"), has(" ").alias("space"), F.lit(int(k == "handle")).alias("handle"))
+
+    rows = rows.select("doc_id", *PATTERNS, *(F.transform(k, partial(voted, k)).alias(f"loose_{k}") for k in LOOSE))
     named = lambda k, x: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string"))
     spans = [F.transform(k, partial(named, k)) for k in PATTERNS]
     rows = rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS), F.concat_ws(",", F.concat(*spans)).alias("base"), F.concat("loose_number", "loose_handle").alias("loose"))
@@ -162,7 +215,7 @@ def find_personal(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     if seen:
         marked = [(*(float(r[f]) for f in _FEATURES), label, r.n * (p if label else 1 - p)) for r in seen for p in [post[r.shape, r.known, r.context]] for label in (0.0, 1.0)]
         table = docs.sparkSession.createDataFrame(marked, [*_FEATURES, "label", "weight"])
-        model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(VectorAssembler(inputCols=list(_FEATURES), outputCol="features").transform(table))
+        model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=200, tol=1e-9, standardization=False).fit(VectorAssembler(inputCols=list(_FEATURES), outputCol="features").transform(table))
         score = lambda x: sum((float(c) * x[f] for c, f in zip(model.coefficients, _FEATURES, strict=True)), F.lit(float(model.intercept)))
         chosen = F.filter("loose", lambda x: 1 / (1 + F.exp(-score(x))) >= threshold)
         added = F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
