@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +32,19 @@ _PIECE, _SPELLED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+"), re.compile(r"[A-Z]
 _BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z]*$")
 # Names that secrets are given to.
 _NAMES = re.compile(r"(?i)token|secret|passw|api_?key|key|auth|bearer|credential|private")
-_CLASSES = [(re.compile(r"[a-z]"), 0), (re.compile(r"[A-Z]"), 1), (re.compile(r"[0-9]"), 2)]
-FEATURES = ("length", "entropy", "digits", "uppers", "marks", "changes", "hexadecimal", "covered", "named", "assigned", "quoted", "path", "pieces", "spelled", "known")
+_WORD_AFTER = re.compile(r"^[^A-Za-z]*([A-Za-z_]+)")
+_CLASSES = "lower", "upper", "digit", "mark"
+#: Buckets that the parts of a path, and the neighbouring words of either side, are hashed into.
+PATHS, WORDS = 8, 16
+#: What the forest sees: length, shares of the transitions between classes of characters, dictionary coverage, path, words on both sides.
+FEATURES = (
+    "length", *(f"{a}_{b}" for a in _CLASSES for b in _CLASSES), "covered",
+    *(f"path{i}" for i in range(PATHS)), *(f"before{i}" for i in range(WORDS)), *(f"after{i}" for i in range(WORDS)),
+)
+#: What labels are made from where none are given; the forest doesn't see these.
+EVIDENCE = ("known", "named", "assigned", "quoted", "letters", "pieces", "spelled")
+#: Shortest candidate, in characters.
+LEAST_LENGTH = 16
 #: Findings that the forest is trained on, at most, chosen by a hash; documents that hold a word of the dictionary, at least, and as a share of all.
 SAMPLE, LEAST_DOCS, LEAST_SHARE = 20_000, 5, 1e-5
 
@@ -41,6 +53,10 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def _bucket(word: str, n: int) -> int:
+    return zlib.crc32(word.lower().encode()) % n
+
+
 def coverage(s: str, words: set[str]) -> float:
     """Share of the string that dictionary words of 3 to 8 letters cover, taken greedily, the longest first."""
     low, i, hit = s.lower(), 0, 0
@@ -56,27 +72,30 @@ def coverage(s: str, words: set[str]) -> float:
 
 
 def describe(text: str, start: int, end: int, source: str) -> tuple[float, ...]:
-    """The features of a candidate but for `covered`, which needs the dictionary."""
+    """The features of a candidate but for `covered`, which needs the dictionary, and the evidence for a label."""
     s, n = text[start:end], end - start
     kinds = [_class(c) for c in s]
-    before, after = text[max(0, start - 32) : start], text[end : end + 2]
-    name = _BEFORE.search(before)
-    counts = Counter(s)
+    before, after = text[max(0, start - 32) : start], text[end : end + 32]
+    name, follows = _BEFORE.search(before), _WORD_AFTER.search(after)
+    moves = Counter(zip(kinds, kinds[1:], strict=False))
+    paths, left, right = {_bucket(p, PATHS) for p in re.split(r"[/\\.]+", source) if p}, [0.0] * WORDS, [0.0] * WORDS
+    if name:
+        left[_bucket(name[1], WORDS)] = 1.0
+    if follows:
+        right[_bucket(follows[1], WORDS)] = 1.0
     return (
         float(n),
-        -sum(k / n * math.log2(k / n) for k in counts.values()),
-        kinds.count(2) / n,
-        kinds.count(1) / n,
-        kinds.count(3) / n,
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None),
+        *(moves[a, b] / max(1, n - 1) for a in range(4) for b in range(4)),
+        *(float(i in paths) for i in range(PATHS)),
+        *left,
+        *right,
+        float(_KNOWN.fullmatch(s) is not None),
         float(bool(name and _NAMES.search(name[1]))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
-        float(sum(source.encode()) % 8),
+        1.0 - (kinds.count(2) + kinds.count(3)) / n,
         len(_PIECE.findall(s)) / n,
         sum(map(len, _SPELLED.findall(s))) / n,
-        float(_KNOWN.fullmatch(s) is not None),
     )
 
 
@@ -87,9 +106,10 @@ def dictionary(docs: DataFrame, least: int = LEAST_DOCS, share: float = LEAST_SH
     return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("w")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, start, end, fingerprint, value, features but `covered`): every run of 16 or more key characters, or dotted token, with a digit or capital inside."""
-    names = [f for f in FEATURES if f != "covered"]
+def candidates(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """(doc_id, row, start, end, fingerprint, value, features but `covered`, evidence): every run of key characters, or
+    dotted token, of `least_length` (16 or more) characters with a digit or capital inside; runs of small letters alone are words."""
+    names = [f for f in (*FEATURES, *EVIDENCE) if f != "covered"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -98,7 +118,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             out = []
             for doc, text, source, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for m in _CANDIDATE.finditer(text or ""):
-                    if re.search(r"[0-9]|.[A-Z]", m[0]):
+                    if m.end() - m.start() >= least_length and re.search(r"[0-9]|.[A-Z]", m[0]):
                         out.append((doc, row, m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest(), m[0], *describe(text, m.start(), m.end(), source or "")))
             cols = list(zip(*out, strict=True)) or [[]] * (6 + len(names))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()] * len(names)
@@ -135,59 +155,70 @@ def cover(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Labels where none are given: a key of a known format is a secret, and so is a string that looks random and is assigned
-    to, or quoted after, a secret's name; one without any of these is none if it is made of words or of digits only. All
-    others stay open, above all strings that look random and stand alone."""
-    letters, given = F.col("digits") + F.col("marks") < 1, (F.col("assigned") > 0) | (F.col("quoted") > 0)
-    plain = ~letters | ((F.col("spelled") >= 0.5) & (F.col("pieces") < 0.25)) | (F.col("covered") >= 0.5)
+    """Labels where none are given, from evidence that the forest doesn't see: a key of a known format is a secret, and so
+    is a string that looks random and is assigned to, or quoted after, a secret's name; one without any of these is none
+    if it is made of words or of digits only. All others stay open, above all strings that look random and stand alone."""
+    given = (F.col("assigned") > 0) | (F.col("quoted") > 0)
+    plain = (F.col("letters") <= 0) | ((F.col("spelled") >= 0.5) & (F.col("pieces") < 0.25))
     return found.withColumn("label", F.when((F.col("known") > 0) | ((F.col("named") > 0) & given & ~plain), 1.0).when((F.col("named") == 0) & ~given & plain, 0.0))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest on at most `sample` labelled findings, distinct by fingerprint; None if they are all of one class."""
-    rows = labelled.where("label is not null").dropDuplicates(["fingerprint"]).orderBy(F.xxhash64("fingerprint")).limit(sample)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("label", *FEATURES))
+    """A forest on at most `sample` labelled findings, one for each fingerprint (that of the smallest doc_id and place, a
+    secret before a false alarm); None if they are all of one class."""
+    first = F.min(F.struct(-F.col("label"), "doc_id", "start", *FEATURES)).alias("first")
+    rows = labelled.where("label is not null").groupBy("fingerprint").agg(first, F.max("label").alias("label"))
+    rows = rows.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("label", *(f"first.{f}" for f in FEATURES)))
     if rows.select("label").distinct().count() < 2:
         return None
-    return RandomForestClassifier(numTrees=30, maxDepth=6, seed=5, featureSubsetStrategy="onethird").fit(rows)
+    return RandomForestClassifier(numTrees=40, maxDepth=8, seed=5, featureSubsetStrategy="onethird").fit(rows)
 
 
-def _scored(docs: DataFrame, least: float) -> DataFrame:
+def _scored(docs: DataFrame, least: float, findings: DataFrame | None = None, least_length: int = LEAST_LENGTH) -> DataFrame:
     base = typed(docs, doc_id="long", text="string", source="string").withColumn("row", F.xxhash64("doc_id", "text"))
     scratch = Scratch(docs.sparkSession, "secrets")
-    found = scratch.save(cover(scratch.save(candidates(base), "candidates"), scratch.save(dictionary(base), "dictionary")), "found")
+    found = scratch.save(cover(scratch.save(candidates(base, least_length), "candidates"), scratch.save(dictionary(base), "dictionary")), "found")
     scratch.drop("candidates", "dictionary")
-    model = train(label_findings(found))
+    if findings is None:
+        labelled = label_findings(found)
+    else:
+        given = typed(findings, fingerprint="string", label="double").groupBy("fingerprint").agg(F.max("label").alias("label"))
+        labelled = found.join(given, "fingerprint", "left")
+    model = train(labelled)
     if model is None:
-        scored = label_findings(found).withColumn("probability", F.coalesce("label", F.lit(0.0)))
+        scored = labelled.withColumn("probability", F.coalesce("label", F.lit(0.0)))
     else:
         scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)).withColumn("probability", vector_to_array("probability")[1])
-    scored = scored.withColumn("probability", F.when(F.col("known") > 0, 1.0).otherwise(F.col("probability")))
+    if findings is None:
+        scored = scored.withColumn("probability", F.when(F.col("known") > 0, 1.0).otherwise(F.col("probability")))
     return scored.withColumn("is_secret", F.col("probability") >= least)
 
 
-def scan_secrets(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def scan_secrets(docs: DataFrame, least: float = 0.5, findings: DataFrame | None = None, least_length: int = LEAST_LENGTH) -> DataFrame:
     """One row per candidate: its span in code points, the forest's probability and whether it counts as a secret.
 
-    A key of a known format is one whatever the forest says; the name in `name=value` is no part of a candidate.
-    Null and empty texts have no candidates; a null source is an empty path; a candidate as long as its text is one
-    finding; repeated rows give their findings once each; without candidates of both classes the labels decide.
+    findings(fingerprint, label): labelled findings, 1 for a secret and 0 for a false alarm, by the SHA-256 of the string;
+    of several labels the highest holds. Without them labels come from label_findings(), and a key of a known format is a
+    secret whatever the forest says. The name in `name=value` is no part of a candidate. Null and empty texts have no
+    candidates; a null source is an empty path; a candidate as long as its text is one finding; repeated rows give their
+    findings once each; without candidates of both classes the labels decide; an empty table gives no rows.
     """
-    return _scored(docs, least).select("doc_id", "start", "end", "fingerprint", F.round("probability", 9).alias("probability"), "is_secret")
+    return _scored(docs, least, findings, least_length).select("doc_id", "start", "end", "fingerprint", F.round("probability", 9).alias("probability"), "is_secret")
 
 
-def redact_secrets(docs: DataFrame, least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret replaced by a mark and n_chars set anew; all rows and columns stay."""
-    spans = _scored(docs, least).where("is_secret").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("secret_spans"))
-    key = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    joined = docs.join(spans, key == spans["row"], "left")
-    text = docs["text"]
+def redact_secrets(docs: DataFrame, least: float = 0.5, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
+    """The documents with each secret replaced by a mark and n_chars set anew; all rows and columns stay, whatever their names."""
+    spans = _scored(docs, least, findings).where("is_secret").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    doc, text = F.struct(*(docs[c] for c in docs.columns)), docs["text"].cast("string")
+    rows = docs.select(doc.alias("doc"), docs["doc_id"].cast("long").alias("id"), text.alias("body"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row")), "left")
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
-        "secret_spans", empty,
-        lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"].cast("int") + 1)),
+        "spans", empty,
+        lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr("body", acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")),
+        lambda acc: F.concat(acc["out"], F.substr("body", acc["at"].cast("int") + 1)),
     )
-    new = F.coalesce(cut, text)
-    swap = {"text": new, "n_chars": F.when(F.col("secret_spans").isNull(), docs["n_chars"]).otherwise(F.length(new).cast("long"))} if "n_chars" in docs.columns else {"text": new}
-    return joined.select(*(swap[c].cast(docs.schema[c].dataType).alias(c) if c in swap else docs[c] for c in docs.columns))
+    new = F.coalesce(cut, "body")
+    swap = {"text": new, "n_chars": F.when(F.col("spans").isNull(), F.col("doc")["n_chars"]).otherwise(F.length(new).cast("long")) if "n_chars" in docs.columns else None}
+    return joined.select(*(swap[c].cast(docs.schema[c].dataType).alias(c) if c in swap else F.col("doc")[c].alias(c) for c in docs.columns))
