@@ -50,26 +50,31 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float) -> DataFrame | None:
+def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float, least_pages: int = 20, sigmas: float = 2.5) -> DataFrame | None:
     """Rules (id, antecedent, rare, confidence) `items -> block` of labelled(items, bad), best first; None if there are none.
 
     FP-growth, pruned by support, confidence and lift. As no rule's lift can pass 1 / (share of bad pages), a rule also
-    passes if it divides the share of good pages by `lift`. A rule is dropped if a shorter part of it is as confident,
+    passes if it divides the share of good pages by `lift`. Against chance, a rule also needs `least_pages` bad pages, and
+    the lower bound of its confidence (Wilson's, `sigmas` standard errors wide) above the share of all bad pages. A rule is dropped if a shorter part of it is as confident,
     which blocks all that it blocks; all others stay. `rare` is the rule's item that the fewest pages have.
     """
     scratch = Scratch(labelled.sparkSession, "urlrules")
     known = scratch.save(labelled, "labelled")
-    base = known.agg(F.avg(F.col("bad").cast("int"))).first()[0]
+    base, total = known.agg(F.avg(F.col("bad").cast("int")), F.count("*")).first()
     if not base:
         return None
+    support = min(1.0, max(support, least_pages / total))
     least = max(confidence, min(lift * base, 1 - (1 - base) / lift)) - 1e-12
     baskets = known.select(F.array_union("items", F.array(F.when(F.col("bad"), "block").otherwise("allow"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets
     sets = scratch.save(sets.where(~F.array_contains("items", "allow")).withColumn("items", F.sort_array("items")), "sets")
     all_ = sets.where(~F.array_contains("items", "block")).select(F.col("items").alias("antecedent"), F.col("freq").alias("n"))
     both = sets.where(F.array_contains("items", "block") & (F.size("items") > 1)).select(F.array_remove("items", "block").alias("antecedent"), "freq")
-    found = scratch.save(both.join(all_, "antecedent").select("antecedent", F.size("antecedent").alias("size"), "freq", (F.col("freq") / F.col("n")).alias("confidence")), "found")
-    longest = found.where(F.col("confidence") >= least).agg(F.max("size")).first()[0]
+    found = scratch.save(both.join(all_, "antecedent").select("antecedent", F.size("antecedent").alias("size"), "freq", "n", (F.col("freq") / F.col("n")).alias("confidence")), "found")
+    share, spread = F.col("confidence"), sigmas * sigmas / F.col("n")
+    bound = (share + spread / 2 - F.sqrt(spread * share * (1 - share) + spread * spread / 4)) / (1 + spread)
+    sure = (share >= least) & (bound > base)
+    longest = found.where(sure).agg(F.max("size")).first()[0]
     if not longest:
         return None
     # `top`: the best confidence of a rule and its parts, level by level, as every part of a frequent set is frequent.
@@ -81,7 +86,7 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: flo
         below = parts.join(top.select("antecedent", F.greatest("confidence", "below").alias("top")), "antecedent").groupBy(F.col("whole").alias("antecedent")).agg(F.max("top").alias("below"))
         top = scratch.save(level.join(below, "antecedent"), f"level{size}")
         rules = rules.unionByName(top)
-    rules = rules.where((F.col("confidence") >= least) & (F.col("confidence") > F.col("below")))
+    rules = rules.where(sure & (F.col("confidence") > F.col("below"))).drop("n")
     single = all_.where(F.size("antecedent") == 1).select(F.col("antecedent")[0].alias("x"), "n")
     rare = rules.select("antecedent", F.explode("antecedent").alias("x")).join(single, "x").groupBy("antecedent").agg(F.min_by("x", F.struct("n", "x")).alias("rare"))
     order = F.desc("confidence"), F.desc("freq"), F.col("size"), F.col("antecedent").cast("string")
