@@ -36,7 +36,26 @@ VIEWS = {
     "decisions": """SELECT concat('host', CAST(l_suppkey % 5 AS STRING)) AS host, {sec:l_shipdate} AS ts, CAST(l_quantity AS BIGINT) AS requested, CAST(floor(l_quantity * l_discount) AS BIGINT) AS granted,
  CASE l_returnflag WHEN 'A' THEN 'GRANTED_FULL' WHEN 'N' THEN 'FAIR_SHARE_CAP' ELSE 'NO_PENDING' END AS reason FROM {t:lineitem}""",
     "heartbeats": """SELECT concat('r', CAST(user_id % 37 AS STRING)) AS runner_id, concat('Host', CAST(user_id % 9 AS STRING)) AS host, {sec:ts} AS last_seen, event_id AS seq, 1 + user_id % 8 AS workers,
- concat('job', CAST(user_id % 3 AS STRING)) AS job, value AS cpu_pct, value / 10 AS mem_used_gb FROM {t:events}""",
+ concat('job', CAST(user_id % 3 AS STRING)) AS job, value AS cpu_pct, value / 10 AS mem_used_gb, CAST(64 AS DOUBLE) AS mem_total_gb, CAST(user_id % 13 AS DOUBLE) AS tree_rss_gb,
+ CAST(user_id % 100 AS DOUBLE) AS gpu_util_pct, CAST(user_id % 24 AS DOUBLE) AS vram_used_gb, CAST(24 AS DOUBLE) AS vram_total_gb FROM {t:events}""",
+    "fleet_runners": """SELECT concat('r', CAST(user_id AS STRING)) AS runner_id, concat('Host', CAST(user_id % 9 AS STRING)) AS host, concat('seg/', CASE user_id % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END) AS job,
+ CASE WHEN user_id % 4 <> 0 THEN concat('run --n ', CAST(user_id % 6 AS STRING)) ELSE '' END AS launch_command, concat('task', CAST(user_id % 3 AS STRING)) AS task, 1 + user_id % 8 AS workers, max({sec:ts}) AS last_seen,
+ CAST(user_id * 7 % 101 AS DOUBLE) AS cpu_pct, CAST(user_id % 33 AS DOUBLE) AS mem_used_gb, CAST(64 AS DOUBLE) AS mem_total_gb, CAST(user_id % 13 AS DOUBLE) AS tree_rss_gb, CAST(user_id % 100 AS DOUBLE) AS gpu_util_pct,
+ CAST(user_id % 24 AS DOUBLE) AS vram_used_gb, CAST(24 AS DOUBLE) AS vram_total_gb FROM {t:events} GROUP BY user_id""",
+    "firings": """SELECT {sec:ts} AS ts, event_id AS seq, CASE event_id % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warn' ELSE 'critical' END AS severity, concat('code', CAST(user_id % 5 AS STRING)) AS code,
+ CASE WHEN user_id % 4 <> 0 THEN concat('disk', CAST(user_id % 7 AS STRING)) END AS disk, concat('value ', CAST(event_id % 97 AS STRING)) AS detail, concat('act ', CAST(event_id % 5 AS STRING)) AS action,
+ CASE WHEN event_id % 6 = 0 THEN concat('/d/', CAST(event_id % 9 AS STRING)) ELSE '' END AS url, CASE WHEN event_id % 11 = 0 THEN concat('agent', CAST(event_id % 4 AS STRING)) END AS origins,
+ CASE WHEN event_id % 50 = 0 THEN 'own' END AS fingerprint FROM {t:events} WHERE event_type <> 'view'""",
+    "resolves": "SELECT {sec:ts} AS ts, event_id AS seq, concat('code', CAST(user_id % 5 AS STRING), ':disk', CAST(user_id % 7 AS STRING)) AS fingerprint FROM {t:events} WHERE event_type = 'view'",
+    "profiles": """SELECT concat('u', CAST(user_id AS STRING)) AS item_id, {sec:ts} AS ts, event_id AS seq, CAST(event_id * 37 % 101 AS DOUBLE) AS cpu_pct, event_id * 7919 % 4096 * 1000000 AS rss_bytes,
+ sum(event_id % 1000 * 10000) OVER w AS read_bytes, sum(event_id % 777 * 10000) OVER w AS write_bytes FROM {t:events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    "diskstat_lines": """SELECT concat('   8 ', CAST(user_id % 7 AS STRING), ' sd', CAST(user_id % 7 AS STRING), ' 1 2 ', CAST(event_id * 3 AS STRING), ' 4  5 6 ', CAST(event_id * 5 AS STRING), ' 8 9 ', CAST(event_id * 7 AS STRING),
+ CASE WHEN event_id % 10 <> 0 THEN ' 11' ELSE '' END) AS value FROM {t:events}""",
+    "marks": """SELECT CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('e', CAST(event_id AS STRING)) END AS item_id, CASE WHEN event_id % 17 = 0 THEN 'soon' ELSE CAST({sec:ts} AS STRING) END AS started,
+ CASE WHEN event_id % 19 = 0 THEN 'x' ELSE CAST(event_id % 30000 AS STRING) END AS pid FROM {t:events}""",
+    "io_items": """SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'shard_1/' ELSE 'x/' END, CAST(doc_id AS STRING)) AS item_id, CASE doc_id % 7 WHEN 0 THEN '//nas1/disk1_direct/in' WHEN 1 THEN '//NAS1/pool/in/' WHEN 2 THEN '//nas3/q/in' WHEN 3 THEN '/mnt/user/in' WHEN 4 THEN '/data/in' WHEN 5 THEN '//nas4/fast/x' END AS read_root,
+ CASE doc_id % 5 WHEN 0 THEN '//nas1/pool/out' WHEN 1 THEN '/mnt/disk1/out' WHEN 2 THEN '//nas4/fast/out' WHEN 3 THEN '/data/out' ELSE '//nas2/zz/out' END AS write_root, CASE WHEN doc_id % 11 = 0 THEN '//nas9/a/b' END AS sample_src, CAST(NULL AS STRING) AS sample_dst,
+ CASE WHEN doc_id % 2 = 0 THEN 'parity_write' ELSE 'no_smb_creds' END AS ack FROM {t:documents}""",
     "manifest": "SELECT concat(source, '/', lang, '/doc_', CAST(doc_id AS STRING), '.txt') AS rel_path, n_chars AS size, 1704067200 + 60 * doc_id AS mtime FROM {t:documents}",
     "samples": "SELECT concat('disk', CAST(l_suppkey % 7 AS STRING)) AS disk, l_linenumber AS concurrency, avg(l_extendedprice) AS mbps FROM {t:lineitem} GROUP BY 1, 2",
     "edges": "SELECT CAST(p_partkey AS STRING) AS src, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS dst FROM {t:part} WHERE p_partkey > 1",

@@ -102,6 +102,33 @@ def storm_cycles(results: DataFrame, by: str = "runner_id", run: int = 3, window
     return _fold(rows, 2, step, "key string, ts long, seq long, change string, error string, cooldown_s long").withColumnRenamed("key", by)
 
 
+def stream_ledger(events: DataFrame, max_retries: int = 3) -> DataFrame:
+    """An item's state after each of its events (item_id, ts, seq, status, error), as apply_results has it at the end.
+
+    A `lease` holds the item and adds 1 to its attempts; other statuses are those of results. Items begin with no attempts.
+    """
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        ts, seq, status, error = row
+        n, late = state.get("n", 0), error == "timeout" == state.get("error")
+        if status == "lease":
+            state["n"] = n + 1
+            return [(ts, seq, "leased", n + 1, state.get("error"))]
+        if status in ("ok", "skipped"):
+            now, error = "done", None
+        elif status == "requeue":
+            now, n, error = "pending", max(n - 1, 0), None
+        elif late:
+            now, error = "failed", "quarantined: second timeout"
+        else:
+            now, error = "failed" if n > max_retries else "pending", error and error[:2000]
+        state.update(n=n, error=error)
+        return [(ts, seq, now, n, error)]
+
+    rows = events.select(F.col("item_id").cast("string"), F.col("ts").cast("long").alias("ts"), F.col("seq").cast("long").alias("seq"), "status", "error")
+    return _fold(rows, 2, step, "item_id string, ts long, seq long, state string, attempts int, error string")
+
+
 def alert_events(samples: DataFrame, key: str, sustain_s: int, again_s: int = 300) -> DataFrame:
     """fire when the boolean `on` has held for sustain_s, refire while it goes on, again_s after the last; resolve when it ends.
 

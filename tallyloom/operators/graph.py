@@ -3,23 +3,47 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop, shared_dir
 
-def dependency_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every node reachable from the roots, them included: a frontier join per step, each step written to the shared
-    folder, until nothing new turns up, so cycles end."""
+#: Steps along edges that one job takes, and jobs after which what has been reached is written anew as one table.
+HOPS, COMPACT = 4, 8
+
+
+def dependency_closure(edges: DataFrame, roots: DataFrame, without: Sequence[str] = ()) -> DataFrame:
+    """Every node reachable from the roots, them included, until nothing new turns up, so cycles end.
+
+    Frontier joins, a few steps to a job, each job's new nodes written to the shared folder. Nodes that match one of the
+    patterns in `without` (vendored paths) are neither reported nor passed through.
+    """
     spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tallyloom-checkpoints"
-    root, step = f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}", 0
-    roots.select("node").distinct().write.parquet(f"{root}/step=0")
+    root = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
+    for pattern in without:
+        edges, roots = edges.where(~F.col("dst").rlike(pattern)), roots.where(~F.col("node").rlike(pattern))
+    edges = edges.select("src", "dst").distinct()
+    kept, step = [f"{root}/step=0"], 0
+    roots.select("node", F.lit(True).alias("last")).distinct().write.parquet(kept[0])
+    front = spark.read.parquet(kept[0])
     while True:
-        seen = spark.read.parquet(*(f"{root}/step={i}" for i in range(step + 1)))
-        last = spark.read.parquet(f"{root}/step={step}")
-        fresh = last.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        seen, level, found = spark.read.parquet(*kept), front.where("last").select("node"), None
+        for hop in range(HOPS):
+            level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            here = level.withColumn("last", F.lit(hop == HOPS - 1))
+            found = here if found is None else found.unionByName(here)
+        # a node met on an earlier step has been passed through already
+        fresh = found.groupBy("node").agg(F.min("last").alias("last")).join(seen.select("node"), "node", "left_anti")
         step += 1
-        fresh.write.parquet(f"{root}/step={step}")
-        if spark.read.parquet(f"{root}/step={step}").isEmpty():
-            return seen
+        kept.append(f"{root}/step={step}")
+        fresh.write.parquet(kept[-1])
+        front = spark.read.parquet(kept[-1])
+        if front.isEmpty():
+            return seen.select("node")
+        if len(kept) > COMPACT:
+            spark.read.parquet(*kept[:-1]).write.parquet(f"{root}/upto={step}")
+            for path in kept[:-1]:
+                drop(spark, path)
+            kept = [f"{root}/upto={step}", kept[-1]]

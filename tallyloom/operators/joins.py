@@ -32,9 +32,11 @@ def assign_by_rules(items: DataFrame, rules: Sequence[tuple[str, str]], columns:
     return items.withColumn("disk", F.coalesce(*(F.when(rule_matches(text, p), name) for name, p in rules), F.lit(None).cast("string")))
 
 
-def inject_roots(items: DataFrame, topology: DataFrame) -> DataFrame:
-    """read_root and write_root of the item's disk, where they are blank."""
-    joined = items.join(F.broadcast(topology.select("disk", "read", "write")), "disk", "left")  # a topology is configured by hand
+def inject_roots(items: DataFrame, topology: DataFrame, rules: Sequence[tuple[str, str]] = (), columns: Sequence[str] = ("item_id",)) -> DataFrame:
+    """read_root and write_root of the item's disk, where they are blank; an item without a disk gets that of the first rule it matches."""
+    if rules:
+        items = assign_by_rules(items.withColumnRenamed("disk", "own_disk"), rules, columns).withColumn("disk", F.coalesce("own_disk", "disk")).drop("own_disk")
+    joined = items.join(topology.select("disk", "read", "write"), "disk", "left")
     fill = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(d))
     return joined.withColumn("read_root", fill("read_root", "read")).withColumn("write_root", fill("write_root", "write")).drop("read", "write")
 
@@ -90,6 +92,13 @@ def attach_runner(ledger: DataFrame, runners: DataFrame) -> DataFrame:
     return out.fillna("", ["launch_command", "task"])
 
 
+def launch_commands(ledger: DataFrame, runners: DataFrame) -> DataFrame:
+    """Per job the distinct launch commands of its runners, blank ones left out, in the order of the first runner of each."""
+    used = ledger.where("runner_id is not null").select("job", "runner_id").distinct().join(runners.where("launch_command <> ''").select("runner_id", "launch_command"), "runner_id")
+    first = used.groupBy("job", "launch_command").agg(F.min("runner_id").alias("first"))
+    return first.groupBy("job").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "launch_command"))), lambda x: x["launch_command"]).alias("commands"))  # as many as runners differ
+
+
 def missing_hosts(configured: DataFrame, runners: DataFrame, now: int, stale_s: int = 120) -> DataFrame:
     """Configured hosts, in lower case, without a runner seen lately."""
     live = runners.where((F.lit(now) - F.col("last_seen") <= stale_s) & ~F.col("host").isin("", "?")).select(F.lower("host").alias("host"))
@@ -97,12 +106,16 @@ def missing_hosts(configured: DataFrame, runners: DataFrame, now: int, stale_s:
 
 
 def attribute_origins(alerts: DataFrame, ledger: DataFrame, origins: DataFrame) -> DataFrame:
-    """Who owns open work on an alert's disk, or on any disk where the alert names none: two equi-joins, not an OR."""
+    """Who owns open work on an alert's disk, or on any disk where the alert names none, with the callback they left.
+
+    Owners stand under their disk and once more under `all`, so that this is one equi-join.
+    """
+    who = ("kind", "agent_id", "callback")
     work = ledger.where(F.col("state").isin("leased", "pending")).select("job", "disk").distinct().join(origins, "job")
-    owners = work.select("disk", "kind", "agent_id").distinct()
-    named = alerts.where("disk is not null").join(owners, "disk").select("alert_id", "kind", "agent_id")
-    every = alerts.where("disk is null").select("alert_id", F.lit(1).alias("k")).join(owners.select("kind", "agent_id", F.lit(1).alias("k")).distinct(), "k").select("alert_id", "kind", "agent_id")
-    return named.union(every).distinct()
+    scope = F.explode(F.array(F.struct(F.col("disk").alias("disk"), F.lit(False).alias("all")), F.struct(F.lit(None).cast("string").alias("disk"), F.lit(True).alias("all"))))
+    owners = work.select(scope.alias("at"), *who).select("at.disk", "at.all", *who).distinct()
+    asked = alerts.select("alert_id", F.col("disk").alias("on"), F.col("disk").isNull().alias("every"))
+    return asked.join(owners, (F.col("every") == F.col("all")) & F.col("on").eqNullSafe(F.col("disk"))).select("alert_id", *who).distinct()
 
 
 def scope_alerts(alerts: DataFrame, disks: DataFrame) -> DataFrame:

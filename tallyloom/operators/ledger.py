@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import job_health
+from .joins import missing_hosts
 
 STATES = ("done", "pending", "leased", "failed")
 
@@ -104,6 +105,13 @@ def stuck_items(marks: DataFrame, now: int, least_s: int) -> DataFrame:
     return m.where("item_id <> '' and started is not null and pid is not null").withColumn("elapsed_s", F.lit(now) - F.col("started")).where(F.col("elapsed_s") > least_s)
 
 
+def upsert_by_job(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
+    """A setting of jobs (job, column) after an upsert: the new value where there is a row, null included (which clears it), else the old."""
+    fresh = new.select("job", F.col(column).alias("fresh"), F.lit(True).alias("given"))
+    both = old.select("job", column).join(fresh, "job", "full_outer")
+    return both.select("job", F.when(F.col("given"), F.col("fresh")).otherwise(F.col(column)).alias(column)).where(F.col(column).isNotNull())
+
+
 def no_progress(results: DataFrame, now: int, timeout_s: int) -> DataFrame:
     """Runners whose last result is older than twice the timeout; none if no timeout is set."""
     last = results.groupBy("runner_id").agg(F.max("ts").alias("last_ts"))
@@ -143,7 +151,9 @@ def parse_ledger(ledger: DataFrame) -> DataFrame:
 
 
 def job_resources(runners: DataFrame) -> DataFrame:
-    return runners.groupBy("job").agg(F.sum("workers").alias("workers"), F.max("cpu_pct").alias("cpu_pct"), F.max("mem_used_gb").alias("mem_used_gb"))
+    """Per job the workers and process memory of its runners in sum, and the highest of each reading of their hosts."""
+    most = ("cpu_pct", "mem_used_gb", "mem_total_gb", "gpu_util_pct", "vram_used_gb", "vram_total_gb")
+    return runners.groupBy("job").agg(F.sum("workers").alias("workers"), F.sum("tree_rss_gb").alias("tree_rss_gb"), *(F.max(c).alias(c) for c in most))
 
 
 def latest_runners(heartbeats: DataFrame, now: int, stale_s: int = 120) -> DataFrame:
@@ -156,14 +166,41 @@ def latest_runners(heartbeats: DataFrame, now: int, stale_s: int = 120) -> DataF
     return last.withColumn("stale_s", F.lit(now) - F.col("last_seen")).withColumn("alive", F.col("stale_s") <= stale_s)
 
 
-def status_view(ledger: DataFrame, jobs: DataFrame, now: int, window_s: int) -> DataFrame:
-    """One row per job: counts, percent done, rate, time left, health and its most frequent failure."""
+def status_view(ledger: DataFrame, jobs: DataFrame, now: int, window_s: int, runners: DataFrame | None = None, configured: DataFrame | None = None) -> DataFrame:
+    """One row per job: counts, percent done, rate, time left, health, badge, its most frequent failure, when it should end
+    (in 5 minutes if nothing is known), what it holds on each disk (a map), and what to do next, blank for nothing.
+
+    With runners, also what they use (job_resources); with configured hosts too, the hint names those that are missing.
+    """
     roll = job_rollup(ledger, jobs, 1 << 30)
     rate = job_windows(ledger, now, window_s)
     top = error_digest(ledger, 1).select("job", F.col("error").alias("top_error"))
     out = roll.join(rate, "job").join(top, "job", "left")
     health = job_health(F.col("leased"), F.col("pending"), F.col("rate"), F.col("last_completed"), F.col("last_leased"), now)
-    return out.select("job", "label", "total", "done", "pending", "leased", "failed", (100.0 * F.col("done") / F.col("total")).alias("pct_done"), "rate", "eta_s", health.alias("health"), "top_error")
+    on_disk = ledger.where("state = 'leased'").groupBy("job", F.coalesce("disk", F.lit("?")).alias("disk")).agg(F.count("*").alias("n"))
+    on_disk = on_disk.groupBy("job").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("disk", "n")))).alias("disk_inflight"))  # a row for each disk
+    out = out.join(on_disk, "job", "left").withColumn("health", health)
+    badge = (
+        F.when((F.col("failed") > 0) & (F.col("pending") == 0) & (F.col("leased") == 0), "failed").when((F.col("done") >= F.col("total")) & (F.col("total") > 0), "complete")
+        .when(F.col("leased") > 0, "running").otherwise("queued")
+    )
+    used, missing, task = [], F.lit(None).cast("string"), F.lit("")
+    if runners is not None:
+        tasks = runners.groupBy("job").agg(F.min_by("task", "runner_id").alias("task"))
+        res = job_resources(runners).join(tasks, "job")
+        out, used, task = out.join(res, "job", "left"), [c for c in res.columns if c not in ("job", "task")], F.coalesce("task", F.lit(""))
+        if configured is not None:
+            gone = missing_hosts(configured, runners, now).agg(F.array_join(F.slice(F.sort_array(F.collect_set("host")), 1, 3), ", ").alias("gone"))
+            out, missing = out.join(F.broadcast(gone)), F.nullif(F.col("gone"), F.lit(""))  # one row
+    todo = (
+        F.when(F.col("health") == "stalled", "stop the runners that hang, then give held items back")
+        .when(F.col("health") == "queued", F.concat(F.lit("start a runner for task "), task, F.lit(" of "), F.col("job")))
+        .when(F.col("health") == "idle", "all is done: gather the outputs")
+    )
+    hint = F.concat_ws("; ", F.concat(F.lit("attach missing hosts: "), missing), todo)
+    return out.select(
+        "job", "label", "total", "done", "pending", "leased", "failed", (100.0 * F.col("done") / F.col("total")).alias("pct_done"), "rate", "eta_s", "health", badge.alias("badge"), "top_error",
+        (F.lit(now) + F.coalesce("eta_s", F.lit(300.0))).alias("projected_end"), "disk_inflight", hint.alias("hint"), *used)
 
 
 def apply_results(ledger: DataFrame, results: DataFrame, max_retries: int = 3) -> DataFrame:
@@ -171,14 +208,17 @@ def apply_results(ledger: DataFrame, results: DataFrame, max_retries: int = 3) -
 
     ok and skipped finish it; requeue gives it back without using up an attempt; an error fails it for good if it is the
     second `timeout` in a row or attempts exceed the retries, else gives it back. Results of unknown items are dropped.
+    Where both tables have `metrics`, an item gets those of its last ok or skipped result that has any.
     """
     ends = F.coalesce(F.col("status").isin("ok", "skipped"), F.lit(False))
     back = F.coalesce(F.col("status") == "requeue", F.lit(False))
-    rows = results.select("item_id", F.struct("ts", "seq", "status", "error").alias("key"), ends.alias("ends"), back.alias("back"), (~ends & ~back & F.col("error").eqNullSafe("timeout")).alias("late"))
+    has = "metrics" in ledger.columns and "metrics" in results.columns
+    rows = results.select("item_id", (F.col("metrics") if has else F.lit(None)).alias("fresh"), F.struct("ts", "seq", "status", "error").alias("key"), ends.alias("ends"), back.alias("back"), (~ends & ~back & F.col("error").eqNullSafe("timeout")).alias("late"))
     # Aggregates only, which each task begins by itself, so that no task holds an item's results. What the fold comes to
     # depends on the last result, how many gave the item back, and the timeouts after the last result that was none.
     by = rows.groupBy("item_id").agg(
-        F.max("key").alias("last"), F.max_by(F.struct("ends", "back", "late"), "key").alias("kind"), F.count_if("back").alias("returns"), F.max(F.when(~F.col("late"), F.col("key"))).alias("other"))
+        F.max("key").alias("last"), F.max_by(F.struct("ends", "back", "late"), "key").alias("kind"), F.count_if("back").alias("returns"), F.max(F.when(~F.col("late"), F.col("key"))).alias("other"),
+        F.max_by("fresh", F.when(F.col("ends") & F.col("fresh").isNotNull(), F.col("key"))).alias("fresh"))
     after = rows.where("late").join(by.where("kind.late").select("item_id", "other"), "item_id").where("other is null or key > other").groupBy("item_id").agg(F.count("*").alias("run"))
     both = ledger.join(by, "item_id", "left").join(after, "item_id", "left")
     attempts = F.when(F.col("returns") > 0, F.greatest(F.col("attempts").cast("long") - F.col("returns"), F.lit(0))).otherwise(F.col("attempts")).cast("int")
@@ -189,6 +229,8 @@ def apply_results(ledger: DataFrame, results: DataFrame, max_retries: int = 3) -
         "attempts": attempts,
         "error": F.when(F.col("last").isNull(), F.col("error")).when(F.col("kind.ends") | F.col("kind.back"), None).when(twice, "quarantined: second timeout").otherwise(F.substring("last.error", 1, 2000)),
     }
+    if has:
+        new["metrics"] = F.coalesce("fresh", "metrics")
     return both.select(*(new[c].alias(c) if c in new else F.col(c) for c in ledger.columns))
 
 

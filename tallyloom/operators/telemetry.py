@@ -43,6 +43,30 @@ def plateau(samples: DataFrame, now: int, by: str, recent_s: int, base_from_s: i
     return out.withColumn("plateau", F.coalesce((F.col("base") > 0) & (F.coalesce("recent", F.lit(0.0)) < least * F.col("base")), F.lit(False)))
 
 
+def plateau_report(samples: DataFrame, now: int, total: int, recent_s: int = 30, base_from_s: int = 60, base_to_s: int = 240, least: float = 0.25, least_share: float = 0.1, history_s: int = 120) -> DataFrame:
+    """Who stopped contributing: a row for the whole (a null runner) and for each runner, with its rate lately and before,
+    its share of the earlier rate, and whether it fell under `least` of that.
+
+    A runner is only named if it made least_share of the earlier rate. Nothing is reported before history_s seconds of
+    samples or when all `total` items are done. The whole's `done` at a time is the sum over the runners' samples then.
+    """
+    age = F.lit(now) - F.col("ts")
+    whole = samples.groupBy("ts").agg(F.sum("done").alias("done")).select(F.lit(None).cast("string").alias("runner"), "ts", "done")
+
+    def rate(within: Column) -> Column:
+        ends = [f(F.when(within, F.col("ts"))) for f in (F.min, F.max)]
+        steps = [f(F.when(within, F.struct("ts", "done")))["done"] for f in (F.min, F.max)]
+        return F.coalesce(F.greatest(F.lit(0.0), (steps[1] - steps[0]) / F.nullif(ends[1] - ends[0], F.lit(0))), F.lit(0.0))
+
+    by = whole.unionByName(samples.select("runner", "ts", "done")).where(age >= 0).groupBy("runner").agg(
+        rate(age <= recent_s).alias("recent"), rate((age >= base_from_s) & (age <= base_to_s)).alias("base"), F.min("ts").alias("begin"), F.max("done").alias("done"))
+    all_ = by.where("runner is null").select(F.col("base").alias("all_base"), F.col("begin").alias("all_begin"), F.col("done").alias("all_done"))
+    out = by.join(F.broadcast(all_)).where((F.lit(now) - F.col("all_begin") >= history_s) & (F.col("all_done") < total))  # one row
+    share = F.when(F.col("all_base") > 0, F.col("base") / F.col("all_base")).otherwise(F.when(F.col("base") > 0, 1.0).otherwise(0.0))
+    fell = (F.col("base") > 0) & (F.col("recent") < least * F.col("base")) & (F.col("runner").isNull() | (share >= least_share))
+    return out.select("runner", "recent", "base", share.alias("share"), fell.alias("plateau"))
+
+
 def item_trace(events: DataFrame, n: int = 20) -> DataFrame:
     """The last n events of each item, numbered from the newest."""
     w = Window.partitionBy("item_id").orderBy(F.desc("ts"), F.desc("seq"))
@@ -75,13 +99,18 @@ def sustained(df: DataFrame, key: str, cond: Column, sustain_s: int) -> DataFram
     return begun.groupBy(key, "spell").agg(F.first("begin").alias("begin_ts"), F.min(F.when(fires, F.col("ts"))).alias("fire_ts"), F.max("ts").alias("end_ts"), F.count_if(fires).alias("firings")).where("firings > 0").drop("spell")
 
 
-def collapse(samples: DataFrame, ratio: float = 0.4) -> DataFrame:
-    """Samples whose last three rates average less than a share of all earlier ones, with work left and six samples seen."""
+def collapse(samples: DataFrame, ratio: float = 0.4, least_base: float = 0.1, history: int = 900) -> DataFrame:
+    """Samples whose last three rates average less than a share of the earlier ones, with work left and six samples seen.
+
+    Work left is what is pending or, where samples have the column, leased. Earlier rates are those of the last `history`
+    samples, and must average more than least_base items a second.
+    """
+    open_ = F.col("pending") + F.coalesce("leased", F.lit(0)) if "leased" in samples.columns else F.col("pending")
     w = Window.partitionBy("job").orderBy("ts")
     rated = rate_series(samples, "done", ["job"]).withColumn("n", F.row_number().over(w))
-    late, base = F.avg("rate").over(w.rowsBetween(-2, 0)), F.avg("rate").over(w.rowsBetween(-899, -3))
+    late, base = F.avg("rate").over(w.rowsBetween(-2, 0)), F.avg("rate").over(w.rowsBetween(1 - history, -3))
     out = rated.withColumn("late", late).withColumn("base", base)
-    return out.withColumn("collapsed", F.coalesce((F.col("n") >= 6) & (F.col("pending") > 0) & (F.col("base") > 1e-4) & (F.col("late") < ratio * F.col("base")), F.lit(False)))
+    return out.withColumn("collapsed", F.coalesce((F.col("n") >= 6) & (open_ > 0) & (F.col("base") > least_base) & (F.col("late") < ratio * F.col("base")), F.lit(False)))
 
 
 def failure_spike(samples: DataFrame, burst: int = 20, share: float = 0.3, least: int = 3) -> DataFrame:
@@ -97,11 +126,33 @@ def true_rate(df: DataFrame, ts: str, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), span.alias("span_s"), F.when(span > 0, F.count("*") / span).otherwise(0.0).alias("rate"))
 
 
-def suggest_concurrency(samples: DataFrame, share: float = 0.9) -> DataFrame:
-    """Per disk the lowest concurrency that reaches a share of the best throughput, and where that is."""
+# The share of the best throughput that each bias asks for, that of any other, and what is suggested without samples.
+BIAS = {"conservative": 0.85, "balanced": 0.90, "aggressive": 1.0}
+OTHER_BIAS, NO_SAMPLES = 0.95, 4
+
+
+def suggest_concurrency(samples: DataFrame, bias: str = "balanced", disks: DataFrame | None = None) -> DataFrame:
+    """Per disk the lowest concurrency that reaches a share of the best throughput, and where that is.
+
+    With a table of disks, those without samples get a default and no peak.
+    """
+    share = BIAS.get(bias, OTHER_BIAS)
     best = F.max("mbps").over(Window.partitionBy("disk"))
     ok = samples.withColumn("best", best)
-    return ok.groupBy("disk").agg(F.min(F.when(F.col("mbps") >= share * F.col("best"), F.col("concurrency"))).alias("suggested"), F.max("mbps").alias("peak"), F.max_by("concurrency", F.struct("mbps", -F.col("concurrency"))).alias("peak_concurrency"))
+    out = ok.groupBy("disk").agg(F.min(F.when(F.col("mbps") >= share * F.col("best"), F.col("concurrency"))).alias("suggested"), F.max("mbps").alias("peak"), F.max_by("concurrency", F.struct("mbps", -F.col("concurrency"))).alias("peak_concurrency"))
+    if disks is None:
+        return out
+    return disks.select("disk").distinct().join(out, "disk", "left").withColumn("suggested", F.coalesce("suggested", F.lit(NO_SAMPLES)))
+
+
+def profile_fold(samples: DataFrame) -> DataFrame:
+    """Per item the mean and peak of its CPU, its peak memory, what it read and wrote (the last less the first of
+    cumulative counters), in MB, its samples and the seconds between the first and the last."""
+    at = F.struct("ts", "seq")
+    moved = lambda c: (F.max_by(c, at) - F.min_by(c, at)) / 1e6
+    return samples.groupBy("item_id").agg(
+        F.round(F.avg("cpu_pct"), 1).alias("cpu_pct_mean"), F.round(F.max("cpu_pct"), 1).alias("cpu_pct_peak"), F.round(F.max("rss_bytes") / 1e6, 1).alias("rss_peak_mb"),
+        F.round(moved("read_bytes"), 1).alias("read_mb"), F.round(moved("write_bytes"), 1).alias("write_mb"), (F.max("ts") - F.min("ts")).alias("wall_s"), F.count("*").alias("samples"))
 
 
 def scheduling_summary(decisions: DataFrame, now: int, window_s: int) -> DataFrame:
@@ -139,10 +190,16 @@ def log_tail(lines: DataFrame, n: int = 500, most_bytes: int = 200_000) -> DataF
     return lines.withColumn("place", F.row_number().over(w)).withColumn("bytes", size).where((F.col("place") <= n) & (F.col("bytes") <= most_bytes)).select("item_id", "line_no", "place", "bytes")
 
 
-def parse_diskstats(lines: DataFrame) -> DataFrame:
-    """Device, sectors read and written and busy milliseconds of kernel counter lines with at least 14 fields."""
+def parse_diskstats(lines: DataFrame, devices: DataFrame | None = None) -> DataFrame:
+    """Device, disk, sectors read and written and busy milliseconds of kernel counter lines with at least 14 fields.
+
+    devices(device, disk) names disks; a device without a row is a disk of its own name.
+    """
     f = lines.select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 14)
-    return f.select(F.col("f")[2].alias("device"), *(F.col("f")[i].cast("long").alias(c) for i, c in ((5, "read_sectors"), (9, "write_sectors"), (12, "io_ms"))))
+    counters = [F.col("f")[i].cast("long").alias(c) for i, c in ((5, "read_sectors"), (9, "write_sectors"), (12, "io_ms"))]
+    rows = f.select(F.col("f")[2].alias("device"), *counters)
+    named = rows.withColumn("disk", F.lit(None).cast("string")) if devices is None else rows.join(devices.select("device", "disk"), "device", "left")
+    return named.select("device", F.coalesce("disk", "device").alias("disk"), "read_sectors", "write_sectors", "io_ms")
 
 
 def move_plan(plan: DataFrame) -> DataFrame:

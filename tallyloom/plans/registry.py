@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
 from ..functions import expr
-from ..operators import detect, folds, graph, joins, ledger, resample, shards, stages, telemetry
+from ..operators import advice, detect, folds, graph, joins, ledger, resample, shards, stages, telemetry
 from ..sources import files
 from ..streaming import flows
 
@@ -123,19 +123,27 @@ def rank_by_metric(led):
     return ledger.rank_by_metric(ledger.export_metrics(led), "bytes", 10)
 
 
+# Each item's results one after another: its state, attempts and error after the k-th.
+_FOLDED = """, q AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts, seq) AS k FROM results), f AS (SELECT DISTINCT item_id, CAST(0 AS BIGINT) AS k, 'leased' AS state, {start} AS attempts, CAST(NULL AS VARCHAR) AS error FROM results
+ UNION ALL SELECT f.item_id, q.k, CASE WHEN q.status IN ('ok', 'skipped') THEN 'done' WHEN q.status = 'requeue' THEN 'pending' WHEN q.error = 'timeout' AND f.error = 'timeout' THEN 'failed' WHEN f.attempts + {lease} > 3 THEN 'failed' ELSE 'pending' END,
+ CASE WHEN q.status = 'requeue' THEN greatest(f.attempts + {lease} - 1, 0) ELSE f.attempts + {lease} END, CASE WHEN q.status IN ('ok', 'skipped', 'requeue') THEN NULL WHEN q.error = 'timeout' AND f.error = 'timeout' THEN 'quarantined: second timeout' ELSE substr(q.error, 1, 2000) END
+ FROM f JOIN q ON q.item_id = f.item_id AND q.k = f.k + 1) SELECT item_id, state, attempts, error FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k DESC) AS z FROM f) WHERE z = 1"""
+
+
 @add("ledger", "SELECT item_id, job, state, json_extract_string(metrics, '$.bytes') AS bytes FROM ledger")
 def read_ledger(led):
     return ledger.parse_ledger(led).select("item_id", "job", "state", F.col("metrics")["bytes"].alias("bytes"))
 
 
-@add("heartbeats", "SELECT job, sum(workers) AS workers, max(cpu_pct) AS cpu_pct, max(mem_used_gb) AS mem_used_gb FROM heartbeats GROUP BY 1")
+@add("heartbeats", f"SELECT job, sum(workers) AS workers, sum(tree_rss_gb) AS tree_rss_gb, {', '.join(f'max({c}) AS {c}' for c in ('cpu_pct', 'mem_used_gb', 'mem_total_gb', 'gpu_util_pct', 'vram_used_gb', 'vram_total_gb'))} FROM heartbeats GROUP BY 1")
 def job_resources(beats):
     return ledger.job_resources(beats)
 
 
 @add("ledger jobs", f", r AS ({_ROLL}), w AS (SELECT job, {_RECENT} AS recent FROM ledger GROUP BY 1), e AS (SELECT job, error AS top_error FROM (SELECT job, error, row_number() OVER (PARTITION BY job ORDER BY count(*) DESC, error) AS p FROM ledger WHERE state = 'failed' AND trim(error) <> '' GROUP BY 1, 2) WHERE p = 1) SELECT r.job, label, total, done, pending, leased, failed, 100.0 * CAST(done AS DOUBLE) / total AS pct_done, recent / CAST({WEEKS} AS DOUBLE) AS rate, CASE WHEN recent > 0 THEN (pending + leased) / (recent / CAST({WEEKS} AS DOUBLE)) END AS eta_s, CASE WHEN leased <= 0 AND pending <= 0 THEN 'idle' WHEN leased > 0 AND recent <= 0 AND {LEDGER_NOW} - coalesce(last_completed, last_leased) >= 600 THEN 'stalled' WHEN leased > 0 AND recent > 0 THEN 'running' WHEN pending > 0 AND leased = 0 THEN 'queued' ELSE 'active' END AS health, top_error FROM r JOIN w USING (job) LEFT JOIN e USING (job)")
 def status_view(led, jobs):
-    return ledger.status_view(led, jobs, LEDGER_NOW, WEEKS)
+    out = ledger.status_view(led, jobs, LEDGER_NOW, WEEKS)
+    return out.drop("badge", "projected_end", "disk_inflight", "hint")  # status_board has these
 
 
 @add("ledger", f"SELECT item_id, CASE WHEN state = 'leased' AND lease_deadline < {LEDGER_NOW} THEN 'pending' ELSE state END AS state, CASE WHEN NOT (state = 'leased' AND lease_deadline < {LEDGER_NOW}) OR lease_deadline IS NULL THEN host END AS host FROM ledger")
@@ -153,7 +161,7 @@ def cancel(led):
     return ledger.cancel(led, "seg/BUILDING").select("item_id", "state")
 
 
-@add("results")
+@add("results", _FOLDED.format(start="1", lease="0"))
 def apply_results(res):
     items = res.select("item_id").distinct().select("item_id", F.lit("leased").alias("state"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error"))
     return ledger.apply_results(items, res)
@@ -271,7 +279,7 @@ def detect_failure_spike(s):
 
 @add("progress", "SELECT job, ts, coalesce(n >= 6 AND pending > 0 AND base > 1e-4 AND late < 0.4 * base, false) AS collapsed FROM (SELECT *, avg(rate) OVER (PARTITION BY job ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS late, avg(rate) OVER (PARTITION BY job ORDER BY ts ROWS BETWEEN 899 PRECEDING AND 3 PRECEDING) AS base FROM (SELECT *, row_number() OVER w AS n, (done - lag(done) OVER w) / CAST(ts - lag(ts) OVER w AS DOUBLE) AS rate FROM progress WINDOW w AS (PARTITION BY job ORDER BY ts)))")
 def detect_collapse(s):
-    return telemetry.collapse(s).select("job", "ts", "collapsed")
+    return telemetry.collapse(s, least_base=1e-4).select("job", "ts", "collapsed")
 
 
 @add("results", "SELECT runner_id, count(*) AS n, max(ts) - min(ts) AS span_s, CASE WHEN max(ts) > min(ts) THEN count(*) / CAST(max(ts) - min(ts) AS DOUBLE) ELSE 0.0 END AS rate FROM results GROUP BY 1")
@@ -451,6 +459,14 @@ def throttle(res):
     return folds.throttle(res.where("status = 'error'"), "host", 21600)
 
 
+@add("results", _FOLDED.format(start="0", lease="1"))
+def stream_ledger(res):
+    """Every result follows a lease; the state after the last event of each item."""
+    leases = res.withColumns({"seq": F.col("seq") * 2, "status": F.lit("lease"), "error": F.lit(None).cast("string")})
+    out = folds.stream_ledger(leases.unionByName(res.withColumn("seq", F.col("seq") * 2 + 1)))
+    return out.groupBy("item_id").agg(F.max_by(F.struct("state", "attempts", "error"), F.struct("ts", "seq")).alias("x")).select("item_id", "x.*")
+
+
 @add("results")
 def storm_cycles(res):
     return folds.storm_cycles(res, cooldown_s=DAY // 4, longest_s=4 * DAY)
@@ -484,6 +500,127 @@ def pipeline_tick(led, man):
     return stages.pipeline_tick(all_, edges, man.select(F.regexp_extract("rel_path", "([^/]*)$", 1).alias("rel_path")))
 
 
+@add("firings resolves", """, f AS (SELECT *, coalesce(nullif(fingerprint, ''), concat(code, ':', coalesce(nullif(disk, ''), '*'))) AS fp, ts * 100000000 + seq AS o FROM firings),
+ g AS (SELECT fp, arg_min_null(code, o) AS code, arg_min_null(disk, o) AS disk, count(*) AS count, min(ts) AS first_ts, max(ts) AS last_ts, max(o) AS o, arg_max(severity, o) AS severity, arg_max(detail, o) AS detail, arg_max(action, o) AS action,
+ arg_max(nullif(url, ''), o) AS url, arg_max(nullif(origins, ''), o) AS origins FROM f GROUP BY 1), r AS (SELECT fingerprint AS fp, max(ts * 100000000 + seq) AS e FROM resolves GROUP BY 1)
+ SELECT fp AS fingerprint, code, disk, count, first_ts, last_ts, severity, detail, action, url, origins, coalesce(o > e, true) AS active FROM g LEFT JOIN r USING (fp) ORDER BY o DESC LIMIT 20""")
+def dedup_alerts(firings, resolves):
+    return advice.dedup_alerts(firings, resolves, 20)
+
+
+@add("profiles", """SELECT item_id, round(avg(cpu_pct), 1) AS cpu_pct_mean, round(max(cpu_pct), 1) AS cpu_pct_peak, round(max(rss_bytes) / 1e6, 1) AS rss_peak_mb, round((arg_max(read_bytes, o) - arg_min(read_bytes, o)) / 1e6, 1) AS read_mb,
+ round((arg_max(write_bytes, o) - arg_min(write_bytes, o)) / 1e6, 1) AS write_mb, max(ts) - min(ts) AS wall_s, count(*) AS samples FROM (SELECT *, ts * 100000000 + seq AS o FROM profiles) GROUP BY 1""")
+def profile_fold(samples):
+    return telemetry.profile_fold(samples)
+
+
+@add("samples budgets", """, d AS (SELECT disk FROM samples UNION SELECT disk FROM budgets), s AS (SELECT disk, min(concurrency) FILTER (WHERE mbps >= 0.85 * peak) AS suggested, arg_max(concurrency, mbps) AS peak_concurrency, round(max(mbps), 6) AS peak
+ FROM (SELECT *, max(mbps) OVER (PARTITION BY disk) AS peak FROM samples) GROUP BY 1) SELECT disk, coalesce(suggested, 4) AS suggested, peak, peak_concurrency FROM d LEFT JOIN s USING (disk)""")
+def suggest_conservative(s, budgets):
+    disks = s.select("disk").union(budgets.select("disk"))
+    return telemetry.suggest_concurrency(s, "conservative", disks).withColumn("peak", F.round("peak", 6))
+
+
+@add("diskstat_lines", """SELECT concat('sd', CAST(user_id % 7 AS VARCHAR)) AS device, CASE WHEN user_id % 7 < 3 THEN concat('disk', CAST(user_id % 7 AS VARCHAR)) ELSE concat('sd', CAST(user_id % 7 AS VARCHAR)) END AS disk,
+ event_id * 3 AS read_sectors, event_id * 5 AS write_sectors, event_id * 7 AS io_ms FROM events WHERE event_id % 10 <> 0""")
+def parse_diskstats(lines):
+    devices = lines.sparkSession.range(3).select(F.concat(F.lit("sd"), "id").alias("device"), F.concat(F.lit("disk"), "id").alias("disk"))
+    return telemetry.parse_diskstats(lines, devices)
+
+
+@add("marks", f"""SELECT item_id, CAST(pid AS BIGINT) AS pid, {EVENTS_NOW} - CAST(started AS DOUBLE) AS elapsed_s FROM marks WHERE item_id <> '' AND started <> 'soon' AND pid <> 'x' AND {EVENTS_NOW} - CAST(started AS DOUBLE) > {10 * DAY}""")
+def stuck_items(marks):
+    return ledger.stuck_items(marks, EVENTS_NOW, 10 * DAY).select("item_id", "pid", "elapsed_s")
+
+
+_DISKS = (advice.Disk("disk1", "shard_1", "hdd", "//nas1/disk1_direct", "//nas1/pool", "/mnt/disk1", True), advice.Disk("fast", "", "nvme", "", "//nas4/fast"))
+_AT = "CASE WHEN item_id LIKE '%shard_1%' THEN 'disk1' WHEN {x} LIKE '//nas1/disk1_direct/%' OR {x} LIKE '//nas1/pool/%' OR {x} LIKE '/mnt/disk1/%' THEN 'disk1' WHEN {x} LIKE '//nas4/fast/%' THEN 'fast' END"
+_TOKEN = f"CASE c {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in advice.BLOCKING.items())} END"
+
+
+@add("io_items", f""", a AS (SELECT *, rtrim(lower(coalesce(read_root, '')), '/') AS r, lower(write_root) AS w FROM io_items), b AS (SELECT *, {_AT.format(x='r')} AS i, {_AT.format(x='w')} AS o, regexp_extract(r, '^//([^/]+)/', 1) AS rs, regexp_extract(w, '^//([^/]+)/', 1) AS ws FROM a),
+ c AS (SELECT item_id, ack, list_filter([CASE WHEN rs = 'nas2' THEN 'smb.brokered' END, CASE WHEN rs NOT IN ('', 'nas1', 'nas2') THEN 'smb.no_creds' END, CASE WHEN ws = 'nas2' AND rs <> ws THEN 'smb.brokered' END, CASE WHEN ws NOT IN ('', 'nas1', 'nas2') AND rs <> ws THEN 'smb.no_creds' END,
+ CASE WHEN i = 'disk1' THEN 'input.hdd' END, CASE WHEN i = 'fast' THEN 'input.nvme' END, CASE WHEN i = 'disk1' AND NOT (r LIKE '//nas1/disk1_direct/%' OR r LIKE '/mnt/disk1/%') AND (r LIKE '%/mnt/user%' OR r LIKE '//nas1/pool/%') THEN 'read.not_direct' END,
+ CASE WHEN i IS NULL AND (rs <> '' OR sample_src IS NOT NULL) THEN 'input.unclassified_nas' END, CASE WHEN i IS NULL AND r <> '' AND rs = '' AND sample_src IS NULL THEN 'input.unknown' END, CASE WHEN o = 'disk1' THEN 'output.parity' END, CASE WHEN o = 'fast' THEN 'output.nvme' END,
+ CASE WHEN o = 'disk1' AND w LIKE '/mnt/disk1/%' THEN 'output.direct_disk_write' END, CASE WHEN o IS NULL AND ws <> '' THEN 'output.unclassified_nas' END], lambda x: x IS NOT NULL) AS codes FROM b),
+ g AS (SELECT *, list_filter(codes, lambda c: {_TOKEN} <> ack) AS reasons FROM c)
+ SELECT item_id, array_to_string(codes, ',') AS codes, CASE WHEN len(list_filter(codes, lambda c: c IN ('smb.no_creds', 'input.hdd', 'read.not_direct', 'input.unclassified_nas', 'output.parity', 'output.direct_disk_write', 'output.unclassified_nas'))) > 0 THEN 'warn' ELSE 'ok' END AS severity,
+ len(reasons) > 0 AS blocked, array_to_string(list_sort(list_distinct(list_transform(reasons, lambda c: {_TOKEN}))), ',') AS needed, len(reasons) < len(list_filter(codes, lambda c: {_TOKEN} IS NOT NULL)) AS used FROM g""")
+def advise_io(items):
+    servers = items.sparkSession.range(2).select(F.concat(F.lit("nas"), F.col("id") + 1).alias("server"), (F.col("id") == 0).alias("have_creds"), (F.col("id") == 1).alias("brokered"))
+    out = advice.gate_io(advice.advise_io(items.withColumn("acks", F.array("ack")), _DISKS, servers), "acks")
+    return out.select("item_id", F.array_join(F.transform("findings", lambda x: x["code"]), ",").alias("codes"), "severity", "blocked", F.array_join(F.sort_array("needed"), ",").alias("needed"), (F.size("acknowledged") > 0).alias("used"))
+
+
+@add("ledger", "SELECT item_id, CASE WHEN disk IS NULL AND item_id LIKE '%BUILDING%' THEN 'disk2' ELSE disk END AS disk, CASE WHEN coalesce(disk, CASE WHEN item_id LIKE '%BUILDING%' THEN 'disk2' END) IN ('disk1', 'disk2') AND attempts <> 1 THEN concat('/r/', coalesce(disk, 'disk2')) WHEN attempts = 1 THEN '/own' END AS read_root, CASE WHEN coalesce(disk, CASE WHEN item_id LIKE '%BUILDING%' THEN 'disk2' END) IN ('disk1', 'disk2') THEN concat('/w/', coalesce(disk, 'disk2')) ELSE NULL END AS write_root FROM ledger")
+def inject_roots(led):
+    topology = led.sparkSession.range(2).select(F.concat(F.lit("disk"), F.col("id") + 1).alias("disk")).select("disk", F.concat(F.lit("/r/"), "disk").alias("read"), F.concat(F.lit("/w/"), "disk").alias("write"))
+    items = led.select("item_id", "disk", F.when(F.col("attempts") == 1, "/own").alias("read_root"), F.lit("").alias("write_root"))
+    return joins.inject_roots(items, topology, [("disk2", "BUILDING")])
+
+
+@add("ledger jobs", ", n AS (SELECT min(job) AS job, 'fresh' AS label FROM ledger WHERE job = 'seg/BUILDING' HAVING count(DISTINCT job) = 1) SELECT coalesce(n.job, j.job) AS job, coalesce(n.label, j.label) AS label FROM jobs j FULL JOIN n ON n.job = j.job")
+def job_label(led, jobs):
+    return ledger.upsert_by_job(jobs, joins.job_label(led.where("job = 'seg/BUILDING'"), "fresh"), "label")
+
+
+@add("ledger fleet_runners", "SELECT item_id, coalesce(launch_command, '') AS launch_command, coalesce(task, '') AS task FROM ledger LEFT JOIN fleet_runners USING (runner_id)")
+def attach_runner(led, runners):
+    return joins.attach_runner(led, runners).select("item_id", "launch_command", "task")
+
+
+@add("ledger fleet_runners", "SELECT job, string_agg(launch_command, '|' ORDER BY first, launch_command) AS commands FROM (SELECT l.job, launch_command, min(runner_id) AS first FROM ledger l JOIN fleet_runners f USING (runner_id) WHERE launch_command <> '' GROUP BY 1, 2) GROUP BY 1")
+def launch_commands(led, runners):
+    return joins.launch_commands(led, runners).select("job", F.array_join("commands", "|").alias("commands"))
+
+
+_ORIGINS = "SELECT DISTINCT job, CASE WHEN length(job) % 2 = 0 THEN 'agent' ELSE 'shell' END AS kind, concat('a', CAST(length(job) % 3 AS {s})) AS agent_id, concat('cb', CAST(length(job) % 3 AS {s})) AS callback FROM ledger"
+
+
+@add("ledger firings", f", a AS (SELECT seq AS alert_id, disk FROM firings WHERE seq % 20 = 0), o AS ({_ORIGINS.format(s='VARCHAR')}), w AS (SELECT DISTINCT disk, kind, agent_id, callback FROM ledger JOIN o USING (job) WHERE state IN ('leased', 'pending')) SELECT DISTINCT alert_id, kind, agent_id, callback FROM a JOIN w ON a.disk IS NULL OR a.disk = w.disk")
+def attribute_origins(led, firings):
+    size = F.length("job")
+    origins = led.select("job").distinct().select("job", F.when(size % 2 == 0, "agent").otherwise("shell").alias("kind"), F.concat(F.lit("a"), size % 3).alias("agent_id"), F.concat(F.lit("cb"), size % 3).alias("callback"))
+    return joins.attribute_origins(firings.where("seq % 20 = 0").select(F.col("seq").alias("alert_id"), "disk"), led, origins)
+
+
+@add("firings ledger", "SELECT seq, disk FROM firings WHERE disk IS NULL OR disk IN (SELECT disk FROM ledger WHERE state = 'leased')")
+def scope_alerts(firings, led):
+    return joins.scope_alerts(firings.select("seq", "disk"), led.where("state = 'leased'"))
+
+
+@add("heartbeats", """, f AS (SELECT host, concat('repo', CAST(max(seq) % 4 AS VARCHAR)) AS repo, CASE WHEN max(seq) % 5 <> 0 THEN concat('s', CAST(max(seq) % 2 AS VARCHAR)) END AS sha, max(seq) % 3 = 0 AS dirty FROM heartbeats GROUP BY host), r AS (SELECT concat('repo', CAST(i AS VARCHAR)) AS repo, CASE WHEN i < 4 THEN 's0' END AS sha FROM range(5) t(i))
+ SELECT f.host, coalesce(f.repo, r.repo) AS repo, CASE WHEN coalesce(f.sha, '') = '' OR coalesce(r.sha, '') = '' THEN 'unverifiable' WHEN f.sha <> r.sha THEN 'stale' WHEN dirty THEN 'in_sync_dirty' ELSE 'in_sync' END AS state FROM f FULL JOIN r ON f.repo = r.repo""")
+def code_drift(beats):
+    n = F.max("seq")
+    prints = beats.groupBy("host").agg(F.concat(F.lit("repo"), n % 4).alias("repo"), F.when(n % 5 != 0, F.concat(F.lit("s"), n % 2)).alias("sha"), (n % 3 == 0).alias("dirty"))
+    return joins.code_drift(prints, beats.sparkSession.range(5).select(F.concat(F.lit("repo"), "id").alias("repo"), F.when(F.col("id") < 4, "s0").alias("sha")))
+
+
+_HEALTH = f"CASE WHEN leased <= 0 AND pending <= 0 THEN 'idle' WHEN leased > 0 AND recent <= 0 AND {LEDGER_NOW} - coalesce(last_completed, last_leased) >= 600 THEN 'stalled' WHEN leased > 0 AND recent > 0 THEN 'running' WHEN pending > 0 AND leased = 0 THEN 'queued' ELSE 'active' END"
+
+
+@add("ledger jobs fleet_runners", f""", r AS ({_ROLL}), w AS (SELECT job, {_RECENT} AS recent FROM ledger GROUP BY 1), d AS (SELECT job, string_agg(concat(disk, ':', CAST(n AS VARCHAR)), ',' ORDER BY disk) AS disk_inflight FROM (SELECT job, coalesce(disk, '?') AS disk, count(*) AS n FROM ledger WHERE state = 'leased' GROUP BY 1, 2) GROUP BY 1),
+ u AS (SELECT job, sum(workers) AS workers, sum(tree_rss_gb) AS tree_rss_gb, max(cpu_pct) AS cpu_pct, arg_min(task, runner_id) AS task FROM fleet_runners GROUP BY 1)
+ SELECT r.job, CASE WHEN failed > 0 AND pending = 0 AND leased = 0 THEN 'failed' WHEN done >= total THEN 'complete' WHEN leased > 0 THEN 'running' ELSE 'queued' END AS badge, {LEDGER_NOW} + CASE WHEN recent > 0 THEN (pending + leased) / (recent / CAST({WEEKS} AS DOUBLE)) ELSE 300.0 END AS projected_end,
+ coalesce(disk_inflight, '') AS disk_inflight, workers, tree_rss_gb, cpu_pct, concat_ws('; ', 'attach missing hosts: host77', CASE {_HEALTH} WHEN 'stalled' THEN 'stop the runners that hang, then give held items back' WHEN 'queued' THEN concat('start a runner for task ', coalesce(task, ''), ' of ', r.job) WHEN 'idle' THEN 'all is done: gather the outputs' END) AS hint
+ FROM r JOIN w USING (job) LEFT JOIN d USING (job) LEFT JOIN u USING (job)""")
+def status_board(led, jobs, runners):
+    configured = runners.select("host").union(runners.sparkSession.range(1).select(F.lit("Host77")))
+    out = ledger.status_view(led, jobs, LEDGER_NOW, WEEKS, runners, configured)
+    held = F.array_join(F.transform(F.map_entries("disk_inflight"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return out.select("job", "badge", "projected_end", F.coalesce(held, F.lit("")).alias("disk_inflight"), "workers", "tree_rss_gb", "cpu_pct", "hint")
+
+
+_RATE = "coalesce(greatest(0.0, (arg_max(done, ts) FILTER (WHERE {c}) - arg_min(done, ts) FILTER (WHERE {c})) / CAST(nullif(max(ts) FILTER (WHERE {c}) - min(ts) FILTER (WHERE {c}), 0) AS DOUBLE)), 0.0)"
+
+
+@add("runner_progress", f""", k AS (SELECT runner, ts, done FROM runner_progress UNION ALL SELECT NULL, ts, sum(done) FROM runner_progress GROUP BY ts), g AS (SELECT runner, {_RATE.format(c=f'{EVENTS_NOW} - ts <= {5 * DAY}')} AS recent, {_RATE.format(c=f'{EVENTS_NOW} - ts BETWEEN {10 * DAY} AND {25 * DAY}')} AS base, max(done) AS done FROM k WHERE ts <= {EVENTS_NOW} GROUP BY 1),
+ a AS (SELECT base AS all_base, done AS all_done FROM g WHERE runner IS NULL), s AS (SELECT *, CASE WHEN all_base > 0 THEN base / all_base WHEN base > 0 THEN 1.0 ELSE 0.0 END AS share FROM g, a WHERE all_done < 1000000000) SELECT runner, recent, base, share, base > 0 AND recent < 0.9 * base AND (runner IS NULL OR share >= 0.08) AS plateau FROM s""")
+def plateau_report(s):
+    return telemetry.plateau_report(s, EVENTS_NOW, 1_000_000_000, 5 * DAY, 10 * DAY, 25 * DAY, 0.9, 0.08)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
