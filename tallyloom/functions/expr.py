@@ -71,6 +71,16 @@ def render(template: str, stem: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{stem}"), stem), F.lit("{clip}"), F.concat(stem, F.lit(".npz")))
 
 
+# Command-line flags whose values are secret.
+SECRET_FLAGS = ("--token", "--password")
+
+
+def mask_flags(command: Column) -> Column:
+    """A command line with the values of secret flags, after a blank or =, replaced by ***."""
+    names = "|".join(SECRET_FLAGS)
+    return F.regexp_replace(command, rf"(^|\s)({names})(=|\s+)(\S+)", "$1$2$3***")
+
+
 def redact(text: Column, secrets: Sequence[str]) -> Column:
     """Each secret of six characters or more gives way to its first three and a mark, the longest first."""
     for s in sorted((s for s in secrets if len(s) >= 6), key=len, reverse=True):

@@ -85,6 +85,25 @@ def idle_windows(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_
     return sustained(load, "gate", F.col("util_pct") <= most_pct, sustain_s)
 
 
+def idle_gate(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s: float | None = None, sustain_min: float | None = None) -> DataFrame:
+    """Per gate and time: is it open, why, the busiest disk's utilisation, and for how long the gate's disks were quiet.
+
+    io: disk, ts, util_pct and samples; a disk with fewer than two samples says nothing. Quiet is at or under most_pct.
+    Without any telemetry a gate is open (NO_TELEMETRY), and its quiet time neither ends nor begins; a breach ends it.
+    Gates are rows of (gate, disk); the time may be given in minutes, and is 1,800 seconds by default.
+    """
+    sustain = sustain_s if sustain_s is not None else sustain_min * 60 if sustain_min is not None else 1800
+    util = F.max(F.when(F.col("samples") >= 2, F.col("util_pct"))).alias("cur_util")
+    load = io.join(gates.select("gate", "disk").distinct(), "disk").groupBy("gate", "ts").agg(util)
+    w = Window.partitionBy("gate").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    spells = load.withColumn("spell", F.count_if(F.col("cur_util") > most_pct).over(w))
+    since = F.min(F.when(F.col("cur_util") <= most_pct, F.col("ts"))).over(Window.partitionBy("gate", "spell").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    quiet = F.when(F.col("cur_util") <= most_pct, F.col("ts") - since).otherwise(0)
+    rows = spells.withColumn("quiet_for_s", quiet)
+    reason = F.when(F.col("cur_util").isNull(), "NO_TELEMETRY").when((F.col("cur_util") <= most_pct) & (F.col("quiet_for_s") >= sustain), "OPEN").otherwise("WAIT")
+    return rows.select("gate", "ts", (reason != "WAIT").alias("admit"), reason.alias("reason"), "cur_util", "quiet_for_s")
+
+
 def failure_storms(results: DataFrame, by: str = "runner_id", run: int = 3, window: int = 20, least: int = 5) -> DataFrame:
     """The first result of each key at which failures make a storm: `run` permanent ones in a row, or, among the last
     `window` results (`least` at the least), half failed and one signature has four fifths of those.
@@ -124,6 +143,44 @@ def readiness(shards: DataFrame, assigned: DataFrame) -> DataFrame:
     return one.select(F.inline(rows))
 
 
+# The code and severity of the alert for each verdict.
+BOTTLENECKS = {
+    "cpu_bound": ("host.cpu_bound", "warn"), "mem_pressure": ("host.mem_pressure", "warn"), "disk_at_ceiling": ("disk.at_ceiling", "warn"), "nas_single_spindle": ("nas.single_spindle", "warn"),
+    "net_bound": ("net.bound", "info"), "gpu_bound": ("gpu.bound", "warn"), "vram_pressure": ("gpu.vram_pressure", "critical"), "latency_bound": ("nas.latency_bound", "warn"),
+}
+
+
+def with_expected(samples: DataFrame, rate: str, by: Sequence[str]) -> DataFrame:
+    """observed: the newest positive rate; expected: the highest positive one before it (itself, if it is the only one)."""
+    w = Window.partitionBy(*by).orderBy("ts")
+    good = F.when(F.col(rate) > 0, F.col(rate))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = samples.withColumns({"observed": F.last(good, True).over(upto), "_n": F.count(good).over(upto)})
+    # the highest of all before the row of the newest positive rate
+    first = F.max(good).over(Window.partitionBy(*by, "_n").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    before = rows.withColumn("_before", F.max(good).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_first", first)
+    at_start = F.first("_before").over(Window.partitionBy(*by, "_n").orderBy("ts"))
+    return before.withColumns({"expected": F.when(F.col("_n") > 0, F.coalesce(at_start, "_first")).otherwise(0.0), "observed": F.coalesce("observed", F.lit(0.0))}).drop("_n", "_before", "_first")
+
+
+def bottleneck_alerts(verdicts: DataFrame, by: Sequence[str], sustain_s: int) -> DataFrame:
+    """Spells of a verdict other than healthy that lasted long enough: the alert's code, severity and disk, when it began,
+    fired and was last seen, and how often. Another verdict, healthy too, resolves the one before it.
+
+    verdicts: the `by` columns (a host, say, so that hosts are apart), ts, verdict, resource.
+    """
+    w = Window.partitionBy(*by).orderBy("ts")
+    turn = F.sum(F.when(F.col("verdict").eqNullSafe(F.lag("verdict").over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    begun = verdicts.withColumn("turn", turn).withColumn("begin_ts", F.min("ts").over(Window.partitionBy(*by, "turn"))).where(F.col("verdict").isin(*BOTTLENECKS))
+    fires = F.col("ts") - F.col("begin_ts") >= sustain_s
+    pick = lambda i: F.coalesce(*(F.when(F.col("verdict") == v, x[i]) for v, x in BOTTLENECKS.items()))
+    out = begun.groupBy(*by, "turn").agg(
+        F.first("verdict").alias("verdict"), F.min("begin_ts").alias("begin_ts"), F.min(F.when(fires, F.col("ts"))).alias("fire_ts"), F.max("ts").alias("end_ts"), F.count_if(fires).alias("firings"),
+        F.max_by("resource", "ts").alias("resource")).where("firings > 0")
+    disk = F.nullif(F.regexp_extract("resource", "^[^:]*:(.*)$", 1), F.lit(""))
+    return out.select(*by, "verdict", pick(0).alias("code"), pick(1).alias("severity"), disk.alias("disk"), "begin_ts", "fire_ts", "end_ts", "firings")
+
+
 def newest_verdicts(verdicts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Spells of one verdict: a new verdict ends the one before it."""
     w = Window.partitionBy(*by).orderBy("ts")

@@ -126,20 +126,58 @@ def code_drift(fingerprints: DataFrame, reference: DataFrame) -> DataFrame:
     """Per host and repository: in_sync, in_sync_dirty, stale, or unverifiable where a revision is missing."""
     f, r = fingerprints.alias("f"), reference.alias("r")
     sha, ref = F.coalesce(F.col("f.sha"), F.lit("")), F.coalesce(F.col("r.sha"), F.lit(""))
-    state = F.when((sha == "") | (ref == ""), "unverifiable").when(sha != ref, "stale").when(F.col("f.dirty"), "in_sync_dirty").otherwise("in_sync")
+    state = F.when((sha == "") | (ref == ""), "unverifiable").when(sha != ref, "stale").when(F.coalesce(F.col("f.dirty"), F.lit(False)) | (F.coalesce(F.col("r.dirty"), F.lit(False)) if "dirty" in reference.columns else F.lit(False)), "in_sync_dirty").otherwise("in_sync")
     return f.join(r, F.col("f.repo") == F.col("r.repo"), "full_outer").select("f.host", F.coalesce("f.repo", "r.repo").alias("repo"), state.alias("state"))
 
 
+def version_drift(versions: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per host and package it reports (the interpreter is the package `python`): the version wanted and whether it is that.
+
+    Advice only. A package that the reference lacks doesn't match, and one that no host reports stands without a host.
+    """
+    wanted = reference.select("package", F.col("version").alias("wanted"))
+    both = versions.select("host", "package", "version").join(wanted, "package", "full_outer")
+    return both.select("host", "package", "version", "wanted", F.coalesce(F.col("version") == F.col("wanted"), F.lit(False)).alias("matches"))
+
+
 def proportional_quota(groups: DataFrame, budget: int) -> DataFrame:
     """Each group's share of a budget by weight, one at least; null where there is nothing to share."""
     total = F.sum("weight").over(Window.partitionBy(F.lit(1)))
     return groups.withColumn("quota", F.when((total > 0) & F.lit(budget > 0), F.greatest(F.lit(1), F.ceil(F.col("weight") * budget / total))))
 
 
+def _budgets(items: DataFrame, caps: DataFrame) -> DataFrame:
+    """Per disk of the budget table: its cap, what is in flight on it, and what is free."""
+    held = items.where("state = 'leased'").groupBy("disk").agg(F.count("*").alias("inflight"))
+    out = caps.select("disk", "cap").join(held, "disk", "left").withColumn("inflight", F.coalesce("inflight", F.lit(0)))
+    return out.withColumn("free", F.greatest(F.lit(0), F.col("cap") - F.col("inflight")))
+
+
 def balanced_batch(items: DataFrame, caps: DataFrame, capacity: int) -> DataFrame:
-    """Capped round-robin: each disk gives its oldest items up to its cap, in turns; items without a disk come last in a turn."""
-    order = Window.partitionBy("disk").orderBy("created_at", "item_id")
-    ranked = items.where("state = 'pending'").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= capacity)
-    first = ranked.where("turn = 1").select(F.col("disk").alias("d"), F.col("created_at").alias("seen"), F.col("item_id").alias("seen_id"))
-    out = ranked.join(caps, "disk", "left").where("disk is null or turn <= coalesce(cap, 0)").join(first, F.col("disk").eqNullSafe(F.col("d")))
-    return out.orderBy("turn", F.col("disk").isNull(), "seen", "seen_id").limit(capacity).select("item_id", "disk", "turn")
+    """Capped round-robin: each disk gives its oldest items, up to its cap less what is in flight on it, in turns; items
+    without a disk, or on a disk without a cap, are one more stream, which comes last in a turn."""
+    pending = items.where("state = 'pending'").select("item_id", "disk", "created_at").join(_budgets(items, caps).select("disk", F.col("free").alias("free"), F.lit(True).alias("capped")), "disk", "left")
+    pending = pending.withColumn("stream", F.when(F.col("capped"), F.col("disk")))
+    order = Window.partitionBy("stream").orderBy("created_at", "item_id")
+    ranked = pending.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= capacity)
+    first = ranked.where("turn = 1").select(F.col("stream").alias("s"), F.col("created_at").alias("seen"), F.col("item_id").alias("seen_id"))
+    out = ranked.where("stream is null or turn <= free").join(first, F.col("stream").eqNullSafe(F.col("s")))
+    return out.orderBy("turn", F.col("stream").isNull(), "seen", "seen_id").limit(capacity).select("item_id", "disk", "turn")
+
+
+def batch_report(items: DataFrame, caps: DataFrame, batch: DataFrame, requested: int, capacity: int, banned: bool = False) -> DataFrame:
+    """Why a batch is as large as it is: one row per disk of the budget table (one with a null disk where it is empty), with
+    its budget, what was in flight and free on it, what it gave, the batch's size, all that was pending, and the reason.
+
+    requested: what the host asked for; capacity: that, cut to the host's fair share. Reasons, the first that holds:
+    HOST_BANNED; NO_PENDING; GRANTED_FULL, all that was asked for; FAIR_SHARE_CAP; DISK_BUDGET_FULL, items were left;
+    GRANTED_FULL, as nothing was left.
+    """
+    one = items.agg(F.count_if(F.col("state") == "pending").alias("pending_total")).join(batch.agg(F.count("*").alias("granted")))  # one row each
+    reason = (
+        F.when(F.lit(banned), "HOST_BANNED").when(F.col("pending_total") == 0, "NO_PENDING").when(F.col("granted") >= requested, "GRANTED_FULL")
+        .when(F.lit(capacity < requested) & (F.col("granted") >= capacity), "FAIR_SHARE_CAP").when(F.col("granted") < F.col("pending_total"), "DISK_BUDGET_FULL").otherwise("GRANTED_FULL")
+    )
+    gave = batch.groupBy("disk").agg(F.count("*").alias("granted_here"))
+    disks = _budgets(items, caps).join(gave, "disk", "left").select("disk", F.col("cap").alias("budget"), F.col("inflight").alias("inflight_before"), "free", F.coalesce("granted_here", F.lit(0)).alias("granted_here"))
+    return F.broadcast(one.withColumn("reason", reason)).join(disks, how="left").select("disk", "budget", "inflight_before", "free", "granted_here", "granted", "pending_total", "reason")

@@ -105,6 +105,13 @@ def stuck_items(marks: DataFrame, now: int, least_s: int) -> DataFrame:
     return m.where("item_id <> '' and started is not null and pid is not null").withColumn("elapsed_s", F.lit(now) - F.col("started")).where(F.col("elapsed_s") > least_s)
 
 
+def inflight_items(marks: DataFrame, now: int, max_age_s: int | None = None) -> DataFrame:
+    """Items in flight by their newest mark; marks older than the bound, if there is one, are left over from workers that died."""
+    m = marks.withColumn("started", F.expr("try_cast(started as double)")).where("item_id <> '' and started is not null").withColumn("elapsed_s", F.lit(now) - F.col("started"))
+    m = m if max_age_s is None else m.where(F.col("elapsed_s") <= max_age_s)
+    return m.groupBy("item_id").agg(F.min("elapsed_s").alias("elapsed_s"))
+
+
 def upsert_by_job(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """A setting of jobs (job, column) after an upsert: the new value where there is a row, null included (which clears it), else the old."""
     fresh = new.select("job", F.col(column).alias("fresh"), F.lit(True).alias("given"))

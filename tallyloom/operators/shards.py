@@ -14,6 +14,13 @@ HEAD = 10_000
 GROUPS = 1024
 
 
+def shard_summary(plan: DataFrame) -> DataFrame:
+    """Per shard of a plan its files, bytes and share of all bytes in percent, and the plan's skew: the largest over the mean."""
+    by = plan.groupBy("shard").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    all_ = by.agg(F.sum("bytes").alias("all_bytes"), (F.max("bytes") / F.avg("bytes")).alias("skew"))
+    return by.join(F.broadcast(all_)).select("shard", "files", "bytes", (100.0 * F.col("bytes") / F.nullif("all_bytes", F.lit(0))).alias("percent"), "skew")  # one row
+
+
 def shard_plan(manifest: DataFrame, n: int, head: int = HEAD) -> DataFrame:
     """Shard 1 to n for each file: rel_path, size, shard.
 

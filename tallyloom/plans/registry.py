@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
 from ..functions import expr
@@ -435,7 +436,12 @@ def plateau(s):
     return telemetry.plateau(s, EVENTS_NOW, "runner", 5 * DAY, 10 * DAY, 25 * DAY, 0.9)
 
 
-@add("ledger budgets", ", r AS (SELECT *, row_number() OVER (PARTITION BY disk ORDER BY created_at, item_id) AS turn FROM ledger WHERE state = 'pending'), s AS (SELECT disk, created_at AS seen, item_id AS seen_id FROM r WHERE turn = 1), c AS (SELECT disk, sum(budget) AS cap FROM budgets GROUP BY 1) SELECT r.item_id, r.disk, turn FROM r JOIN s ON r.disk IS NOT DISTINCT FROM s.disk LEFT JOIN c ON r.disk = c.disk WHERE turn <= 500 AND (r.disk IS NULL OR turn <= coalesce(cap, 0)) ORDER BY turn, r.disk IS NULL, seen, seen_id LIMIT 500")
+_BATCH = """, c AS (SELECT disk, sum(budget) AS cap FROM budgets GROUP BY 1), h AS (SELECT disk, count(*) AS inflight FROM ledger WHERE state = 'leased' GROUP BY 1), g AS (SELECT disk, cap, coalesce(inflight, 0) AS inflight, greatest(0, cap - coalesce(inflight, 0)) AS free FROM c LEFT JOIN h USING (disk)),
+ p AS (SELECT item_id, l.disk, created_at, g.disk AS stream, free FROM ledger l LEFT JOIN g ON l.disk = g.disk WHERE state = 'pending'), r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY created_at, item_id) AS turn FROM p), s AS (SELECT stream, created_at AS seen, item_id AS seen_id FROM r WHERE turn = 1),
+ b AS (SELECT r.item_id, r.disk, turn FROM r JOIN s ON r.stream IS NOT DISTINCT FROM s.stream WHERE turn <= 500 AND (r.stream IS NULL OR turn <= free) ORDER BY turn, r.stream IS NULL, seen, seen_id LIMIT 500)"""
+
+
+@add("ledger budgets", _BATCH + " SELECT * FROM b")
 def balanced_batch(led, budgets):
     return joins.balanced_batch(led, budgets.groupBy("disk").agg(F.sum("budget").alias("cap")), 500)
 
@@ -621,6 +627,54 @@ def plateau_report(s):
     return telemetry.plateau_report(s, EVENTS_NOW, 1_000_000_000, 5 * DAY, 10 * DAY, 25 * DAY, 0.9, 0.08)
 
 
+@add("ledger budgets", _BATCH + """, n AS (SELECT disk, count(*) AS granted_here FROM b GROUP BY 1), t AS (SELECT (SELECT count(*) FROM b) AS granted, (SELECT count(*) FROM ledger WHERE state = 'pending') AS pending_total)
+ SELECT g.disk, cap AS budget, inflight AS inflight_before, free, coalesce(granted_here, 0) AS granted_here, granted, pending_total, CASE WHEN pending_total = 0 THEN 'NO_PENDING' WHEN granted >= 900 THEN 'GRANTED_FULL' WHEN granted >= 500 THEN 'FAIR_SHARE_CAP' WHEN granted < pending_total THEN 'DISK_BUDGET_FULL' ELSE 'GRANTED_FULL' END AS reason
+ FROM g LEFT JOIN n USING (disk), t""")
+def batch_report(led, budgets):
+    caps = budgets.groupBy("disk").agg(F.sum("budget").alias("cap"))
+    return joins.batch_report(led, caps, joins.balanced_batch(led, caps, 500), 900, 500)
+
+
+@add("utils", """, l AS (SELECT concat('gate', CAST(CAST(substr(disk, 5) AS BIGINT) % 3 AS VARCHAR)) AS gate, ts, max(CASE WHEN CAST(util_pct AS BIGINT) % 4 >= 2 THEN util_pct END) AS cur_util FROM utils GROUP BY 1, 2),
+ s AS (SELECT *, count(*) FILTER (WHERE cur_util > 40) OVER (PARTITION BY gate ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM l), q AS (SELECT *, CASE WHEN cur_util <= 40 THEN ts - min(ts) FILTER (WHERE cur_util <= 40) OVER (PARTITION BY gate, spell ORDER BY ts ROWS UNBOUNDED PRECEDING) ELSE 0 END AS quiet_for_s FROM s)
+ SELECT gate, ts, cur_util IS NULL OR (cur_util <= 40 AND quiet_for_s >= 1800) AS admit, CASE WHEN cur_util IS NULL THEN 'NO_TELEMETRY' WHEN cur_util <= 40 AND quiet_for_s >= 1800 THEN 'OPEN' ELSE 'WAIT' END AS reason, cur_util, quiet_for_s FROM q""")
+def idle_gate(s):
+    gates = s.select("disk").distinct().withColumn("gate", F.concat(F.lit("gate"), (F.substring("disk", 5, 9).cast("long") % 3).cast("string")))
+    return detect.idle_gate(s.withColumn("samples", F.col("util_pct").cast("long") % 4), gates, 40, sustain_min=30)
+
+
+@add("host_hours disk_hours", f""", v AS ({_VERDICTS}), t AS (SELECT ts, verdict, CASE verdict WHEN 'disk_at_ceiling' THEN hot WHEN 'nas_single_spindle' THEN warm END AS disk, sum(CASE WHEN verdict IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT *, lag(verdict) OVER (ORDER BY ts) AS before FROM v)),
+ b AS (SELECT *, min(ts) OVER (PARTITION BY turn) AS begin_ts FROM t WHERE verdict <> 'healthy') SELECT 'all' AS host, min(verdict) AS verdict, CASE min(verdict) {' '.join(f"WHEN '{v}' THEN '{c}'" for v, (c, _) in detect.BOTTLENECKS.items())} END AS code, CASE min(verdict) {' '.join(f"WHEN '{v}' THEN '{x}'" for v, (_, x) in detect.BOTTLENECKS.items())} END AS severity,
+ arg_max_null(disk, ts) AS disk, min(begin_ts) AS begin_ts, min(ts) FILTER (WHERE ts - begin_ts >= 21600) AS fire_ts, max(ts) AS end_ts, count(*) FILTER (WHERE ts - begin_ts >= 21600) AS firings FROM b GROUP BY turn HAVING count(*) FILTER (WHERE ts - begin_ts >= 21600) > 0""")
+def bottleneck_alerts(hosts, disks):
+    return detect.bottleneck_alerts(detect.bottleneck(_with_disks(hosts, disks)).withColumn("host", F.lit("all")), ["host"], 21600)
+
+
+@add("runner_progress", """, d AS (SELECT runner, ts, CAST(done - lag(done) OVER (PARTITION BY runner ORDER BY ts) AS DOUBLE) AS n FROM runner_progress), r AS (SELECT *, CASE WHEN n % 3 > 0 THEN n END AS good FROM d), k AS (SELECT *, count(good) OVER (PARTITION BY runner ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i, max(good) OVER (PARTITION BY runner ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r)
+ SELECT runner, ts, coalesce(first_value(good) OVER w, 0.0) AS observed, CASE WHEN i > 0 THEN coalesce(first_value(m) OVER w, first_value(good) OVER w) ELSE 0.0 END AS expected FROM k WINDOW w AS (PARTITION BY runner, i ORDER BY ts ROWS UNBOUNDED PRECEDING)""")
+def expected_rate(s):
+    n = F.col("done") - F.lag("done").over(Window.partitionBy("runner").orderBy("ts"))
+    rates = s.withColumn("n", n.cast("double")).withColumn("rate", F.when(F.col("n") % 3 > 0, F.col("n")).otherwise(0.0))
+    return detect.with_expected(rates, "rate", ["runner"]).select("runner", "ts", "observed", "expected")
+
+
+@add("marks", f"SELECT item_id, min({EVENTS_NOW} - CAST(started AS DOUBLE)) AS elapsed_s FROM marks WHERE item_id <> '' AND started <> 'soon' AND {EVENTS_NOW} - CAST(started AS DOUBLE) <= {10 * DAY} GROUP BY 1")
+def inflight_items(marks):
+    return ledger.inflight_items(marks, EVENTS_NOW, 10 * DAY)
+
+
+@add("fleet_runners", "SELECT runner_id, CASE WHEN launch_command = '' THEN '--token=***' ELSE concat(launch_command, ' --password *** --x') END AS command FROM fleet_runners")
+def mask_flags(runners):
+    raw = F.when(F.col("launch_command") == "", F.concat(F.lit("--token="), "runner_id")).otherwise(F.concat("launch_command", F.lit(" --password "), "host", F.lit(" --x")))
+    return runners.select("runner_id", expr.mask_flags(raw).alias("command"))
+
+
+@add("heartbeats", ", v AS (SELECT DISTINCT host, concat('pkg', CAST(workers % 4 AS VARCHAR)) AS package, CAST(workers % 3 AS VARCHAR) AS version FROM heartbeats), r AS (SELECT concat('pkg', CAST(i AS VARCHAR)) AS package, '1' AS wanted FROM range(2, 6) t(i)) SELECT host, package, version, wanted, coalesce(version = wanted, false) AS matches FROM v FULL JOIN r USING (package)")
+def version_drift(beats):
+    versions = beats.select("host", F.concat(F.lit("pkg"), F.col("workers") % 4).alias("package"), (F.col("workers") % 3).cast("string").alias("version")).distinct()
+    return joins.version_drift(versions, beats.sparkSession.range(2, 6).select(F.concat(F.lit("pkg"), "id").alias("package"), F.lit("1").alias("version")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
