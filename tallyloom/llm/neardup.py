@@ -180,6 +180,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif right is left:
                     other[:i] &= ~right.roams[:i]
                 other = np.flatnonzero(other)
+                if not len(other):
+                    continue
                 same = right.sign[other] == left.sign[i]
                 shared = same.reshape(len(other), ROWS, -1).all(1).argmax(1)
                 for j in other[(shared == at) & (same.mean(1) >= LEAST_AGREEMENT)]:
