@@ -86,6 +86,7 @@ def advise_io(items: DataFrame, disks: Sequence[Disk], servers: DataFrame) -> Da
     fast = lambda at, name: kind(at) == name
     slow = _pick(there, disks, lambda d: (F.lit(bool(_plain(d.read))) & ~(_under(r, d.read) | _under(r, d.direct))))
     raw = _pick(gone, disks, lambda d: _under(w, d.direct) | (F.lit(bool(_plain(d.read) and _plain(d.write) and _plain(d.read) != _plain(d.write))) & _under(w, d.read)))
+    slow, raw = (F.coalesce(c.cast("boolean"), F.lit(False)) for c in (slow, raw))
     parity = F.coalesce(_pick(gone, disks, lambda d: F.lit(d.parity)), F.lit(False))
     creds = lambda side: F.coalesce(F.col(f"_{side}c"), F.lit(False))
     broker = lambda side: F.coalesce(F.col(f"_{side}b"), F.lit(False))

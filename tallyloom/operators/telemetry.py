@@ -131,12 +131,12 @@ BIAS = {"conservative": 0.85, "balanced": 0.90, "aggressive": 1.0}
 OTHER_BIAS, NO_SAMPLES = 0.95, 4
 
 
-def suggest_concurrency(samples: DataFrame, bias: str = "balanced", disks: DataFrame | None = None) -> DataFrame:
+def suggest_concurrency(samples: DataFrame, bias: str | float = "balanced", disks: DataFrame | None = None) -> DataFrame:
     """Per disk the lowest concurrency that reaches a share of the best throughput, and where that is.
 
-    With a table of disks, those without samples get a default and no peak.
+    bias: a name, or the share itself. With a table of disks, those without samples get a default and no peak.
     """
-    share = BIAS.get(bias, OTHER_BIAS)
+    share = bias if isinstance(bias, float) else BIAS.get(bias, OTHER_BIAS)
     best = F.max("mbps").over(Window.partitionBy("disk"))
     ok = samples.withColumn("best", best)
     out = ok.groupBy("disk").agg(F.min(F.when(F.col("mbps") >= share * F.col("best"), F.col("concurrency"))).alias("suggested"), F.max("mbps").alias("peak"), F.max_by("concurrency", F.struct("mbps", -F.col("concurrency"))).alias("peak_concurrency"))
