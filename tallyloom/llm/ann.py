@@ -4,6 +4,7 @@ and queries walk it greedily."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from .common import Scratch
 
 #: Neighbours a node keeps, rows compared at once when the graph starts and when it improves, and new neighbours that one comparison may give a node.
 K, START_BLOCK, JOIN_BLOCK, GIVEN = 24, 256, 96, 10
+#: The descent ends with the first round that changes less than this share of all edges.
+STILL = 0.05
+#: Every query is compared with this many longest vectors at first, and may start from the best of them.
+LONGEST, ENTRIES = 512, 40
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -79,17 +84,19 @@ def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep(edges: DataFrame, most: int) -> DataFrame:
-    """The `most` nearest distinct neighbours of each node."""
+    """The `most` nearest distinct neighbours of each node; `old` tells the edges that were there before."""
     order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    best = edges.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    best = edges.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def build_graph(nodes: DataFrame, scratch: Scratch, rounds: int, starts: int = 3, dims: int = 64) -> DataFrame:
-    """Edges (a, b, sim, place) of nodes(id, row): K neighbours each.
+def build_graph(nodes: DataFrame, scratch: Scratch, starts: int = 3, dims: int = 64) -> DataFrame:
+    """Edges (a, b, sim, old, place) of nodes(id, row, floats): K neighbours each.
 
     The first come from blocks along `starts` random directions, which a range partitioning sorts; then in every round
-    the neighbours of each node, both ways, are compared with each other, so that neighbours of neighbours meet.
+    the neighbours of each node, both ways, are compared with each other, so that neighbours of neighbours meet. A node
+    with many of them deals them out anew in every round. Rounds go on until few edges change; as a list of neighbours only
+    ever gets nearer, that comes to an end.
     """
     draw = np.random.default_rng(17).normal(size=(starts, dims))
     first = None
@@ -97,38 +104,45 @@ def build_graph(nodes: DataFrame, scratch: Scratch, rounds: int, starts: int = 3
         line = F.aggregate(F.zip_with("floats", F.array(*map(F.lit, map(float, draw[k]))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
         some = nodes.withColumn("at", line).repartitionByRange(F.col("at"), F.col("id")).sortWithinPartitions("at", "id").select("id", "row").mapInArrow(_start, "a long, b long, sim float")
         first = some if first is None else first.unionByName(some)
-    graph = scratch.save(_keep(first, K), "graph0")
-    for r in range(rounds):
+    graph = scratch.save(_keep(first.withColumn("old", F.lit(False)), K), "graph0")
+    edges = graph.count()
+    for r in count():
         ways = graph.select(F.col("a").alias("to"), F.col("b").alias("id")).union(graph.select(F.col("b").alias("to"), F.col("a").alias("id"))).distinct()
         parts = ways.groupBy("to").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))  # a node that many have as neighbour is dealt out
         last = graph.groupBy("a").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select(F.col("a").alias("id"), F.when(F.col("n") < K, F.lit(-2.0)).otherwise(F.col("least")).cast("float").alias("least"))
-        calls = ways.join(parts, "to").select("to", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+        mix = F.xxhash64("id", F.lit(r))
+        calls = ways.join(parts, "to").select("to", F.pmod(mix, "parts").cast("int").alias("part"), "id")
         calls = calls.join(nodes.select("id", "row").join(last, "id"), "id").select("to", "part", "id", "row", "least")
-        met = calls.repartition("to", "part").sortWithinPartitions("to", "part", "id").mapInArrow(_introduce, "a long, b long, sim float")
-        graph = scratch.save(_keep(graph.select("a", "b", "sim").unionByName(met), K), f"graph{r + 1}")
+        met = calls.repartition("to", "part").sortWithinPartitions("to", "part", mix).mapInArrow(_introduce, "a long, b long, sim float")
+        both = graph.select("a", "b", "sim", F.lit(True).alias("old")).unionByName(met.withColumn("old", F.lit(False)))
+        graph = scratch.save(_keep(both, K), f"graph{r + 1}")
         scratch.drop(f"graph{r}")
-    return graph
+        if graph.where(~F.col("old")).count() <= STILL * edges:
+            return graph
 
 
 def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of a node and their rows, as two byte strings."""
+    """Neighbours of a node, their rows and their lengths, as three byte strings."""
     for batch in batches:
-        ids, rows = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(x, np.int64).tobytes() for x in ids], pa.binary()), pa.array([b"".join(x) for x in rows], pa.binary())], ["a", "ids", "rows"])
+        ids, rows, sizes = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([np.asarray(x, np.int64).tobytes() for x in ids], pa.binary()), pa.array([b"".join(x) for x in rows], pa.binary()), pa.array([np.asarray(x).tobytes() for x in sizes], pa.binary())],
+            ["a", "ids", "rows", "sizes"],
+        )
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours of a node that are nearer to a query at it than the last of the query's pool."""
     for batch in batches:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for ids, rows, asked in zip(*(batch.column(i) for i in range(3)), strict=True):
+        for ids, rows, sizes, asked in zip(*(batch.column(i) for i in range(4)), strict=True):
             ids = np.frombuffer(ids.as_buffer(), np.int64)
             rows = np.frombuffer(rows.as_buffer(), np.float16).reshape(len(ids), -1).astype(np.float32)
             q, least = (np.asarray(asked.values.field(i)) for i in (0, 2))
-            sims = _rows(asked.values.field(1)) @ rows.T
+            sims = (_rows(asked.values.field(1)) @ rows.T) * np.frombuffer(sizes.as_buffer(), np.float64)
             i, j = np.nonzero(sims > least[:, None])
             found.append((q[i], ids[j], sims[i, j]))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["q", "id", "sim"])
 
 
@@ -143,28 +157,73 @@ def around_name(scratch: Scratch) -> str:
 
 
 def _adjacency(graph: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, ids, rows): neighbours both ways with their rows, up to about 64 in a row of the table, bucketed by node, so
+    """(a, ids, rows, sizes): neighbours both ways with their rows and lengths, up to about 64 in a row of the table, bucketed by node, so
     that no hop has to move it."""
     spark = graph.sparkSession
     ways = scratch.save(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ways")
     parts = ways.groupBy("a").agg(F.ceil(F.count("*") / 64).cast("int").alias("parts"))
-    ways = ways.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b").join(nodes.select(F.col("id").alias("b"), "row"), "b")
+    ways = ways.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b").join(nodes.select(F.col("id").alias("b"), "row", "length"), "b")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = ways.repartition(n, "a").groupBy("a", "part").agg(F.collect_list(F.struct("b", "row")).alias("all")).select("a", "all.b", "all.row")
-    table = lists.mapInArrow(_lay_out, "a long, ids binary, rows binary").repartition(n, "a").sortWithinPartitions("a")
+    lists = ways.repartition(n, "a").groupBy("a", "part").agg(F.collect_list(F.struct("b", "row", "length")).alias("all")).select("a", "all.b", "all.row", "all.length")
+    table = lists.mapInArrow(_lay_out, "a long, ids binary, rows binary, sizes binary").repartition(n, "a").sortWithinPartitions("a")
     table.write.bucketBy(n, "a").sortBy("a").option("path", f"{scratch.root}/around").saveAsTable(around_name(scratch))
     return spark.table(around_name(scratch))
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 20, rounds: int = 4, hops: int = 9, width: int = 56, ef: int = 480) -> DataFrame:
+def _enter(longest: list[tuple[int, bytes, float]]):
+    """Compares queries with a few given nodes: the best of them for each query."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes = np.array([i for i, _, _ in longest], np.int64), np.array([x for _, _, x in longest])
+        rows = _rows(pa.array([bytes(x) for _, x, _ in longest], pa.binary()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sims = (_rows(part.column(1)) @ rows.T) * sizes
+                top = np.argsort(-sims, axis=1, kind="stable")[:, :ENTRIES]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())], ["q", "id", "sim"])
+
+    return compare
+
+
+def _walk(asked: DataFrame, nodes: DataFrame, around: DataFrame, scratch: Scratch, width: int, reach: int, ef: int) -> DataFrame:
+    """Greedy search: the `ef` best nodes (q, id, sim, seen, place) of every query of asked(q, query)."""
+    # its own node comes before anything else of a query
+    own = asked.select("q", F.col("q").alias("id"), F.lit(2.0).alias("sim"))
+    entries = [(r["id"], r["row"], r["length"]) for r in nodes.orderBy(F.desc("log_length"), "id").limit(LONGEST).select("id", "row", "length").collect()]
+    if entries:
+        own = own.unionByName(asked.mapInArrow(_enter(entries), "q long, id long, sim double").where("q <> id"))
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
+    pool = scratch.save(own.withColumn("seen", F.lit(False)).withColumn("place", F.row_number().over(order)), "pool0")
+    for h in count():
+        open_ = pool.where(~F.col("seen") & (F.col("place") <= reach)).select("q").distinct()
+        if open_.isEmpty():
+            break
+        least = pool.groupBy("q").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select("q", F.when(F.col("n") < ef, F.lit(-2.0)).otherwise(F.col("least")).alias("least"))
+        pool = pool.withColumn("turn", F.row_number().over(Window.partitionBy("q", "seen").orderBy("place")))
+        turn = pool.where(~F.col("seen") & (F.col("turn") <= width)).join(open_, "q").join(asked, "q").join(least, "q").select(F.col("id").alias("a"), "q", "query", "least")
+        # many queries at one node are dealt out
+        turn = turn.repartition("a").groupBy("a", F.pmod("q", F.lit(16)).alias("deal")).agg(F.collect_list(F.struct("q", "query", "least")).alias("asked"))
+        fresh = around.join(turn.hint("shuffle_hash"), "a").select("ids", "rows", "sizes", "asked").mapInArrow(_look, "q long, id long, sim double").withColumn("seen", F.lit(False))
+        done = pool.select("q", "id", "sim", (F.col("seen") | (F.col("turn") <= width)).alias("seen"))
+        both = done.unionByName(fresh).repartition("q").groupBy("q", "id").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
+        pool = scratch.save(both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ef), f"pool{h + 1}")
+        scratch.drop(f"pool{h}")
+    return pool
+
+
+def nearest(vectors: DataFrame, is_query, top: int = 20, width: int = 56, reach: int = 240, ef: int = 480) -> DataFrame:
     """The `top` nearest other rows of every query row, by inner product of the original vectors in double precision.
 
     Vectors that are null, empty, all zero, or hold null or non-finite components, and rows with a null vec_id, take no
     part, nor do vectors of another length than most. Equal vectors are one node of the graph; afterwards a node stands
     for its rows with the smallest vec_ids, as many as a result can need. Rows repeating vec_id and vector count once.
     Ties go to the smaller vec_id; with fewer candidates than `top`, all are found; an empty table gives no rows.
-    Every row is indexed. A query keeps the `ef` best nodes met; in each hop it looks at the neighbours, both ways, of its
-    `width` best nodes not yet looked at. Rows in the graph are of half precision; exact scores come last.
+    Every row is indexed. The graph joins near directions, in half precision; lengths are kept apart from them, in double
+    precision, so a very long vector takes nothing from the others. A query starts at its own node and at the best of the
+    LONGEST vectors, and keeps the `ef` best nodes met, by inner product. In each hop it looks at the neighbours, both ways, of
+    its `width` best nodes not yet looked at; it goes on until it has looked at all its `reach` best ones, however large
+    the table is. Exact scores come last.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -177,38 +236,28 @@ def nearest(vectors: DataFrame, is_query, top: int = 20, rounds: int = 4, hops:
     rows = good.select("vec_id", "kind").distinct()
     members = scratch.save(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1).select("kind", "vec_id"), "members")
     kinds = scratch.save(good.groupBy("kind").agg(F.first("v").alias("v")), "kinds")
-    longest = kinds.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
 
-    # One more component makes all rows equally long, so that the largest inner product is the smallest angle.
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.asarray(batch.column(1).values).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, dims))
-            v = np.concatenate([v / longest, np.sqrt(np.maximum(0, 1 - ((v / longest) ** 2).sum(1)))[:, None]], axis=1)
-            flat = np.concatenate([v[:, :-1], np.zeros((len(v), 1))], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary()), pa.array([x.tobytes() for x in flat.astype(np.float16)], pa.binary()), pa.array(list(v[:, :-1].astype(np.float32)), pa.list_(pa.float32()))], ["id", "row", "query", "floats"])
-
-    nodes = scratch.save(kinds.mapInArrow(pack, "id long, row binary, query binary, floats array<float>"), "nodes")
-    graph = build_graph(nodes, scratch, rounds, dims=dims)
+            v = np.asarray(batch.column(1).values).reshape(batch.num_rows, -1) if batch.num_rows else np.ones((0, dims))
+            most = np.abs(v).max(1, initial=0)
+            v = v / most[:, None]  # squares neither overflow nor vanish
+            size = np.sqrt((v * v).sum(1))
+            v = v / size[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary()), pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())), pa.array(np.log(most) + np.log(size))], ["id", "row", "floats", "log_length"])
+
+    nodes = scratch.save(kinds.mapInArrow(split, "id long, row binary, floats array<float>, log_length double"), "nodes")
+    longest = nodes.agg(F.max("log_length")).first()[0] or 0.0
+    nodes = nodes.withColumn("length", F.exp(F.col("log_length") - longest))
+    graph = build_graph(nodes, scratch, dims=dims)
     queries = scratch.save(good.where(is_query).select("vec_id", "kind").distinct(), "queries")
     asked = queries.select(F.col("kind").alias("q")).distinct()
-    asked = scratch.save(asked.join(nodes.select(F.col("id").alias("q"), "query"), "q"), "asked")
-    around = _adjacency(graph, nodes, scratch)
-    # a query starts at its own node, which is nearer than anything else of its length
-    pool = scratch.save(asked.select("q", F.col("q").alias("id"), F.lit(2.0).cast("float").alias("sim"), F.lit(False).alias("seen")), "pool0")
-    for h in range(hops):
-        order = Window.partitionBy("q", "seen").orderBy(F.desc("sim"), "id")
-        least = pool.groupBy("q").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select("q", F.when(F.col("n") < ef, F.lit(-2.0)).otherwise(F.col("least")).cast("float").alias("least"))
-        pool = pool.withColumn("place", F.row_number().over(order))
-        turn = pool.where(~F.col("seen") & (F.col("place") <= width)).join(asked, "q").join(least, "q").select(F.col("id").alias("a"), "q", "query", "least")
-        # many queries at one node are dealt out
-        turn = turn.repartition("a").groupBy("a", F.pmod("q", F.lit(16)).alias("deal")).agg(F.collect_list(F.struct("q", "query", "least")).alias("asked"))
-        fresh = around.join(turn.hint("shuffle_hash"), "a").select("ids", "rows", "asked").mapInArrow(_look, "q long, id long, sim float").withColumn("seen", F.lit(False))
-        done = pool.select("q", "id", "sim", (F.col("seen") | (F.col("place") <= width)).alias("seen"))
-        both = done.unionByName(fresh).repartition("q").groupBy("q", "id").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))
-        pool = scratch.save(both.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= ef).drop("place"), f"pool{h + 1}")
-        scratch.drop(f"pool{h}")
-    spark.sql(f"DROP TABLE {around_name(scratch)}")
-    best = pool.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("place") <= 2 * top)
+    asked = scratch.save(asked.join(nodes.select(F.col("id").alias("q"), F.col("row").alias("query")), "q"), "asked")
+    try:
+        pool = _walk(asked, nodes, _adjacency(graph, nodes, scratch), scratch, width, reach, ef)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {around_name(scratch)}")
+    best = pool.where(F.col("place") <= 4 * top)  # half precision may have changed their order
     exact = best.select("q", "id").join(kinds.select(F.col("kind").alias("id"), F.col("v").alias("x")), "id").join(kinds.select(F.col("kind").alias("q"), F.col("v").alias("y")), "q")
     exact = exact.select("q", "id", "y", "x").mapInArrow(_exact, "q long, id long, score double")
     # no query needs more than top + 1 rows of its kind's results, its own row among them

@@ -265,3 +265,17 @@ def test_pipeline_is_the_chain_of_its_stages(spark, tmp_path):
             want.append((i, at, n, zlib.crc32(np.asarray(ids[at : at + n], "<u4").tobytes()), len(ids)))
             at += n
     assert got == sorted(want)
+
+
+def test_a_very_long_vector_takes_nothing_from_the_others(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(800, 16)) * draw.uniform(0.5, 2, size=(800, 1))
+    x[7] *= 1e9
+    x[11] *= 1e-9
+    got = ann.nearest(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).toPandas()
+    hit = 0
+    for q, found in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(found.vec_id) & set(np.argsort(-s)[:20].tolist()))
+    assert len(got) == 20 * 40 and hit / len(got) >= 0.95
