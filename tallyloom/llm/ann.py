@@ -212,7 +212,7 @@ def _walk(asked: DataFrame, nodes: DataFrame, around: DataFrame, scratch: Scratc
     return pool
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 20, width: int = 56, reach: int = 240, ef: int = 480) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, top: int = 20, width: int = 80, reach: int = 160, ef: int = 480) -> DataFrame:
     """The `top` nearest other rows of every query row, by inner product of the original vectors in double precision.
 
     Vectors that are null, empty, all zero, or hold null or non-finite components, and rows with a null vec_id, take no
