@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hardneg, neardup, ordinal, packing, pii, secrets, sharding, tokencount, urlrules
+from . import ann, crossalign, decontam, hardneg, neardup, ordinal, packing, pii, secrets, sharding, tokencount, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,17 @@ def op10_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.align(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_binary_packing, op3_secret_forest, op4_section_tokens, op5_neighbour_descent, op6_personal_data, op7_fm_decontamination, op8_jump_sharding, op9_url_rules, op10_minmax_neardup, op12_threshold_negatives)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_binary_packing, op3_secret_forest, op4_section_tokens, op5_neighbour_descent, op6_personal_data, op7_fm_decontamination, op8_jump_sharding, op9_url_rules, op10_minmax_neardup, op11_pointer_alignment, op12_threshold_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
