@@ -15,32 +15,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import Scratch
+from .tokencount import encoder
 
-#: Bytes of texts that are encoded together, and whose links share one packed row, but for a single longer text.
-CHUNK_BYTES = 2 << 20
+#: Bytes of texts whose links share one packed row, and of those that are encoded together, but for a single longer text.
+CHUNK_BYTES, CODE_BYTES = 2 << 20, 128 << 10
+#: Ids that are written at once.
+_SLICE = 1 << 17
 _BYTE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
-
-
-def byte_level(piece: str) -> bytes:
-    """The bytes that a byte-level vocabulary writes as this string: printable bytes stand for themselves, the others,
-    in order, for the characters from 256 on."""
-    return bytes(map(_LEVEL.__getitem__, piece))
-
-
-def _levels() -> dict[str, int]:
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-_LEVEL = _levels()
+#: What follows an id: another of its side, the other side's, or the next group. Every id is written once with each.
+_MARKS, _IDS = ",|;", 1 << 16
+_WRITTEN = [f"{i}{m}".encode() for i in range(_IDS) for m in _MARKS]
+_SIZES = np.array([len(w) for w in _WRITTEN])
+_BEGINS, _DIGITS = np.cumsum(_SIZES) - _SIZES, np.frombuffer(b"".join(_WRITTEN), np.uint8)
+del _WRITTEN
 
 
 class Code:
     """A tokenizer: ids of texts, and the bytes of each id in one long array."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list], pieces: list[bytes]):
+        if len(pieces) > _IDS:
+            raise ValueError(f"a vocabulary of {len(pieces)} ids; {_IDS} at most")
         self.encode, self.size = encode, np.array([len(p) for p in pieces], np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
@@ -52,16 +48,11 @@ class Code:
         return self.bytes[at + np.arange(len(at))]
 
 
-def byte_code(path: str) -> Code:
-    """A byte-level vocabulary of the tokenizers library; special tokens inside texts are plain text."""
-    from tokenizers import Tokenizer
-
-    code = Tokenizer.from_file(path)
-    code.encode_special_tokens = True
-    pieces = [b""] * code.get_vocab_size()
-    for piece, i in code.get_vocab().items():
-        pieces[i] = byte_level(piece) if all(c in _LEVEL for c in piece) else piece.encode()
-    return Code(lambda texts: [e.ids for e in code.encode_batch_fast(texts, add_special_tokens=False)], pieces)
+def byte_code(path: str, pattern: str) -> Code:
+    """A byte-level vocabulary: a file of byte-pair ranks, and how its tokenizer splits text. Special tokens inside texts
+    are plain text."""
+    encode, pieces = encoder(path, pattern)
+    return Code(lambda texts: [encode(t) for t in texts], pieces)
 
 
 def piece_code(path: str) -> Code:
@@ -91,7 +82,9 @@ def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of overlapping tokens: every stretch between two neighbouring ends lies in one token of either side."""
-    ends = np.union1d(ends_a, ends_b)
+    both = np.concatenate([ends_a, ends_b])
+    both.sort(kind="stable")  # two sorted runs are merged
+    ends = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return np.searchsorted(ends_a, ends, "left"), np.searchsorted(ends_b, ends, "left")
 
 
@@ -123,23 +116,33 @@ class Aligned:
         self.ends_a, self.ends_b = np.cumsum(a.size[self.a]), np.cumsum(b.size[self.b])
 
     def groups(self) -> tuple[np.ndarray, list[str]]:
-        """The number of groups of each text, and their hashes. A text's last tokens end together, so no group leaves it."""
+        """The number of groups of each text, and their hashes. A text's last tokens end together, so no group leaves it.
+
+        All groups are written at once: the ids of a group's A tokens, then of its B tokens, each with the mark after it.
+        """
         if not len(self.at):
             return np.zeros(0, np.int64), []
         last_a, last_b = terminals(self.ends_a, self.ends_b)
-        heads = np.unique(last_a)
-        upto_a, upto_b = np.searchsorted(last_a, heads, "right").tolist(), np.searchsorted(last_b, heads, "right").tolist()
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        pieces, i, j = [], 0, 0
-        for x, y in zip(upto_a, upto_b, strict=True):
-            pieces.append(f"{a[i] if x - i == 1 else ','.join(a[i:x])}|{b[j] if y - j == 1 else ','.join(b[j:y])}")
-            i, j = x, y
-        per_text = np.searchsorted(heads, np.cumsum(self.n_a), "left")
+        heads = np.flatnonzero(last_a == np.arange(len(last_a)))
+        upto_a, upto_b = heads + 1, np.searchsorted(last_b, heads, "right")
+        marked = np.zeros(len(self.a) + len(self.b), np.int64)
+        place_a = np.arange(len(self.a)) + np.repeat(np.append(0, upto_b[:-1]), np.diff(upto_a, prepend=0))
+        place_b = np.arange(len(self.b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))
+        marked[place_a], marked[place_b] = self.a * len(_MARKS), self.b * len(_MARKS)
+        marked[place_a[upto_a - 1]] += 1
+        marked[place_b[upto_b - 1]] += 2
         hashes, k = [], 0
-        for to in per_text.tolist():
-            hashes.append(hashlib.sha256(";".join(pieces[k:to]).encode()).hexdigest())
+        for to in np.cumsum(self.n_a + self.n_b).tolist():
+            text = hashlib.sha256()
+            for at in range(k, to, _SLICE):
+                some = marked[at : min(at + _SLICE, to)]
+                size = _SIZES[some]
+                upto = np.cumsum(size)
+                written = _DIGITS[np.repeat(_BEGINS[some] - (upto - size), size) + np.arange(upto[-1])]
+                text.update(written[: len(written) - (at + _SLICE >= to)])
+            hashes.append(text.hexdigest())
             k = to
-        return np.diff(per_text, prepend=0), hashes
+        return np.diff(np.searchsorted(heads, np.cumsum(self.n_a), "left"), prepend=0), hashes
 
     def linked(self) -> tuple[np.ndarray, np.ndarray]:
         """For each link the text's place among those aligned, and the pair of ids as one number."""
@@ -149,41 +152,50 @@ class Aligned:
         return np.searchsorted(np.cumsum(self.n_a), i, "right"), self.a[i] << 32 | self.b[j]
 
 
-_CHUNK = "docs binary, n_a binary, n_b binary, n_groups binary, n_links binary, nulls binary, hashes array<string>, pairs binary, held binary, owner binary, pair binary, times binary"
+_CHUNK = "docs binary, n_a binary, n_b binary, n_groups binary, n_links binary, nulls binary, hashes array<string>, pairs binary, held binary, distinct binary, pair binary, times binary"
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def _packed(ids: list[int | None], texts: list[bytes], a: Code, b: Code) -> pa.RecordBatch:
-    """A chunk as one row: its texts' figures, its distinct pairs with the number of texts that hold each, and for each
-    text and pair (by place) how often it is linked there."""
-    found = Aligned(texts, a, b)
-    n = np.zeros((4, len(texts)), "<i8")
-    hashes = [""] * len(texts)
-    n[0, found.at], n[1, found.at] = found.n_a, found.n_b
-    n[2, found.at], named = found.groups()
-    for i, h in zip(found.at, named, strict=True):
-        hashes[i] = h
-    owner, pair = found.linked()
-    n[3, found.at] = np.bincount(owner, minlength=len(found.at))
-    pairs, place = np.unique(pair, return_inverse=True)
-    both, times = np.unique(np.asarray(found.at, np.int64)[owner] * max(len(pairs), 1) + place, return_counts=True)
+    """A chunk as one row: its texts' figures, its distinct pairs with the number of texts that hold each, and text by
+    text how many pairs it holds, which (by place), and how often each is linked there."""
+    n, hashes, owners, linked, first = np.zeros((4, len(texts)), "<i8"), [""] * len(texts), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= CODE_BYTES:
+            size += len(texts[last])
+            last += 1
+        found = Aligned(texts[first:last], a, b)
+        at = first + np.asarray(found.at, np.int64)
+        n[0, at], n[1, at] = found.n_a, found.n_b
+        n[2, at], named = found.groups()
+        for i, h in zip(at.tolist(), named, strict=True):
+            hashes[i] = h
+        owner, pair = found.linked()
+        n[3, at] = np.bincount(owner, minlength=len(at))
+        owners.append(at[owner])
+        linked.append(pair)
+        first = last
+    pairs, place = np.unique(np.concatenate(linked), return_inverse=True)
+    both, times = np.unique(np.concatenate(owners) * max(len(pairs), 1) + place, return_counts=True)
     owner, place = np.divmod(both, max(len(pairs), 1))
     held = np.bincount(place, minlength=len(pairs))
     cells = [np.array([i or 0 for i in ids], "<i8"), *n, np.array([i is None for i in ids], "u1")]
-    last = [pairs.astype("<i8"), held.astype("<i8"), owner.astype("<i4"), place.astype("<i4"), times.astype("<i4")]
+    distinct = np.bincount(owner, minlength=len(texts))
+    last = [pairs.astype("<i8"), held.astype("<i8"), distinct.astype("<i4"), place.astype("<i4"), times.astype("<i4")]
     cols = [*(pa.array([c.tobytes()], pa.binary()) for c in cells), pa.array([hashes], pa.list_(pa.string())), *(pa.array([c.tobytes()], pa.binary()) for c in last)]
     return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _CHUNK.split(", ")])
 
 
-def _chunks(first: str, second: str):
+def _chunks(first: str, pattern: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_code(first), piece_code(second)
+        a, b = byte_code(first, pattern), piece_code(second)
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = 0
         for batch in batches:
-            for i, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = raw or b""
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = raw.as_py() or b""
                 if texts and size + len(raw) > CHUNK_BYTES:
                     yield _packed(ids, texts, a, b)
                     ids, texts, size = [], [], 0
@@ -218,18 +230,16 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if known is not None and len(known):
                 at = np.searchsorted(pairs, known.field("pair").to_numpy())
                 counts[at], best[at] = known.field("n").to_numpy(), known.field("best").to_numpy(zero_copy_only=False)
-            owner, place, times = get("owner", "<i4"), get("pair", "<i4"), get("times", "<i4").astype(np.int64)
-            n_best, total = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-            np.add.at(n_best, owner, times * best[place])
-            np.add.at(total, owner, times * counts[place])
+            place, times, until = get("pair", "<i4"), get("times", "<i4"), np.cumsum(get("distinct", "<i4"))
+            n_best, total = (np.diff(np.append(0, np.cumsum(times * x[place]))[until], prepend=0) for x in (best.astype(np.int64), counts))
             cols = [pa.array(docs, mask=get("nulls", "u1").astype(bool)), *(pa.array(get(c)) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(total), row["hashes"].values]
             yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _OUT.split(", ")])
 
 
-def align(docs: DataFrame, first: str, second: str) -> DataFrame:
+def align(docs: DataFrame, first: str, pattern: str, second: str) -> DataFrame:
     """Per document: its tokens by both tokenizers, its groups, its links, and how common the linked pairs of ids are.
 
-    first: a byte-level vocabulary (A), which reads a space and the text; second: a sentencepiece model (B), which adds
+    first: a byte-level vocabulary's ranks (A), with the pattern that splits its text, a space and the text; second: a sentencepiece model (B), which adds
     that space itself. Groups end where tokens of both end. Links are all pairs of tokens that share bytes. A pair of ids
     counts once for each document of the corpus that holds it linked; n_best are the links whose pair is the most
     frequent of its A id, ties included, and count_sum adds up the counts of all links.
@@ -243,7 +253,7 @@ def align(docs: DataFrame, first: str, second: str) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "crossalign")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    chunks = scratch.save(base.mapInArrow(_chunks(first, second), _CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
+    chunks = scratch.save(base.mapInArrow(_chunks(first, pattern, second), _CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
     pairs = chunks.select("chunk", "pairs", "held").mapInArrow(_unpack_pairs, "chunk long, pair long, held long")
     counted = pairs.groupBy("pair").agg(F.sum("held").alias("n"))
     counted = scratch.save(counted, "counted")

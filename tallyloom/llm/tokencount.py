@@ -17,12 +17,12 @@ SCHEMA = "doc_id long, section long, start long, end long, n_tokens long, doc_to
 
 
 #: A run of white space so long that the tokenizer's pattern, which looks ahead behind such runs, is not tried on it.
-_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{5000,}")
+_LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{64,}")
 #: Rows that are put out at once.
 _ROWS = 200_000
 
 
-def encoder(ranks: str, pattern: str) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
+def encoder(ranks: str, pattern: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
     """The ids of a whole text, of any length, and the bytes of each id.
 
     The pattern must let no piece run from another character into white space, take a run of white space up to all but
@@ -33,8 +33,9 @@ def encoder(ranks: str, pattern: str) -> tuple[Callable[[str], np.ndarray], np.n
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    size = np.zeros(max(table.values()) + 1, np.int64)
-    size[list(table.values())] = [len(b) for b in table]
+    pieces = [b""] * (max(table.values()) + 1)
+    for piece, i in table.items():
+        pieces[i] = piece
     code = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
     whole: list[tiktoken.Encoding] = []
 
@@ -48,7 +49,7 @@ def encoder(ranks: str, pattern: str) -> tuple[Callable[[str], np.ndarray], np.n
             at = end
         return np.concatenate([*found, code.encode_to_numpy(text[at:])]) if found else code.encode_to_numpy(text)
 
-    return encode, size
+    return encode, pieces
 
 
 def attribute(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -74,7 +75,8 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoder(ranks, pattern)
+        encode, pieces = encoder(ranks, pattern)
+        size = np.array([len(p) for p in pieces])
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]

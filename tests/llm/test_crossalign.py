@@ -10,7 +10,9 @@ import pytest
 pytest.importorskip("tallyloom.llm")
 from tallyloom.llm import crossalign, queries  # noqa: E402
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
 A, B = queries.tokenizer("byte_bpe_50k.json"), queries.tokenizer("piece_bpe_32k.model")
+BOTH = queries.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, B
 SCHEMA = "doc_id long, text string, chunk string, pair string, pairs string, n string, best string, known string, id string"
 
 
@@ -28,29 +30,22 @@ def spans(ids, spell):
 
 def brute(rows):
     import sentencepiece
-    from tokenizers import Tokenizer, decoders
+    from tokenizers import Tokenizer
 
     a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
     a.encode_special_tokens = True
-    level = decoders.ByteLevel()
-    # one id's bytes by way of the library where they are text; else by the table under test
-    spell_a = lambda i: (t.encode() if "�" not in (t := level.decode([a.id_to_token(i)])) else crossalign.byte_level(a.id_to_token(i)))
-    spell_b = lambda i: bytes([int(p[3:5], 16)]) if b.is_byte(i) else (p.replace("▁", " ").encode())
+    # byte-level: printable bytes stand for themselves, the others in order for characters from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    level = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
+    spell_a = lambda i: bytes(level[c] for c in a.id_to_token(i))
+    spell_b = spell_b_of(b)
     done, held = [], Counter()
     for doc, text in rows:
         x = y = []
         if text:
-            x, y = spans(a.encode(" " + text, add_special_tokens=False).ids, spell_a), []
-            for i in b.encode(text):
-                p = b.id_to_piece(i)
-                y.append(spell_b(i))
-            at, z = 0, []
-            for s, i in zip(y, b.encode(text), strict=True):
-                z.append((at, at + len(s), i))
-                at += len(s)
-            y = z
+            x, y = spans(a.encode(" " + text, add_special_tokens=False).ids, spell_a), spans(b.encode(text), spell_b)
             want = (" " + text).encode()
-            if b"".join(map(spell_a, (t[2] for t in x))) != want or b"".join(map(spell_b_of(b), (t[2] for t in y))) != want:
+            if b"".join(map(spell_a, (t[2] for t in x))) != want or b"".join(map(spell_b, (t[2] for t in y))) != want:
                 x = y = []
         pairs = [(i, j) for s, e, i in x for u, v, j in y if s < v and u < e] if len(x) < 3000 else fast_pairs(x, y)
         held.update(set(pairs))
@@ -93,19 +88,21 @@ def test_brute_force(spark, monkeypatch):
     rows += [(200, None), (201, ""), (202, " "), (203, "   two  spaces  "), (204, "a ▁ b"), (205, "<s> </s> <unk> <|endoftext|> <0x41>"), (206, "same text here"), (206, "same text here"), (None, "no id"), (207, "same text here"), (208, "\u0000 nul ﻿ bom"), (209, "ﬁ ligature ² Å")]
     rows += [(300 + i, "the cat sat on the mat, internationalization of tokenizers") for i in range(80)]  # a hot group
     monkeypatch.setattr(crossalign, "CHUNK_BYTES", 700)  # many chunks
-    got = crossalign.align(table(spark, rows), A, B)
+    monkeypatch.setattr(crossalign, "CODE_BYTES", 300)
+    monkeypatch.setattr(crossalign, "_SLICE", 7)
+    got = crossalign.align(table(spark, rows), *BOTH)
     assert got.columns == "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
     key = lambda t: (str(t[0]), t)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute(rows), key=key)
-    assert crossalign.align(table(spark, []), A, B).count() == 0
+    assert crossalign.align(table(spark, []), *BOTH).count() == 0
 
 
 def test_long_texts(spark):
     r = random.Random(6)
     words = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 9))) for _ in range(30_000))
-    rows = [(1, words), (2, "x" * 100_000), (3, " " * 50_000), (4, "1" * 50_000), (5, words)]
-    got = {x.doc_id: tuple(x)[1:7] for x in crossalign.align(table(spark, rows), A, B).collect()}
-    assert all(got[i][0] > 0 and got[i][2] > 0 for i in (1, 2, 4)) and got[1] == got[5]
+    rows = [(1, words), (2, "x" * 100_000), (3, " " * 50_000), (4, "1" * 50_000), (5, words), (6, "a" + " " * 63 + "b" + " \n" * 40 + "c" + "\t" * 300 + "d" + " " * 99)]
+    got = {x.doc_id: tuple(x)[1:7] for x in crossalign.align(table(spark, rows), *BOTH).collect()}
+    assert all(got[i][0] > 0 and got[i][2] > 0 for i in (1, 2, 4, 6)) and got[1] == got[5]
     want = {x[0]: x for x in brute(rows)}
     assert got == {i: want[i][1:7] for i in got}
 
