@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, crossalign, decontam, hardneg, neardup, ordinal, packing, pii, secrets, sharding, tokencount, urlrules
+from . import ann, crossalign, decontam, hardneg, maintext, neardup, ordinal, packing, pii, secrets, sharding, tokencount, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +74,12 @@ def op12_threshold_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+def op13_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ordinal_quality, op2_binary_packing, op3_secret_forest, op4_section_tokens, op5_neighbour_descent, op6_personal_data, op7_fm_decontamination, op8_jump_sharding, op9_url_rules, op10_minmax_neardup, op11_pointer_alignment, op12_threshold_negatives)}
+    return {f.__name__: f for f in (op1_ordinal_quality, op2_binary_packing, op3_secret_forest, op4_section_tokens, op5_neighbour_descent, op6_personal_data, op7_fm_decontamination, op8_jump_sharding, op9_url_rules, op10_minmax_neardup, op11_pointer_alignment, op12_threshold_negatives, op13_dom_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
