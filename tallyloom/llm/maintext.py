@@ -398,7 +398,7 @@ def dressed(inner: str, r: random.Random) -> str:
             inner = _PARAGRAPH.sub(lambda m: f"<p>{' '.join(m[1].split()[: r.randint(1, 8)])}</p>", inner)
     if r.random() < 0.2:
         inner = _HEADING.sub("", inner, count=1)
-    elif r.random() < 0.3:
+    elif r.random() < 0.2:
         inner = _HEADING.sub(rf"<header>\1{r.choice(['', '<p>By A. B.</p>'])}</header>", inner, count=1)
     return _PARAGRAPH.sub(other, inner) if r.random() < 0.6 else inner
 
@@ -455,6 +455,7 @@ def rebuilt(source: str, seed: int, plain: bool) -> tuple[str, list[str]] | None
         # long parts of any kind, whatever the article's length
         before = [r.choice([p, part(f, prose(1, 3), t)]) if r.random() < 0.5 else p for p, f, t in zip(before, ("menu", "header"), ("nav", "header"), strict=True)]
         after = [part("footer", prose(1, 3), "footer")] if r.random() < 0.4 else after
+        middle.append(part("header", r.choice([some(1, 6), listed(r.randint(1, 3))]), "header"))
         middle.append(part("comment", f"<h2>{some(1, 3)}</h2>" + "".join(f"<{x[1]}>{prose(1, 2)}</{x[0]}>" for x in (r.choice([name("comment", "div li article"), ("div", "div"), ("li", "li")]) for _ in range(r.randint(1, 6))))))
     else:
         middle.append(part("advert", some(3, 12)))
