@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import classify_result, error_signature
+from .spans import Spans
 from .telemetry import sustained
 
 DISKS = "array<struct<disk:string,util_pct:double,mbps:double,ceiling_mbps:double,inflight:bigint>>"
@@ -76,16 +77,16 @@ def write_pressure(samples: DataFrame) -> DataFrame:
     return samples.where("parity_protected and budget > 0 and inflight >= budget and pending > 0").withColumn("severity", F.lit("info"))
 
 
-def idle_windows(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s: int = 1800) -> DataFrame:
+def idle_windows(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s: int = 1800, rows: int | None = None) -> DataFrame:
     """Per gate the spells in which its busiest disk stayed at or under a utilisation for long enough; a breach starts anew.
 
     Times without samples leave the spell as it is. Gates are rows of (gate, disk).
     """
     load = io.join(gates.select("gate", "disk").distinct(), "disk").groupBy("gate", "ts").agg(F.max("util_pct").alias("util_pct"))
-    return sustained(load, "gate", F.col("util_pct") <= most_pct, sustain_s)
+    return sustained(load, "gate", F.col("util_pct") <= most_pct, sustain_s, rows)
 
 
-def idle_gate(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s: float | None = None, sustain_min: float | None = None) -> DataFrame:
+def idle_gate(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s: float | None = None, sustain_min: float | None = None, rows: int | None = None) -> DataFrame:
     """Per gate and time: is it open, why, the busiest disk's utilisation, and for how long the gate's disks were quiet.
 
     io: disk, ts, util_pct and samples; a disk with fewer than two samples says nothing. Quiet is at or under most_pct.
@@ -95,13 +96,13 @@ def idle_gate(io: DataFrame, gates: DataFrame, most_pct: float = 15, sustain_s:
     sustain = sustain_s if sustain_s is not None else sustain_min * 60 if sustain_min is not None else 1800
     util = F.max(F.when(F.col("samples") >= 2, F.col("util_pct"))).alias("cur_util")
     load = io.join(gates.select("gate", "disk").distinct(), "disk").groupBy("gate", "ts").agg(util)
-    w = Window.partitionBy("gate").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    spells = load.withColumn("spell", F.count_if(F.col("cur_util") > most_pct).over(w))
-    since = F.min(F.when(F.col("cur_util") <= most_pct, F.col("ts"))).over(Window.partitionBy("gate", "spell").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    quiet = F.when(F.col("cur_util") <= most_pct, F.col("ts") - since).otherwise(0)
-    rows = spells.withColumn("quiet_for_s", quiet)
+    quiet = F.col("cur_util") <= most_pct
+    # quiet time begins at the first quiet sample after a breach, or at the first of all
+    s = Spans(load, ["gate"], ["ts"], rows).running(before=True, _was=("last", quiet))
+    s = s.running(_since=("last", F.when(quiet & ~F.coalesce("_was", F.lit(False)), F.col("ts"))))
+    rows_ = s.rows().withColumn("quiet_for_s", F.when(quiet, F.col("ts") - F.col("_since")).otherwise(0))
     reason = F.when(F.col("cur_util").isNull(), "NO_TELEMETRY").when((F.col("cur_util") <= most_pct) & (F.col("quiet_for_s") >= sustain), "OPEN").otherwise("WAIT")
-    return rows.select("gate", "ts", (reason != "WAIT").alias("admit"), reason.alias("reason"), "cur_util", "quiet_for_s")
+    return rows_.select("gate", "ts", (reason != "WAIT").alias("admit"), reason.alias("reason"), "cur_util", "quiet_for_s")
 
 
 def failure_storms(results: DataFrame, by: str = "runner_id", run: int = 3, window: int = 20, least: int = 5) -> DataFrame:
@@ -163,15 +164,17 @@ def with_expected(samples: DataFrame, rate: str, by: Sequence[str]) -> DataFrame
     return before.withColumns({"expected": F.when(F.col("_n") > 0, F.coalesce(at_start, "_first")).otherwise(0.0), "observed": F.coalesce("observed", F.lit(0.0))}).drop("_n", "_before", "_first")
 
 
-def bottleneck_alerts(verdicts: DataFrame, by: Sequence[str], sustain_s: int) -> DataFrame:
+def bottleneck_alerts(verdicts: DataFrame, by: Sequence[str], sustain_s: int, rows: int | None = None) -> DataFrame:
     """Spells of a verdict other than healthy that lasted long enough: the alert's code, severity and disk, when it began,
     fired and was last seen, and how often. Another verdict, healthy too, resolves the one before it.
 
-    verdicts: the `by` columns (a host, say, so that hosts are apart), ts, verdict, resource.
+    verdicts: the `by` columns (a host, say, so that hosts are apart), ts, verdict, resource. A host of more than `rows` of
+    them is split into spans of time.
     """
-    w = Window.partitionBy(*by).orderBy("ts")
-    turn = F.sum(F.when(F.col("verdict").eqNullSafe(F.lag("verdict").over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    begun = verdicts.withColumn("turn", turn).withColumn("begin_ts", F.min("ts").over(Window.partitionBy(*by, "turn"))).where(F.col("verdict").isin(*BOTTLENECKS))
+    s = Spans(verdicts, by, ["ts"], rows).lag(_was=F.col("verdict"), _any=F.lit(1))
+    turns = ~F.col("verdict").eqNullSafe(F.col("_was"))
+    s = s.running(turn=("sum", F.when(turns, 1).otherwise(0)), begin_ts=("last", F.when(turns | F.col("_any").isNull(), F.col("ts"))))
+    begun = s.rows().where(F.col("verdict").isin(*BOTTLENECKS))
     fires = F.col("ts") - F.col("begin_ts") >= sustain_s
     pick = lambda i: F.coalesce(*(F.when(F.col("verdict") == v, x[i]) for v, x in BOTTLENECKS.items()))
     out = begun.groupBy(*by, "turn").agg(

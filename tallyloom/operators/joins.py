@@ -12,17 +12,49 @@ from pyspark.sql.window import Window
 from ..functions.expr import item_key, job_of
 
 
+def range_members(rule: str) -> list[str] | None:
+    """shard_01..03 as shard_01, shard_02, shard_03; None for what has no dots, the text itself for dots that make no range."""
+    left, dots, right = rule.partition("..")
+    if not dots:
+        return None
+    m = re.fullmatch(r"(?s)(.*?)([0-9]+)", left)
+    if not m or not re.fullmatch(r"[0-9]+", right):
+        return [rule]
+    return [f"{m[1]}{i:0{len(m[2])}d}" for i in range(int(m[2]), int(right) + 1)]
+
+
+def glob_regex(glob: str) -> str:
+    """A shell pattern over a whole text as a regular expression: *, ?, sets [a-c], and sets of what is not meant [!a-c]."""
+    out, i = [], 0
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        # a set's first character may be its end's mark
+        end = glob.find("]", i + 1 + (glob[i : i + 1] == "!")) if c == "[" else -1
+        if end > 0:
+            inside, i = glob[i:end], end + 1
+            no = inside[0] == "!"
+            members, k = "", int(no)
+            while k < len(inside):
+                ranged = inside[k + 1 : k + 2] == "-" and k + 2 < len(inside)
+                if not ranged:
+                    members += re.escape(inside[k])
+                elif inside[k] <= inside[k + 2]:  # a range the wrong way round has no members
+                    members += f"{re.escape(inside[k])}-{re.escape(inside[k + 2])}"
+                k += 3 if ranged else 1
+            out.append(f"[{'^' * no}{members}]" if members else "." if no else "(?!)")
+        else:
+            out.append(".*" if c == "*" else "." if c == "?" else re.escape(c))
+    return f"^(?s:{''.join(out)})\\z"
+
+
 def rule_matches(text: Column, rule: str) -> Column:
     """A range `shard_01..08` or a substring anywhere in the text, a glob over all of it; an empty rule matches nothing."""
     if not rule:
         return F.lit(False)
-    if m := re.fullmatch(r"(.*?)(\d+)\.\.(\d+)", rule):
-        width = len(m[2])
-        members = [f"{m[1]}{i:0{width}d}" for i in range(int(m[2]), int(m[3]) + 1)]
+    if (members := range_members(rule)) is not None:
         return F.coalesce(*(F.when(F.contains(text, F.lit(x)), True) for x in members), F.lit(False))
     if re.search(r"[*?\[]", rule):
-        body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in rule)
-        return text.rlike(f"^(?s:{body})$")
+        return text.rlike(glob_regex(rule))
     return F.contains(text, F.lit(rule))
 
 

@@ -164,12 +164,24 @@ def job_resources(runners: DataFrame) -> DataFrame:
 
 
 def latest_runners(heartbeats: DataFrame, now: int, stale_s: int = 120) -> DataFrame:
-    """Newest values per runner (an unknown host, ?, never replaces a known one), its age and whether it is alive."""
+    """Newest values per runner, its age and whether it is alive.
+
+    What a heartbeat leaves out stays as it was: an unknown host (?) never replaces a known one, nor a null any other
+    value; readings (cpu_pct, mem_used_gb) come together from the newest heartbeat that has any. in_flight and circuit
+    (closed, if never told) are given where heartbeats have such columns.
+    """
     order = F.struct("last_seen", "seq")
-    known = F.when(F.col("host") != "?", F.col("host"))
+
+    def newest(value: Column, known: Column | None = None) -> Column:
+        return F.max_by(value, F.when(value.isNotNull() if known is None else known, order))
+
+    host = F.when(F.col("host") != "?", F.col("host"))
+    more = [c for c in ("in_flight", "circuit") if c in heartbeats.columns]
+    readings = F.struct("cpu_pct", "mem_used_gb")
     last = heartbeats.groupBy("runner_id").agg(
-        F.coalesce(F.max_by(known, F.when(known.isNotNull(), order)), F.lit("?")).alias("host"), F.max_by("job", order).alias("job"), F.max_by("workers", order).alias("workers"),
-        F.max_by("cpu_pct", order).alias("cpu_pct"), F.max_by("mem_used_gb", order).alias("mem_used_gb"), F.max("last_seen").alias("last_seen"))
+        F.coalesce(newest(host), F.lit("?")).alias("host"), newest(F.col("job")).alias("job"), newest(F.col("workers")).alias("workers"),
+        newest(readings, F.coalesce("cpu_pct", "mem_used_gb").isNotNull()).alias("readings"), *(newest(F.col(c)).alias(c) for c in more), F.max("last_seen").alias("last_seen"))
+    last = last.select("runner_id", "host", "job", "workers", "readings.*", *(F.coalesce(c, F.lit("closed")).alias(c) if c == "circuit" else c for c in more), "last_seen")
     return last.withColumn("stale_s", F.lit(now) - F.col("last_seen")).withColumn("alive", F.col("stale_s") <= stale_s)
 
 
@@ -241,15 +253,23 @@ def apply_results(ledger: DataFrame, results: DataFrame, max_retries: int = 3) -
     return both.select(*(new[c].alias(c) if c in new else F.col(c) for c in ledger.columns))
 
 
-def requeue(ledger: DataFrame, states: Sequence[str], reset_attempts: bool = False) -> DataFrame:
-    """Failed or leased items of the states go back to pending; other states are ignored."""
-    hit = F.col("state").isin(*[s for s in states if s in ("failed", "leased")]) if states else F.lit(False)
-    return ledger.withColumns({"attempts": F.when(hit & F.lit(reset_attempts), 0).otherwise(F.col("attempts")), "error": F.when(~hit, F.col("error")), "state": F.when(hit, "pending").otherwise(F.col("state"))})
+def requeue(ledger: DataFrame, states: Sequence[str] = ("failed",), reset_attempts: bool = False) -> DataFrame:
+    """Items of the states (failed ones, if none are named) go back to pending, and nobody holds them; what is no state of a
+    ledger is ignored."""
+    wanted = [s for s in states or ("failed",) if s in STATES]
+    hit = F.coalesce(F.col("state").isin(*wanted), F.lit(False)) if wanted else F.lit(False)
+    free = [c for c in ("error", "lease_id", "runner_id", "leased_at", "lease_deadline") if c in ledger.columns]
+    new = {"attempts": F.when(hit & F.lit(reset_attempts), 0).otherwise(F.col("attempts")), "state": F.when(hit, "pending").otherwise(F.col("state"))}
+    return ledger.withColumns(new | {c: F.when(~hit, F.col(c)) for c in free})
 
 
 def cancel(ledger: DataFrame, job: str, purge: bool = False) -> DataFrame:
-    """The ledger without the job's pending and leased items, or with purge without any of its items."""
-    return ledger.where((F.col("job") != job) | ~(F.lit(purge) | F.col("state").isin("pending", "leased")))
+    """The ledger without the job's pending and leased items, or with purge without any of its items. Items without a job are
+    never cancelled, and a job must be named."""
+    if not job:
+        raise ValueError("which job to cancel?")
+    gone = F.lit(purge) | F.coalesce(F.col("state").isin("pending", "leased"), F.lit(False))
+    return ledger.where(~(F.col("job").eqNullSafe(F.lit(job)) & gone))
 
 
 def expire(ledger: DataFrame, now: int) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Files that are placed one after another, the largest; the driver holds this many at most.
-HEAD = 10_000
-#: Groups of files whose sums the running total of the others is made from.
-GROUPS = 1024
+from ..sources.shared import cut
+
+_TURNS = "size long, first long, turns array<struct<begin:bigint,shards:array<int>>>"
 
 
 def shard_summary(plan: DataFrame) -> DataFrame:
@@ -21,37 +22,59 @@ def shard_summary(plan: DataFrame) -> DataFrame:
     return by.join(F.broadcast(all_)).select("shard", "files", "bytes", (100.0 * F.col("bytes") / F.nullif("all_bytes", F.lit(0))).alias("percent"), "skew")  # one row
 
 
-def shard_plan(manifest: DataFrame, n: int, head: int = HEAD) -> DataFrame:
-    """Shard 1 to n for each file: rel_path, size, shard.
+def turns(loads: np.ndarray, size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Which shards get `count` files of one size, each going to the lightest shard (the lowest of several); adds to loads.
 
-    The `head` largest files (ties by path) go one by one to the lightest shard, the lowest on ties. All others fill up
-    what then is missing to equal loads, by a running total over groups, without a global sort. A null size counts as 0.
+    As (place from which on, shards in turn): files level by level of `size` bytes, those shards that have been reached
+    take one each, by what they hold beyond whole levels.
     """
-    spark = manifest.sparkSession
-    files = manifest.select("rel_path", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    order = [F.desc("size"), F.asc("rel_path")]
-    loads, placed = [(0, i) for i in range(1, n + 1)], []
-    for row in files.orderBy(*order).limit(head).collect():  # at most `head` rows
-        load, shard = loads[0]
-        heapq.heapreplace(loads, (load + row["size"], shard))
-        placed.append((row["rel_path"], row["size"], shard))
-    first = spark.createDataFrame(placed, "rel_path string, size long, shard int")
-    if len(placed) < head:
-        return first
-    edge = F.struct((-F.col("size")).alias("s"), F.col("rel_path").alias("p"))
-    rest = files.where(edge > F.struct(F.lit(-placed[-1][1]).alias("s"), F.lit(placed[-1][0]).alias("p"))).withColumn("part", F.pmod(F.xxhash64("rel_path"), F.lit(GROUPS)))
-    sums = sorted((r["part"], r["total"]) for r in rest.groupBy("part").agg(F.sum("size").alias("total")).collect())  # at most GROUPS rows
-    starts, whole = [], 0
-    for part, total in sums:
-        starts.append((part, whole))
-        whole += total
-    level = (whole + sum(load for load, _ in loads)) / n
-    gaps = [(shard, max(level - load, 0.0)) for load, shard in sorted(loads, key=lambda x: x[1])]
-    scale, until, bounds = whole / (sum(g for _, g in gaps) or 1.0), 0.0, []
-    for shard, gap in gaps:
-        until += gap * scale
-        bounds.append((shard, until))
-    at = F.sum("size").over(Window.partitionBy("part").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    tail = rest.withColumn("at", at).join(F.broadcast(spark.createDataFrame(starts, "part long, begin long")), "part").withColumn("at", F.col("at") + F.col("begin"))
-    shard = F.coalesce(*(F.when(F.col("at") < b, F.lit(s)) for s, b in bounds[:-1]), F.lit(bounds[-1][0]))
-    return first.unionByName(tail.select("rel_path", "size", shard.cast("int").alias("shard")))
+    if size <= 0 or count == 1:
+        i = int(np.argmin(loads))
+        loads[i] += max(size, 0) * count
+        return [(0, [i])]
+    level, over = np.divmod(loads, size)
+    order = np.lexsort((np.arange(len(loads)), over))
+    out, at = [], 0
+    reached = np.unique(level)
+    for this, following in zip(reached, [*reached[1:], None], strict=True):
+        shards = order[level[order] <= this]
+        n = count - at if following is None else min(count - at, int(following - this) * len(shards))
+        out.append((at, shards.tolist()))
+        loads[shards] += n // len(shards) * size
+        loads[shards[: n % len(shards)]] += size
+        at += n
+        if at == count:
+            break
+    return out
+
+
+def shard_plan(manifest: DataFrame, n: int) -> DataFrame:
+    """Shard 1 to n for each file: rel_path, size, shard. Files go one by one, the largest first (ties by path), to the
+    lightest shard, the lowest on ties. A null or negative size counts as 0.
+
+    Files of one size are placed as a run: one task walks the distinct sizes, with the n loads in hand, and says for each
+    size which shards take turns; a file's place among those of its size gives its shard. Places come from one sort and
+    the number of rows in each of its parts, so files go through neither the driver nor a single task.
+    """
+    files = manifest.select("rel_path", F.greatest(F.coalesce("size", F.lit(0)).cast("long"), F.lit(0).cast("long")).alias("size"))
+    # the sort is kept, as its parts are counted and then numbered
+    placed = cut(files.orderBy(F.desc("size"), "rel_path").withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    parts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    begins = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))  # a row for each part
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads, first = np.zeros(n, np.int64), 0
+        for batch in batches:
+            found = []
+            for size, count in zip(batch["size"].tolist(), batch["count"].tolist(), strict=True):
+                found.append((size, first, [{"begin": at, "shards": [i + 1 for i in shards]} for at, shards in turns(loads, size, count)]))
+                first += count
+            yield pd.DataFrame(found, columns=["size", "first", "turns"])
+
+    sizes = placed.groupBy("size").count().repartition(1).sortWithinPartitions(F.desc("size")).mapInPandas(walk, _TURNS)
+    ranked = placed.withColumn("part", part).join(begins, "part").withColumn("rank", F.col("begin") + F.col("id").bitwiseAND((1 << 33) - 1))
+    both = ranked.join(sizes, "size").withColumn("place", F.col("rank") - F.col("first"))
+    turn = F.element_at(F.filter("turns", lambda t: t["begin"] <= F.col("place")), -1)
+    shard = F.element_at(turn["shards"], (F.pmod(F.col("place") - turn["begin"], F.size(turn["shards"])) + 1).cast("int"))
+    return both.select("rel_path", "size", shard.alias("shard"))

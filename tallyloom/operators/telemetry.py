@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import classify_result, error_signature, shard_of
+from .spans import Spans
 
 
-def rate_series(samples: DataFrame, value: str, by: Sequence[str], ts: str = "ts") -> DataFrame:
-    """Change per second since the key's last sample; 0 where time stands still or the value falls, null at the first."""
-    w = Window.partitionBy(*by).orderBy(ts)
-    dt, dv = F.col(ts) - F.lag(ts).over(w), F.col(value) - F.lag(value).over(w)
-    return samples.withColumn("rate", F.when(dt.isNotNull(), F.when(dt > 0, F.greatest(dv / dt, F.lit(0.0))).otherwise(0.0)))
+def rate_series(samples: DataFrame, value: str, by: Sequence[str], ts: str = "ts", rows: int | None = None) -> DataFrame:
+    """Change per second since the key's last sample; 0 where time stands still or the value falls, null at the first.
 
+    A key of more than `rows` samples is split into spans of time (see spans).
+    """
+    s = Spans(samples, by, [ts], rows).lag(_ts=F.col(ts), _value=F.col(value)).rows()
+    dt, dv = F.col(ts) - F.col("_ts"), F.col(value) - F.col("_value")
+    return s.withColumn("rate", F.when(dt.isNotNull(), F.when(dt > 0, F.greatest(dv / dt, F.lit(0.0))).otherwise(0.0))).drop("_ts", "_value")
+
+
+def rolling_io(samples: DataFrame, most: int = 60, rows: int | None = None) -> DataFrame:
+    """Read and write MB/s and utilisation of each disk over its last `most` samples, sectors being 512 bytes.
 
-def rolling_io(samples: DataFrame, most: int = 60) -> DataFrame:
-    """Read and write MB/s and utilisation of each disk over its last `most` samples, sectors being 512 bytes."""
-    w = Window.partitionBy("disk").orderBy("ts", "seq").rowsBetween(-(most - 1), 0)
-    dt = F.col("ts") - F.first("ts").over(w)
-    per = lambda c, f: F.when(dt > 0, (F.col(c) - F.first(c).over(w)) * f / dt).otherwise(0.0)
-    return samples.select("disk", "ts", "seq", per("read_sectors", 512 / 1e6).alias("read_mbps"), per("write_sectors", 512 / 1e6).alias("write_mbps"), F.least(per("io_ms", 0.1), F.lit(100.0)).alias("util_pct"))
+    A disk of more than `rows` samples is split into spans of time, each with the last samples of those before it.
+    """
+    names = ("ts", "read_sectors", "write_sectors", "io_ms")
+    s = Spans(samples.select("disk", "seq", *names), ["disk"], ["ts", "seq"], rows).trailing_first(most, **{f"_{c}": F.col(c) for c in names}).rows()
+    dt = F.col("ts") - F.col("_ts")
+    per = lambda c, f: F.when(dt > 0, (F.col(c) - F.col(f"_{c}")) * f / dt).otherwise(0.0)
+    return s.select("disk", "ts", "seq", per("read_sectors", 512 / 1e6).alias("read_mbps"), per("write_sectors", 512 / 1e6).alias("write_mbps"), F.least(per("io_ms", 0.1), F.lit(100.0)).alias("util_pct"))
 
 
 def contribution_stack(samples: DataFrame) -> DataFrame:
@@ -90,13 +98,16 @@ def resample_linear(series: DataFrame, step: int) -> DataFrame:
     return grid.select("key", t.alias("ts"), (F.col("value") + part * (F.coalesce("v1", "value") - F.col("value"))).alias("value"))
 
 
-def sustained(df: DataFrame, key: str, cond: Column, sustain_s: int) -> DataFrame:
-    """Episodes in which the condition held without a break for long enough: start, first firing, end and rows."""
-    w = Window.partitionBy(key).orderBy("ts")
-    spells = df.withColumn("on", F.coalesce(cond, F.lit(False))).withColumn("spell", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("on")
-    begun = spells.withColumn("begin", F.min("ts").over(Window.partitionBy(key, "spell")))
+def sustained(df: DataFrame, key: str, cond: Column, sustain_s: int, rows: int | None = None) -> DataFrame:
+    """Episodes in which the condition held without a break for long enough: start, first firing, end and rows.
+
+    A key of more than `rows` rows is split into spans of time; an episode may run through many of them.
+    """
+    s = Spans(df.withColumn("_on", F.coalesce(cond, F.lit(False))), [key], ["ts"], rows).lag(_was=F.col("_on"))
+    starts = F.when(F.col("_on") & ~F.coalesce("_was", F.lit(False)), F.col("ts"))
+    spells = s.running(spell=("sum", F.when(F.col("_on"), 0).otherwise(1)), begin=("last", starts)).rows().where("_on")
     fires = F.col("ts") - F.col("begin") >= sustain_s
-    return begun.groupBy(key, "spell").agg(F.first("begin").alias("begin_ts"), F.min(F.when(fires, F.col("ts"))).alias("fire_ts"), F.max("ts").alias("end_ts"), F.count_if(fires).alias("firings")).where("firings > 0").drop("spell")
+    return spells.groupBy(key, "spell").agg(F.min("begin").alias("begin_ts"), F.min(F.when(fires, F.col("ts"))).alias("fire_ts"), F.max("ts").alias("end_ts"), F.count_if(fires).alias("firings")).where("firings > 0").drop("spell")
 
 
 def collapse(samples: DataFrame, ratio: float = 0.4, least_base: float = 0.1, history: int = 900) -> DataFrame:

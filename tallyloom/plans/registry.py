@@ -94,9 +94,19 @@ def expired_holds(led):
     return ledger.expired_holds(led, LEDGER_NOW - WEEKS).select("item_id", "job", "lease_deadline")
 
 
-@add("heartbeats", f"SELECT *, {EVENTS_NOW} - last_seen AS stale_s, {EVENTS_NOW} - last_seen <= {2 * DAY} AS alive FROM (SELECT runner_id, arg_max(host, seq + last_seen * 10000000) AS host, arg_max(job, seq + last_seen * 10000000) AS job, arg_max(workers, seq + last_seen * 10000000) AS workers, arg_max(cpu_pct, seq + last_seen * 10000000) AS cpu_pct, arg_max(mem_used_gb, seq + last_seen * 10000000) AS mem_used_gb, max(last_seen) AS last_seen FROM heartbeats GROUP BY 1)")
+_NEWEST = "arg_max({0}, seq + last_seen * 10000000) FILTER (WHERE {1}) AS {0}"
+_PARTLY = "SELECT runner_id, last_seen, seq, CASE WHEN seq % 3 <> 0 THEN host ELSE '?' END AS host, CASE WHEN seq % 4 = 0 THEN job END AS job, CASE WHEN seq % 5 = 0 THEN workers END AS workers, CASE WHEN seq % 2 = 0 THEN cpu_pct END AS cpu_pct, CASE WHEN seq % 6 = 0 THEN mem_used_gb END AS mem_used_gb, CASE WHEN seq % 7 = 0 THEN seq % 50 END AS in_flight, CASE WHEN seq % 400 = 0 THEN 'open' END AS circuit FROM heartbeats"
+
+
+@add("heartbeats", f""", p AS ({_PARTLY}) SELECT *, {EVENTS_NOW} - last_seen AS stale_s, {EVENTS_NOW} - last_seen <= {2 * DAY} AS alive FROM (SELECT runner_id, coalesce({_NEWEST.format('host', "host <> '?'").split(' AS ')[0]}, '?') AS host,
+ {_NEWEST.format('job', 'job IS NOT NULL')}, {_NEWEST.format('workers', 'workers IS NOT NULL')}, {_NEWEST.format('cpu_pct', 'cpu_pct IS NOT NULL OR mem_used_gb IS NOT NULL')},
+ arg_max_null(mem_used_gb, seq + last_seen * 10000000) FILTER (WHERE cpu_pct IS NOT NULL OR mem_used_gb IS NOT NULL) AS mem_used_gb, {_NEWEST.format('in_flight', 'in_flight IS NOT NULL')}, coalesce(max(circuit), 'closed') AS circuit, max(last_seen) AS last_seen FROM p GROUP BY 1)""")
 def latest_runners(beats):
-    return ledger.latest_runners(beats, EVENTS_NOW, 2 * DAY)
+    """Heartbeats that leave most things out."""
+    told = lambda c, cond: F.when(F.expr(cond), F.col(c))
+    partly = beats.select("runner_id", "last_seen", "seq", F.coalesce(told("host", "seq % 3 <> 0"), F.lit("?")).alias("host"), told("job", "seq % 4 = 0").alias("job"), told("workers", "seq % 5 = 0").alias("workers"),
+        told("cpu_pct", "seq % 2 = 0").alias("cpu_pct"), told("mem_used_gb", "seq % 6 = 0").alias("mem_used_gb"), F.expr("CASE WHEN seq % 7 = 0 THEN seq % 50 END").alias("in_flight"), F.expr("CASE WHEN seq % 400 = 0 THEN 'open' END").alias("circuit"))
+    return ledger.latest_runners(partly, EVENTS_NOW, 2 * DAY)
 
 
 @add("results", f"SELECT runner_id, max(ts) AS last_ts FROM results GROUP BY 1 HAVING {EVENTS_NOW} - max(ts) > {2 * 42900}")
@@ -157,9 +167,10 @@ def requeue(led):
     return ledger.requeue(led, ("failed", "nonsense"), True).select("item_id", "state", "attempts", "error")
 
 
-@add("ledger", "SELECT item_id, state FROM ledger WHERE job <> 'seg/BUILDING' OR state NOT IN ('pending', 'leased')")
+@add("ledger", "SELECT item_id, state FROM ledger WHERE attempts = 3 OR job <> 'seg/BUILDING' OR state NOT IN ('pending', 'leased')")
 def cancel(led):
-    return ledger.cancel(led, "seg/BUILDING").select("item_id", "state")
+    """Items of three attempts have lost their job: they stay."""
+    return ledger.cancel(led.withColumn("job", F.when(F.col("attempts") != 3, F.col("job"))), "seg/BUILDING").select("item_id", "state")
 
 
 @add("results", _FOLDED.format(start="1", lease="0"))
@@ -168,10 +179,10 @@ def apply_results(res):
     return ledger.apply_results(items, res)
 
 
-_RULES = (("d1", "src0/"), ("d2", "src1..3"), ("d3", ""), ("d4", "src1*/de/*"), ("d5", "src1"), ("d6", "src4..9"))
+_RULES = (("d1", "src0/"), ("d2", "src1..3"), ("d3", ""), ("d4", "src1*/de/*"), ("d5", "src[!0-35-9]/[a-e]?/doc_*[02468].txt"), ("d6", "src1"), ("d7", "src5..9"))
 
 
-@add("manifest", "SELECT rel_path, CASE WHEN contains(rel_path, 'src0/') THEN 'd1' WHEN contains(rel_path, 'src1') OR contains(rel_path, 'src2') OR contains(rel_path, 'src3') THEN 'd2' WHEN rel_path GLOB 'src1*/de/*' THEN 'd4' WHEN regexp_matches(rel_path, 'src[4-9]') THEN 'd6' END AS disk FROM manifest")
+@add("manifest", "SELECT rel_path, CASE WHEN contains(rel_path, 'src0/') THEN 'd1' WHEN contains(rel_path, 'src1') OR contains(rel_path, 'src2') OR contains(rel_path, 'src3') THEN 'd2' WHEN rel_path GLOB 'src1*/de/*' THEN 'd4' WHEN regexp_full_match(rel_path, 'src4/[a-e]./doc_.*[02468][.]txt') THEN 'd5' WHEN regexp_matches(rel_path, 'src[5-9]') THEN 'd7' END AS disk FROM manifest")
 def assign_by_rules(man):
     return joins.assign_by_rules(man, _RULES, ["rel_path"]).select("rel_path", "disk")
 
@@ -390,11 +401,21 @@ def readiness(man):
     return detect.readiness(telemetry.assess_layout(man), man.withColumn("disk", F.when(F.col("size") % 11 != 0, F.col("size") % 3)))
 
 
-@add("manifest")
+_GREEDY = """, f AS (SELECT rel_path, coalesce(size, 0) AS size, row_number() OVER (ORDER BY coalesce(size, 0) DESC, rel_path) AS k FROM manifest),
+ g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS loads, CAST(0 AS BIGINT) AS shard
+ UNION ALL SELECT f.k, list_transform(generate_series(1, 7), lambda i: g.loads[i] + CASE WHEN i = list_position(g.loads, list_min(g.loads)) THEN f.size ELSE 0 END), list_position(g.loads, list_min(g.loads)) FROM g JOIN f ON f.k = g.k + 1)"""
+
+
+@add("manifest", f"{_GREEDY} SELECT rel_path, size, shard FROM g JOIN f USING (k)")
 def shard_plan(man):
     return shards.shard_plan(man, 7)
 
 
+@add("manifest", f"{_GREEDY} SELECT shard, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, 100.0 * sum(size) / sum(sum(size)) OVER () AS percent, max(sum(size)) OVER () / avg(sum(size)) OVER () AS skew FROM g JOIN f USING (k) GROUP BY shard")
+def shard_summary(man):
+    return shards.shard_summary(shards.shard_plan(man, 7))
+
+
 _ARC = "acos(least(abs(dot), 1.0e0))"
 _MIX = ", ".join(f"wa * q{c} + wb * p{c} AS m{c}" for c in "wxyz")
 _NORM = "sqrt(mw * mw + mx * mx + my * my + mz * mz)"
@@ -473,7 +494,18 @@ def stream_ledger(res):
     return out.groupBy("item_id").agg(F.max_by(F.struct("state", "attempts", "error"), F.struct("ts", "seq")).alias("x")).select("item_id", "x.*")
 
 
-@add("results")
+_CYCLES = f""", r AS ({_CLASSED.replace(" WHERE status <> 'ok'", "")}),
+ c AS (SELECT DISTINCT runner_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS past, 0 AS hard, CAST(NULL AS BIGINT) AS opened, CAST(NULL AS BIGINT) AS wait,
+ CAST(NULL AS BIGINT) AS ts, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS change, CAST(NULL AS VARCHAR) AS error FROM r
+ UNION ALL SELECT runner_id, n, CASE WHEN change = 'closed' THEN [] ELSE past END, CASE WHEN change = 'closed' THEN 0 ELSE hard END, CASE WHEN change = 'closed' THEN NULL WHEN change IS NULL THEN opened ELSE ts END,
+ CASE change WHEN 'closed' THEN NULL WHEN 'opened' THEN {DAY // 4} WHEN 'reopened' THEN least(2 * wait, {4 * DAY}) ELSE wait END, ts, seq, change, CASE WHEN change = 'reopened' OR change = 'opened' AND hard >= 3 THEN sig WHEN change = 'opened' THEN list_aggregate(bad, 'mode') END
+ FROM (SELECT *, CASE WHEN opened IS NULL THEN CASE WHEN hard >= 3 OR len(past) >= 5 AND len(bad) > 0 AND 2 * len(bad) >= len(past) AND 5 * len(list_filter(bad, lambda x: x = list_aggregate(bad, 'mode'))) >= 4 * len(bad) THEN 'opened' END
+ WHEN ts - opened >= wait THEN CASE WHEN class = 'ok' THEN 'closed' ELSE 'reopened' END END AS change FROM (SELECT *, list_filter(past, lambda x: x IS NOT NULL) AS bad FROM (
+ SELECT r.runner_id, r.n, r.ts, r.seq, r.class, r.sig, c.opened, c.wait, list_append(CASE WHEN len(c.past) >= 20 THEN c.past[2:] ELSE c.past END, CASE WHEN r.class <> 'ok' THEN r.sig END) AS past,
+ CASE WHEN r.class = 'permanent' THEN c.hard + 1 ELSE 0 END AS hard FROM c JOIN r ON r.runner_id = c.runner_id AND r.n = c.n + 1) a) b) d)"""
+
+
+@add("results", f"{_CYCLES} SELECT runner_id, ts, seq, change, error, coalesce(wait, {DAY // 4}) AS cooldown_s FROM c WHERE change IS NOT NULL")
 def storm_cycles(res):
     return folds.storm_cycles(res, cooldown_s=DAY // 4, longest_s=4 * DAY)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +19,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, and read from then on from a checkpoint in the shared folder, so that a lost executor redoes nothing
+    that led to it. Spark deletes checkpoints that are no longer used where spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -129,12 +129,27 @@ def test_shard_plan_is_the_greedy_one_for_the_head_and_even_beyond(spark):
     few = spark.createDataFrame([("a", 9000), ("b", 1000), ("c", 1000), ("d", 1000)], "rel_path string, size long")
     assert [r.b for r in shards.shard_plan(few, 2).groupBy("shard").agg(F.sum("size").alias("b")).orderBy("shard").collect()] == [9000, 3000]
     many = spark.range(20_000).select(F.format_string("f%d", "id").alias("rel_path"), (F.col("id") * 7919 % 1000 + 1).alias("size"))
-    plan = shards.shard_plan(many, 7, head=100)
+    plan = shards.shard_plan(many, 7)
     loads = [r.b for r in plan.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert plan.select("rel_path").distinct().count() == plan.count() == 20_000 and len(loads) == 7 and max(loads) - min(loads) <= 2000
     assert shards.shard_plan(few.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("one_size", [True, False])
+def test_shard_plan_equals_the_loop(spark, one_size):
+    import heapq
+    import random
+
+    r = random.Random(1)
+    rows = [(f"p{r.randrange(10**6)}-{i}", 5 if one_size else r.choice([None, 0, -3, 1, 2, 50, 51, r.randrange(10**6)])) for i in range(12_000)]
+    loads, want = [(0, i) for i in range(1, 12)], {}
+    for path, size in sorted(((p, max(s or 0, 0)) for p, s in rows), key=lambda x: (-x[1], x[0])):
+        load, shard = loads[0]
+        heapq.heapreplace(loads, (load + size, shard))
+        want[path] = shard
+    assert {x.rel_path: x.shard for x in shards.shard_plan(spark.createDataFrame(rows, "rel_path string, size long"), 11).collect()} == want
+
+
 def test_slerp_halfway_and_single_frame(spark):
     r = 0.5**0.5
     rows = [("c", 0, 0.0, 1.0, 0.0, 0.0, 0.0, True), ("c", 0, 1.0, r, 0.0, 0.0, r, False), ("s", 0, 3.0, 1.0, 0.0, 0.0, 0.0, False)]
