@@ -57,6 +57,10 @@ VIEWS = {
  CASE doc_id % 5 WHEN 0 THEN '//nas1/pool/out' WHEN 1 THEN '/mnt/disk1/out' WHEN 2 THEN '//nas4/fast/out' WHEN 3 THEN '/data/out' ELSE '//nas2/zz/out' END AS write_root, CASE WHEN doc_id % 11 = 0 THEN '//nas9/a/b' END AS sample_src, CAST(NULL AS STRING) AS sample_dst,
  CASE WHEN doc_id % 2 = 0 THEN 'parity_write' ELSE 'no_smb_creds' END AS ack FROM {t:documents}""",
     "manifest": "SELECT concat(source, '/', lang, '/doc_', CAST(doc_id AS STRING), '.txt') AS rel_path, n_chars AS size, 1704067200 + 60 * doc_id AS mtime FROM {t:documents}",
+    # one rule for each supplier: a substring, a range of three, a glob with sets, or a share alone
+    "topology": """SELECT s_suppkey AS place, concat('d', CAST(s_suppkey % 13 AS STRING)) AS disk, CASE s_suppkey % 5 WHEN 0 THEN concat('doc_', CAST(s_suppkey AS STRING), '.')
+ WHEN 1 THEN concat('doc_', CAST(3 * s_suppkey AS STRING), '..', CAST(3 * s_suppkey + 2 AS STRING)) WHEN 2 THEN concat('src', CAST(s_suppkey % 20 AS STRING), '/[a-e]?/doc_*', CAST(s_suppkey % 10 AS STRING), '[!02468].txt') ELSE '' END AS match,
+ CASE WHEN s_suppkey % 5 = 3 THEN concat('//nas', CAST(s_suppkey % 9 AS STRING), '/Share/') END AS read, CAST(NULL AS STRING) AS write, CASE WHEN s_suppkey % 5 = 4 THEN concat('//NAS', CAST(s_suppkey % 11 AS STRING), '/direct/in') END AS direct_path FROM {t:supplier}""",
     "samples": "SELECT concat('disk', CAST(l_suppkey % 7 AS STRING)) AS disk, l_linenumber AS concurrency, avg(l_extendedprice) AS mbps FROM {t:lineitem} GROUP BY 1, 2",
     "edges": "SELECT CAST(p_partkey AS STRING) AS src, CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS STRING) AS dst FROM {t:part} WHERE p_partkey > 1",
     "node_states": "SELECT CAST(p_partkey AS STRING) AS node, CASE WHEN p_size % 10 = 0 THEN 'dirty' ELSE 'clean' END AS state FROM {t:part}",

@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from .expr import LOCAL_FAULTS, PERMANENT
 
@@ -61,3 +64,41 @@ def enumerate_items(args: DataFrame, fn: Callable[[dict], Iterable[dict]]) -> Da
             yield pd.DataFrame(rows, columns=["subjob_id", "spec"])
 
     return args.mapInPandas(run, "subjob_id string, spec string")
+
+
+#: The hooks by which a task fans out its items: today's name, and the one it had before.
+HOOKS = ("enumerate_subjobs", "enumerate_gigs")
+
+
+def _enumerator(task: Any) -> type:
+    hook = next((getattr(task, name) for name in HOOKS if callable(getattr(task, name, None))), None)
+    if hook is None:
+        raise ValueError(f"a task enumerates its items by a function {' or '.join(HOOKS)}")
+
+    class Enumerate:
+        """Arguments as a JSON object, to one row for each item; a null or broken object is {}."""
+
+        @staticmethod
+        def analyze(args: AnalyzeArgument) -> AnalyzeResult:
+            return AnalyzeResult(StructType().add("subjob_id", "string").add("spec", "string"))
+
+        def eval(self, args: str) -> Iterator[tuple[str, str]]:
+            try:
+                given = json.loads(args) if args else {}
+            except ValueError:
+                given = {}
+            for item in hook(given):
+                yield item.get("subjob_id") or item.get("job_id"), json.dumps(item.get("spec") or {}, sort_keys=True)
+
+    return Enumerate
+
+
+def register_enumerator(spark: SparkSession, name: str, task: Any) -> None:
+    """A task (a module or class with one of the HOOKS) as a table function of SQL: FROM t, LATERAL name(to_json(...))."""
+    spark.udtf.register(name, F.udtf(_enumerator(task)))
+
+
+def fan_out(args: DataFrame, task: Any) -> DataFrame:
+    """The columns of each row of arguments beside the items (subjob_id, spec) that the task makes of it."""
+    given = F.to_json(F.struct(*(F.col(c).outer().alias(c) for c in args.columns)))
+    return args.lateralJoin(F.udtf(_enumerator(task))(given))

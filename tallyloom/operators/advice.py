@@ -128,6 +128,15 @@ def gate_io(advised: DataFrame, acks: str | None = None) -> DataFrame:
     return rows.withColumns({"blocked": F.size("reasons") > 0, "needed": needed, "acknowledged": used}).drop("_codes")
 
 
+def blank_as_null(c: str) -> Column:
+    return F.nullif(F.col(c), F.lit(""))
+
+
+def alert_name() -> Column:
+    """An alert's fingerprint: its own, else code:disk, or code:* without a disk."""
+    return F.coalesce(blank_as_null("fingerprint"), F.concat("code", F.lit(":"), F.coalesce(blank_as_null("disk"), F.lit("*"))))
+
+
 def dedup_alerts(firings: DataFrame, resolves: DataFrame | None = None, keep: int = 500) -> DataFrame:
     """One row per alert: how often it fired, from when to when, what it said last, and whether it is active.
 
@@ -135,9 +144,8 @@ def dedup_alerts(firings: DataFrame, resolves: DataFrame | None = None, keep: in
     default code:disk (code:* without a disk), are one; url and origins keep their last value that isn't blank. An alert
     is active unless it was resolved (ts, seq, fingerprint) after it last fired. The `keep` alerts that fired last stay.
     """
-    filled = lambda c: F.nullif(F.col(c), F.lit(""))
-    name = F.coalesce(filled("fingerprint"), F.concat("code", F.lit(":"), F.coalesce(filled("disk"), F.lit("*"))))
-    rows = firings.withColumn("fingerprint", name).withColumn("at", F.struct("ts", "seq"))
+    filled = blank_as_null
+    rows = firings.withColumn("fingerprint", alert_name()).withColumn("at", F.struct("ts", "seq"))
     by = rows.groupBy("fingerprint").agg(
         F.min_by("code", "at").alias("code"), F.min_by("disk", "at").alias("disk"), F.count("*").alias("count"), F.min("ts").alias("first_ts"), F.max("at").alias("at"),
         *(F.max_by(c, "at").alias(c) for c in ("severity", "detail", "action")), *(F.max_by(filled(c), F.when(filled(c).isNotNull(), F.col("at"))).alias(c) for c in ("url", "origins")))

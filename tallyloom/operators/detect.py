@@ -23,12 +23,18 @@ def _most(array: Column) -> Column:
     return F.coalesce(F.array_max(array), F.lit(0.0))
 
 
-def bottleneck(samples: DataFrame) -> DataFrame:
+# The limits that a sample's readings are held against.
+CEILINGS = {"cpu": 0.9, "mem": 0.9, "disk_util_pct": 95.0, "disk": 0.9, "net": 0.9, "gpu": 0.95, "vram": 0.9, "latency": 0.5}
+
+
+def bottleneck(samples: DataFrame, report: bool = False, **ceilings: float) -> DataFrame:
     """The sample's verdict, the resource it names and the largest pressure of any resource.
 
-    Disks are an array of (disk, util_pct, mbps, ceiling_mbps, inflight), as long as a host has disks. The first verdict
+    With `report` also the pressure of each resource (a map; disks as disk:<id>, at most 1), what to do and what was seen.
+    `ceilings` replaces some of CEILINGS. Disks are an array of (disk, util_pct, mbps, ceiling_mbps, inflight), as long as a host has disks. The first verdict
     in the order below that fits wins; an empty or null array is a host without disks.
     """
+    top = CEILINGS | ceilings
     gpu = F.col("vram_total_gb") > 0
     flat = {
         "vram": F.when(gpu, F.col("vram_used_gb") / F.col("vram_total_gb")).otherwise(0.0), "gpu": F.when(gpu, F.least(F.col("gpu_util_pct") / 100, F.lit(1.0))).otherwise(0.0),
@@ -39,7 +45,7 @@ def bottleneck(samples: DataFrame) -> DataFrame:
         return F.greatest(F.when(d.ceiling_mbps > 0, d.mbps / d.ceiling_mbps).otherwise(d.util_pct / 100), d.util_pct / 100)
 
     def hot(d: Column) -> Column:
-        return (load(d) >= 0.9) | (d.util_pct >= 95)
+        return (load(d) >= top["disk"]) | (d.util_pct >= top["disk_util_pct"])
 
     def busy(d: Column) -> Column:
         return ~hot(d) & ((d.util_pct >= 50) | (d.inflight > 0))
@@ -50,15 +56,41 @@ def bottleneck(samples: DataFrame) -> DataFrame:
     s = samples.withColumn("disks", F.coalesce("disks", F.expr(f"cast(array() as {DISKS})")))
     s = s.select("*", *(p.alias(f"_{n}") for n, p in flat.items()), F.filter("disks", hot).alias("_hot"), F.filter("disks", busy).alias("_busy"), F.size(F.filter("disks", idle)).alias("_idle"))
     most = F.greatest(*(F.col(f"_{n}") for n in flat), F.least(_most(F.transform("disks", load)), F.lit(1.0)))
-    late = (F.col("expected") > 0) & (F.col("observed") < 0.5 * F.col("expected")) & (most < 0.9)
+    late = (F.col("expected") > 0) & (F.col("observed") < top["latency"] * F.col("expected")) & (most < top["disk"])
     ranked = [
-        ("vram_pressure", F.lit("vram"), F.col("_vram") >= 0.9), ("gpu_bound", F.lit("gpu"), F.col("_gpu") >= 0.95), ("mem_pressure", F.lit("mem"), F.col("_mem") >= 0.9),
+        ("vram_pressure", F.lit("vram"), F.col("_vram") >= top["vram"]), ("gpu_bound", F.lit("gpu"), F.col("_gpu") >= top["gpu"]), ("mem_pressure", F.lit("mem"), F.col("_mem") >= top["mem"]),
         ("disk_at_ceiling", F.concat(F.lit("disk:"), F.get("_hot", F.lit(0)).disk), F.size("_hot") > 0),
         ("nas_single_spindle", F.concat(F.lit("disk:"), F.get("_busy", F.lit(0)).disk), (F.size("_busy") == 1) & (F.col("_idle") >= 2)),
-        ("net_bound", F.lit("net"), F.col("_net") >= 0.9), ("cpu_bound", F.lit("cpu"), F.col("_cpu") >= 0.9), ("latency_bound", F.lit("latency"), late), ("healthy", F.lit("none"), F.lit(True)),
+        ("net_bound", F.lit("net"), F.col("_net") >= top["net"]), ("cpu_bound", F.lit("cpu"), F.col("_cpu") >= top["cpu"]), ("latency_bound", F.lit("latency"), late), ("healthy", F.lit("none"), F.lit(True)),
     ]
     first = lambda part: F.coalesce(*(F.when(cond, part(name, resource)) for name, resource, cond in ranked))
-    return s.select("ts", first(lambda n, r: F.lit(n)).alias("verdict"), first(lambda n, r: r).alias("resource"), most.alias("max_pressure"))
+    out = [first(lambda n, r: F.lit(n)).alias("verdict"), first(lambda n, r: r).alias("resource"), most.alias("max_pressure")]
+    if not report:
+        return s.select("ts", *out)
+    disks = F.transform("disks", lambda d: F.struct(F.concat(F.lit("disk:"), d.disk).alias("key"), F.least(load(d), F.lit(1.0)).alias("value")))
+    flats = F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"_{n}").cast("double").alias("value")) for n in flat))
+    whole = lambda c, unit="": F.concat(F.round(c, 0).cast("long").cast("string"), F.lit(unit))
+    share = lambda used, total, unit: F.concat(F.round(used, 1).cast("string"), F.lit(" of "), F.round(total, 1).cast("string"), F.lit(unit))
+    hot_disk, warm = F.get("_hot", F.lit(0)), F.get("_busy", F.lit(0))
+    seen = {
+        "vram_pressure": share(F.col("vram_used_gb"), F.col("vram_total_gb"), " GB of video memory"), "gpu_bound": whole(F.col("gpu_util_pct"), " % of the GPU"), "mem_pressure": share(F.col("mem_used_gb"), F.col("mem_total_gb"), " GB of memory"),
+        "disk_at_ceiling": F.concat(hot_disk.disk, F.lit(": "), F.when(hot_disk.ceiling_mbps > 0, share(hot_disk.mbps, hot_disk.ceiling_mbps, " MB/s")).otherwise(whole(hot_disk.util_pct, " % busy"))),
+        "nas_single_spindle": F.concat(warm.disk, F.lit(": "), warm.inflight.cast("string"), F.lit(" in flight; idle: "), F.array_join(F.transform(F.filter("disks", idle), lambda d: d.disk), ", ")),
+        "net_bound": share(F.col("net_mbps"), F.col("net_cap_mbps"), " MB/s of the link"), "cpu_bound": whole(F.col("cpu_pct"), " % of the CPU"),
+        "latency_bound": F.concat(share(F.col("observed"), F.col("expected"), " items a second"), F.lit("; nothing above "), whole(100 * most, " %")), "healthy": F.lit("room everywhere"),
+    }
+    detail = F.coalesce(*(F.when(F.col("verdict") == v, text) for v, text in seen.items()))
+    hint = F.coalesce(*(F.when(F.col("verdict") == v, text) for v, text in HINTS.items()))
+    told = s.select("*", *out, F.map_from_entries(F.concat(flats, disks)).alias("pressures"))
+    return told.select("ts", "verdict", "resource", "max_pressure", "pressures", hint.alias("hint"), detail.alias("detail"))
+
+
+#: What to do about each verdict.
+HINTS = {
+    "vram_pressure": "take smaller batches, or move part of the work to the CPU", "gpu_bound": "add GPUs, or give each item less GPU work", "mem_pressure": "run fewer workers, or make each need less memory",
+    "disk_at_ceiling": "the disk gives all it can: stage its hot data elsewhere, or spread the reads", "nas_single_spindle": "all reads go to one disk while others idle: look at the placement rules and the shard plan",
+    "net_bound": "the link is full: stage data near the workers", "cpu_bound": "add workers or hosts, or make the task cheaper", "latency_bound": "slow, but nothing is full: batch small operations, read ahead, or stage to a faster tier", "healthy": "",
+}
 
 
 def thrash(inflight: DataFrame, budgets: DataFrame, factor: float = 1.2) -> DataFrame:

@@ -2,48 +2,49 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop, shared_dir
+from ..sources.shared import cut
 
-#: Steps along edges that one job takes, and jobs after which what has been reached is written anew as one table.
-HOPS, COMPACT = 4, 8
+#: Steps along edges that one job takes.
+HOPS = 6
 
 
 def dependency_closure(edges: DataFrame, roots: DataFrame, without: Sequence[str] = ()) -> DataFrame:
     """Every node reachable from the roots, them included, until nothing new turns up, so cycles end.
 
-    Frontier joins, a few steps to a job, each job's new nodes written to the shared folder. Nodes that match one of the
-    patterns in `without` (vendored paths) are neither reported nor passed through.
+    Frontier joins, a few steps to a job. Edges and what has been reached are kept in the shared folder, dealt by node, so
+    a step shuffles the nodes it meets and nothing else. Nodes that match one of the patterns in `without` (vendored
+    paths) are neither reported nor passed through.
     """
-    spark = edges.sparkSession
-    root = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
     for pattern in without:
         edges, roots = edges.where(~F.col("dst").rlike(pattern)), roots.where(~F.col("node").rlike(pattern))
-    edges = edges.select("src", "dst").distinct()
-    kept, step = [f"{root}/step=0"], 0
-    roots.select("node", F.lit(True).alias("last")).distinct().write.parquet(kept[0])
-    front = spark.read.parquet(kept[0])
+    edges = cut(edges.where("src <> dst").select(F.col("src").alias("node"), "dst").distinct().repartition("node"))
+    reached = [cut(roots.select("node", F.lit(True).alias("last")).distinct().repartition("node"))]
     while True:
-        seen, level, found = spark.read.parquet(*kept), front.where("last").select("node"), None
+        level, found = reached[-1].where("last").select("node"), None
         for hop in range(HOPS):
-            level = level.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            level = level.join(edges, "node").select(F.col("dst").alias("node")).distinct()
             here = level.withColumn("last", F.lit(hop == HOPS - 1))
             found = here if found is None else found.unionByName(here)
         # a node met on an earlier step has been passed through already
-        fresh = found.groupBy("node").agg(F.min("last").alias("last")).join(seen.select("node"), "node", "left_anti")
-        step += 1
-        kept.append(f"{root}/step={step}")
-        fresh.write.parquet(kept[-1])
-        front = spark.read.parquet(kept[-1])
-        if front.isEmpty():
-            return seen.select("node")
-        if len(kept) > COMPACT:
-            spark.read.parquet(*kept[:-1]).write.parquet(f"{root}/upto={step}")
-            for path in kept[:-1]:
-                drop(spark, path)
-            kept = [f"{root}/upto={step}", kept[-1]]
+        fresh = found.groupBy("node").agg(F.min("last").alias("last"))
+        for earlier in reached:
+            fresh = fresh.join(earlier.select("node"), "node", "left_anti")
+        fresh = cut(fresh)
+        reached.append(fresh)
+        if not fresh.where("last").head(1):
+            break
+        if len(reached) > HOPS:
+            whole = reached[0]
+            for part in reached[1:]:
+                whole = whole.unionByName(part)
+            # what has been passed through is one table again; only its last part is gone on from
+            reached = [cut(whole.select("node", F.lit(False).alias("last")).join(fresh.where("last").select("node"), "node", "left_anti").repartition("node")), cut(fresh.where("last"))]
+    whole = reached[0]
+    for part in reached[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("node")

@@ -81,6 +81,14 @@ def item_trace(events: DataFrame, n: int = 20) -> DataFrame:
     return events.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
 
 
+def item_timeline(events: DataFrame, ledger: DataFrame, n: int = 20) -> DataFrame:
+    """Per item that has events the last n of them, oldest first (an array), beside its row of the ledger, whose columns are
+    null where the ledger has lost the item. The ledger has one row for each item."""
+    fields = [c for c in events.columns if c not in ("item_id", "ts", "seq")]
+    kept = item_trace(events, n).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", *fields))).alias("events"))
+    return kept.join(ledger, "item_id", "left")
+
+
 def resample_linear(series: DataFrame, step: int) -> DataFrame:
     """Each key's values on a grid of `step` seconds from its first time, between the two samples around each point.
 
@@ -167,10 +175,11 @@ def profile_fold(samples: DataFrame) -> DataFrame:
 
 
 def scheduling_summary(decisions: DataFrame, now: int, window_s: int) -> DataFrame:
-    """Per host what it asked for and got, its main reason, and whether it starves."""
+    """Per host what it asked for and got, how often for which reason (a map) and mainly for which, and whether it starves."""
     rows = decisions.where((F.col("ts") > now - window_s) & (F.col("ts") <= now))
     by = rows.groupBy("host", "reason").agg(F.count("*").alias("n"), F.sum("requested").alias("requested"), F.sum("granted").alias("granted"))
-    out = by.groupBy("host").agg(F.sum("n").alias("decisions"), F.sum("requested").alias("requested"), F.sum("granted").alias("granted"), F.max_by("reason", F.struct("n", "reason")).alias("main_reason"))
+    out = by.groupBy("host").agg(F.sum("n").alias("decisions"), F.sum("requested").alias("requested"), F.sum("granted").alias("granted"), F.max_by("reason", F.struct("n", "reason")).alias("main_reason"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("reason", F.lit("?")), "n")))).alias("reasons"))  # an entry for each reason
     ratio = F.when(F.col("requested") > 0, F.col("granted") / F.col("requested")).otherwise(1.0)
     return out.withColumn("grant_ratio", ratio).withColumn("starved", (F.col("requested") > 0) & (ratio < 0.05) & (F.col("decisions") >= 2))
 
@@ -186,6 +195,17 @@ def assess_layout(manifest: DataFrame, depth: int = 1) -> DataFrame:
     return manifest.groupBy(shard_of(F.col("rel_path"), depth).alias("shard")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
+def layout_by_disk(manifest: DataFrame, depth: int = 1) -> DataFrame:
+    """Per disk its files, bytes and shards, and its share of all bytes; a null disk is what no rule has placed, with the names
+    of its shards (the first 50)."""
+    shard = shard_of(F.col("rel_path"), depth)
+    per = manifest.groupBy("disk", shard.alias("shard")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    by = per.withColumn("place", F.when(F.col("disk").isNull(), F.row_number().over(Window.partitionBy("disk").orderBy("shard")))).groupBy("disk").agg(
+        F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.sort_array(F.collect_list(F.when(F.col("place") <= 50, F.col("shard")))).alias("unmatched"))
+    total = by.agg(F.sum("bytes").alias("all_bytes"))
+    return by.join(F.broadcast(total)).select("disk", "files", "bytes", "shards", (F.col("bytes") / F.nullif("all_bytes", F.lit(0))).alias("share"), F.array_join("unmatched", ",").alias("unmatched"))  # one row
+
+
 def layout_skew(shards: DataFrame) -> DataFrame:
     """Largest over smallest shard in bytes, and the verdict."""
     one = shards.agg(F.count("*").alias("shards"), F.max("bytes").alias("most"), F.min("bytes").alias("least"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..adapters import DAY, EVENTS_NOW, LEDGER_NOW, sql_with, view
-from ..functions import expr
-from ..operators import advice, detect, folds, graph, joins, ledger, resample, shards, stages, telemetry
+from ..functions import expr, items
+from ..operators import advice, detect, folds, graph, joins, ledger, placement, resample, shards, stages, telemetry
 from ..sources import files
 from ..streaming import flows
 
@@ -187,6 +187,35 @@ def assign_by_rules(man):
     return joins.assign_by_rules(man, _RULES, ["rel_path"]).select("rel_path", "disk")
 
 
+_ROOTED = """SELECT rel_path, CASE size % 4 WHEN 0 THEN concat('//nas', CAST(size % 11 AS STRING), '/share/a/b') WHEN 1 THEN concat('//Nas', CAST(size % 11 AS STRING), '/DIRECT/in/') WHEN 2 THEN concat('//nas', CAST(size % 11 AS STRING), '/sharex') END AS read_root,
+ CASE WHEN size % 6 = 1 THEN concat('//nas', CAST(size % 9 AS STRING), '/share') ELSE '' END AS write_root FROM manifest"""
+_OWNER = """SELECT x.rel_path, arg_min(t.disk, t.place) AS disk FROM x JOIN topology t ON coalesce(t.read, t.direct_path) IS NOT NULL AND (lower(rtrim({0}, '/')) = lower(rtrim(coalesce(t.read, t.direct_path), '/')) OR starts_with(lower({0}), concat(lower(rtrim(coalesce(t.read, t.direct_path), '/')), '/'))) GROUP BY 1"""
+
+
+@add("manifest topology", f""", x AS ({_ROOTED}), m AS (SELECT x.rel_path, arg_min(t.disk, t.place) AS disk FROM x JOIN topology t ON t.match <> '' AND CASE t.place % 5 WHEN 0 THEN contains(rel_path, t.match)
+ WHEN 1 THEN contains(rel_path, concat('doc_', CAST(3 * t.place AS VARCHAR))) OR contains(rel_path, concat('doc_', CAST(3 * t.place + 1 AS VARCHAR))) OR contains(rel_path, concat('doc_', CAST(3 * t.place + 2 AS VARCHAR)))
+ ELSE regexp_full_match(rel_path, concat('src', CAST(t.place % 20 AS VARCHAR), '/[a-e]./doc_.*', CAST(t.place % 10 AS VARCHAR), '[^02468][.]txt')) END GROUP BY 1), r AS ({_OWNER.format('read_root')}), w AS ({_OWNER.format('write_root')})
+ SELECT x.rel_path, coalesce(m.disk, r.disk, w.disk) AS disk FROM x LEFT JOIN m ON m.rel_path = x.rel_path LEFT JOIN r ON r.rel_path = x.rel_path LEFT JOIN w ON w.rel_path = x.rel_path""")
+def assign_by_topology(man, topology):
+    rooted = man.sparkSession.sql(_ROOTED.replace("FROM manifest", "FROM {man}"), man=man)
+    return placement.assign_by_topology(rooted, topology, ["rel_path"]).select("rel_path", "disk")
+
+
+class Resample:
+    """A task that makes an item of a clip for each of its rates."""
+
+    @staticmethod
+    def enumerate_subjobs(args):
+        for fps in args["rates"]:
+            yield {"subjob_id": f"{args['clip']}@{fps}", "spec": {"fps": fps}}
+
+
+@add("manifest", "SELECT rel_path AS clip, concat(rel_path, '@', fps) AS subjob_id, concat('{\"fps\": ', fps, '}') AS spec FROM (SELECT rel_path, unnest([8, 24, 30, 60][1:CAST(size % 5 AS BIGINT)]) AS fps FROM manifest)")
+def fan_out(man):
+    rates = F.slice(F.array(*map(F.lit, (8, 24, 30, 60))), F.lit(1), (F.col("size") % 5).cast("int"))
+    return items.fan_out(man.select(F.col("rel_path").alias("clip"), rates.alias("rates")), Resample).select("clip", "subjob_id", "spec")
+
+
 @add("results ledger", "SELECT item_id, any_value('pending') AS state, '(ungrouped)' AS job, min(seq) AS seq FROM results WHERE item_id NOT IN (SELECT item_id FROM ledger) GROUP BY 1")
 def seed_new(res, led):
     return joins.seed_new(res.select("item_id", "seq"), led, ["seq"]).select("item_id", "state", "job", "seq")
@@ -274,6 +303,17 @@ def item_trace(res):
     return telemetry.item_trace(res.select("item_id", "ts", "seq", "status"))
 
 
+_TRACED = "SELECT item_id, ts, seq, status, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC, seq DESC) AS place FROM results"
+
+
+@add("results", f"SELECT item_id, string_agg(concat(seq, ':', status), ',' ORDER BY ts, seq) AS trace, max(state) AS state, max(attempts) AS attempts FROM (SELECT t.*, CASE WHEN CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0 THEN n.state END AS state, CASE WHEN CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0 THEN n.attempts END AS attempts FROM ({_TRACED}) t JOIN (SELECT item_id, max(status) AS state, count(*) AS attempts FROM results GROUP BY 1) n USING (item_id) WHERE place <= 20) GROUP BY 1")
+def item_timeline(res):
+    """The ledger has lost every third item."""
+    led = res.where("CAST(substr(item_id, 2) AS BIGINT) % 3 <> 0").groupBy("item_id").agg(F.max("status").alias("state"), F.count("*").alias("attempts"))
+    out = telemetry.item_timeline(res.select("item_id", "ts", "seq", "status"), led)
+    return out.select("item_id", F.array_join(F.transform("events", lambda e: F.concat(e.seq.cast("string"), F.lit(":"), e.status)), ",").alias("trace"), "state", "attempts")
+
+
 @add("series", "SELECT key, ts, round(v + CASE WHEN t1 IS NULL THEN 0 ELSE (ts - t0) / CAST(t1 - t0 AS DOUBLE) * (v1 - v) END, 6) AS value FROM (SELECT key, CAST(s + k * 21600 AS BIGINT) AS ts, t0, v, t1, v1 FROM (SELECT key, ts AS t0, value AS v, min(ts) OVER (PARTITION BY key) AS s, lead(ts) OVER (PARTITION BY key ORDER BY ts) AS t1, lead(value) OVER (PARTITION BY key ORDER BY ts) AS v1 FROM series) x, unnest(generate_series(CAST(ceil((t0 - s) / 21600.0) AS BIGINT), CASE WHEN t1 IS NULL THEN CAST(floor((t0 - s) / 21600.0) AS BIGINT) ELSE CAST(ceil((t1 - s) / 21600.0) AS BIGINT) - 1 END)) g(k))")
 def resample_linear(s):
     return telemetry.resample_linear(s, 21600).withColumn("value", F.round("value", 6))
@@ -304,7 +344,7 @@ def suggest_concurrency(s):
     return telemetry.suggest_concurrency(s).withColumn("peak", F.round("peak", 6))
 
 
-@add("decisions", f"SELECT host, sum(n) AS decisions, sum(q) AS requested, sum(g) AS granted, arg_max(reason, concat(lpad(CAST(n AS VARCHAR), 9, '0'), reason)) AS main_reason, sum(g) / CAST(sum(q) AS DOUBLE) AS grant_ratio, sum(q) > 0 AND sum(g) / CAST(sum(q) AS DOUBLE) < 0.05 AND sum(n) >= 2 AS starved FROM (SELECT host, reason, count(*) AS n, sum(requested) AS q, sum(granted) AS g FROM decisions WHERE ts > {LEDGER_NOW - WEEKS} AND ts <= {LEDGER_NOW} GROUP BY 1, 2) GROUP BY 1")
+@add("decisions", f"SELECT host, sum(n) AS decisions, sum(q) AS requested, sum(g) AS granted, arg_max(reason, concat(lpad(CAST(n AS VARCHAR), 9, '0'), reason)) AS main_reason, sum(g) / CAST(sum(q) AS DOUBLE) AS grant_ratio, sum(q) > 0 AND sum(g) / CAST(sum(q) AS DOUBLE) < 0.05 AND sum(n) >= 2 AS starved, map_from_entries(list(row(coalesce(reason, '?'), n) ORDER BY reason)) AS reasons FROM (SELECT host, reason, count(*) AS n, sum(requested) AS q, sum(granted) AS g FROM decisions WHERE ts > {LEDGER_NOW - WEEKS} AND ts <= {LEDGER_NOW} GROUP BY 1, 2) GROUP BY 1")
 def scheduling_summary(d):
     return telemetry.scheduling_summary(d, LEDGER_NOW, WEEKS)
 
@@ -319,6 +359,12 @@ def assess_layout(man):
     return telemetry.assess_layout(man)
 
 
+@add("manifest", """SELECT disk, CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS shards, sum(b) / CAST(sum(sum(b)) OVER () AS DOUBLE) AS share, coalesce(string_agg(CASE WHEN disk IS NULL THEN shard END, ',' ORDER BY shard), '') AS unmatched
+ FROM (SELECT CASE WHEN length(split_part(rel_path, '/', 1)) <> 5 THEN size % 4 END AS disk, split_part(rel_path, '/', 1) AS shard, count(*) AS n, sum(size) AS b FROM manifest GROUP BY 1, 2) GROUP BY disk""")
+def layout_by_disk(man):
+    return telemetry.layout_by_disk(man.withColumn("disk", F.when(F.length(F.substring_index("rel_path", "/", 1)) != 5, F.col("size") % 4)))
+
+
 @add("manifest", "SELECT shards, skew, CASE WHEN skew <= 1.25 THEN 'well-balanced' WHEN skew <= 2 THEN 'slightly-skewed' ELSE 'skewed' END AS verdict FROM (SELECT count(*) AS shards, max(b) / CAST(min(b) AS DOUBLE) AS skew FROM (SELECT sum(size) AS b FROM manifest GROUP BY split_part(rel_path, '/', 1)))")
 def layout_skew(man):
     return telemetry.layout_skew(telemetry.assess_layout(man))
@@ -377,6 +423,18 @@ def bottleneck(hosts, disks):
     return detect.bottleneck(_with_disks(hosts, disks))
 
 
+@add("host_hours disk_hours", f"""SELECT v.ts, v.verdict, CAST(least(h.cpu_pct / 100, 1) AS DOUBLE) AS cpu, h.mem_used_gb / h.mem_total_gb AS mem, h.net_mbps / h.net_cap_mbps AS net, CASE WHEN h.vram_total_gb > 0 THEN h.vram_used_gb / h.vram_total_gb ELSE 0 END AS vram,
+ d.n AS disks, d.p AS disk_pressure, v.verdict = 'healthy' AS no_hint, CASE v.verdict WHEN 'cpu_bound' THEN concat(CAST(round(h.cpu_pct) AS BIGINT), ' % of the CPU') WHEN 'mem_pressure' THEN concat(round(h.mem_used_gb, 1), ' of ', round(h.mem_total_gb, 1), ' GB of memory') WHEN 'healthy' THEN 'room everywhere' END AS detail
+ FROM ({_VERDICTS}) v JOIN host_hours h ON h.ts = v.ts LEFT JOIN (SELECT ts, count(*) AS n, round(sum(least(greatest(mbps / ceiling_mbps, util_pct / 100), 1)), 9) AS p FROM disk_hours GROUP BY 1) d ON d.ts = v.ts""")
+def bottleneck_report(hosts, disks):
+    out = detect.bottleneck(_with_disks(hosts, disks), report=True)
+    names = F.filter(F.map_keys("pressures"), lambda k: F.startswith(k, F.lit("disk:")))
+    total = F.aggregate(F.sort_array(names), F.lit(0.0), lambda a, k: a + F.element_at("pressures", k))
+    told = F.when(F.col("verdict").isin("cpu_bound", "mem_pressure", "healthy"), F.col("detail"))
+    parts = [F.element_at("pressures", F.lit(c)).alias(c) for c in ("cpu", "mem", "net", "vram")]
+    return out.select("ts", "verdict", *parts, F.nullif(F.size(names), F.lit(0)).cast("long").alias("disks"), F.when(F.size(names) > 0, F.round(total, 9)).alias("disk_pressure"), (F.col("hint") == "").alias("no_hint"), told.alias("detail"))
+
+
 @add("host_hours disk_hours", f"SELECT arg_min(verdict, ts) AS verdict, min(ts) AS begin_ts, max(ts) AS end_ts, count(*) AS samples FROM (SELECT ts, verdict, sum(CASE WHEN verdict IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS turn FROM (SELECT ts, verdict, lag(verdict) OVER (ORDER BY ts) AS before FROM ({_VERDICTS}))) GROUP BY turn")
 def detect_bottleneck(hosts, disks):
     return detect.newest_verdicts(detect.bottleneck(_with_disks(hosts, disks)).withColumn("host", F.lit("all")), ["host"]).drop("host")
