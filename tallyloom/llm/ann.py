@@ -20,6 +20,8 @@ K, START_BLOCK, JOIN_BLOCK, GIVEN = 24, 256, 96, 10
 STILL = 0.05
 #: Every query is compared with this many longest vectors at first, and may start from the best of them.
 LONGEST, ENTRIES = 512, 40
+#: Queries that look at one node in one row of a hop, about; a node may be asked by all of them.
+ASKED = 2048
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -195,6 +197,7 @@ def _walk(asked: DataFrame, nodes: DataFrame, around: DataFrame, scratch: Scratc
         own = own.unionByName(asked.mapInArrow(_enter(entries), "q long, id long, sim double").where("q <> id"))
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
     pool = scratch.save(own.withColumn("seen", F.lit(False)).withColumn("place", F.row_number().over(order)), "pool0")
+    deals = max(16, -(-asked.count() // ASKED))
     for h in count():
         open_ = pool.where(~F.col("seen") & (F.col("place") <= reach)).select("q").distinct()
         if open_.isEmpty():
@@ -202,8 +205,8 @@ def _walk(asked: DataFrame, nodes: DataFrame, around: DataFrame, scratch: Scratc
         least = pool.groupBy("q").agg(F.min("sim").alias("least"), F.count("*").alias("n")).select("q", F.when(F.col("n") < ef, F.lit(-2.0)).otherwise(F.col("least")).alias("least"))
         pool = pool.withColumn("turn", F.row_number().over(Window.partitionBy("q", "seen").orderBy("place")))
         turn = pool.where(~F.col("seen") & (F.col("turn") <= width)).join(open_, "q").join(asked, "q").join(least, "q").select(F.col("id").alias("a"), "q", "query", "least")
-        # many queries at one node are dealt out
-        turn = turn.repartition("a").groupBy("a", F.pmod("q", F.lit(16)).alias("deal")).agg(F.collect_list(F.struct("q", "query", "least")).alias("asked"))
+        # many queries at one node are dealt out, so that no row of a hop grows with the number of queries
+        turn = turn.repartition("a").groupBy("a", F.pmod("q", F.lit(deals)).alias("deal")).agg(F.collect_list(F.struct("q", "query", "least")).alias("asked"))
         fresh = around.join(turn.hint("shuffle_hash"), "a").select("ids", "rows", "sizes", "asked").mapInArrow(_look, "q long, id long, sim double").withColumn("seen", F.lit(False))
         done = pool.select("q", "id", "sim", (F.col("seen") | (F.col("turn") <= width)).alias("seen"))
         both = done.unionByName(fresh).repartition("q").groupBy("q", "id").agg(F.max("sim").alias("sim"), F.max("seen").alias("seen"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -207,18 +208,28 @@ def scan_secrets(docs: DataFrame, least: float = 0.5, findings: DataFrame | None
     return _scored(docs, least, findings, least_length).select("doc_id", "start", "end", "fingerprint", F.round("probability", 9).alias("probability"), "is_secret")
 
 
+def redacted(text: str, starts: list[int], ends: list[int], mark: str) -> str:
+    """The text with its spans, which are in order and apart, replaced by the mark, in time in proportion to its length."""
+    pieces, at = [], 0
+    for start, end in zip(starts, ends, strict=True):
+        pieces += [text[at:start], mark]
+        at = end
+    return "".join([*pieces, text[at:]])
+
+
 def redact_secrets(docs: DataFrame, least: float = 0.5, mark: str = "[SECRET]", findings: DataFrame | None = None) -> DataFrame:
-    """The documents with each secret replaced by a mark and n_chars set anew; all rows and columns stay, whatever their names."""
+    """The documents with each secret replaced by a mark and n_chars set anew; all rows and columns stay, whatever their names.
+    Only texts that hold a secret leave the JVM."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or s is None else redacted(t, s, e, mark) for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
+
     spans = _scored(docs, least, findings).where("is_secret").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     doc, text = F.struct(*(docs[c] for c in docs.columns)), docs["text"].cast("string")
     rows = docs.select(doc.alias("doc"), docs["doc_id"].cast("long").alias("id"), text.alias("body"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("row")), "left")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(
-        "spans", empty,
-        lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr("body", acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substr("body", acc["at"].cast("int") + 1)),
-    )
-    new = F.coalesce(cut, "body")
+    cleaned = joined.withColumn("cleaned", cut(F.when(F.col("spans").isNotNull(), F.col("body")), F.col("spans.start"), F.col("spans.end")))
+    new = F.coalesce("cleaned", "body")
     swap = {"text": new, "n_chars": F.when(F.col("spans").isNull(), F.col("doc")["n_chars"]).otherwise(F.length(new).cast("long")) if "n_chars" in docs.columns else None}
-    return joined.select(*(swap[c].cast(docs.schema[c].dataType).alias(c) if c in swap else F.col("doc")[c].alias(c) for c in docs.columns))
+    return cleaned.select(*(swap[c].cast(docs.schema[c].dataType).alias(c) if c in swap else F.col("doc")[c].alias(c) for c in docs.columns))

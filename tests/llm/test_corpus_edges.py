@@ -279,3 +279,30 @@ def test_a_very_long_vector_takes_nothing_from_the_others(spark):
         s[q] = -np.inf
         hit += len(set(found.vec_id) & set(np.argsort(-s)[:20].tolist()))
     assert len(got) == 20 * 40 and hit / len(got) >= 0.95
+
+
+def test_many_secrets_in_one_text(spark):
+    """20,000 keys in one text, in time in proportion to its length."""
+    import time
+
+    keys = [f"AKIA{i:016X}" for i in range(20_000)]
+    text = "é " + " x ".join(keys) + " end"
+    began = time.perf_counter()
+    starts = [m.start() for m in re.finditer("AKIA", text)]
+    want = "é " + " x ".join(["[SECRET]"] * len(keys)) + " end"
+    assert secrets.redacted(text, starts, [s + 20 for s in starts], "[SECRET]") == want and time.perf_counter() - began < 2
+    docs = hostile(spark, [(1, text), (2, "none here"), (3, None), (1, text)])
+    out = secrets.redact_secrets(docs, findings=spark.createDataFrame([(hashlib.sha256(k.encode()).hexdigest(), 1.0) for k in keys], "fingerprint string, label double"))
+    assert sorted(map(str, ((r.doc_id, r.text, r.n_chars) for r in out.collect()))) == sorted(map(str, [(1, want, len(want)), (1, want, len(want)), (2, "none here", 9), (3, None, None)]))
+
+
+def test_runs_of_blanks_of_every_length(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    encode, pieces = tokencount.encoder(queries.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for n in (50, 62, 63, 64, 65, 66, 99, 100, 101, 1000, 4999, 5000):
+        for blank in (" ", "\n", "\t", " \n", "　"):
+            for text in (f"a{blank * n}b", f"{blank * n}b", f"a{blank * n}", blank * n, f"a{blank * n}\nb {blank * n} c", f"'s{blank * n}'s 1{blank * n}2"):
+                assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, (n, blank, text[:5])
