@@ -216,8 +216,8 @@ def bottleneck_alerts(verdicts: DataFrame, by: Sequence[str], sustain_s: int, ro
     return out.select(*by, "verdict", pick(0).alias("code"), pick(1).alias("severity"), disk.alias("disk"), "begin_ts", "fire_ts", "end_ts", "firings")
 
 
-def newest_verdicts(verdicts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Spells of one verdict: a new verdict ends the one before it."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    runs = verdicts.withColumn("turn", F.sum(F.when(F.col("verdict").eqNullSafe(F.lag("verdict").over(w)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def newest_verdicts(verdicts: DataFrame, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Spells of one verdict: a new verdict ends the one before it. A key of more than `rows` of them is split into spans."""
+    s = Spans(verdicts, by, ["ts"], rows).lag(_was=F.col("verdict"))
+    runs = s.running(turn=("sum", F.when(F.col("verdict").eqNullSafe(F.col("_was")), 0).otherwise(1))).rows()
     return runs.groupBy(*by, "turn").agg(F.first("verdict").alias("verdict"), F.min("ts").alias("begin_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("samples")).drop("turn")

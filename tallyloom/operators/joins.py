@@ -174,8 +174,9 @@ def version_drift(versions: DataFrame, reference: DataFrame) -> DataFrame:
 
 def proportional_quota(groups: DataFrame, budget: int) -> DataFrame:
     """Each group's share of a budget by weight, one at least; null where there is nothing to share."""
-    total = F.sum("weight").over(Window.partitionBy(F.lit(1)))
-    return groups.withColumn("quota", F.when((total > 0) & F.lit(budget > 0), F.greatest(F.lit(1), F.ceil(F.col("weight") * budget / total))))
+    total = groups.agg(F.sum("weight").alias("_total"))
+    share = F.when((F.col("_total") > 0) & F.lit(budget > 0), F.greatest(F.lit(1), F.ceil(F.col("weight") * budget / F.col("_total"))))
+    return groups.join(F.broadcast(total)).withColumn("quota", share).drop("_total")  # one row
 
 
 def _budgets(items: DataFrame, caps: DataFrame) -> DataFrame:

@@ -321,7 +321,11 @@ def resample_linear(s):
 
 @add("disk_samples", "SELECT disk, min(ts) AS begin_ts, min(CASE WHEN ts - b >= 600 THEN ts END) AS fire_ts, max(ts) AS end_ts, count(*) FILTER (WHERE ts - b >= 600) AS firings FROM (SELECT *, min(ts) OVER (PARTITION BY disk, spell) AS b FROM (SELECT disk, ts, write_sectors % 4 <> 0 AS ok, sum(CASE WHEN write_sectors % 4 <> 0 THEN 0 ELSE 1 END) OVER (PARTITION BY disk ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM (SELECT disk, ts, max(write_sectors) AS write_sectors FROM disk_samples GROUP BY 1, 2)) WHERE ok) GROUP BY disk, spell HAVING count(*) FILTER (WHERE ts - b >= 600) > 0")
 def sustained(s):
-    return telemetry.sustained(s.groupBy("disk", "ts").agg(F.max("write_sectors").alias("write_sectors")), "disk", F.col("write_sectors") % 4 != 0, 600)
+    return _sustained(s)
+
+
+def _sustained(s, rows=None):
+    return telemetry.sustained(s.groupBy("disk", "ts").agg(F.max("write_sectors").alias("write_sectors")), "disk", F.col("write_sectors") % 4 != 0, 600, rows)
 
 
 @add("progress", "SELECT job, ts, d_failed, d_done FROM (SELECT job, ts, failed - lag(failed) OVER w AS d_failed, done - lag(done) OVER w AS d_done, ts - lag(ts) OVER w AS d_ts FROM progress WINDOW w AS (PARTITION BY job ORDER BY ts)) WHERE d_ts >= 1 AND (d_failed >= 20 OR (d_failed >= 3 AND d_failed >= 0.3 * (d_failed + d_done)))")
@@ -442,8 +446,12 @@ def detect_bottleneck(hosts, disks):
 
 @add("utils", "SELECT gate, min(ts) AS begin_ts, min(CASE WHEN ts - b >= 1800 THEN ts END) AS fire_ts, max(ts) AS end_ts, count(*) FILTER (WHERE ts - b >= 1800) AS firings FROM (SELECT *, min(ts) OVER (PARTITION BY gate, spell) AS b FROM (SELECT gate, ts, u <= 40 AS ok, sum(CASE WHEN u <= 40 THEN 0 ELSE 1 END) OVER (PARTITION BY gate ORDER BY ts ROWS UNBOUNDED PRECEDING) AS spell FROM (SELECT concat('gate', CAST(CAST(substr(disk, 5) AS BIGINT) % 3 AS VARCHAR)) AS gate, ts, max(util_pct) AS u FROM utils GROUP BY 1, 2)) WHERE ok) GROUP BY gate, spell HAVING count(*) FILTER (WHERE ts - b >= 1800) > 0")
 def idle_windows(s):
+    return _idle_windows(s)
+
+
+def _idle_windows(s, rows=None):
     gates = s.select("disk").distinct().withColumn("gate", F.concat(F.lit("gate"), (F.substring("disk", 5, 9).cast("long") % 3).cast("string")))
-    return detect.idle_windows(s, gates, 40)
+    return detect.idle_windows(s, gates, 40, rows=rows)
 
 
 _CLASSED = "SELECT runner_id, ts, seq, CASE WHEN status <> 'error' OR lower(trim(error)) IN ('timeout', 'pool_reset') THEN 'ok' WHEN lower(error) LIKE '%nt_status_logon_failure%' OR lower(error) LIKE '%permissionerror%' THEN 'permanent' ELSE 'transient' END AS class, CASE WHEN lower(error) LIKE '%nt_status_logon_failure%' THEN 'nt_status_logon_failure' WHEN lower(error) LIKE '%permissionerror%' THEN 'permissionerror' ELSE error END AS sig, row_number() OVER (PARTITION BY runner_id ORDER BY ts, seq) AS n FROM (SELECT * FROM results WHERE status <> 'ok')"
@@ -765,6 +773,15 @@ def version_drift(beats):
     return joins.version_drift(versions, beats.sparkSession.range(2, 6).select(F.concat(F.lit("pkg"), "id").alias("package"), F.lit("1").alias("version")))
 
 
+# The same operators with keys of more than so many rows split into spans: the rows are those of the plain queries.
+for _name, _views, _split in (
+    ("rolling_io", "disk_samples", lambda s: telemetry.rolling_io(s, rows=500)), ("rate_series", "runner_progress", lambda s: telemetry.rate_series(s, "done", ["runner"], rows=50)),
+    ("sustained", "disk_samples", lambda s: _sustained(s, 500)), ("idle_windows", "utils", lambda s: _idle_windows(s, 500)),
+):
+    add(_views, None, f"{_name}_by_spans")(_split)
+    _SQL[f"{_name}_by_spans"] = _SQL[_name]
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
