@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expr import classify_result, error_signature, shard_of
+from ..functions.expr import classify_result, error_signature, hash_shard, shard_of
 from .spans import Spans
 
 
@@ -233,8 +233,46 @@ def parse_diskstats(lines: DataFrame, devices: DataFrame | None = None) -> DataF
     return named.select("device", F.coalesce("disk", "device").alias("disk"), "read_sectors", "write_sectors", "io_ms")
 
 
-def move_plan(plan: DataFrame) -> DataFrame:
-    """Where each file of a shard plan goes: shard_NN/ before its path, an old shard folder taken off; or skip if it is there."""
-    inner = F.regexp_replace("rel_path", r"^shard_\d+/", "")
-    target = F.concat(F.format_string("shard_%02d/", F.col("shard")), inner)
-    return plan.select("rel_path", target.alias("target"), F.when(target == F.col("rel_path"), "skip").otherwise("move").alias("action"))
+def move_plan(plan: DataFrame, rebalance: bool = True) -> DataFrame:
+    """Where each file of a shard plan goes: shard_NN/ before its path, the folder of an older shard taken off; or skip.
+
+    With `rebalance` a file is skipped if it is in its shard already; without, for a first move, if it is in any.
+    """
+    there = F.rlike("rel_path", F.lit("^shard_[^/]*/"))
+    target = F.concat(F.format_string("shard_%02d/", F.col("shard")), F.regexp_replace("rel_path", "^shard_[^/]*/", ""))
+    stays = F.col("rel_path") == target if rebalance else there
+    return plan.select("rel_path", target.alias("target"), F.when(stays, "skip").otherwise("move").alias("action"))
+
+
+def shard_topology(plan: DataFrame, kind: str = "hdd", read: str | None = None, write: str | None = None) -> DataFrame:
+    """The topology rows of a shard plan: disk N takes what holds shard_NN. read and write are templates of its roots, in
+    which {n}, {disk} and {shard} stand for those. One row for each shard that holds a file."""
+    rows = plan.select("shard").distinct().select(F.col("shard").cast("long").alias("place"), F.concat(F.lit("disk"), "shard").alias("disk"), F.format_string("shard_%02d", F.col("shard")).alias("match"))
+
+    def filled(template: str | None) -> Column:
+        out = F.lit(template).cast("string")
+        for name, value in (("{n}", F.col("place").cast("string")), ("{disk}", F.col("disk")), ("{shard}", F.col("match"))):
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    return rows.select("place", "disk", F.lit(kind).alias("kind"), "match", filled(read).alias("read"), filled(write).alias("write"))
+
+
+def demote_items(files: DataFrame, read_root: str, to: str, n: int = 7, union: str = "/mnt/user") -> DataFrame:
+    """One copy item for each file (rel_path): its disk by a stable hash of its path, and its roots.
+
+    `to` is a template with {n}, or has one folder with a star, as /mnt/user/Word*/rest, of which there is one on each
+    disk: under the union of all disks it stands for /mnt/disk{n}/Word{n}/rest. direct_disk_write says that the union is
+    passed over on purpose.
+    """
+    if "{n}" not in to:
+        head, star, rest = to.replace("\\", "/").rstrip("/").partition("*")
+        before, _, word = head.rpartition("/")
+        if not star or not word or (rest and not rest.startswith("/")):
+            raise ValueError(f"{to!r} has neither {{n}} nor a folder that ends with a star")
+        root = "/mnt/disk{n}" if before == union.rstrip("/") else before
+        to = f"{root}/{word}{{n}}{rest}" if root else f"{word}{{n}}{rest}"
+    k = hash_shard(F.col("rel_path"), n).cast("string")
+    return files.select(
+        F.col("rel_path").alias("subjob_id"), F.concat(F.lit("disk"), k).alias("disk"), F.col("rel_path").alias("src_path"), F.col("rel_path").alias("dst_path"),
+        F.lit(read_root.rstrip("/\\")).alias("read_root"), F.replace(F.lit(to), F.lit("{n}"), k).alias("write_root"), F.lit(True).alias("direct_disk_write"))

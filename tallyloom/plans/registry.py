@@ -384,6 +384,29 @@ def move_plan(man):
     return telemetry.move_plan(man.withColumn("shard", 1 + F.col("size") % 7))
 
 
+_SHARDED = "SELECT CASE size % 3 WHEN 0 THEN rel_path WHEN 1 THEN concat('shard_', lpad(CAST(1 + size % 5 AS VARCHAR), 2, '0'), '/', rel_path) ELSE concat('shard_old/', rel_path) END AS rel_path, rel_path AS inside, 1 + size % 7 AS shard FROM manifest"
+
+
+@add("manifest", f"SELECT rel_path, concat('shard_', lpad(CAST(shard AS VARCHAR), 2, '0'), '/', inside) AS target, CASE WHEN starts_with(rel_path, 'shard_') THEN 'skip' ELSE 'move' END AS first_action, CASE WHEN rel_path = concat('shard_', lpad(CAST(shard AS VARCHAR), 2, '0'), '/', inside) THEN 'skip' ELSE 'move' END AS action FROM ({_SHARDED})")
+def move_plan_modes(man):
+    """Files without a shard's folder, in a numbered one, and in an old one."""
+    numbered = F.concat(F.format_string("shard_%02d/", 1 + F.col("size") % 5), "rel_path")
+    old = F.when(F.col("size") % 3 == 0, F.col("rel_path")).when(F.col("size") % 3 == 1, numbered).otherwise(F.concat(F.lit("shard_old/"), "rel_path"))
+    plan = man.select(old.alias("rel_path"), (1 + F.col("size") % 7).alias("shard"))
+    first = telemetry.move_plan(plan, rebalance=False).select("rel_path", F.col("action").alias("first_action"))
+    return telemetry.move_plan(plan).join(first, "rel_path")
+
+
+@add("manifest", "SELECT DISTINCT 1 + size % 7 AS place, concat('disk', 1 + size % 7) AS disk, 'hdd' AS kind, concat('shard_0', 1 + size % 7) AS match, concat('//nas/disk', 1 + size % 7, '/shard_0', 1 + size % 7) AS read, concat('/mnt/', 1 + size % 7) AS write FROM manifest")
+def shard_topology(man):
+    return telemetry.shard_topology(man.withColumn("shard", 1 + F.col("size") % 7), read="//nas/{disk}/{shard}", write="/mnt/{n}")
+
+
+@add("manifest", "SELECT rel_path AS subjob_id, concat('disk', k) AS disk, rel_path AS src_path, rel_path AS dst_path, '/nvme/in' AS read_root, concat('/mnt/disk', k, '/Word', k, '/Set') AS write_root, true AS direct_disk_write FROM (SELECT rel_path, 1 + CAST(concat('0x', substr(sha1(rel_path), 1, 8)) AS BIGINT) % 7 AS k FROM manifest)")
+def demote_items(man):
+    return telemetry.demote_items(man, "/nvme/in/", "/mnt/user/Word*/Set")
+
+
 @add("edges node_states", ", c AS (SELECT src AS node FROM edges WHERE CAST(src AS BIGINT) % 97 = 5 UNION SELECT dst FROM c JOIN edges ON node = src) SELECT node, state FROM c JOIN node_states USING (node) WHERE state <> 'clean'")
 def dirty_closure(edges, states):
     start = edges.where("cast(src as bigint) % 97 = 5").select(F.col("src").alias("node"))

@@ -156,3 +156,26 @@ def test_flags_and_shards(spark):
     assert one.select(expr.mask_flags(F.col("c"))).first()[0] == "run --token *** --x 1 --password=*** --tokens y"
     plan = shards.shard_plan(spark.createDataFrame([("a", 6), ("b", 3), ("c", 3)], "rel_path string, size long"), 2)
     assert {(r.shard, r.files, r.bytes, r.percent, r.skew) for r in shards.shard_summary(plan).collect()} == {(1, 1, 6, 50.0, 1.0), (2, 2, 6, 50.0, 1.0)}
+
+
+def test_demotion_templates(spark):
+    files = spark.createDataFrame([("a/b.npz",)], "rel_path string")
+    root = lambda to, **k: telemetry.demote_items(files, "/in", to, **k).first().write_root
+    n = files.select(expr.hash_shard(F.col("rel_path"), 7).alias("n")).first().n
+    assert root("/mnt/user/Word*/Set/") == f"/mnt/disk{n}/Word{n}/Set" and root("/x/Word*") == f"/x/Word{n}" and root("/m/disk{n}/y") == f"/m/disk{n}/y" and root("Word*/s") == f"Word{n}/s"
+    assert root("/all/W*/s", union="/all") == f"/mnt/disk{n}/W{n}/s"
+    for bad in ("/mnt/user/Set", "/mnt/user/*/Set", "/mnt/user/W*x/Set"):
+        with pytest.raises(ValueError):
+            root(bad)
+
+
+def test_core_faults_stay_mended(spark):
+    led = spark.createDataFrame([("a", None, "pending"), ("b", "j", "leased"), ("c", "j", "done"), ("d", "k", "pending")], "item_id string, job string, state string")
+    assert sorted(x.item_id for x in ledger.cancel(led, "j").collect()) == ["a", "c", "d"] and sorted(x.item_id for x in ledger.cancel(led, "j", purge=True).collect()) == ["a", "d"]
+    with pytest.raises(ValueError):
+        ledger.cancel(led, "")
+    full = led.withColumns({"attempts": F.lit(3), "error": F.lit("e"), "runner_id": F.lit("r"), "leased_at": F.lit(5)})
+    assert [(x.item_id, x.state, x.attempts, x.error, x.runner_id, x.leased_at) for x in ledger.requeue(full, ("done", "nonsense"), True).where("error is null").collect()] == [("c", "pending", 0, None, None, None)]
+    beats = spark.createDataFrame([("r", "h", 1, 1, "j", 4, 10.0, 1.0, 7), ("r", "?", 2, 2, None, None, None, None, None), ("r", None, 3, 3, None, None, None, 2.0, None)], "runner_id string, host string, last_seen long, seq long, job string, workers int, cpu_pct double, mem_used_gb double, in_flight int")
+    x = ledger.latest_runners(beats, 10).first()
+    assert (x.host, x.job, x.workers, x.cpu_pct, x.mem_used_gb, x.in_flight, x.last_seen) == ("h", "j", 4, None, 2.0, 7, 3)
