@@ -506,7 +506,7 @@ def labelled(source: str, gold: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, examples: DataFrame | None = None, sample: int = SAMPLE) -> Trees | None:
-    """The trees, trained on at most `sample` pages, chosen by a hash; None where there is nothing to learn from.
+    """The trees, trained on at most `sample` different pages, chosen by a hash; None where there is nothing to learn from.
 
     examples(html, text): pages with their main text, blocks parted by two line breaks. Without them, pages whose markup
     names their article are rebuilt WAYS times, one of them plainly.
@@ -516,7 +516,10 @@ def train(pages: DataFrame, examples: DataFrame | None = None, sample: int = SAM
         rows = typed(examples, html="string", text="string").where("html is not null and text is not null")
     else:
         rows = pages.select("html", F.lit("").alias("text")).where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    rows = rows.select("html", "text", F.xxhash64("html", "text").alias("h")).orderBy("h", "html", "text").limit(sample).repartition(16, "h")
+    rows = rows.select("html", "text", F.xxhash64("html", "text").alias("h"))
+    # copies count once, however many there are; only hashes are sorted
+    chosen = rows.select("h").distinct().orderBy("h").limit(sample)
+    rows = rows.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min(F.struct("html", "text")).alias("r")).select("r.html", "r.text", "h").repartition(16, "h")  # at most `sample` hashes
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

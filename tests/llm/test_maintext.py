@@ -75,6 +75,20 @@ def test_held_out(spark, site):
             assert "SPAM" not in text and text == "\n\n".join(maintext.Page(body).blocks()), (junk, source[:60], text)
 
 
+def test_copies_count_once(spark, site, monkeypatch):
+    """A page that a third of the rows repeat is one page of the sample."""
+    seen = []
+    monkeypatch.setattr(maintext, "Trees", lambda model: seen.append(model.numFeatures) or "trees")
+    rows = [(i, h) for i, h, _ in site[:12]]
+    one = maintext.train(table(spark, rows + [(1000 + i, site[0][1]) for i in range(60)]), sample=10)
+    assert one == "trees" and seen == [len(maintext.FEATURES)]
+    made = []
+    monkeypatch.setattr(maintext.Scratch, "save", lambda self, df, name: made.append(df.count()) or df)
+    maintext.train(table(spark, rows), sample=10)
+    maintext.train(table(spark, rows * 4), sample=10)
+    assert made[0] == made[1] > 0
+
+
 def test_examples(spark, site):
     """Pages without telling markup are learnt from given main texts."""
     blank = [(i, h.replace("article>", "div>").replace("<nav>", "<div>").replace("</nav>", "</div>").replace("footer>", "div>").replace(' class="ad"', ""), t) for i, h, t in site]
