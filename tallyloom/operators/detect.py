@@ -158,7 +158,8 @@ def failure_storms(results: DataFrame, by: str = "runner_id", run: int = 3, wind
 
 def readiness(shards: DataFrame, assigned: DataFrame) -> DataFrame:
     """Four checks of a layout, a row each: format (nine tenths of the files match a rule), coverage (all do), distribution
-    (several disks, none with over three fifths of the bytes) and balance (largest over smallest shard at most 3).
+    (several disks, none with over three fifths of the bytes) and balance (largest over smallest shard at most 3). What a
+    failed check found is its issue; numbers are cut to whole ones, skew to tenths.
 
     shards: shard, bytes. assigned: disk (null without a rule), size. Empty tables fail format, distribution and balance.
     """
@@ -172,7 +173,16 @@ def readiness(shards: DataFrame, assigned: DataFrame) -> DataFrame:
         "format": (share, share >= 0.9), "coverage": (share, F.coalesce(F.col("matched"), F.lit(0)) == F.coalesce(F.col("files"), F.lit(0))),
         "distribution": (F.col("top"), (F.col("disks") > 1) & (F.col("top") <= 0.6)), "balance": (skew, skew <= 3),
     }
-    rows = F.array(*(F.struct(F.lit(n).alias("check"), v.cast("double").alias("value"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, (v, ok) in checks.items()))
+    said = lambda *parts: F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
+    whole = lambda v: F.floor(v).cast("long")
+    files, matched = (F.coalesce(c, F.lit(0)) for c in ("files", "matched"))
+    issues = {
+        "format": said(whole(100 * share), " % of the files match a rule"), "coverage": said(files - matched, " files match no rule"),
+        "distribution": F.when(F.col("disks") > 1, said("one disk holds ", whole(100 * F.col("top")), " % of the bytes")).otherwise(said(F.col("disks"), " disk in use")),
+        "balance": F.coalesce(said("the largest shard is ", whole(10 * skew), " tenths of the smallest"), F.lit("a shard is empty")),
+    }
+    good = {n: F.coalesce(ok, F.lit(False)) for n, (_, ok) in checks.items()}
+    rows = F.array(*(F.struct(F.lit(n).alias("check"), v.cast("double").alias("value"), good[n].alias("ok"), F.when(good[n], "").otherwise(issues[n]).alias("issue")) for n, (v, _) in checks.items()))
     return one.select(F.inline(rows))
 
 

@@ -485,7 +485,7 @@ def failure_storms(res):
     return detect.failure_storms(res.where("status <> 'ok'"))
 
 
-@add("manifest", "SELECT u.\"check\", u.value, coalesce(u.ok, false) AS ok FROM (SELECT [{'check': 'format', 'value': matched / CAST(files AS DOUBLE), 'ok': matched >= 0.9 * files}, {'check': 'coverage', 'value': matched / CAST(files AS DOUBLE), 'ok': matched = files}, {'check': 'distribution', 'value': top, 'ok': disks > 1 AND top <= 0.6}, {'check': 'balance', 'value': skew, 'ok': skew <= 3}] AS l FROM (SELECT sum(n) AS files, sum(n) FILTER (WHERE disk IS NOT NULL) AS matched, count(disk) AS disks, max(b) FILTER (WHERE disk IS NOT NULL) / CAST(sum(b) FILTER (WHERE disk IS NOT NULL) AS DOUBLE) AS top FROM (SELECT CASE WHEN size % 11 <> 0 THEN size % 3 END AS disk, count(*) AS n, sum(size) AS b FROM manifest GROUP BY 1)) x, (SELECT max(b) / CAST(min(b) AS DOUBLE) AS skew FROM (SELECT split_part(rel_path, '/', 1) AS s, sum(size) AS b FROM manifest GROUP BY 1))) , unnest(l) AS t(u)")
+@add("manifest", "SELECT u.\"check\", u.value, coalesce(u.ok, false) AS ok, CASE WHEN coalesce(u.ok, false) THEN '' ELSE u.issue END AS issue FROM (SELECT [{'check': 'format', 'value': matched / CAST(files AS DOUBLE), 'ok': matched >= 0.9 * files, 'issue': concat(CAST(floor(100 * matched / CAST(files AS DOUBLE)) AS BIGINT), ' % of the files match a rule')}, {'check': 'coverage', 'value': matched / CAST(files AS DOUBLE), 'ok': matched = files, 'issue': concat(files - matched, ' files match no rule')}, {'check': 'distribution', 'value': top, 'ok': disks > 1 AND top <= 0.6, 'issue': CASE WHEN disks > 1 THEN concat('one disk holds ', CAST(floor(100 * top) AS BIGINT), ' % of the bytes') ELSE concat(disks, ' disk in use') END}, {'check': 'balance', 'value': skew, 'ok': skew <= 3, 'issue': concat('the largest shard is ', CAST(floor(10 * skew) AS BIGINT), ' tenths of the smallest')}] AS l FROM (SELECT sum(n) AS files, sum(n) FILTER (WHERE disk IS NOT NULL) AS matched, count(disk) AS disks, max(b) FILTER (WHERE disk IS NOT NULL) / CAST(sum(b) FILTER (WHERE disk IS NOT NULL) AS DOUBLE) AS top FROM (SELECT CASE WHEN size % 11 <> 0 THEN size % 3 END AS disk, count(*) AS n, sum(size) AS b FROM manifest GROUP BY 1)) x, (SELECT max(b) / CAST(min(b) AS DOUBLE) AS skew FROM (SELECT split_part(rel_path, '/', 1) AS s, sum(size) AS b FROM manifest GROUP BY 1))) , unnest(l) AS t(u)")
 def readiness(man):
     return detect.readiness(telemetry.assess_layout(man), man.withColumn("disk", F.when(F.col("size") % 11 != 0, F.col("size") % 3)))
 
