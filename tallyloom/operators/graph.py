@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 
-#: Steps along edges that one job takes.
-HOPS = 6
+#: Steps along edges that one job takes, and jobs after which what has been reached becomes one table again.
+HOPS, COMPACT = 6, 8
 
 
 def dependency_closure(edges: DataFrame, roots: DataFrame, without: Sequence[str] = ()) -> DataFrame:
@@ -38,7 +38,7 @@ def dependency_closure(edges: DataFrame, roots: DataFrame, without: Sequence[str
         reached.append(fresh)
         if not fresh.where("last").head(1):
             break
-        if len(reached) > HOPS:
+        if len(reached) > COMPACT:
             whole = reached[0]
             for part in reached[1:]:
                 whole = whole.unionByName(part)
