@@ -72,6 +72,29 @@ class OrdinalModel:
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], axis=1), axis=1)
 
 
+def _cuts(p: np.ndarray, f: int) -> np.ndarray:
+    """The cuts, from the first one and the logarithms of the steps between them, which come after f weights."""
+    return p[f] + np.concatenate([[0], np.cumsum(np.exp(p[f + 1 :]))])
+
+
+def loss(p: np.ndarray, f: int, at: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """Negative logarithm of the likelihood, plus the ridge, and its gradient. p: f weights, the first cut, the steps' logarithms."""
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    s = np.bincount(at, p[cols], len(grades))
+    edge = np.concatenate([[-np.inf], _cuts(p, f), [np.inf]])
+    hi, lo = sig(edge[grades + 1] - s), sig(edge[grades] - s)
+    hi, lo = np.where(grades == n_grades - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
+    like = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
+    g = np.empty_like(p)
+    g[:f] = np.bincount(cols, (dhi - dlo)[at], f) + ridge * p[:f] * 10
+    by_cut = np.array([-dhi[grades == k].sum() + dlo[grades == k + 1].sum() for k in range(n_grades - 1)])
+    g[f] = by_cut.sum()
+    for k in range(n_grades - 2):
+        g[f + 1 + k] = by_cut[k + 1 :].sum() * np.exp(p[f + 1 + k])
+    return float(-np.log(like).sum() + 5 * ridge * (p[:f] ** 2).sum()), g
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge: float = 0.05, rounds: int = 300) -> OrdinalModel:
     """Maximum likelihood with a ridge, by Adam over the whole sample; cuts stay ordered as a first cut and positive steps."""
     n = len(grades)
@@ -88,27 +111,14 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, ridge
     at, cols = at[cols >= 0], cols[cols >= 0]
     share = np.cumsum(np.bincount(grades, minlength=n_grades) + 1.0)[:-1] / (n + n_grades)
     cuts = np.log(share / (1 - share))
-    p = np.concatenate([np.zeros(len(buckets)), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     f = len(buckets)
+    p = np.concatenate([np.zeros(f), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
+    m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1 if n else 1):
-        cuts = p[f] + np.concatenate([[0], np.cumsum(np.exp(p[f + 1 :]))])
-        s = np.bincount(at, p[cols], n)
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        hi, lo = sig(edge[grades + 1] - s), sig(edge[grades] - s)
-        hi, lo = np.where(grades == n_grades - 1, 1.0, hi), np.where(grades == 0, 0.0, lo)
-        like = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi) / like, lo * (1 - lo) / like
-        g = np.empty_like(p)
-        g[:f] = np.bincount(cols, (dhi - dlo)[at], f) + ridge * p[:f] * 10
-        by_cut = np.array([-dhi[grades == k].sum() + dlo[grades == k + 1].sum() for k in range(n_grades - 1)])
-        g[f] = by_cut.sum()
-        for k in range(n_grades - 2):
-            g[f + 1 + k] = by_cut[k + 1 :].sum() * np.exp(p[f + 1 + k])
+        g = loss(p, f, at, cols, grades, n_grades, ridge)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return OrdinalModel(buckets, p[:f], p[f] + np.concatenate([[0], np.cumsum(np.exp(p[f + 1 :]))]))
+    return OrdinalModel(buckets, p[:f], _cuts(p, f))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -119,7 +129,8 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fits on at most `sample` labelled documents; features are made in the tasks, each distinct text counting once."""
+    """Fits on at most `sample` labelled documents, whatever the order of rows: of rows that repeat an id the smallest text
+    counts, and texts with equal features count once, with the lowest of their grades. Features are made in the tasks."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher()
@@ -128,12 +139,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
 
     # the sample has a fixed bound, so it is small enough to send to every task
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = typed(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(make, "grade int, buckets array<int>").toArrow()
-    grades = rows.column(0).to_numpy().astype(np.int64)
-    lists = [x.values.to_numpy() for x in rows.column(1)]
-    first = {r.tobytes(): i for i, r in reversed(list(enumerate(lists)))}
-    keep = sorted(first.values())
-    return fit_ordinal([lists[i] for i in keep], grades[keep], 3)
+    one = typed(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
+    made = one.select("grade", "text").mapInArrow(make, "grade int, buckets array<int>")
+    rows = made.groupBy("buckets").agg(F.min("grade").alias("grade")).toArrow()  # `sample` rows at most
+    grades = rows.column("grade").to_numpy().astype(np.int64)
+    lists = [x.values.to_numpy() for x in rows.column("buckets")]
+    order = sorted(range(len(lists)), key=lambda i: lists[i].tobytes())
+    return fit_ordinal([lists[i] for i in order], grades[order], 3)
 
 
 SCHEMA = "doc_id long, expected_grade double, p_good double, keep boolean"
