@@ -193,17 +193,14 @@ BOTTLENECKS = {
 }
 
 
-def with_expected(samples: DataFrame, rate: str, by: Sequence[str]) -> DataFrame:
-    """observed: the newest positive rate; expected: the highest positive one before it (itself, if it is the only one)."""
-    w = Window.partitionBy(*by).orderBy("ts")
+def with_expected(samples: DataFrame, rate: str, by: Sequence[str], rows: int | None = None) -> DataFrame:
+    """observed: the newest positive rate; expected: the highest positive one before it (itself, if it is the only one). A key
+    of more than `rows` samples is split into spans of time."""
     good = F.when(F.col(rate) > 0, F.col(rate))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = samples.withColumns({"observed": F.last(good, True).over(upto), "_n": F.count(good).over(upto)})
-    # the highest of all before the row of the newest positive rate
-    first = F.max(good).over(Window.partitionBy(*by, "_n").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    before = rows.withColumn("_before", F.max(good).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_first", first)
-    at_start = F.first("_before").over(Window.partitionBy(*by, "_n").orderBy("ts"))
-    return before.withColumns({"expected": F.when(F.col("_n") > 0, F.coalesce(at_start, "_first")).otherwise(0.0), "observed": F.coalesce("observed", F.lit(0.0))}).drop("_n", "_before", "_first")
+    s = Spans(samples, by, ["ts"], rows).running(observed=("last", good)).running(before=True, _before=("max", good))
+    s = s.running(_start=("last", F.when(good.isNotNull(), F.col("_before"))))
+    out = s.rows().withColumns({"expected": F.coalesce("_start", "observed", F.lit(0.0)), "observed": F.coalesce("observed", F.lit(0.0))})
+    return out.drop("_before", "_start")
 
 
 def bottleneck_alerts(verdicts: DataFrame, by: Sequence[str], sustain_s: int, rows: int | None = None) -> DataFrame:

@@ -132,10 +132,11 @@ def collapse(samples: DataFrame, ratio: float = 0.4, least_base: float = 0.1, hi
     return out.withColumn("collapsed", F.coalesce((F.col("n") >= 6) & (open_ > 0) & (F.col("base") > least_base) & (F.col("late") < ratio * F.col("base")), F.lit(False)))
 
 
-def failure_spike(samples: DataFrame, burst: int = 20, share: float = 0.3, least: int = 3) -> DataFrame:
-    """Samples at which failures jumped by a burst, or made up a share of what ended since the last sample."""
-    w = Window.partitionBy("job").orderBy("ts")
-    d = samples.withColumn("d_failed", F.col("failed") - F.lag("failed").over(w)).withColumn("d_done", F.col("done") - F.lag("done").over(w)).withColumn("d_ts", F.col("ts") - F.lag("ts").over(w))
+def failure_spike(samples: DataFrame, burst: int = 20, share: float = 0.3, least: int = 3, rows: int | None = None) -> DataFrame:
+    """Samples at which failures jumped by a burst, or made up a share of what ended since the last sample. A job of more than
+    `rows` samples is split into spans of time."""
+    s = Spans(samples, ["job"], ["ts"], rows).lag(**{f"_{c}": F.col(c) for c in ("failed", "done", "ts")}).rows()
+    d = s.withColumns({f"d_{c}": F.col(c) - F.col(f"_{c}") for c in ("failed", "done", "ts")}).drop("_failed", "_done", "_ts")
     f, all_ = F.col("d_failed"), F.col("d_failed") + F.col("d_done")
     return d.where((F.col("d_ts") >= 1) & ((f >= burst) | ((f >= least) & (f >= share * all_))))
 

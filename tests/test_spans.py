@@ -49,6 +49,8 @@ def test_operators_on_a_hot_key(samples, rows):
         lambda n: telemetry.rolling_io(one, 13, rows=n),
         lambda n: telemetry.sustained(one, "disk", F.col("util_pct") >= 20, 3, rows=n),
         lambda n: detect.idle_windows(one, gates, 60, 2, rows=n),
+        lambda n: telemetry.failure_spike(one.selectExpr("disk AS job", "ts", "ts * 3 + seq % 7 AS failed", "ts * 4 AS done"), 5, rows=n),
+        lambda n: detect.with_expected(one.withColumn("rate", F.col("util_pct") - 10), "rate", ["disk"], rows=n),
         lambda n: detect.idle_gate(counted, gates, 20, 4, rows=n),
         lambda n: detect.bottleneck_alerts(one.withColumnRenamed("disk", "host").withColumnRenamed("verdict", "resource").withColumn("verdict", F.when(F.col("resource") == "healthy", "healthy").when(F.col("util_pct") > 10, "latency_bound").otherwise("disk_bound")), ["host"], 2, rows=n),
     ):
