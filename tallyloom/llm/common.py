@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ def typed(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of about `most` bytes, a row each at least, as Spark fills a batch by its number of
+    rows: what a task makes of a slice is gone before the next, however long the texts are."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; drop() deletes those that nothing reads any more."""
 

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import Scratch, sliced, typed
 
 WINDOW = 10
 #: Bytes of test text that one pass over the documents searches for; a larger benchmark takes more passes.
 BLOCK_BYTES = 16 << 20
 #: Words of training text that one index holds at most, but for a single longer document.
 SHARD_WORDS = 4_000_000
+#: Bytes of documents whose texts a task holds as Python strings at a time; every slice is a shard, or some.
+SLICE = 8 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(c if chr(c).isascii() and (chr(c).isdigit() or chr(c).islower()) or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -242,7 +244,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", p
 def _judge(block, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(block.value, window)
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for sizes, first, hits, items in _scan(texts, phrases):
                 rows = [_row(ids[first + k], texts[first + k], n, hits[k], items.get(k, ())) for k, n in enumerate(sizes)]
@@ -324,7 +326,7 @@ def _cut_places(at: int, count: int | None):
 def _cut(block, window: int, at: int, count: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(block.value, window)
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
             sizes = None if count is None else batch.column(count).to_pylist()
             for _, first, hits, items in _scan(list(texts), phrases):

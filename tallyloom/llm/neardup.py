@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import Scratch, sliced, typed
 
 WORDS, PERCENT, PERMUTATIONS, ROWS = 5, 75, 64, 4
 #: A pair is only dropped unchecked if fewer than this share of its 128 values agree; at the threshold that is 6.5 standard
@@ -73,7 +73,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingle = Shingler()
-    for batch in batches:
+    for batch in sliced(batches):
         n, kinds, sign = [], [], []
         for text in batch.column(1):
             s = shingle(text.as_py())
@@ -120,7 +120,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, shingles) of rows (node, kind, text) whose text is of that kind."""
     shingle = Shingler()
-    for batch in batches:
+    for batch in sliced(batches):
         found = [(node, s.tobytes()) for node, kind, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if len(s := shingle(text)) and kind_of(s) == kind]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"])
 

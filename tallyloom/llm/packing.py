@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import typed
+from .common import sliced, typed
 
 #: Distinct units whose ids a task keeps; units beyond it are encoded anew in each block of text, with the same ids.
 CACHE = 1_500_000
 #: Bytes of text that are encoded at a time, and bytes of a unit up to which its ids are kept.
-BLOCK, LONGEST = 1 << 20, 256
+BLOCK, LONGEST = 1 << 19, 256
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
 # Classes of bytes: small letters, digits, marks that only ever stand in a run of marks, gaps, and all others (0).
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 2) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, sequence = WordIds(tokenizer), np.asarray([end], np.uint32), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), encode([x or "" for x in batch.column(1).to_pylist()]), strict=True):
                 data, at = np.concatenate([ids, last]).astype("<u4").tobytes(), 0

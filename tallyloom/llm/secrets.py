@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, typed
+from .common import Scratch, sliced, typed
 
 # A key: a signed or encrypted web token, or key characters, with long parts joined by dots; = only as padding, so `name=` stays outside.
 _CANDIDATE = re.compile(
@@ -115,7 +115,7 @@ def candidates(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, text, source, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for m in _CANDIDATE.finditer(text or ""):
