@@ -91,16 +91,18 @@ class Spans:
         if not self.split or most < 2:
             self.df = self.df.withColumns({n: F.first(v).over(back) for n, v in values.items()})
             return self
-        row = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(self.order)), *(v.alias(n) for n, v in values.items()))
+        # each span gets the last rows of those before it as rows of its own, marked, and the window passes over both
+        names, kept = list(dict.fromkeys([*self.order, *values])), self.df.columns
+        self.df = self.df.withColumns(values)
+        row = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(self.order)), *(F.col(n).alias(f"_v{n}") for n in names))
         down = Window.partitionBy("_key", "_span").orderBy(*(F.desc(c) for c in self.order))
         tail = self.df.select("_key", "_span", row.alias("_row"), F.row_number().over(down).alias("_n")).where(F.col("_n") < most)
         per = tail.groupBy("_key", "_span").agg(F.sort_array(F.collect_list("_row")).alias("_tail"))
-        # the last rows of as many earlier spans as it takes
+        # of as many earlier spans as it takes
         joined = F.aggregate(F.collect_list("_tail").over(self._before.rowsBetween(1 - most, -1)), F.lit(None).cast(per.schema["_tail"].dataType), lambda a, t: F.when(a.isNull(), t).otherwise(F.slice(F.concat(a, t), -F.least(F.size(F.concat(a, t)), F.lit(most - 1)), F.lit(most - 1))))
-        self._earlier(per, _tail=joined)
-        place, held = F.row_number().over(self.w), F.coalesce(F.size("_tail"), F.lit(0))
-        far = F.when((place < most) & (held > 0), F.try_element_at("_tail", F.greatest(held - (F.lit(most) - place) + 1, F.lit(1))))
-        self.df = self.df.withColumn("_far", far).withColumns({n: F.when(F.col("_far").isNull(), F.first(v).over(back)).otherwise(F.col(f"_far.{n}")) for n, v in values.items()}).drop("_far", "_tail")
+        far = per.select("_key", "_span", joined.alias("_rows")).select("_key", "_span", F.explode("_rows").alias("_row")).select("_key", "_span", *(F.col(f"_row._v{n}").alias(n) for n in names), F.lit(True).alias("_far"))
+        both = self.df.withColumn("_far", F.lit(False)).unionByName(far, allowMissingColumns=True)
+        self.df = both.withColumns({n: F.first(n).over(back) for n in values}).where("not _far").select(*kept, *(n for n in values if n not in kept))
         return self
 
     def where(self, cond: Column | str) -> Spans:
