@@ -6,6 +6,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators.spans import Spans
 
 LEDGER_NOW, EVENTS_NOW, DAY = 999302400, 1706659200, 86400  # 2001-09-01 and 2024-01-31, UTC
 
@@ -79,16 +82,34 @@ VIEWS = {
 }
 
 
+#: Views with running sums over few keys, as rows (key, at, ...), the order, and sums by name: the rows of the texts above, but
+#: with a hot key split into spans of time, as its window would be one task's work.
+RUNNING = {
+    "disk_samples": ("""SELECT user_id % 7 AS key, CAST(ts AS TIMESTAMP) AS at, concat('disk', CAST(1 + user_id % 7 AS STRING)) AS disk, {sec:ts} AS ts, event_id AS seq,
+ CAST(floor(value * 100) AS BIGINT) AS read_sectors, event_id % 1000 AS write_sectors, CAST(floor(value * 1000) AS BIGINT) AS io_ms FROM {t:events}""", ("at", "seq"), ("read_sectors", "write_sectors", "io_ms")),
+}
+
+
 def text(name: str, spark_dir: str | None) -> str:
     """The view's SQL: for Spark over the files of a folder, or for an engine with the tables as views."""
-    sql = re.sub(r"\{t:(\w+)\}", (lambda m: f"parquet.`{spark_dir}/{m[1]}.parquet`") if spark_dir else r"\1", VIEWS[name])
+    return _filled(VIEWS[name], spark_dir)
+
+
+def _filled(sql: str, spark_dir: str | None) -> str:
+    sql = re.sub(r"\{t:(\w+)\}", (lambda m: f"parquet.`{spark_dir}/{m[1]}.parquet`") if spark_dir else r"\1", sql)
     sql = re.sub(r"\{sec:(\w+)\}", r"unix_seconds(CAST(\1 AS TIMESTAMP))" if spark_dir else r"(epoch_us(\1) // 1000000)", sql)
     sql = re.sub(r"\{at:(\w+),([^}]+)\}", r"element_at(\1, \2)" if spark_dir else r"\1[\2]", sql)
     return sql.replace("{{", "{").replace("}}", "}")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(text(name, sf_dir))
+def view(spark: SparkSession, sf_dir: str, name: str, rows: int | None = None) -> DataFrame:
+    """A view; where it sums along time, a key of more than `rows` rows is split into spans (see operators.spans)."""
+    if name not in RUNNING:
+        return spark.sql(text(name, sf_dir))
+    sql, order, sums = RUNNING[name]
+    given = spark.sql(_filled(sql, sf_dir))
+    summed = Spans(given, ["key"], order, rows).running(**{f"_{c}": ("sum", F.col(c)) for c in sums}).rows()
+    return summed.select(*(F.col(f"_{c}" if c in sums else c).alias(c) for c in given.columns if c not in ("key", "at")))
 
 
 def sql_with(names: str, body: str) -> str:
