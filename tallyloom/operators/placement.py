@@ -51,13 +51,18 @@ def norm_share(path: Column) -> Column:
     return F.nullif(F.lower(F.rtrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/"))), F.lit(""))
 
 
+def distinct_rules(rules: DataFrame) -> DataFrame:
+    """compile_rules(), of those that fit the same texts only the one of the lowest place."""
+    return compile_rules(rules).groupBy("literal", "regex").agg(F.min("place").alias("place"), F.min_by("disk", "place").alias("disk"))
+
+
 def first_rule(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(text, place, disk): of the rules that each text fits, that of the lowest place. Texts must be distinct.
 
     Each rule is listed under one piece of its literal, the one that the fewest rules hold; a text meets the rules of
-    its own pieces only, and what it meets is verified. Globs without any literal meet every text.
+    its own pieces only, and what it meets is verified. Globs without any literal meet every text. Repeated rules count once.
     """
-    compiled = compile_rules(rules)
+    compiled = distinct_rules(rules)
     size = F.least(F.length("literal"), F.lit(GRAM))
     pieces = compiled.select("*", F.explode(F.when(size > 0, _grams(F.col("literal"), size)).otherwise(F.array(F.lit("")))).alias("gram"))
     held = pieces.groupBy("gram").agg(F.count("*").alias("n"))

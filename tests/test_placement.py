@@ -68,3 +68,10 @@ def test_short_lists_mean_the_same(spark):
     assert want["shard_03/clip.npz"] == "d1" and want["x.ban"] == "d3"
     assert {x.item_id: x.disk for x in joins.assign_by_rules(items, rules, ["item_id"]).collect()} == want
     assert {x.item_id: x.disk for x in placement.assign_by_topology(items, topology).collect()} == want
+
+
+def test_repeated_rules_count_once(spark):
+    rules = spark.range(900).selectExpr("900 - id AS place", "concat('d', 900 - id) AS disk", "element_at(array('x/*_[!02].npz', 'c1..2', 'c2'), CAST(1 + id % 3 AS INT)) AS match")
+    assert sorted((x.literal, x.place, x.disk) for x in placement.distinct_rules(rules).collect()) == [(".npz", 3, "d3"), ("c1", 2, "d2"), ("c2", 1, "d1")]
+    items = spark.createDataFrame([("x/a_1.npz",), ("x/c1_0.npz",), ("c2",), ("c3",)], "item_id string")
+    assert {x.item_id: x.disk for x in placement.assign_by_topology(items, rules).collect()} == {"x/a_1.npz": "d3", "x/c1_0.npz": "d2", "c2": "d1", "c3": None}
